@@ -55,6 +55,19 @@ def _oversized(v: Column, max_bytes: int) -> Column:
     return (v["t"] == "str") & (F.octet_length(v["s"]) > max_bytes)
 
 
+def _per_class(cls: Column, allow: Mapping[str, list[str]], build, otherwise: Column) -> Column:
+    """``CASE cls WHEN c THEN build(fields of c) ... ELSE otherwise END``.
+
+    Each branch's lambda holds only literals and the entry itself, so the class
+    is evaluated once per record, not once per attribute.
+    """
+    expr = None
+    for name, fields in allow.items():
+        branch = build(list(fields))
+        expr = F.when(cls == name, branch) if expr is None else expr.when(cls == name, branch)
+    return expr.otherwise(otherwise) if expr is not None else otherwise
+
+
 def guard_records(df: DataFrame, extra: Mapping[str, Iterable[str]] | None = None,
                   drop_unknown: bool = True, max_bytes: int = C.DEFAULT_MAX_FIELD_BYTES,
                   attrs: str = "attrs", class_attr: str = C.DEFAULT_CLASS_ATTRIBUTE,
@@ -66,31 +79,31 @@ def guard_records(df: DataFrame, extra: Mapping[str, Iterable[str]] | None = Non
       drop the record if no attribute is left.
     - unknown or missing class: drop the record, or pass it through untouched
       when ``drop_unknown`` is False.
-    With ``with_counters`` the output has ``stripped``, ``oversized`` and
-    ``known_class`` columns for the batch totals.
+    With ``with_counters`` the output has ``known_class``, ``stripped`` and
+    ``oversized`` columns for the batch totals.
     """
     if max_bytes < 0:
         raise ValueError("max_bytes must be >= 0")
     allow = effective_allowlist(extra)
     m = F.col(attrs)
-    cls = class_of(m, class_attr)
-    allowed = _allowed_keys_expr(cls, allow)
-
-    out = df.withColumn("__allowed", allowed)
-    a = F.col("__allowed")
-    kept = F.map_filter(m, lambda k, v: F.array_contains(a, k) & ~_oversized(v, max_bytes))
+    out = df.withColumn("__cls", class_of(m, class_attr))
+    cls = F.col("__cls")
+    known = cls.isin(list(allow))
+    kept = _per_class(cls, allow, lambda fs: F.map_filter(
+        m, lambda k, v: k.isin(fs) & ~_oversized(v, max_bytes)), m)
     if with_counters:
-        stripped = F.size(F.map_filter(m, lambda k, v: ~F.array_contains(a, k)))
-        over = F.size(F.map_filter(m, lambda k, v: F.array_contains(a, k) & _oversized(v, max_bytes)))
-        out = (out.withColumn("known_class", a.isNotNull())
-                  .withColumn("stripped", F.when(a.isNotNull(), stripped).otherwise(F.lit(0)))
-                  .withColumn("oversized", F.when(a.isNotNull(), over).otherwise(F.lit(0))))
-    out = out.withColumn(attrs, F.when(a.isNotNull(), kept).otherwise(m))
+        stripped = _per_class(cls, allow, lambda fs: F.size(F.map_filter(m, lambda k, v: ~k.isin(fs))), F.lit(0))
+        over = _per_class(cls, allow, lambda fs: F.size(F.map_filter(
+            m, lambda k, v: k.isin(fs) & _oversized(v, max_bytes))), F.lit(0))
+        out = (out.withColumn("known_class", known)
+                  .withColumn("stripped", stripped)
+                  .withColumn("oversized", over))
     if drop_unknown:
-        out = out.filter(a.isNotNull())
+        out = out.filter(known)
+    out = out.withColumn(attrs, kept)
     # GT5: a known-class record left with no attributes is dropped.
-    out = out.filter(a.isNull() | (F.size(F.col(attrs)) > 0))
-    return out.drop("__allowed")
+    out = out.filter(~known | (F.size(F.col(attrs)) > 0))
+    return out.drop("__cls")
 
 
 def strip_counters(df: DataFrame, extra=None, max_bytes: int = C.DEFAULT_MAX_FIELD_BYTES,
@@ -103,19 +116,16 @@ def strip_counters(df: DataFrame, extra=None, max_bytes: int = C.DEFAULT_MAX_FIE
     """
     allow = effective_allowlist(extra)
     m = F.col(attrs)
-    cls = class_of(m, class_attr)
-    a = _allowed_keys_expr(cls, allow)
-    kept = F.map_filter(m, lambda k, v: F.array_contains(a, k) & ~_oversized(v, max_bytes))
-    stripped = F.size(F.map_filter(m, lambda k, v: ~F.array_contains(a, k)))
-    over = F.size(F.map_filter(m, lambda k, v: F.array_contains(a, k) & _oversized(v, max_bytes)))
-    known = a.isNotNull()
-    dropped = F.when(~known, F.lit(drop_unknown)).otherwise(F.size(kept) == 0)
-    per = df.select(
-        cls.alias("event_class"),
-        F.when(known, stripped).otherwise(0).alias("stripped"),
-        F.when(known, over).otherwise(0).alias("oversized"),
-        dropped.alias("dropped"),
-    )
+    per = df.withColumn("__cls", class_of(m, class_attr))
+    cls = F.col("__cls")
+    kept_n = _per_class(cls, allow, lambda fs: F.size(F.map_filter(
+        m, lambda k, v: k.isin(fs) & ~_oversized(v, max_bytes))), F.lit(-1))
+    stripped = _per_class(cls, allow, lambda fs: F.size(F.map_filter(m, lambda k, v: ~k.isin(fs))), F.lit(0))
+    over = _per_class(cls, allow, lambda fs: F.size(F.map_filter(
+        m, lambda k, v: k.isin(fs) & _oversized(v, max_bytes))), F.lit(0))
+    per = per.select(
+        cls.alias("event_class"), stripped.alias("stripped"), over.alias("oversized"),
+        F.when(kept_n < 0, F.lit(drop_unknown)).otherwise(kept_n == 0).alias("dropped"))
     return per.groupBy("event_class").agg(
         F.count(F.lit(1)).alias("n_records"),
         F.sum("stripped").cast("bigint").alias("n_stripped"),
@@ -156,3 +166,40 @@ def guard_spans(df: DataFrame, prefixes: Iterable[str] | None = None,
                  "events", lambda e: e.withField("attrs", _filter_prefix(e["attrs"], prefixes, max_bytes)))))
     event_attr_total = F.aggregate(F.col("events"), F.lit(0), lambda acc, e: acc + F.size(e["attrs"]))
     return out.filter((F.size("attrs") > 0) | (F.coalesce(event_attr_total, F.lit(0)) > 0))
+
+
+def guard_typed(df: DataFrame, attr_cols: Iterable[str], extra: Mapping[str, Iterable[str]] | None = None,
+                drop_unknown: bool = True, max_bytes: int = C.DEFAULT_MAX_FIELD_BYTES,
+                class_col: str = "event_class") -> DataFrame:
+    """GT1/GT3-GT5 on a typed record frame: one column per attribute.
+
+    A column not allowed for the row's class, or a string over ``max_bytes``
+    bytes, becomes null (the attribute is absent). Pure column expressions,
+    so the whole gate stays inside one whole-stage-codegen stage. Columns not
+    named in ``attr_cols`` (ids, timestamps) are carried unchanged.
+    """
+    allow = effective_allowlist(extra)
+    attr_cols = list(attr_cols)
+    cls = F.coalesce(F.col(class_col), F.lit(""))
+    known = cls.isin(list(allow))
+    types = dict(df.dtypes)
+    out_cols = []
+    present = []
+    for c in df.columns:
+        if c not in attr_cols:
+            out_cols.append(F.col(c))
+            continue
+        classes = [k for k, fs in allow.items() if c in fs]
+        keep = cls.isin(classes) if classes else F.lit(False)
+        if max_bytes > 0 and types[c] == "string":
+            keep = keep & F.coalesce(F.octet_length(F.col(c)) <= max_bytes, F.lit(True))
+        gated = F.when(~known, F.col(c)).when(keep, F.col(c))
+        out_cols.append(gated.alias(c))
+        present.append(gated.isNotNull())
+    out = df.select(*out_cols)
+    if drop_unknown:
+        out = out.filter(known)
+    any_left = F.lit(False)
+    for c in attr_cols:
+        any_left = any_left | F.col(c).isNotNull()
+    return out.filter(~F.coalesce(F.col(class_col), F.lit("")).isin(list(allow)) | any_left)

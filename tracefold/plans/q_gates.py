@@ -181,21 +181,12 @@ def gated_usage(spark, sf_dir):
     """Minimum slice: records -> class allowlist -> keyed sampler -> hourly usage.
 
     Usage is summed only from attributes that survive the gate, so stripped
-    token and cost fields never reach the aggregate.
+    token and cost fields never reach the aggregate. The typed gate keeps the
+    whole map side (scan, gate, HMAC bucket, partial aggregate) in codegen.
     """
-    g = gates.guard_records(T.record_attrs(spark, sf_dir))
-    a = F.col("attrs")
-    flat = g.select(
-        "ts",
-        attr_str(a, "event_class").alias("event_class"),
-        attr_str(a, "tenant_id").alias("tenant_id"),
-        attr_str(a, "agent_id").alias("agent_id"),
-        attr_str(a, "model").alias("model"),
-        a["input_tokens"]["i"].alias("input_tokens"),
-        a["output_tokens"]["i"].alias("output_tokens"),
-        a["cost_usd"]["d"].alias("cost_usd"),
-    )
-    s = sampling.sample_records(flat, SAMPLER_KEY, SAMPLER_RATES)
+    attrs = [k for k in T.RECORD_ATTR_SPEC]
+    g = gates.guard_typed(T.records(spark, sf_dir), attrs)
+    s = sampling.sample_records(g, SAMPLER_KEY, SAMPLER_RATES)
     return accounting.usage_by_window(s, "1 hour", keys=("tenant_id", "agent_id", "event_class", "model"))
 
 
