@@ -72,28 +72,34 @@ def redact_records(df: DataFrame, key: bytes | str, skip: Iterable[str] = (),
     def path(k: Column) -> Column:
         return F.when(c == "", k).otherwise(F.concat(c, F.lit("."), k))
 
-    def call(k: Column, v: Column) -> Column:
-        return redact_value(v["s"], path(k), key, analyzer)
-
-    results = F.transform(
-        F.filter(F.map_entries(m), lambda e: eligible(e["key"], e["value"])),
-        lambda e: F.struct(e["key"].alias("k"), call(e["key"], e["value"]).alias("r")))
-    out = out.withColumn("__calls", results)
-    calls = F.col("__calls")
-    # Look results up by key so each value is analysed and hashed once.
-    by_key = F.map_from_entries(F.transform(calls, lambda x: F.struct(x["k"], x["r"])))
-    redacted = F.transform_values(
-        m, lambda k, v: F.when(
-            F.coalesce(by_key[k]["hashed"], F.lit(False)),
-            v.withField("s", by_key[k]["value"])).otherwise(v))
-    valid = F.forall(calls, lambda x: x["r"]["valid"])
-    hashed = F.filter(calls, lambda x: x["r"]["hashed"])
-    return (out.filter(valid)
-               .withColumn(attrs, redacted)
-               .withColumn("pii_categories",
-                           F.array_sort(F.array_distinct(F.transform(hashed, lambda x: x["r"]["pii_category"]))))
-               .withColumn("n_hashed", F.size(hashed))
-               .drop("__cls", "__calls"))
+    # Contract check first: it only needs the stripped length, so the filter
+    # stays cheap even where the optimizer moves it below the projection.
+    valid = F.forall(F.map_entries(m), lambda e: ~eligible(e["key"], e["value"]) | request_valid(
+        strip_whitespace(e["value"]["s"]), path(e["key"])))
+    out = out.filter(valid)
+    # One analysis and at most one hash per eligible value. Lambdas get no
+    # common-subexpression elimination, so intermediates are bound with let_.
+    calls = F.transform_values(m, lambda k, v: F.struct(
+        v.alias("v"),
+        F.when(eligible(k, v), let_(strip_whitespace(v["s"]), lambda st: let_(
+            analyzer.category(st), lambda cat: F.struct(
+                cat.isNotNull().alias("hashed"),
+                F.when(cat.isNotNull(), hmac_sha256_hex(st, key)).alias("value"),
+                cat.alias("pii_category"))))).alias("r")))
+    out = out.withColumn("__r", calls)
+    vals = F.map_values(F.col("__r"))
+    hashed = F.filter(vals, lambda x: F.coalesce(x["r"]["hashed"], F.lit(False)))
+    redacted = F.transform_values("__r", lambda k, x: F.when(
+        F.coalesce(x["r"]["hashed"], F.lit(False)), x["v"].withField("s", x["r"]["value"])).otherwise(x["v"]))
+    return out.select(*[F.col(c) for c in df.columns if c != attrs], redacted.alias(attrs),
+                      F.array_sort(F.array_distinct(F.transform(hashed, lambda x: x["r"]["pii_category"])))
+                      .alias("pii_categories"),
+                      F.size(hashed).alias("n_hashed"))
+
+
+def let_(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda binding)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def placeholder_redact(text: Column, analyzer: PatternAnalyzer = DEFAULT_ANALYZER) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracefold import constants as C
 from tracefold.functions.hashing import hmac_pads, rate_threshold_hex
+from tracefold.functions.pii import EMAIL_PATTERN, PHONE_PATTERN_RE2
 from tracefold.operators.gates import effective_allowlist
 
 
@@ -34,4 +35,23 @@ def allowlist_values(extra=None) -> str:
 
 
 WS = C.PY_WHITESPACE_CLASS
-EMAIL_RE = f"[^{WS}@]+@[^{WS}@]+\\.[^{WS}@]+"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '\\A[{WS}]+|[{WS}]+\\z', '', 'g')"
+
+
+def pii_cat_sql(x: str) -> str:
+    return (f"(CASE WHEN regexp_matches({x}, '{EMAIL_PATTERN}') THEN '{C.PII_EMAIL}' "
+            f"WHEN regexp_matches({x}, '{PHONE_PATTERN_RE2}') THEN '{C.PII_PHONE}' END)")
+
+
+def placeholders_sql(x: str) -> str:
+    e = f"regexp_replace({x}, '{EMAIL_PATTERN}', '<REDACTED:{C.PII_EMAIL}>', 'g')"
+    return f"regexp_replace({e}, '{PHONE_PATTERN_RE2}', '\\1<REDACTED:{C.PII_PHONE}>\\2', 'g')"
+
+
+def rails_sql(x: str) -> str:
+    """Starter rail as SQL: struct-like columns via CASE (action, rail, response, modified)."""
+    conds = " OR ".join(f"contains(lower({x}), '{p.lower()}')" for p in C.JAILBREAK_PHRASES)
+    return conds
