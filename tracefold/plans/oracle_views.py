@@ -137,6 +137,11 @@ SELECT decision_id, tenant_id, agent_id, ts,
        CASE WHEN latency_ms % 11 = 0 THEN 'TimeoutError' END AS exception
 FROM records""")
 
+_view("guard_events", (), """
+SELECT event_id - event_id % 3 AS decision_id, event_id, ts, value > 200 AS blocked,
+       event_type = 'error' AS escalated, 'rail:r' || CAST(user_id % 4 AS VARCHAR) AS policy
+FROM events""")
+
 
 def _order(names: tuple[str, ...]) -> list[str]:
     out: list[str] = []

@@ -221,3 +221,15 @@ def decision_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_class") == "escalation").alias("escalated"),
         F.when(lat % 11 == 0, F.lit("TimeoutError")).alias("exception"),
     )
+
+
+def guard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guardrail/escalation outcome events, several per decision."""
+    e = read_table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    return e.select(
+        (eid - eid % 3).alias("decision_id"), eid.alias("event_id"), "ts",
+        (F.col("value") > 200).alias("blocked"),
+        (F.col("event_type") == "error").alias("escalated"),
+        F.concat(F.lit("rail:r"), (F.col("user_id") % 4).cast("string")).alias("policy"),
+    )
