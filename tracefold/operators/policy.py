@@ -37,6 +37,24 @@ def policy_gate(df: DataFrame, predicate: str | None) -> DataFrame:
         spark.conf.set("spark.sql.ansi.enabled", prev)
 
 
+def with_policy_flag(df: DataFrame, predicate: str, out: str = "policy_ok") -> DataFrame:
+    """GT9 as a column: ``out`` is true where the policy keeps the row.
+
+    Same fail-closed parse as :func:`policy_gate`; used when a pipeline
+    records which stage dropped a row instead of dropping it.
+    """
+    spark = df.sparkSession
+    prev = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        res = df.withColumn(out, F.expr(predicate))
+        if not isinstance(res.schema[out].dataType, T.BooleanType):
+            return df.withColumn(out, F.lit(False))
+        return res.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", prev)
+
+
 @dataclass(frozen=True)
 class RuleSet:
     """GT10 narrowing rules: allow lists, deny lists and drop patterns per column."""

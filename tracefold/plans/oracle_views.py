@@ -142,6 +142,13 @@ SELECT event_id - event_id % 3 AS decision_id, event_id, ts, value > 200 AS bloc
        event_type = 'error' AS escalated, 'rail:r' || CAST(user_id % 4 AS VARCHAR) AS policy
 FROM events""")
 
+_view("fetches", (), """
+SELECT 'rev-' || CAST(user_id % 7 AS VARCHAR) AS reviewer_id, ts, event_id AS fetch_id
+FROM events WHERE event_type = 'view'""")
+
+_view("arrivals", (), """
+SELECT event_id, ts, user_id, ts + to_seconds(CAST(event_id * 7919 % 600 AS BIGINT)) AS arrived_at FROM events""")
+
 
 def _order(names: tuple[str, ...]) -> list[str]:
     out: list[str] = []

@@ -233,3 +233,18 @@ def guard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "error").alias("escalated"),
         F.concat(F.lit("rail:r"), (F.col("user_id") % 4).cast("string")).alias("policy"),
     )
+
+
+def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewer content fetches (one per 'view' event)."""
+    e = read_table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
+    return e.select(F.concat(F.lit("rev-"), (F.col("user_id") % 7).cast("string")).alias("reviewer_id"),
+                    "ts", F.col("event_id").alias("fetch_id"))
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a delivery time later than their event time (0-599 s)."""
+    e = read_table(spark, sf_dir, "events")
+    delay = (F.col("event_id") * 7919 % 600).cast("int")
+    return e.select("event_id", "ts", F.col("user_id"),
+                    (F.col("ts") + F.make_dt_interval(secs=delay.cast("decimal(18,6)"))).alias("arrived_at"))
