@@ -19,9 +19,18 @@ from tracefold import constants as C
 _WS = C.PY_WHITESPACE_CLASS
 _WORD = "\\p{L}\\p{N}_"
 
-# FIXED VALUES: pattern analyzer (category, Java pattern), in priority order.
-EMAIL_PATTERN = f"[^{_WS}@]+@[^{_WS}@]+\\.[^{_WS}@]+"
+# FIXED VALUES: pattern analyzer (category, pattern), in priority order.
+# Written for RE2 (linear time) as the plain rule:
+EMAIL_PATTERN_RE2 = f"[^{_WS}@]+@[^{_WS}@]+\\.[^{_WS}@]+"
+# Java regex backtracks: a long run without '@' would cost O(n^2) per run.
+# A leftmost match always starts at the start of a run of non-space,
+# non-'@' characters, so anchoring there (look-behind) and never giving
+# back the first run (possessive) finds the same matches in linear time.
+EMAIL_PATTERN = f"(?<![^{_WS}@])[^{_WS}@]++@[^{_WS}@]+\\.[^{_WS}@]+"
 PHONE_PATTERN = f"(?<![{_WORD}])\\p{{Nd}}{{3}}-\\p{{Nd}}{{3}}-\\p{{Nd}}{{4}}(?![{_WORD}])"
+# FIXED VALUES: the same two rules in Python ``re`` syntax (plug-in analyzer).
+PY_EMAIL_PATTERN = r"[^\s@]+@[^\s@]+\.[^\s@]+"
+PY_PHONE_PATTERN = r"\b\d{3}-\d{3}-\d{4}\b"
 # RE2 has no look-around; for detection the group form is equivalent.
 PHONE_PATTERN_RE2 = f"(^|[^{_WORD}])\\p{{Nd}}{{3}}-\\p{{Nd}}{{3}}-\\p{{Nd}}{{4}}($|[^{_WORD}])"
 
@@ -67,4 +76,6 @@ def with_rules(extra: Sequence[tuple[str, str]]) -> PatternAnalyzer:
 
 def strip_whitespace(text: Column) -> Column:
     """Python ``str.strip()``: leading and trailing Unicode whitespace removed."""
-    return F.regexp_replace(text, f"\\A[{_WS}]+|[{_WS}]+\\z", "")
+    # Trailing run anchored at its start (look-behind) so long inner runs of
+    # whitespace are not rescanned from every position.
+    return F.regexp_replace(text, f"\\A[{_WS}]++|(?<![{_WS}])[{_WS}]++\\z", "")

@@ -26,6 +26,16 @@ def _rate_keep(rate: float, bucket_hex: Column) -> Column:
     return bucket_hex < F.lit(rate_threshold_hex(rate))
 
 
+def validate_rates(rates: Mapping[str, float], default_rate: float = C.SAMPLER_DEFAULT_RATE) -> None:
+    for c, r in rates.items():
+        if not c:
+            raise ValueError("rates has an empty class key")
+        if not 0.0 <= r <= 1.0:
+            raise ValueError(f"rate for {c!r} outside [0, 1]")
+    if not 0.0 <= default_rate <= 1.0:
+        raise ValueError("default rate outside [0, 1]")
+
+
 def sampler_keep(cls: Column, tenant: Column, agent: Column, key: bytes | str,
                  rates: Mapping[str, float], default_rate: float = C.SAMPLER_DEFAULT_RATE) -> Column:
     """GT11 keep flag: rate per class, bucket over ``tenant|agent|class``.
@@ -33,11 +43,7 @@ def sampler_keep(cls: Column, tenant: Column, agent: Column, key: bytes | str,
     Missing or non-string attributes count as ''. Rates >= 1 keep and <= 0
     drop without hashing.
     """
-    for c, r in rates.items():
-        if not c:
-            raise ValueError("rates has an empty class key")
-        if not 0.0 <= r <= 1.0:
-            raise ValueError(f"rate for {c!r} outside [0, 1]")
+    validate_rates(rates, default_rate)
     sep = F.lit(C.SAMPLER_SEPARATOR)
     msg = F.concat(F.coalesce(tenant, F.lit("")), sep, F.coalesce(agent, F.lit("")), sep,
                    F.coalesce(cls, F.lit("")))
@@ -61,6 +67,7 @@ def sample_records(df: DataFrame, key: bytes | str, rates: Mapping[str, float],
     record always gets the same answer. If every rate is >= 1 the input is
     returned unchanged (the stage is omitted from the plan).
     """
+    validate_rates(rates, default_rate)
     if default_rate >= 1.0 and all(r >= 1.0 for r in rates.values()):
         return df
     keep = sampler_keep(F.col(class_col), F.col(tenant_col), F.col(agent_col), key, rates, default_rate)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold import constants as C
 from tracefold.functions.hashing import rate_threshold_hex
-from tracefold.functions.pii import EMAIL_PATTERN
+from tracefold.functions.pii import EMAIL_PATTERN, EMAIL_PATTERN_RE2
 from tracefold.operators import accounting, decisions, escalation, gates, graph, judging, policy, redteam, sampling
 from tracefold.operators.judging import Rubric
 from tracefold.operators.ordering import dedupe_first
@@ -90,9 +90,9 @@ def jn10_escalation_packet(spark, sf_dir):
 @register("jn12_output_only_pii", with_views("turns", extra=(("io", """
 SELECT session_id, turn, role, text, lag(text) OVER (PARTITION BY session_id ORDER BY turn) AS prev_text,
        lag(role) OVER (PARTITION BY session_id ORDER BY turn) AS prev_role FROM turns"""), ("o", f"""
-SELECT DISTINCT session_id, turn, sha256(unnest(regexp_extract_all(text, '{EMAIL_PATTERN}'))) AS entity_hash
+SELECT DISTINCT session_id, turn, sha256(unnest(regexp_extract_all(text, '{EMAIL_PATTERN_RE2}'))) AS entity_hash
 FROM io WHERE role = 'assistant'"""), ("i", f"""
-SELECT DISTINCT session_id, turn, sha256(unnest(regexp_extract_all(prev_text, '{EMAIL_PATTERN}'))) AS entity_hash
+SELECT DISTINCT session_id, turn, sha256(unnest(regexp_extract_all(prev_text, '{EMAIL_PATTERN_RE2}'))) AS entity_hash
 FROM io WHERE role = 'assistant' AND prev_role = 'user'"""))) + """
 SELECT session_id, turn, entity_hash FROM o
 WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.session_id = o.session_id AND i.turn = o.turn AND i.entity_hash = o.entity_hash)""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracefold import constants as C
 from tracefold.functions import hashing, labels
-from tracefold.functions.pii import DEFAULT_ANALYZER
+from tracefold.functions.pii import DEFAULT_ANALYZER, EMAIL_PATTERN_RE2
 from tracefold.operators import contracts, rails, redaction
 from tracefold.plans.oracle_views import with_views
 from tracefold.plans.registry import register
@@ -174,7 +174,7 @@ def _count_sql(x: str, pat: str) -> str:
 
 
 @register("fn7_policy_labels", with_views("texts", extra=(("c", f"""
-SELECT doc_id, {_count_sql('value', DEFAULT_ANALYZER.rules[0][1])} AS n_email FROM texts"""),)) + f"""
+SELECT doc_id, {_count_sql('value', EMAIL_PATTERN_RE2)} AS n_email FROM texts"""),)) + f"""
 SELECT doc_id, 'pii:{C.PII_EMAIL}' AS policy_id, '{C.PII_EMAIL}:' || CAST(n_email AS VARCHAR) AS entity
 FROM c WHERE n_email > 0""")
 def fn7_policy_labels(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracefold import constants as C
 from tracefold.functions.hashing import hmac_pads, rate_threshold_hex
-from tracefold.functions.pii import EMAIL_PATTERN, PHONE_PATTERN_RE2
+from tracefold.functions.pii import EMAIL_PATTERN_RE2, PHONE_PATTERN_RE2
 from tracefold.operators.gates import effective_allowlist
 
 
@@ -42,12 +42,12 @@ def strip_sql(x: str) -> str:
 
 
 def pii_cat_sql(x: str) -> str:
-    return (f"(CASE WHEN regexp_matches({x}, '{EMAIL_PATTERN}') THEN '{C.PII_EMAIL}' "
+    return (f"(CASE WHEN regexp_matches({x}, '{EMAIL_PATTERN_RE2}') THEN '{C.PII_EMAIL}' "
             f"WHEN regexp_matches({x}, '{PHONE_PATTERN_RE2}') THEN '{C.PII_PHONE}' END)")
 
 
 def placeholders_sql(x: str) -> str:
-    e = f"regexp_replace({x}, '{EMAIL_PATTERN}', '<REDACTED:{C.PII_EMAIL}>', 'g')"
+    e = f"regexp_replace({x}, '{EMAIL_PATTERN_RE2}', '<REDACTED:{C.PII_EMAIL}>', 'g')"
     return f"regexp_replace({e}, '{PHONE_PATTERN_RE2}', '\\1<REDACTED:{C.PII_PHONE}>\\2', 'g')"
 
 
