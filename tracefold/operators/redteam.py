@@ -33,7 +33,10 @@ def probe_verdicts(attempts: DataFrame, keys: Sequence[str] = ("run_id", "suite"
     ).select(*keys,
              F.when(F.col("findings") > 0, F.lit("fail")).otherwise(F.lit("pass")).alias("verdict"),
              "attempts", "findings", "duration_ms",
-             F.element_at(F.array(*[F.lit(x) for x in C.SEVERITIES]), (F.col("_worst") + 1).cast("int"))
+             # element_at on a literal array with a NULL index does not return
+             # NULL in Spark 4.1, so the no-finding case is guarded explicitly.
+             F.when(F.col("_worst").isNotNull(), F.element_at(
+                 F.array(*[F.lit(x) for x in C.SEVERITIES]), (F.col("_worst") + 1).cast("int")))
              .alias("worst_severity"))
 
 

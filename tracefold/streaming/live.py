@@ -20,6 +20,14 @@ from tracefold import constants as C
 from tracefold.operators import accounting, gates, policy, sampling
 
 
+def event_time(df: DataFrame, ts_col: str) -> DataFrame:
+    """Watermarks need a TIMESTAMP column; wall-clock TIMESTAMP_NTZ values are
+    read as UTC instants (the session time zone is UTC)."""
+    if dict(df.dtypes).get(ts_col) == "timestamp_ntz":
+        return df.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    return df
+
+
 def gate_stream(df: DataFrame, attr_cols: Sequence[str], key: bytes | str, rates: dict,
                 predicate: str | None = None, extra=None) -> DataFrame:
     """SM1: allowlist -> policy -> sampler on an unbounded stream (stateless)."""
@@ -31,69 +39,73 @@ def gate_stream(df: DataFrame, attr_cols: Sequence[str], key: bytes | str, rates
 def late_buffer(df: DataFrame, ts_col: str = "ts", delay: str = C.LATE_EVENT_BUFFER) -> DataFrame:
     """SM2: out-of-order events are buffered for ``delay`` then discarded
     (the watermark); stateful operators downstream drop later rows."""
-    return df.withWatermark(ts_col, delay)
+    return event_time(df, ts_col).withWatermark(ts_col, delay)
 
 
 def dedupe_stream(df: DataFrame, keys: Sequence[str] = ("decision_id", "event_id"), ts_col: str = "ts",
                   delay: str = C.LATE_EVENT_BUFFER) -> DataFrame:
     """SM3: each ``(decision_id, event_id)`` once while within the watermark."""
-    return df.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(list(keys))
+    return event_time(df, ts_col).withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 def nonce_replay_stream(df: DataFrame, ts_col: str = "reviewed_at", window: str = C.NONCE_WINDOW) -> DataFrame:
     """SM4: reject (drop) a delivery whose nonce was seen in the last 24 h."""
-    return df.withWatermark(ts_col, window).dropDuplicatesWithinWatermark(["nonce"])
+    return event_time(df, ts_col).withWatermark(ts_col, window).dropDuplicatesWithinWatermark(["nonce"])
 
 
 def usage_stream(df: DataFrame, window: str = "5 minutes", keys: Sequence[str] = ("tenant_id",),
                  ts_col: str = "ts", delay: str = C.LATE_EVENT_BUFFER) -> DataFrame:
     """SM5: tumbling-window usage emitted once per window (append mode)."""
-    return accounting.usage_by_window(df.withWatermark(ts_col, delay), window, keys=keys, ts=ts_col)
+    return accounting.usage_by_window(event_time(df, ts_col).withWatermark(ts_col, delay), window, keys=keys,
+                                      ts=ts_col)
 
 
 # --------------------------------------------------------------------------- SM6
-RATE_OUT = "agent_id string, decision_id long, ts timestamp_ntz, bucket long, seq long"
-RATE_STATE = "bucket long, n long"
+RATE_OUT = "agent_id string, decision_id long, ts timestamp, bucket long, seq long"
+RATE_STATE = "n long"
 
 
 def _rate_fn(limit: int, bucket_seconds: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bucket, n = (state.get if state.exists else (-1, 0))
         if state.hasTimedOut:
             state.remove()
             return
+        bucket = int(key[1])
+        (n,) = state.get if state.exists else (0,)
         for pdf in pdfs:
-            pdf = pdf.sort_values(["ts", "decision_id"])
-            b = (pdf["ts"].astype("int64") // (bucket_seconds * 10**9)).astype("int64")
-            keep, seqs = [], []
-            for bi in b:
-                if bi != bucket:
-                    bucket, n = int(bi), 0
-                n += 1
-                keep.append(n <= limit)
-                seqs.append(n)
-            out = pdf.assign(bucket=b.values, seq=seqs)[keep]
-            if len(out):
-                yield out[["agent_id", "decision_id", "ts", "bucket", "seq"]]
-        state.update((bucket, n))
-        state.setTimeoutDuration(bucket_seconds * 1000 * 10)
+            if n >= limit:
+                continue
+            pdf = pdf.sort_values(["ts", "decision_id"]).head(limit - n)
+            out = pdf.assign(seq=range(n + 1, n + 1 + len(pdf)))
+            n += len(pdf)
+            yield out[["agent_id", "decision_id", "ts", "bucket", "seq"]]
+        state.update((n,))
+        # the counter is dropped once the watermark passes the bucket's end
+        # (late rows can leave that end behind the watermark already)
+        state.setTimeoutTimestamp(max((bucket + 1) * bucket_seconds * 1000, state.getCurrentWatermarkMs() + 1))
     return fn
 
 
-def rate_limit_stream(df: DataFrame, limit: int = C.EGRESS_RATE_LIMIT_PER_S, bucket_seconds: int = 1) -> DataFrame:
-    """SM6: at most ``limit`` events per agent and ``bucket_seconds`` pass.
+def rate_limit_stream(df: DataFrame, limit: int = C.EGRESS_RATE_LIMIT_PER_S, bucket_seconds: int = 1,
+                      ts_col: str = "ts", delay: str = C.LATE_EVENT_BUFFER) -> DataFrame:
+    """SM6: at most ``limit`` events per agent and event-time bucket pass.
 
-    The per-agent counter is keyed state; idle agents expire after ten
-    buckets without data.
+    State is one counter per (agent, bucket), so the cap is exact in any
+    arrival order; each counter is released by an event-time timeout once
+    the watermark passes its bucket. Within a micro-batch the earliest rows
+    of a bucket are the ones let through.
     """
-    return df.select("agent_id", "decision_id", "ts").groupBy("agent_id").applyInPandasWithState(
-        _rate_fn(limit, bucket_seconds), RATE_OUT, RATE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    d = event_time(df.select("agent_id", "decision_id", ts_col), ts_col).withWatermark(ts_col, delay)
+    d = d.withColumnRenamed(ts_col, "ts").withColumn(
+        "bucket", F.floor(F.unix_micros("ts") / F.lit(bucket_seconds * 1_000_000)).cast("bigint"))
+    return d.groupBy("agent_id", "bucket").applyInPandasWithState(
+        _rate_fn(limit, bucket_seconds), RATE_OUT, RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --------------------------------------------------------------------------- SM7 / SM8
 ESC_EVENT = ("escalation_id string, kind string, at timestamp_ntz, deadline timestamp_ntz, "
              "fallback string, verdict string, nonce string")
-ESC_OUT = "escalation_id string, outcome string, verdict string, reviewer_id string, at timestamp_ntz"
+ESC_OUT = "escalation_id string, outcome string, verdict string, reviewer_id string, at timestamp"
 ESC_STATE = "deadline_us long, fallback string, first_verdict string, resolved boolean"
 
 
@@ -135,7 +147,7 @@ def escalation_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     different one is emitted as a conflict; when the watermark passes the
     deadline with no verdict, the profile fallback is emitted with the
     timeout reviewer."""
-    return events.withWatermark("at", delay).groupBy("escalation_id").applyInPandasWithState(
+    return event_time(events, "at").withWatermark("at", delay).groupBy("escalation_id").applyInPandasWithState(
         _esc_fn, ESC_OUT, ESC_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
