@@ -174,32 +174,56 @@ def guard_typed(df: DataFrame, attr_cols: Iterable[str], extra: Mapping[str, Ite
     """GT1/GT3-GT5 on a typed record frame: one column per attribute.
 
     A column not allowed for the row's class, or a string over ``max_bytes``
-    bytes, becomes null (the attribute is absent). Pure column expressions,
-    so the whole gate stays inside one whole-stage-codegen stage. Columns not
-    named in ``attr_cols`` (ids, timestamps) are carried unchanged.
+    bytes, becomes null (the attribute is absent). Columns not named in
+    ``attr_cols`` (ids, timestamps) are carried unchanged.
+
+    The gate is simplified when the plan is built: a column every known class
+    allows only keeps its size check; the empty-record filter is omitted when
+    the class column itself is such an attribute and every class name fits
+    the cap (a known-class record then always keeps its class). Small
+    expressions keep the generated code small when later filters (sampler,
+    policy) are pushed below the gate.
     """
     allow = effective_allowlist(extra)
     attr_cols = list(attr_cols)
-    cls = F.coalesce(F.col(class_col), F.lit(""))
-    known = cls.isin(list(allow))
+    classes = list(allow)
     types = dict(df.dtypes)
-    out_cols = []
-    present = []
+    cls = F.coalesce(F.col(class_col), F.lit(""))
+    known = cls.isin(classes)
+
+    def size_ok(c: str) -> Column | None:
+        if max_bytes > 0 and types[c] == "string":
+            return F.coalesce(F.octet_length(F.col(c)) <= max_bytes, F.lit(True))
+        return None
+
+    cols, kept_flags = [], []
     for c in df.columns:
         if c not in attr_cols:
-            out_cols.append(F.col(c))
+            cols.append(F.col(c))
             continue
-        classes = [k for k, fs in allow.items() if c in fs]
-        keep = cls.isin(classes) if classes else F.lit(False)
-        if max_bytes > 0 and types[c] == "string":
-            keep = keep & F.coalesce(F.octet_length(F.col(c)) <= max_bytes, F.lit(True))
-        gated = F.when(~known, F.col(c)).when(keep, F.col(c))
-        out_cols.append(gated.alias(c))
-        present.append(gated.isNotNull())
-    out = df.select(*out_cols)
-    if drop_unknown:
-        out = out.filter(known)
-    any_left = F.lit(False)
-    for c in attr_cols:
-        any_left = any_left | F.col(c).isNotNull()
-    return out.filter(~F.coalesce(F.col(class_col), F.lit("")).isin(list(allow)) | any_left)
+        by = [k for k in classes if c in allow[k]]
+        ok = size_ok(c)
+        if len(by) == len(classes):
+            expr = F.col(c) if ok is None else F.when(~known | ok, F.col(c))
+            flag = F.col(c).isNotNull() if ok is None else (F.col(c).isNotNull() & ok)
+        elif not by:
+            expr = F.when(~known, F.col(c))
+            flag = None
+        else:
+            cond = cls.isin(by) if ok is None else (cls.isin(by) & ok)
+            expr = F.when(~known, F.col(c)).when(cond, F.col(c))
+            flag = F.col(c).isNotNull() & cond
+        cols.append(expr.alias(c))
+        if flag is not None:
+            kept_flags.append(flag)
+    class_always_kept = (class_col in attr_cols and all(class_col in allow[k] for k in classes)
+                         and (max_bytes <= 0 or all(len(k.encode()) <= max_bytes for k in classes)))
+    if class_always_kept:
+        cond = known if drop_unknown else None
+    else:
+        left = F.lit(False)
+        for f in kept_flags:
+            left = left | f
+        cond = (known & left) if drop_unknown else (~known | left)
+    out = df if cond is None else df.filter(cond)
+    return out.select(*cols)
