@@ -67,12 +67,15 @@ def pack_attrs(df: DataFrame, spec: dict[str, tuple[str, str]], out: str = "attr
     """Build an attribute map from typed columns.
 
     ``spec`` maps attribute key -> (column name, kind). Null columns are left
-    out of the map, as an unset attribute is absent rather than null.
+    out of the map, as an unset attribute is absent rather than null. Built
+    from ``flatten`` of one- or zero-element arrays, so no lambda runs.
     """
-    entries = [F.struct(F.lit(k).alias("key"), attr_value(F.col(c), kind).alias("value"))
-               for k, (c, kind) in spec.items()]
-    arr = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
-    return df.withColumn(out, F.map_from_entries(arr))
+    entry_t = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", ATTR_VALUE)])
+    parts = []
+    for k, (c, kind) in spec.items():
+        entry = F.struct(F.lit(k).alias("key"), attr_value(F.col(c), kind).alias("value"))
+        parts.append(F.when(F.col(c).isNotNull(), F.array(entry)).otherwise(F.array().cast(T.ArrayType(entry_t))))
+    return df.withColumn(out, F.map_from_entries(F.flatten(F.array(*parts))))
 
 
 def attr_str(attrs: Column | str, key: str) -> Column:
