@@ -180,3 +180,41 @@ def split_chunks(df: DataFrame, key: Sequence[str], text_col: str, sep: str = "\
 
 def score_band_column(score: Column) -> Column:
     return F.when(score < C.JUDGE_DEEP_FLAG, "low").when(score < C.JUDGE_FAST_FLAG, "mid").otherwise("high")
+
+
+# Token separators: ASCII whitespace, the same set in Java regex and RE2.
+TOKEN_SEP = "[\\t\\n\\x{0B}\\f\\r ]+"
+
+
+def rolling_window_flags(df: DataFrame, key: Sequence[str], text_col: str, phrases: Sequence[str],
+                         window_tokens: int = 256, chunk_sep: str = "\n") -> DataFrame:
+    """WN7: for each streamed chunk of an output, whether the last
+    ``window_tokens`` tokens up to the chunk's end contain a phrase.
+
+    A phrase that spans a chunk boundary is caught at the later chunk. The
+    text is tokenized once; phrase occurrences are found by comparing token
+    slices, and each chunk checks them against its own token window.
+    """
+    sep = TOKEN_SEP
+    lowered = F.lower(F.col(text_col))
+    tokens = F.when(F.btrim(lowered, F.lit(" \t\n\r\f\x0b")) == "", F.array().cast("array<string>")).otherwise(
+        F.split(F.btrim(lowered, F.lit(" \t\n\r\f\x0b")), sep))
+    base = df.select(*key, text_col, tokens.alias("__tok"))
+    occ = []
+    for p in phrases:
+        pt = [t for t in p.lower().split() if t]
+        L = len(pt)
+        lit = F.array(*[F.lit(t) for t in pt])
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("__tok") - L + 1, F.lit(0))),
+                          lambda s: F.slice(F.col("__tok"), s, L) == lit)
+        occ.append(F.transform(starts, lambda s, L=L: F.struct(s.alias("s"), (s + L - 1).alias("e"))))
+    occ_all = F.flatten(F.array(*occ)) if occ else F.array()
+    base = base.withColumn("__occ", occ_all).drop("__tok")
+    ch = base.select(*key, "__occ", F.posexplode(F.split(F.col(text_col), chunk_sep)).alias("chunk_idx", "chunk"))
+    t = F.btrim(F.col("chunk"), F.lit(" \t\n\r\f\x0b"))
+    ch = ch.withColumn("n_tokens", F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, sep))))
+    w = Window.partitionBy(*key).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, 0)
+    ch = ch.withColumn("chunk_end", F.sum("n_tokens").over(w).cast("bigint"))
+    end = F.col("chunk_end")
+    flagged = F.exists("__occ", lambda o: (o["s"] > end - window_tokens) & (o["e"] <= end))
+    return ch.select(*key, "chunk_idx", "chunk_end", flagged.alias("flagged"))
