@@ -186,6 +186,11 @@ def score_band_column(score: Column) -> Column:
 TOKEN_SEP = "[\\t\\n\\x{0B}\\f\\r ]+"
 
 
+def _span_of(n: int):
+    """One-argument lambda (PySpark reads a second argument as the index)."""
+    return lambda s: F.struct(s.alias("s"), (s + n - 1).alias("e"))
+
+
 def rolling_window_flags(df: DataFrame, key: Sequence[str], text_col: str, phrases: Sequence[str],
                          window_tokens: int = 256, chunk_sep: str = "\n") -> DataFrame:
     """WN7: for each streamed chunk of an output, whether the last
@@ -207,7 +212,7 @@ def rolling_window_flags(df: DataFrame, key: Sequence[str], text_col: str, phras
         lit = F.array(*[F.lit(t) for t in pt])
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("__tok") - L + 1, F.lit(0))),
                           lambda s: F.slice(F.col("__tok"), s, L) == lit)
-        occ.append(F.transform(starts, lambda s, L=L: F.struct(s.alias("s"), (s + L - 1).alias("e"))))
+        occ.append(F.transform(starts, _span_of(L)))
     occ_all = F.flatten(F.array(*occ)) if occ else F.array()
     base = base.withColumn("__occ", occ_all).drop("__tok")
     ch = base.select(*key, "__occ", F.posexplode(F.split(F.col(text_col), chunk_sep)).alias("chunk_idx", "chunk"))
