@@ -104,6 +104,15 @@ def saved_view(df: DataFrame, filters: Mapping[str, str], resolve, ts_col: str =
     return df.filter(equality_filter(filters, resolve)).orderBy(F.col(ts_col).desc())
 
 
+def saved_view_attrs(df: DataFrame, filters: Mapping[str, str], attrs: str = "attrs",
+                     ts_col: str = "ts") -> DataFrame:
+    """GT21 over attribute maps: values are rendered to text once per record
+    (one map transform), then each filter is a cheap lookup in that map."""
+    from tracefold.schemas import attr_as_text
+    txt = df.withColumn("__txt", F.transform_values(attrs, lambda k, v: attr_as_text(v)))
+    return saved_view(txt, filters, lambda name: F.col("__txt")[name], ts_col).drop("__txt")
+
+
 def tenant_scope(df: DataFrame, tenant: str, tenant_col: str = "tenant_id") -> DataFrame:
     """GT26: every read scoped to one tenant (a partition filter when the
     table is written partitioned by tenant)."""

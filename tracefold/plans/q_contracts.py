@@ -48,10 +48,8 @@ SELECT decision_id, ts FROM records
 WHERE event_class = 'decision_summary' AND model = 'm-1' AND tenant_id = 't-2'""")
 def gt21_saved_views(spark, sf_dir):
     """A saved view over attribute maps: equality filters on text renderings, newest first."""
-    from tracefold.schemas import attr_as_text
     rec = pack_attrs(T.records(spark, sf_dir), T.RECORD_ATTR_SPEC)
-    v = policy.saved_view(rec, VIEW_FILTERS, lambda name: attr_as_text(F.col("attrs")[name]))
-    return v.select("decision_id", "ts")
+    return policy.saved_view_attrs(rec, VIEW_FILTERS).select("decision_id", "ts")
 
 
 # --------------------------------------------------------------------------- GT22
