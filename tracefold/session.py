@@ -24,17 +24,23 @@ _DEFAULTS = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "tracefold") -> SparkSession:
     """Create (or reuse) a session with the library's defaults.
 
-    On a cluster ``master`` is left to spark-submit; tests pass ``local[N]``.
+    On a cluster ``master`` is left to spark-submit and the shuffle partition
+    count to the cluster config: size it to the data (roughly input bytes /
+    128 MB) and AQE coalesces small partitions and splits skewed ones at
+    run time. Local runs (tests, bench) default to 8 partitions.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions is None and master and master.startswith("local"):
+        shuffle_partitions = 8
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
