@@ -27,8 +27,9 @@ def test_every_query_has_an_oracle_or_is_rows_only():
 
 def test_views_have_spark_twins():
     from tracefold.sources import tables as T
+    twins = {"turn_span_attrs": "turn_spans"}   # row form of the span stand-in
     for name in VIEWS:
-        assert hasattr(T, name), name
+        assert hasattr(T, twins.get(name, name)), name
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))

@@ -168,3 +168,31 @@ def span_tree(spans: DataFrame, ns: str = "decision") -> DataFrame:
         "trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns")
     return kids.join(parents, (kids.trace_id == parents.trace_id) & (kids.parent_span_id == parents.decision_span_id)
                      ).drop(parents.trace_id)
+
+
+def decision_summary_flat(decisions: DataFrame, retrievals: DataFrame, memories: DataFrame,
+                          guard_events: DataFrame, scores: DataFrame, key: str = "decision_id") -> DataFrame:
+    """JN2 over flat child tables: one row per decision with retrieval and
+    memory roll-ups, guardrail outcome and judge scores.
+
+    Each child table is reduced to one row per decision first, so every join
+    is one-to-one on the decision key (no fan-out, no hot join side).
+    """
+    r = retrieval_rollup(retrievals, [key])
+    m = memory_rollup(memories, [key])
+    g = guard_events.groupBy(key).agg(F.count(F.lit(1)).alias("guardrail_events"),
+                                      F.bool_or("blocked").alias("blocked"),
+                                      F.bool_or("escalated").alias("escalated"))
+    s = scores.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat(F.col("rubric"), F.lit("="), F.col("score").cast("string")))), ",").alias("judge_scores"))
+    j = decisions.join(r, key, "left").join(m, key, "left").join(g, key, "left").join(s, key, "left")
+    return j.select(
+        *decisions.columns,
+        F.coalesce("retrieval_count", F.lit(0)).alias("retrieval_count"),
+        F.coalesce("retrieval_sources", F.lit("")).alias("retrieval_sources"),
+        F.coalesce("memory_write_count", F.lit(0)).alias("memory_write_count"),
+        F.coalesce("memory_kinds", F.lit("")).alias("memory_kinds"),
+        F.coalesce("guardrail_events", F.lit(0)).alias("guardrail_events"),
+        F.coalesce("blocked", F.lit(False)).alias("blocked"),
+        F.coalesce("escalated", F.lit(False)).alias("escalated"),
+        F.coalesce("judge_scores", F.lit("")).alias("judge_scores"))

@@ -149,6 +149,31 @@ FROM events WHERE event_type = 'view'""")
 _view("arrivals", (), """
 SELECT event_id, ts, user_id, ts + to_seconds(CAST(event_id * 7919 % 600 AS BIGINT)) AS arrived_at FROM events""")
 
+# Row form of the stand-in spans: (trace_id, span_id, scope, key, vtype, vstr, vint).
+_view("turn_span_attrs", (), """
+SELECT * FROM (
+  SELECT lpad(lower(hex(conv_id)), 32, '0') AS trace_id, lpad(lower(hex(conv_id * 1000 + turn)), 16, '0') AS span_id,
+         role, 'span' AS scope, 'decision.session_id' AS key, 'int' AS vtype, NULL::VARCHAR AS vstr,
+         CASE WHEN role <> 'system' THEN conv_id END AS vint FROM conversations
+  UNION ALL SELECT lpad(lower(hex(conv_id)), 32, '0'), lpad(lower(hex(conv_id * 1000 + turn)), 16, '0'), role, 'span',
+         'decision.role', 'str', CASE WHEN role <> 'system' THEN role END, NULL FROM conversations
+  UNION ALL SELECT lpad(lower(hex(conv_id)), 32, '0'), lpad(lower(hex(conv_id * 1000 + turn)), 16, '0'), role, 'span',
+         'gen_ai.output_chars', 'int', NULL, CASE WHEN role <> 'system' THEN length(text) END FROM conversations
+  UNION ALL SELECT lpad(lower(hex(conv_id)), 32, '0'), lpad(lower(hex(conv_id * 1000 + turn)), 16, '0'), role, 'span',
+         'user.text', 'str', text, NULL FROM conversations
+  UNION ALL SELECT lpad(lower(hex(conv_id)), 32, '0'), lpad(lower(hex(conv_id * 1000 + turn)), 16, '0'), role, 'span',
+         'decisionx.spoof', 'str', '1', NULL FROM conversations
+  UNION ALL SELECT lpad(lower(hex(conv_id)), 32, '0'), lpad(lower(hex(conv_id * 1000 + turn)), 16, '0'), role, 'resource',
+         'service.name', 'str', 'agent-' || CAST(conv_id % 3 AS VARCHAR), NULL FROM conversations
+  UNION ALL SELECT lpad(lower(hex(conv_id)), 32, '0'), lpad(lower(hex(conv_id * 1000 + turn)), 16, '0'), role, 'resource',
+         'host.name', 'str', 'h' || CAST(conv_id % 5 AS VARCHAR), NULL FROM conversations
+  UNION ALL SELECT lpad(lower(hex(conv_id)), 32, '0'), lpad(lower(hex(conv_id * 1000 + turn)), 16, '0'), role, 'event',
+         'decision.guardrail.phase', 'str',
+         CASE WHEN role = 'user' THEN 'input' WHEN role <> 'system' THEN 'output_final' END, NULL FROM conversations
+  UNION ALL SELECT lpad(lower(hex(conv_id)), 32, '0'), lpad(lower(hex(conv_id * 1000 + turn)), 16, '0'), role, 'event',
+         'k8s.pod', 'str', 'p-1', NULL FROM conversations
+) WHERE vstr IS NOT NULL OR vint IS NOT NULL""")
+
 
 def _order(names: tuple[str, ...]) -> list[str]:
     out: list[str] = []

@@ -95,3 +95,91 @@ def wn7_rolling_content_window(spark, sf_dir):
     """Assistant outputs streamed line by line: a jailbreak phrase within the last 256 tokens flags the chunk."""
     t = T.turns(spark, sf_dir).filter(F.col("role") == "assistant")
     return judging.rolling_window_flags(t, ["session_id", "turn"], "text", C.JAILBREAK_PHRASES)
+
+
+# --------------------------------------------------------------------------- SM1 / JN2
+_SM1_RULE = "event_class <> 'escalation' OR latency_ms < 300"
+
+
+@register("sm1_streaming_gate", with_views("records") + f"""
+SELECT decision_id, event_class, tenant_id, agent_id,
+       CASE WHEN event_class = 'cost_usage_aggregate' THEN input_tokens END AS input_tokens
+FROM records WHERE event_class IN {sql_list(C.CLASS_ALLOWLIST)}
+  -- the policy sees the gated record: latency_ms is only on the decision_summary allowlist
+  AND coalesce(event_class <> 'escalation'
+               OR (CASE WHEN event_class = 'decision_summary' THEN latency_ms END) < 300, FALSE)
+  AND {sampler_keep_sql('event_class', 'tenant_id', 'agent_id', SAMPLER_KEY, SAMPLER_RATES, 1.0)}""")
+def sm1_streaming_gate(spark, sf_dir):
+    """The stateless stream gate (allowlist -> policy -> sampler) applied to the bounded table.
+
+    The policy runs on the gated record, so an attribute the allowlist removed
+    is absent (null) to the policy, which then fails closed."""
+    from tracefold.streaming import live
+    attrs = [c for c in T.RECORD_ATTR_SPEC if c != "decision_id"]
+    g = live.gate_stream(T.records(spark, sf_dir), attrs, SAMPLER_KEY, SAMPLER_RATES, predicate=_SM1_RULE)
+    return g.select("decision_id", "event_class", "tenant_id", "agent_id", "input_tokens")
+
+
+@register("jn2_decision_summary_fold", with_views("records", "retrievals", "memories", "guard_events", "scores") + """
+SELECT d.decision_id, d.agent_id, d.model,
+       coalesce(r.n, 0) AS retrieval_count, coalesce(r.src, '') AS retrieval_sources,
+       coalesce(m.n, 0) AS memory_write_count, coalesce(m.kinds, '') AS memory_kinds,
+       coalesce(g.n, 0) AS guardrail_events, coalesce(g.blocked, FALSE) AS blocked,
+       coalesce(g.escalated, FALSE) AS escalated, coalesce(s.js, '') AS judge_scores
+FROM (SELECT decision_id, agent_id, model FROM records WHERE event_class = 'decision_summary') d
+LEFT JOIN (SELECT decision_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(source))), ',') AS src
+           FROM retrievals GROUP BY 1) r ON d.decision_id = r.decision_id
+LEFT JOIN (SELECT decision_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds
+           FROM memories GROUP BY 1) m ON d.decision_id = m.decision_id
+LEFT JOIN (SELECT decision_id, count(*) AS n, bool_or(blocked) AS blocked, bool_or(escalated) AS escalated
+           FROM guard_events GROUP BY 1) g ON d.decision_id = g.decision_id
+LEFT JOIN (SELECT decision_id, string_agg(rubric || '=' || CAST(score AS VARCHAR), ',' ORDER BY rubric || '=' || CAST(score AS VARCHAR)) AS js
+           FROM scores GROUP BY 1) s ON d.decision_id = s.decision_id""")
+def jn2_decision_summary_fold(spark, sf_dir):
+    """Decision summary folded from flat child tables (retrievals, memory writes, guardrail events, scores)."""
+    from tracefold.operators import decisions
+    d = T.records(spark, sf_dir).filter(F.col("event_class") == "decision_summary").select(
+        "decision_id", "agent_id", "model")
+    return decisions.decision_summary_flat(d, T.retrievals(spark, sf_dir), T.memories(spark, sf_dir),
+                                           T.guard_events(spark, sf_dir), T.scores(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- GT6 / GT7
+def _prefix_sql(col: str) -> str:
+    return "(" + " OR ".join(f"starts_with({col}, '{p}')" for p in C.default_span_prefixes()) + ")"
+
+
+@register("gt6_span_prefix_allowlist", with_views("turn_span_attrs", extra=(("k", f"""
+SELECT * FROM turn_span_attrs WHERE {_prefix_sql('key')} AND NOT (vtype = 'str' AND strlen(vstr) > {C.DEFAULT_MAX_FIELD_BYTES})"""),
+    ("live", """
+SELECT DISTINCT trace_id, span_id FROM k WHERE scope IN ('span', 'event')"""))) + """
+SELECT k.trace_id, k.span_id, scope, key, vtype, vstr, vint FROM k JOIN live USING (trace_id, span_id)""")
+def gt6_span_prefix_allowlist(spark, sf_dir):
+    """Namespace-prefix allowlist over resource, span and event attributes of every turn span;
+    spans left with no span or event attributes are dropped (GT7)."""
+    from tracefold.operators import gates
+    from tracefold.schemas import explode_attrs
+    g = gates.guard_spans(T.turn_spans(spark, sf_dir))
+    res = explode_attrs(g, ["trace_id", "span_id"], "resource_attrs").withColumn("scope", F.lit("resource"))
+    spn = explode_attrs(g, ["trace_id", "span_id"], "attrs").withColumn("scope", F.lit("span"))
+    ev = (g.select("trace_id", "span_id", F.explode("events").alias("e")).select("trace_id", "span_id", "e.attrs")
+           .transform(lambda d: explode_attrs(d, ["trace_id", "span_id"], "attrs")).withColumn("scope", F.lit("event")))
+    cols = ["trace_id", "span_id", "scope", "key", "vtype", "vstr", "vint"]
+    return res.select(*cols).unionByName(spn.select(*cols)).unionByName(ev.select(*cols))
+
+
+@register("gt7_span_drop_rule", with_views("turn_span_attrs", extra=(("k", f"""
+SELECT * FROM turn_span_attrs WHERE {_prefix_sql('key')}"""),)) + """
+SELECT role, count(DISTINCT span_id) FILTER (WHERE span_id IN (SELECT span_id FROM k WHERE scope IN ('span', 'event'))) AS kept_spans,
+       count(DISTINCT span_id) AS input_spans
+FROM turn_span_attrs GROUP BY role""")
+def gt7_span_drop_rule(spark, sf_dir):
+    """Spans kept per role after the prefix allowlist (system turns carry only foreign attributes)."""
+    from tracefold.operators import gates
+    sp = T.turn_spans(spark, sf_dir)
+    role = F.when(F.col("attrs")["decision.role"].isNotNull(), F.col("attrs")["decision.role"]["s"]).otherwise("system")
+    sp = sp.withColumn("role", role)
+    kept = gates.guard_spans(sp).groupBy("role").agg(F.count(F.lit(1)).alias("kept_spans"))
+    total = sp.groupBy("role").agg(F.count(F.lit(1)).alias("input_spans"))
+    return total.join(kept, "role", "left").select("role", F.coalesce("kept_spans", F.lit(0)).alias("kept_spans"),
+                                                  "input_spans")

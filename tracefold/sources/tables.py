@@ -248,3 +248,38 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     delay = (F.col("event_id") * 7919 % 600).cast("int")
     return e.select("event_id", "ts", F.col("user_id"),
                     (F.col("ts") + F.make_dt_interval(secs=delay.cast("decimal(18,6)"))).alias("arrived_at"))
+
+
+def turn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One span per turn (``schemas.SPANS`` shape) with namespaced and foreign
+    attributes on the resource, the span and one span event."""
+    from tracefold.schemas import ATTR_MAP, SPANS
+    c = read_table(spark, sf_dir, "conversations")
+    sysrole = F.col("role") == "system"
+    base = c.select(
+        "conv_id", "turn", "role", "text",
+        F.lpad(F.lower(F.hex("conv_id")), 32, "0").alias("trace_id"),
+        F.lpad(F.lower(F.hex(F.col("conv_id") * 1000 + F.col("turn"))), 16, "0").alias("span_id"),
+        F.when(sysrole, F.lit(None).cast("bigint")).otherwise(F.col("conv_id")).alias("sid"),
+        F.when(sysrole, F.lit(None).cast("string")).otherwise(F.col("role")).alias("role_ns"),
+        F.when(sysrole, F.lit(None).cast("bigint")).otherwise(F.length("text").cast("bigint")).alias("chars"),
+        F.concat(F.lit("agent-"), (F.col("conv_id") % 3).cast("string")).alias("svc"),
+        F.concat(F.lit("h"), (F.col("conv_id") % 5).cast("string")).alias("host"),
+        F.when(sysrole, F.lit(None).cast("string")).otherwise(
+            F.when(F.col("role") == "user", "input").otherwise("output_final")).alias("phase"),
+        F.lit("p-1").alias("pod"), F.lit("1").alias("spoof"))
+    a = pack_attrs(base, {"decision.session_id": ("sid", "int"), "decision.role": ("role_ns", "str"),
+                          "gen_ai.output_chars": ("chars", "int"), "user.text": ("text", "str"),
+                          "decisionx.spoof": ("spoof", "str")}, out="attrs")
+    a = pack_attrs(a, {"service.name": ("svc", "str"), "host.name": ("host", "str")}, out="resource_attrs")
+    a = pack_attrs(a, {"decision.guardrail.phase": ("phase", "str"), "k8s.pod": ("pod", "str")}, out="ev_attrs")
+    out = a.select(
+        "trace_id", "span_id", F.lit(None).cast("string").alias("parent_span_id"),
+        F.lit("decision.decision").alias("name"), F.lit(1).alias("kind"),
+        (F.col("turn") * 1_000_000_000).alias("start_ns"), (F.col("turn") * 1_000_000_000 + 500).alias("end_ns"),
+        F.lit(1).alias("status_code"), F.lit(None).cast("string").alias("status_message"),
+        F.lit("decision.sdk").alias("scope_name"), F.col("resource_attrs").cast(ATTR_MAP),
+        F.col("attrs").cast(ATTR_MAP),
+        F.array(F.struct(F.lit("decision.guardrail").alias("name"), (F.col("turn") * 1_000_000_000 + 1).alias("time_ns"),
+                         F.col("ev_attrs").alias("attrs"))).alias("events"))
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SPANS.fields])
