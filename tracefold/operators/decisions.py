@@ -183,8 +183,7 @@ def decision_summary_flat(decisions: DataFrame, retrievals: DataFrame, memories:
     g = guard_events.groupBy(key).agg(F.count(F.lit(1)).alias("guardrail_events"),
                                       F.bool_or("blocked").alias("blocked"),
                                       F.bool_or("escalated").alias("escalated"))
-    s = scores.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(
-        F.concat(F.col("rubric"), F.lit("="), F.col("score").cast("string")))), ",").alias("judge_scores"))
+    s = judge_score_labels(scores, key)
     j = decisions.join(r, key, "left").join(m, key, "left").join(g, key, "left").join(s, key, "left")
     return j.select(
         *decisions.columns,
@@ -196,3 +195,13 @@ def decision_summary_flat(decisions: DataFrame, retrievals: DataFrame, memories:
         F.coalesce("blocked", F.lit(False)).alias("blocked"),
         F.coalesce("escalated", F.lit(False)).alias("escalated"),
         F.coalesce("judge_scores", F.lit("")).alias("judge_scores"))
+
+
+def judge_score_labels(scores: DataFrame, key: str = "decision_id", rubric_col: str = "rubric",
+                       score_col: str = "score") -> DataFrame:
+    """``rubric=score`` labels per decision, sorted, one per rubric (the lowest
+    score of that rubric). Reducing to (decision, rubric) first bounds the
+    list by the rubric vocabulary, however many scores a decision collects."""
+    per = scores.groupBy(key, rubric_col).agg(F.min(score_col).alias("__s"))
+    return per.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat(F.col(rubric_col), F.lit("="), F.col("__s").cast("string")))), ",").alias("judge_scores"))

@@ -10,7 +10,7 @@ map-side instead of sorting in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold import constants as C
@@ -73,14 +73,21 @@ def verdict_idempotency(reviews: DataFrame) -> DataFrame:
     return j.select("escalation_id", "nonce", "verdict", "deliveries", outcome.alias("outcome"))
 
 
-def nonce_replays(deliveries: DataFrame, window_hours: int = 24, ts_col: str = "reviewed_at") -> DataFrame:
+def nonce_replays(deliveries: DataFrame, window_hours: int = 24, ts_col: str = "reviewed_at",
+                  bucket_hours: int = 1) -> DataFrame:
     """SM4 batch twin: reject a delivery whose nonce was seen in the previous
-    ``window_hours`` (lag over the nonce's deliveries in time order)."""
-    w = Window.partitionBy("nonce").orderBy(ts_col)
-    prev = F.lag(ts_col).over(w)
-    rejected = prev.isNotNull() & (F.col(ts_col) <= prev + F.make_dt_interval(hours=F.lit(window_hours)))
-    d = deliveries.withColumn("rejected", rejected)
-    return d.groupBy("nonce").agg(F.count(F.lit(1)).alias("deliveries"), F.count_if("rejected").alias("rejected"))
+    ``window_hours``.
+
+    The previous delivery of each nonce comes from the bucketed
+    ``sequence_within`` (time buckets of ``bucket_hours``), so a replay flood
+    of one nonce is ranked bucket by bucket, never in one task.
+    """
+    from tracefold.operators.ordering import sequence_within
+    d = deliveries.select("nonce", F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__us"))
+    seq = sequence_within(d, ["nonce"], "__us", bucket_width=bucket_hours * 3_600_000_000,
+                          rank_col="__seq", prev_col="__prev", next_col="__next")
+    rejected = F.col("__prev").isNotNull() & (F.col("__us") - F.col("__prev") <= window_hours * 3_600_000_000)
+    return seq.groupBy("nonce").agg(F.count(F.lit(1)).alias("deliveries"), F.count_if(rejected).alias("rejected"))
 
 
 def deadline_fallback(escalations: DataFrame, reviews: DataFrame, as_of: str) -> DataFrame:

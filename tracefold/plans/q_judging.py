@@ -70,16 +70,16 @@ def jn9_escalation_review(spark, sf_dir):
 SELECT e.escalation_id, e.decision_id, d.agent_id, d.model, CAST(d.cost_usd AS DOUBLE) AS cost_usd, d.latency_ms,
        coalesce(s.judge_scores, '') AS judge_scores, {placeholders_sql('d.internal_note')} AS review_note
 FROM escalations e JOIN records d ON e.decision_id = d.decision_id
-LEFT JOIN (SELECT decision_id, string_agg(rubric || '=' || CAST(score AS VARCHAR), ',' ORDER BY rubric || '=' || CAST(score AS VARCHAR)) AS judge_scores
-           FROM scores GROUP BY decision_id) s ON e.decision_id = s.decision_id""")
+LEFT JOIN (SELECT decision_id, string_agg(rubric || '=' || CAST(s AS VARCHAR), ',' ORDER BY rubric || '=' || CAST(s AS VARCHAR)) AS judge_scores
+           FROM (SELECT decision_id, rubric, min(score) AS s FROM scores GROUP BY ALL) GROUP BY decision_id) s
+       ON e.decision_id = s.decision_id""")
 def jn10_escalation_packet(spark, sf_dir):
     """Flattened, placeholder-redacted review row per escalation."""
     from tracefold.operators.redaction import placeholder_redact
     e = T.escalations(spark, sf_dir).select("escalation_id", "decision_id")
     d = T.records(spark, sf_dir).select("decision_id", "agent_id", "model", F.col("cost_usd").cast("double").alias("cost_usd"),
                                         "latency_ms", "internal_note")
-    s = T.scores(spark, sf_dir).groupBy("decision_id").agg(F.array_join(F.array_sort(F.collect_list(
-        F.concat(F.col("rubric"), F.lit("="), F.col("score").cast("string")))), ",").alias("judge_scores"))
+    s = decisions.judge_score_labels(T.scores(spark, sf_dir))
     j = e.join(d, "decision_id").join(s, "decision_id", "left")
     return j.select("escalation_id", "decision_id", "agent_id", "model", "cost_usd", "latency_ms",
                     F.coalesce("judge_scores", F.lit("")).alias("judge_scores"),

@@ -133,8 +133,9 @@ LEFT JOIN (SELECT decision_id, count(*) AS n, array_to_string(list_sort(list_dis
            FROM memories GROUP BY 1) m ON d.decision_id = m.decision_id
 LEFT JOIN (SELECT decision_id, count(*) AS n, bool_or(blocked) AS blocked, bool_or(escalated) AS escalated
            FROM guard_events GROUP BY 1) g ON d.decision_id = g.decision_id
-LEFT JOIN (SELECT decision_id, string_agg(rubric || '=' || CAST(score AS VARCHAR), ',' ORDER BY rubric || '=' || CAST(score AS VARCHAR)) AS js
-           FROM scores GROUP BY 1) s ON d.decision_id = s.decision_id""")
+LEFT JOIN (SELECT decision_id, string_agg(rubric || '=' || CAST(s AS VARCHAR), ',' ORDER BY rubric || '=' || CAST(s AS VARCHAR)) AS js
+           FROM (SELECT decision_id, rubric, min(score) AS s FROM scores GROUP BY ALL) GROUP BY 1) s
+       ON d.decision_id = s.decision_id""")
 def jn2_decision_summary_fold(spark, sf_dir):
     """Decision summary folded from flat child tables (retrievals, memory writes, guardrail events, scores)."""
     from tracefold.operators import decisions
