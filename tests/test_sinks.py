@@ -45,3 +45,17 @@ def test_evidence_export_manifest(spark, scratch):
         n += sum(1 for line in data.splitlines() if line.strip())
     exp = esc.filter((F.col("tenant_id") == "t-1") & (F.col("requested_at") < F.lit("2024-01-15").cast("timestamp_ntz"))).count()
     assert n == exp
+
+
+def test_tenant_scope_prunes_partitions_and_columns(spark, scratch):
+    from tracefold.operators import policy
+    path = os.path.join(scratch, "recs")
+    sinks.write_partitioned(T.records(spark, SF), path)
+    df = spark.read.parquet(path)
+    q = policy.tenant_scope(df, "t-2").filter(F.col("event_class") == "escalation").select("decision_id", "latency_ms")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "(tenant_id#" in plan
+    assert "PushedFilters: [IsNotNull(event_class), EqualTo(event_class,escalation)]" in plan
+    assert "ReadSchema: struct<decision_id:bigint,event_class:string,latency_ms:bigint>" in plan
+    exp = T.records(spark, SF).filter("tenant_id = 't-2' AND event_class = 'escalation'").count()
+    assert q.count() == exp
