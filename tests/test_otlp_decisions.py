@@ -100,3 +100,16 @@ def test_flatten_records_and_corrupt_rows(spark, scratch):
     r = otlp.flatten_records(raw).first()
     assert (r.event_class, r.tenant_id, str(r.ts)) == ("escalation", "t-1", "2024-04-20 12:00:00")
     assert r.attrs["n"].i is None and plain(r.resource_attrs) == {"host": "h"}
+
+
+def test_dual_namespace_coalesce(spark):
+    from helpers import records_df
+
+    from tracefold.operators.contracts import coalesce_namespaces
+    df = records_df(spark, [{"gen_ai.request.model": "m-a", "decision.llm.usage.input_tokens": 7},
+                            {"decision.llm.request.model": "m-b", "gen_ai.usage.input_tokens": 9}])
+    cols = coalesce_namespaces(F.col("attrs"), [("model", "str", "gen_ai.request.model", "decision.llm.request.model"),
+                                                 ("input_tokens", "int", "gen_ai.usage.input_tokens",
+                                                  "decision.llm.usage.input_tokens")])
+    rows = df.orderBy("rid").select(*cols).collect()
+    assert [(r.model, r.input_tokens) for r in rows] == [("m-a", 7), ("m-b", 9)]
