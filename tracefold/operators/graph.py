@@ -128,7 +128,7 @@ def _cosine(a: Column, b: Column) -> Column:
 
 def similarity_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                      vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "query_vec",
-                     max_queries: int = 4096, chunk: int = 128, buckets: int = 64) -> DataFrame:
+                     max_queries: int = 4096, chunk: int = 128, buckets: int = 512) -> DataFrame:
     """JN13: the ``k`` most cosine-similar vectors to each query vector.
 
     The query set is small by contract (checked against ``max_queries``); it

@@ -19,7 +19,7 @@ def _bucket(order_col: str, width: int) -> Column:
     return F.floor(F.col(order_col) / F.lit(width)).cast("bigint")
 
 
-def sequence_within(df: DataFrame, key: Sequence[str], order_col: str, bucket_width: int = 4096,
+def sequence_within(df: DataFrame, key: Sequence[str], order_col: str, bucket_width: int = 65536,
                     rank_col: str = "seq", prev_col: str = "prev", next_col: str = "next") -> DataFrame:
     """Exact 1-based position, previous and next ``order_col`` value per key.
 
@@ -51,12 +51,15 @@ def sequence_within(df: DataFrame, key: Sequence[str], order_col: str, bucket_wi
 
 
 def top_k(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int, salt_col: str,
-          buckets: int = 64, rank_col: str = "rank") -> DataFrame:
+          buckets: int = 512, rank_col: str = "rank") -> DataFrame:
     """Exact top-``k`` rows per key under ``order`` (a total order).
 
     Stage 1 keeps the top ``k`` inside ``(key, hash(salt) mod buckets)``;
     stage 2 ranks at most ``k * buckets`` survivors per key. Every row of the
     true top ``k`` is in the top ``k`` of its own bucket, so nothing is lost.
+    Size ``buckets`` so the largest key's rows / buckets fits one task
+    comfortably (e.g. rows of the hottest key / 10 million); stage 2 stays
+    small as long as ``k * buckets`` does.
     """
     key = list(key)
     s = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(buckets)))
