@@ -51,11 +51,14 @@ def write_gated(df: DataFrame, exporters: Sequence[Callable[[DataFrame, int], No
 
 
 def parquet_exporter(path: str, partition_by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """Idempotent Parquet exporter: each micro-batch epoch owns the directory
+    ``batch_epoch=<id>`` and overwrites it, so a batch replayed after a failure
+    (same epoch id) replaces its earlier partial output instead of adding to it."""
     def ex(batch: DataFrame, epoch: int) -> None:
-        w = batch.write.mode("append")
+        w = batch.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        w.parquet(f"{path.rstrip('/')}/batch_epoch={epoch}")
     return ex
 
 
