@@ -174,6 +174,10 @@ SELECT * FROM (
          'k8s.pod', 'str', 'p-1', NULL FROM conversations
 ) WHERE vstr IS NOT NULL OR vint IS NOT NULL""")
 
+_view("deliveries", ("guard_events",), """
+SELECT decision_id, event_id, ts AS arrived_at, blocked FROM guard_events
+UNION ALL SELECT decision_id, event_id, ts + INTERVAL 30 SECOND, blocked FROM guard_events WHERE event_id % 5 = 0""")
+
 
 def _order(names: tuple[str, ...]) -> list[str]:
     out: list[str] = []

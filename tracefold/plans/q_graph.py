@@ -213,16 +213,12 @@ def wn4_step_order(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- WN5
-@register("wn5_event_dedupe", with_views("guard_events", extra=(("d", """
-SELECT decision_id, event_id, ts AS arrived_at, blocked FROM guard_events
-UNION ALL SELECT decision_id, event_id, ts + INTERVAL 30 SECOND, blocked FROM guard_events WHERE event_id % 5 = 0"""),)) + """
+@register("wn5_event_dedupe", with_views("deliveries") + """
 SELECT decision_id, event_id, min(arrived_at) AS arrived_at, bool_or(blocked) AS blocked, count(*) AS deliveries
-FROM d GROUP BY decision_id, event_id""")
+FROM deliveries GROUP BY decision_id, event_id""")
 def wn5_event_dedupe(spark, sf_dir):
     """Replayed deliveries collapse to one row per (decision_id, event_id), the first arrival."""
-    g = T.guard_events(spark, sf_dir).select("decision_id", "event_id", F.col("ts").alias("arrived_at"), "blocked")
-    replay = g.filter(F.col("event_id") % 5 == 0).withColumn("arrived_at", F.col("arrived_at") + F.expr("INTERVAL 30 SECONDS"))
-    return ordering.dedupe_first(g.unionByName(replay), ["decision_id", "event_id"], ["arrived_at"], "deliveries")
+    return ordering.dedupe_first(T.deliveries(spark, sf_dir), ["decision_id", "event_id"], ["arrived_at"], "deliveries")
 
 
 # --------------------------------------------------------------------------- WN10

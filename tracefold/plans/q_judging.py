@@ -293,14 +293,10 @@ def sm2_late_data(spark, sf_dir):
     return l.select("event_id", "batch", "late")
 
 
-@register("sm3_streaming_dedupe", with_views("guard_events", extra=(("d", """
-SELECT decision_id, event_id, ts AS arrived_at, blocked FROM guard_events
-UNION ALL SELECT decision_id, event_id, ts + INTERVAL 30 SECOND, blocked FROM guard_events WHERE event_id % 5 = 0"""),)) + """
-SELECT decision_id, event_id, min(arrived_at) AS arrived_at, bool_or(blocked) AS blocked FROM d GROUP BY decision_id, event_id""")
+@register("sm3_streaming_dedupe", with_views("deliveries") + """
+SELECT decision_id, event_id, min(arrived_at) AS arrived_at, bool_or(blocked) AS blocked FROM deliveries GROUP BY decision_id, event_id""")
 def sm3_streaming_dedupe(spark, sf_dir):
-    g = T.guard_events(spark, sf_dir).select("decision_id", "event_id", F.col("ts").alias("arrived_at"), "blocked")
-    replay = g.filter(F.col("event_id") % 5 == 0).withColumn("arrived_at", F.col("arrived_at") + F.expr("INTERVAL 30 SECONDS"))
-    return dedupe_first(g.unionByName(replay), ["decision_id", "event_id"], ["arrived_at"])
+    return dedupe_first(T.deliveries(spark, sf_dir), ["decision_id", "event_id"], ["arrived_at"])
 
 
 @register("sm4_nonce_replay", with_views("reviews") + """

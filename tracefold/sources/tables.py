@@ -283,3 +283,12 @@ def turn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.lit("decision.guardrail").alias("name"), (F.col("turn") * 1_000_000_000 + 1).alias("time_ns"),
                          F.col("ev_attrs").alias("attrs"))).alias("events"))
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SPANS.fields])
+
+
+def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guard events as delivered by an at-least-once bus: every fifth event is
+    delivered a second time 30 seconds later (a replay)."""
+    g = guard_events(spark, sf_dir).select("decision_id", "event_id", F.col("ts").alias("arrived_at"), "blocked")
+    replay = g.filter(F.col("event_id") % 5 == 0).withColumn(
+        "arrived_at", F.col("arrived_at") + F.expr("INTERVAL 30 SECONDS"))
+    return g.unionByName(replay)
