@@ -86,3 +86,16 @@ def test_conditional_sampler_low_scores_always_kept(spark):
 
 def test_records_helper(spark):
     assert records_df(spark, [{"a": 1}]).count() == 1
+
+
+def test_hmac_key_material_redacted_from_plans(spark):
+    import contextlib
+    import io
+    ipad, opad = hmac_pads(KEY)
+    df = spark.createDataFrame([("x",)], "m string").select(hmac_sha256_hex("m", KEY).alias("h"))
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(True)
+    text = buf.getvalue()
+    assert "sha2" in text
+    assert ipad not in text and opad not in text
