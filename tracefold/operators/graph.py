@@ -178,6 +178,3 @@ def same_content_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                          F.max(id_col).alias("last_id"))
              .filter(F.col("n_decisions") > 1))
 
-
-__all__ = ["edges", "edge_union", "nodes_from_edges", "write_edges", "walk", "erase_user", "deletion_events",
-           "similarity_top_k", "centroids", "same_content_groups", "T"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracefold import constants as C
 from tracefold.functions.hashing import rate_threshold_hex
 from tracefold.functions.pii import EMAIL_PATTERN, EMAIL_PATTERN_RE2
-from tracefold.operators import accounting, decisions, escalation, gates, graph, judging, policy, redteam, sampling
+from tracefold.operators import accounting, decisions, escalation, graph, judging, policy, sampling
 from tracefold.operators.judging import Rubric
 from tracefold.operators.ordering import dedupe_first
 from tracefold.plans.oracle_views import with_views
@@ -397,5 +397,3 @@ def sm11_ordered_fold(spark, sf_dir):
     g = T.guard_events(spark, sf_dir)
     return twins.ordered_fold(g, ["decision_id"], ["ts", "event_id"], ["blocked", "policy"])
 
-
-__all__ = ["RUBRICS", "gates", "graph", "redteam"]
