@@ -85,3 +85,14 @@ def test_escalation_stream_timers_and_conflicts(spark, scratch):
     assert ("e1", "accepted", "approve") in out and ("e1", "conflict", "reject") in out
     assert ("e2", "fallback_closed", "approve") in out and ("e3", "fallback_open", None) in out
     assert not any(o[0] == "e1" and o[1].startswith("fallback") for o in out)
+
+
+def test_nonce_replay_stream_drops_replays(spark, scratch):
+    rows = [("n1", "2024-01-01 00:00:00", "approve"), ("n1", "2024-01-01 00:00:00", "approve"),
+            ("n2", "2024-01-01 01:00:00", "reject"), ("n1", "2024-01-01 05:00:00", "approve"),
+            ("n3", "2024-01-03 00:00:00", "approve")]
+    df = spark.createDataFrame(rows, "nonce string, reviewed_at string, verdict string").withColumn(
+        "reviewed_at", F.col("reviewed_at").cast("timestamp_ntz"))
+    stream = _stream_of(spark, df.coalesce(1), scratch, "nonces", per_trigger=None)
+    out = _run(live.nonce_replay_stream(stream), scratch, "nonce_out").collect()
+    assert sorted(r.nonce for r in out) == ["n1", "n2", "n3"]   # both replays of n1 within 24 h are rejected
