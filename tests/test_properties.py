@@ -35,3 +35,70 @@ def test_strip_hmac_and_analyzer_match_python(spark, batch):
         assert r.h == hmac.new(KEY, t.encode(), hashlib.sha256).hexdigest()
         has, cat = regex_analyzer(t)
         assert r.c == (cat if has else None), t
+
+
+def _py_keep(key, rates, default, tenant, agent, cls):
+    rate = rates.get(cls or "", default)
+    if rate >= 1.0:
+        return True
+    if rate <= 0.0:
+        return False
+    msg = f"{tenant or ''}|{agent or ''}|{cls or ''}".encode()
+    bucket = int.from_bytes(hmac.new(key, msg, hashlib.sha256).digest()[:8], "big")
+    return bucket < (int(rate * float(1 << 63)) * 2) % (1 << 64)
+
+
+ids = st.one_of(st.none(), st.text(chars, max_size=6))
+recs = st.lists(st.tuples(ids, ids, st.sampled_from(["decision_summary", "escalation", "x", ""])), min_size=40,
+                max_size=40)
+
+
+@seed(11)
+@cfg
+@given(recs, st.sampled_from([0.0, 0.01, 0.3, 0.5, 0.999, 1.0]))
+def test_sampler_matches_python_uint64_rule(spark, rows, rate):
+    from tracefold.operators import sampling
+    rates = {"decision_summary": rate, "escalation": 0.5}
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                               "i long, tenant_id string, agent_id string, event_class string")
+    kept = {r.i for r in sampling.sample_records(df, KEY, rates, default_rate=0.25).collect()}
+    exp = {i for i, (t, a, c) in enumerate(rows) if _py_keep(KEY, rates, 0.25, t, a, c)}
+    assert kept == exp
+
+
+KEYS = ["event_class", "tenant_id", "model", "cost_usd", "escalation_id", "run_id", "foreign", "prompt"]
+vals = st.one_of(st.integers(-5, 5), st.text(st.sampled_from("aé"), min_size=0, max_size=12))
+maps = st.dictionaries(st.sampled_from(KEYS[1:]), vals, max_size=6)
+classes = st.sampled_from(["decision_summary", "escalation", "red_team_result", "nope", None])
+
+
+def _py_guard(attrs, drop_unknown, cap):
+    from tracefold.operators.gates import effective_allowlist
+    allow = effective_allowlist({"escalation": ["prompt"]})
+    cls = attrs.get("event_class")
+    cls = cls if isinstance(cls, str) else ""
+    if cls not in allow:
+        return None if drop_unknown else attrs
+    out = {k: v for k, v in attrs.items()
+           if k in allow[cls] and not (isinstance(v, str) and cap > 0 and len(v.encode()) > cap)}
+    return out or None
+
+
+@seed(5)
+@cfg
+@given(st.lists(st.tuples(classes, maps), min_size=25, max_size=25), st.booleans(), st.sampled_from([0, 4, 8192]))
+def test_record_guard_matches_python_model(spark, rows, drop_unknown, cap):
+    from helpers import plain, records_df
+
+    from tracefold.operators import gates
+    recs_in = []
+    for cls, m in rows:
+        d = dict(m)
+        if cls is not None:
+            d["event_class"] = cls
+        recs_in.append(d)
+    df = records_df(spark, recs_in)
+    got = {r.rid: plain(r.attrs) for r in gates.guard_records(
+        df, extra={"escalation": ["prompt"]}, drop_unknown=drop_unknown, max_bytes=cap).collect()}
+    exp = {i: o for i, d in enumerate(recs_in) if (o := _py_guard(d, drop_unknown, cap)) is not None}
+    assert got == exp
