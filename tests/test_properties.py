@@ -102,3 +102,37 @@ def test_record_guard_matches_python_model(spark, rows, drop_unknown, cap):
         df, extra={"escalation": ["prompt"]}, drop_unknown=drop_unknown, max_bytes=cap).collect()}
     exp = {i: o for i, d in enumerate(recs_in) if (o := _py_guard(d, drop_unknown, cap)) is not None}
     assert got == exp
+
+
+def _py_redact(attrs, skip):
+    """Model: the collector forwards each non-empty, non-skipped string; the
+    service strips it, rejects > 64,000 chars (record dropped), and hashes it
+    when the analyzer finds PII; otherwise the original value stays."""
+    out = dict(attrs)
+    for k, v in attrs.items():
+        if k in skip or not isinstance(v, str) or v == "":
+            continue
+        s = v.strip()
+        if len(s) > 64_000:
+            return None
+        has, _ = regex_analyzer(s)
+        if has:
+            out[k] = hmac.new(KEY, s.encode(), hashlib.sha256).hexdigest()
+    return out
+
+
+red_vals = st.one_of(st.integers(0, 3), st.lists(pieces, max_size=5).map("".join))
+red_maps = st.dictionaries(st.sampled_from(["a", "b", "note", "event_class", "skipme"]), red_vals, max_size=5)
+
+
+@seed(3)
+@cfg
+@given(st.lists(red_maps, min_size=25, max_size=25))
+def test_record_redaction_matches_python_model(spark, rows):
+    from helpers import plain, records_df
+
+    from tracefold.operators import redaction
+    rows = rows + [{"a": "x" * 64_001}, {"a": " " + "y" * 64_000 + " "}]
+    got = {r.rid: plain(r.attrs) for r in redaction.redact_records(records_df(spark, rows), KEY, skip=["skipme"]).collect()}
+    exp = {i: o for i, d in enumerate(rows) if (o := _py_redact(d, {"skipme"})) is not None}
+    assert got == exp

@@ -27,7 +27,11 @@ EMAIL_PATTERN_RE2 = f"[^{_WS}@]+@[^{_WS}@]+\\.[^{_WS}@]+"
 # non-'@' characters, so anchoring there (look-behind) and never giving
 # back the first run (possessive) finds the same matches in linear time.
 EMAIL_PATTERN = f"(?<![^{_WS}@])[^{_WS}@]++@[^{_WS}@]+\\.[^{_WS}@]+"
-PHONE_PATTERN = f"(?<![{_WORD}])\\p{{Nd}}{{3}}-\\p{{Nd}}{{3}}-\\p{{Nd}}{{4}}(?![{_WORD}])"
+# The left word boundary is a consumed group, not a look-behind: Java's
+# look-behind sees only the low surrogate of an astral character (category
+# Cs), so a letter such as U+252F3 before the digits would not count as a
+# word character. Replacements put the group back with ``$1``.
+PHONE_PATTERN = f"(^|[^{_WORD}])\\p{{Nd}}{{3}}-\\p{{Nd}}{{3}}-\\p{{Nd}}{{4}}(?![{_WORD}])"
 # FIXED VALUES: the same two rules in Python ``re`` syntax (plug-in analyzer).
 PY_EMAIL_PATTERN = r"[^\s@]+@[^\s@]+\.[^\s@]+"
 PY_PHONE_PATTERN = r"\b\d{3}-\d{3}-\d{4}\b"
@@ -38,6 +42,8 @@ PHONE_PATTERN_RE2 = f"(^|[^{_WORD}])\\p{{Nd}}{{3}}-\\p{{Nd}}{{3}}-\\p{{Nd}}{{4}}
 # A literal every match of a rule must contain: texts without it skip the
 # regex (a fast substring scan instead of a regex pass).
 RULE_HINTS = {C.PII_EMAIL: "@", C.PII_PHONE: "-"}
+# Replacement templates for rules whose pattern consumes a boundary group.
+RULE_REPLACEMENTS = {C.PII_PHONE: "$1<REDACTED:" + C.PII_PHONE + ">"}
 
 
 @dataclass(frozen=True)
@@ -69,7 +75,7 @@ class PatternAnalyzer:
         """GT15: every match replaced by ``<REDACTED:CATEGORY>`` (rule order)."""
         out = text
         for cat, pat in self.rules:
-            rep = F.regexp_replace(out, pat, f"<REDACTED:{cat}>")
+            rep = F.regexp_replace(out, pat, RULE_REPLACEMENTS.get(cat, f"<REDACTED:{cat}>"))
             hint = dict(self.hints).get(cat)
             out = rep if hint is None else F.when(out.contains(hint), rep).otherwise(out)
         return out
