@@ -78,7 +78,7 @@ _SEV_RANK_SQL = "CASE WHEN score >= 0.9 THEN 4 WHEN score >= 0.75 THEN 3 WHEN sc
 _PROBES_SQL = f"""
 SELECT run_id, suite, probe, CASE WHEN findings > 0 THEN 'fail' ELSE 'pass' END AS verdict, attempts, findings,
        duration_ms, ['info', 'low', 'medium', 'high', 'critical'][worst + 1] AS worst_severity
-FROM (SELECT run_id, suite, probe, count(*) AS attempts, count_if(score >= 0.5) AS findings,
+FROM (SELECT run_id, suite, probe, count(*) AS attempts, count(*) FILTER (WHERE score >= 0.5) AS findings,
              CAST(sum(latency_ms) AS BIGINT) AS duration_ms, max({_SEV_RANK_SQL}) AS worst
       FROM attempts GROUP BY ALL)"""
 
@@ -104,10 +104,10 @@ _RUNS_SQL = f"""
 SELECT p.run_id, p.probe_count, p.fail_count, p.duration_ms,
        coalesce(s.n_info, 0) AS n_info, coalesce(s.n_low, 0) AS n_low, coalesce(s.n_medium, 0) AS n_medium,
        coalesce(s.n_high, 0) AS n_high, coalesce(s.n_critical, 0) AS n_critical
-FROM (SELECT run_id, count(*) AS probe_count, count_if(verdict = 'fail') AS fail_count,
+FROM (SELECT run_id, count(*) AS probe_count, count(*) FILTER (WHERE verdict = 'fail') AS fail_count,
              CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM probes GROUP BY run_id) p
-LEFT JOIN (SELECT run_id, count_if(r = 0) AS n_info, count_if(r = 1) AS n_low, count_if(r = 2) AS n_medium,
-                  count_if(r = 3) AS n_high, count_if(r = 4) AS n_critical
+LEFT JOIN (SELECT run_id, count(*) FILTER (WHERE r = 0) AS n_info, count(*) FILTER (WHERE r = 1) AS n_low, count(*) FILTER (WHERE r = 2) AS n_medium,
+                  count(*) FILTER (WHERE r = 3) AS n_high, count(*) FILTER (WHERE r = 4) AS n_critical
            FROM (SELECT run_id, {_SEV_RANK_SQL} AS r FROM attempts WHERE score >= 0.5) GROUP BY run_id) s
 ON p.run_id = s.run_id"""
 

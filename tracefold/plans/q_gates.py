@@ -86,12 +86,12 @@ SELECT ra.decision_id, ra.event_class, al.key IS NULL AS stripped,
 FROM record_attrs ra LEFT JOIN {allowlist_values()} ON ra.event_class = al.event_class AND ra.key = al.key"""),
     ("per", f"""
 SELECT decision_id, event_class, event_class IN {_KNOWN} AS known,
-       count_if(stripped) AS stripped, count_if(oversized) AS oversized, count(*) AS n
+       count(*) FILTER (WHERE stripped) AS stripped, count(*) FILTER (WHERE oversized) AS oversized, count(*) AS n
 FROM flags GROUP BY decision_id, event_class"""))) + """
 SELECT event_class, count(*) AS n_records,
        CAST(sum(CASE WHEN known THEN stripped ELSE 0 END) AS BIGINT) AS n_stripped,
        CAST(sum(CASE WHEN known THEN oversized ELSE 0 END) AS BIGINT) AS n_oversized,
-       count_if(NOT known OR n - stripped - oversized = 0) AS n_dropped
+       count(*) FILTER (WHERE NOT known OR n - stripped - oversized = 0) AS n_dropped
 FROM per GROUP BY event_class""")
 def gt8_strip_counters(spark, sf_dir):
     return gates.strip_counters(T.record_attrs(spark, sf_dir))

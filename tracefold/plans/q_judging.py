@@ -186,9 +186,9 @@ SELECT *, CASE WHEN event_class NOT IN {sql_list(C.CLASS_ALLOWLIST)} THEN 'schem
 
 
 @register("ag8_batch_manifest", with_views("records", extra=(("st", _STAGE_SQL),)) + """
-SELECT time_bucket(INTERVAL 1 DAY, ts) AS batch, count(*) AS input_count, count_if(drop_reason IS NULL) AS output_count,
-       count_if(drop_reason = 'schema') AS dropped_schema, count_if(drop_reason = 'policy') AS dropped_policy,
-       count_if(drop_reason = 'sampler') AS dropped_sampler
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS batch, count(*) AS input_count, count(*) FILTER (WHERE drop_reason IS NULL) AS output_count,
+       count(*) FILTER (WHERE drop_reason = 'schema') AS dropped_schema, count(*) FILTER (WHERE drop_reason = 'policy') AS dropped_policy,
+       count(*) FILTER (WHERE drop_reason = 'sampler') AS dropped_sampler
 FROM st GROUP BY 1""")
 def ag8_batch_manifest(spark, sf_dir):
     """Per daily batch: input/output counts and drops by the stage that dropped them."""
@@ -230,9 +230,9 @@ def ag10_chunk_score_merge(spark, sf_dir):
 
 # --------------------------------------------------------------------------- AG11 / AG12 / AG14
 @register("ag11_escalation_rate_alert", with_views("records") + f"""
-SELECT agent_id, count(*) AS n_decisions, count_if(event_class = 'escalation') AS n_escalated,
-       count_if(event_class = 'escalation') / count(*) AS share,
-       count_if(event_class = 'escalation') / count(*) > {C.ESCALATION_ALERT_SHARE} AS alert
+SELECT agent_id, count(*) AS n_decisions, count(*) FILTER (WHERE event_class = 'escalation') AS n_escalated,
+       count(*) FILTER (WHERE event_class = 'escalation') / count(*) AS share,
+       count(*) FILTER (WHERE event_class = 'escalation') / count(*) > {C.ESCALATION_ALERT_SHARE} AS alert
 FROM records GROUP BY agent_id""")
 def ag11_escalation_rate_alert(spark, sf_dir):
     r = T.records(spark, sf_dir).withColumn("escalated", F.col("event_class") == "escalation")
@@ -263,8 +263,8 @@ def ag14_pending_gauge(spark, sf_dir):
 
 # --------------------------------------------------------------------------- WN6 / WN8
 @register("wn6_conflicting_verdicts", with_views("reviews") + """
-SELECT escalation_id, first_verdict, count_if(verdict <> first_verdict) AS n_conflicting,
-       count_if(verdict <> first_verdict) > 0 AS alert FROM (
+SELECT escalation_id, first_verdict, count(*) FILTER (WHERE verdict <> first_verdict) AS n_conflicting,
+       count(*) FILTER (WHERE verdict <> first_verdict) > 0 AS alert FROM (
   SELECT r.*, first_value(verdict) OVER (PARTITION BY escalation_id ORDER BY reviewed_at, nonce) AS first_verdict FROM reviews r)
 GROUP BY escalation_id, first_verdict""")
 def wn6_conflicting_verdicts(spark, sf_dir):
@@ -300,7 +300,7 @@ def sm3_streaming_dedupe(spark, sf_dir):
 
 
 @register("sm4_nonce_replay", with_views("reviews") + """
-SELECT nonce, count(*) AS deliveries, count_if(prev IS NOT NULL AND reviewed_at <= prev + INTERVAL 24 HOUR) AS rejected
+SELECT nonce, count(*) AS deliveries, count(*) FILTER (WHERE prev IS NOT NULL AND reviewed_at <= prev + INTERVAL 24 HOUR) AS rejected
 FROM (SELECT nonce, reviewed_at, lag(reviewed_at) OVER (PARTITION BY nonce ORDER BY reviewed_at) AS prev FROM reviews)
 GROUP BY nonce""")
 def sm4_nonce_replay(spark, sf_dir):
