@@ -65,3 +65,16 @@ def test_deadline_fallback(spark):
     assert set(out) == {"e2", "e3"}            # e1 answered before its deadline
     assert out["e2"].verdict == "approve" and out["e3"].status == "open"
     assert out["e2"].reviewer_id == "system.timeout"
+
+
+def test_saved_view_with_score_fields(spark):
+    from tracefold.operators import policy
+    d = spark.createDataFrame([(1, "decision_summary", "2024-01-02"), (2, "decision_summary", "2024-01-03"),
+                               (3, "escalation", "2024-01-04")], "decision_id long, event_class string, ts string")
+    s = spark.createDataFrame([(1, "groundedness", 0.5), (2, "groundedness", 0.9), (2, "harmlessness", 0.1),
+                               (3, "groundedness", 0.5)], "decision_id long, rubric string, score double")
+    wide = policy.with_score_columns(d, s, ["groundedness", "harmlessness"])
+    assert "score.groundedness" in wide.columns
+    v = policy.saved_view(wide, {"event_class": "decision_summary", "score.groundedness": "0.5"},
+                          policy.column_resolver(wide.columns))
+    assert [r.decision_id for r in v.collect()] == [1]

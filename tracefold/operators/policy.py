@@ -117,3 +117,25 @@ def tenant_scope(df: DataFrame, tenant: str, tenant_col: str = "tenant_id") -> D
     """GT26: every read scoped to one tenant (a partition filter when the
     table is written partitioned by tenant)."""
     return df.filter(F.col(tenant_col) == F.lit(tenant))
+
+
+def with_score_columns(decisions: DataFrame, scores: DataFrame, rubrics, key: str = "decision_id",
+                       rubric_col: str = "rubric", score_col: str = "score") -> DataFrame:
+    """GT21: judge scores addressable as ``score.<rubric>`` columns.
+
+    Scores are pivoted with the explicit rubric list (no extra pass to find
+    the values) into one row per decision, then left-joined one-to-one.
+    """
+    rubrics = list(rubrics)
+    p = scores.groupBy(key).pivot(rubric_col, rubrics).agg(F.min(score_col))
+    p = p.select(key, *[F.col(f"`{r}`").cast("double").alias(f"score.{r}") for r in rubrics])
+    return decisions.join(p, key, "left")
+
+
+def column_resolver(df_columns):
+    """Resolve saved-view filter names: ``score.<rubric>`` and plain columns as text."""
+    def resolve(name: str):
+        if name in df_columns:
+            return F.col(f"`{name}`").cast("string")
+        raise KeyError(f"saved-view filter on unknown field {name!r}")
+    return resolve
