@@ -113,3 +113,35 @@ def test_dual_namespace_coalesce(spark):
                                                   "decision.llm.usage.input_tokens")])
     rows = df.orderBy("rid").select(*cols).collect()
     assert [(r.model, r.input_tokens) for r in rows] == [("m-a", 7), ("m-b", 9)]
+
+
+def test_log_pipeline_end_to_end(spark, scratch):
+    """OTLP logs -> guard -> redact -> policy (over the attribute map) -> sampler, in the deployed order."""
+    import hashlib
+    import hmac as hm
+
+    from tracefold.operators import policy, redaction, sampling
+
+    def kv(k, v):
+        return {"key": k, "value": {"intValue": str(v)} if isinstance(v, int) else {"stringValue": v}}
+
+    recs = [
+        [kv("event_class", "decision_summary"), kv("tenant_id", "t-1"), kv("agent_id", "a-1"),
+         kv("model", "bob@corp.example"), kv("prompt", "secret"), kv("latency_ms", 120)],
+        [kv("event_class", "escalation"), kv("tenant_id", "t-1"), kv("agent_id", "a-2"), kv("reason_code", "r1")],
+        [kv("event_class", "decision_summary"), kv("tenant_id", "t-9"), kv("agent_id", "a-1"), kv("latency_ms", 5)],
+        [kv("event_class", "unknown"), kv("tenant_id", "t-1")],
+    ]
+    logs = {"resourceLogs": [{"resource": {"attributes": [kv("service.name", "svc")]}, "scopeLogs": [
+        {"scope": {"name": "s"}, "logRecords": [{"timeUnixNano": "1713614400000000000", "attributes": a} for a in recs]}]}]}
+    raw = otlp.read_otlp(spark, _write(scratch, "e2e", logs), otlp.OTLP_LOGS)
+    flat = otlp.flatten_records(raw)
+    g = gates.guard_records(flat)                                   # unknown class and 'prompt' removed
+    r = redaction.redact_records(g, b"tenant-key", skip=["event_class", "tenant_id", "agent_id"])
+    p = policy.policy_gate(r, "attrs['tenant_id'].s = 't-1'")     # policy reads the attribute map
+    s = sampling.sample_records(p, b"sampler", {"decision_summary": 1.0, "escalation": 0.0})
+    out = [plain(x.attrs) for x in s.collect()]
+    assert len(out) == 1
+    rec = out[0]
+    assert "prompt" not in rec and rec["latency_ms"] == 120
+    assert rec["model"] == hm.new(b"tenant-key", b"bob@corp.example", hashlib.sha256).hexdigest()
