@@ -96,3 +96,4 @@ def test_nonce_replay_stream_drops_replays(spark, scratch):
     stream = _stream_of(spark, df.coalesce(1), scratch, "nonces", per_trigger=None)
     out = _run(live.nonce_replay_stream(stream), scratch, "nonce_out").collect()
     assert sorted(r.nonce for r in out) == ["n1", "n2", "n3"]   # both replays of n1 within 24 h are rejected
+
