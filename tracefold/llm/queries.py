@@ -8,7 +8,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import lattice_lm, quality, sentencepiece_codec, sharding, token_counts, token_store
+from tracefold.llm import decontaminate, lattice_lm, near_dup, quality, sentencepiece_codec, sharding, token_counts, token_store, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,9 +59,36 @@ def op5_token_store(spark, sf_dir):
     return token_store.token_store(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
 
 
+@register
+def op6_warc(spark, sf_dir):
+    """All pages in WARC files, read back through the index."""
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register
+def op7_near_dup(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_toxicity(spark, sf_dir):
+    """Toxicity score of every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+                         (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 @register
 def op9_quality_rules(spark, sf_dir):
     """Base counts and verdict of every document; trusted target: documents labelled of good quality."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.quality_rules(docs, model).drop("text")
+
+
+@register
+def op10_decontamination(spark, sf_dir):
+    """Every (document, benchmark item) pair with the item's passage in the document, exactly or slightly edited."""
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
