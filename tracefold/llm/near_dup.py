@@ -29,6 +29,8 @@ from tracefold.llm.components import components
 WORDS = 5
 #: 32 bands of 6 places: a pair with a similarity of 0.85 misses all buckets with a probability of 3e-7.
 BANDS, PLACES = 32, 6
+#: Hash classes in which two sets' shingles are counted to bound what they can share.
+SPREAD = 128
 #: Link if PERCENT of the union is shared.
 PERCENT = 85
 SEED = 0x5EED
@@ -148,17 +150,21 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``node, shingles``: the full sets of the wanted nodes, from their texts."""
+    """``node, shingles, spread``: the full sets of the wanted nodes, from their texts, and how many of a set's
+    shingles fall into each of ``SPREAD`` hash classes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches, 512):
             sets = [shingle_hashes(t, known).astype(np.int64) for t in batch.column("text").to_pylist()]
             at = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "shingles"])
+            spread = [np.bincount(s % SPREAD, minlength=SPREAD).astype(np.int32) for s in sets]
+            flat = pa.array(np.concatenate(spread) if spread else np.zeros(0, np.int32))
+            spreads = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SPREAD), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, spreads], names=["node", "shingles", "spread"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).cast("binary").alias("text"))
-    return rows.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node bigint, shingles array<bigint>")
+    return rows.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(run, "node bigint, shingles array<bigint>, spread array<int>")
 
 
 def alike(a: str, b: str, percent: int) -> F.Column:
@@ -215,20 +221,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of nodes (``node, n, c``) of different groups ``c`` that share one of their rarest shingles.
-
-    A set of n needs ceil(percent * n / 100) shingles in common with any partner, so one of its
-    n - that + 1 rarest is among them and, in the same order of all shingles, among the partner's rarest.
-    The order is by document frequency among these nodes, then by hash; shingles that only one group has can't
-    link groups and are left out once the places are given.
+    """Pairs (u, v) of nodes (``node, n, c``) of different groups ``c`` that may reach the threshold; none that
+    does is left out.
+
+    Only shingles that several groups have can link groups. A set of n needs ceil(percent * n / 100) of them
+    in common with any partner, so if it has m in all, one of its m - that + 1 rarest is shared and, as all
+    sets follow the same order (document frequency among these nodes, then hash), it is among the partner's
+    rarest as well. Of the pairs that meet so, those stay whose places in the two orders, and whose shingles
+    counted by hash class, leave room for the overlap that they need.
     """
-    each = nodes.join(sets, "node").select("node", "n", "c", F.explode("shingles").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("a"), F.max("c").alias("b"))
-    ranked = each.join(often, "s").select("node", "n", "c", "s", "a", "b", "df")
-    rare = Window.partitionBy("node").orderBy("df", "s")
+    each = nodes.join(sets.select("node", "shingles"), "node").select("node", "c", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("s", "df")
+    shared = each.join(often, "s")
+    by_node = Window.partitionBy("node")
+    placed = shared.select("node", "s", F.row_number().over(by_node.orderBy("df", "s")).alias("i"), F.count("*").over(by_node).alias("m"))
     need = F.floor((F.col("n") * percent + 99) / 100)
-    prefix = (ranked.withColumn("place", F.row_number().over(rare)).filter(F.col("place") <= F.col("n") - need + 1)
-              .filter("a <> b").select("node", "n", "c", "s"))
+    prefix = (placed.join(nodes, "node").filter(F.col("i") <= F.col("m") - need + 1)
+              .join(sets.select("node", "spread"), "node").select("node", "n", "c", "s", "i", "m", "spread"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    return (x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.c") < F.col("y.c")) & alike("x.n", "y.n", percent))
-            .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
+    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    by_place = F.least("x.i", "y.i") + F.least(F.col("x.m") - F.col("x.i"), F.col("y.m") - F.col("y.i")) >= overlap
+    by_class = F.aggregate(F.zip_with("x.spread", "y.spread", lambda p, q: F.least(p, q)), F.lit(0), lambda t, k: t + k) >= overlap
+    meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.c") < F.col("y.c"))
+    return x.join(y, meet & by_place & by_class).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
