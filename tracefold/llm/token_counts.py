@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ def unit_pieces(totals: DataFrame, tokenizer_path: str) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(tokenizer_path)
         for batch in slices(batches, 8192):
-            lens = [len(e) for e in encode_units(tokenizer, batch.column("unit").to_pylist())]
+            lens = np.diff(encode_units(tokenizer, batch.column("unit").to_pylist())[1])
             yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("n"), pa.array(lens, pa.int64())], names=["unit", "n", "pieces"])
 
     return totals.mapInArrow(pieces, "unit string, n bigint, pieces bigint")

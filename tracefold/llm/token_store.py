@@ -14,30 +14,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.bpe_units import encode_units, load_tokenizer, units
+from tracefold.llm.bpe_units import encode_units, load_tokenizer, parts, units
 from tracefold.llm.common import shared_path, slices
 
-#: Units a worker remembers with their ids; about 60 MB.
-CACHE_UNITS = 400_000
+#: Units a worker remembers with their ids, in two generations of this size; about 100 MB each.
+CACHE_UNITS = 450_000
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "10000",
                "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
-_encoders: dict[str, tuple] = {}      # of this worker process: path -> (tokenizer, unit -> ids as bytes)
+
+class Encoder:
+    """Encodes whole texts; remembers the ids of units it met, those of the last generation or used since."""
+    def __init__(self, path: str):
+        self.tokenizer, self.known, self.old = load_tokenizer(path), {}, {}
+
+    def learn(self, new: set[str]) -> None:
+        known, old = self.known, self.old
+        ask: set[str] = set()
+        composed = []
+        for u in new:
+            if (found := old.get(u)) is not None:
+                known[u] = found
+            elif len(ps := parts(u)) == 1:
+                ask.add(u)
+            else:
+                composed.append((u, ps))
+                ask.update(p for p in ps if p not in known)
+        asked = list(ask)
+        ids, at = encode_units(self.tokenizer, asked)
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        known.update(zip(asked, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
+        known.update((u, b"".join([known[p] for p in ps])) for u, ps in composed)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [units(t or "") for t in texts]
+        met = set().union(*cut)
+        if len(self.known) + len(met) > CACHE_UNITS:
+            self.known, self.old = {}, self.known
+        self.learn(met.difference(self.known))
+        return [b"".join(map(self.known.__getitem__, us)) for us in cut]
+
+
+_encoders: dict[str, Encoder] = {}      # of this worker process
 
 
 def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit integers; the library encodes each unit it meets."""
     if path not in _encoders:
-        _encoders[path] = (load_tokenizer(path), {})
-    tokenizer, known = _encoders[path]
-    cut = [units(t or "") for t in texts]
-    new = list(set().union(*cut).difference(known))
-    if len(known) + len(new) > CACHE_UNITS:
-        known.clear()
-        new = list(set().union(*cut))
-    for u, e in zip(new, encode_units(tokenizer, new), strict=True):
-        known[u] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, us)) for us in cut]
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id",
