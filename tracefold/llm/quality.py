@@ -115,7 +115,10 @@ def quality_rules(docs: DataFrame, model: DataFrame, text: str = "text", buckets
     total = F.aggregate("__grams", F.lit(0.0), lambda a, b: a + F.get("__ratio", b))
     rows = rows.withColumn("llr", F.when(F.size("__grams") > 0, total / F.size("__grams")).otherwise(F.lit(0.0)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    # a later filter would be pushed down through all these steps, each reference repeating the steps below it, until
+    # the plan is too large to build; optimizers move no filter below a column that isn't deterministic
+    here = F.spark_partition_id() >= 0
+    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & here)
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     return rows.select(*[c for c in own if c not in out], *out)
 
