@@ -7,7 +7,8 @@ from tracefold.plans.oracle_views import VIEWS
 
 SMOKE = "/root/testdata/sf0.001"
 ROWS_ONLY = {"fn4_blake2b", "fn10_attrs_json", "fn11_escalation_payload", "ud1_pii_analyzer_plugin",
-             "ud2_rails_plugin", "ud3_judge_plugin", "sc5_dry_run_summary"}
+             "ud2_rails_plugin", "ud3_judge_plugin"}
+OWN_TESTS = ("op", "pipeline")      # jobs of the optional subpackage, covered by tests/llm
 
 
 def test_entry_runs(spark):
@@ -18,7 +19,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle_or_is_rows_only():
     q, o = E.queries(), E.oracle_sql()
-    missing = set(q) - set(o)
+    missing = {n for n in set(q) - set(o) if not n.startswith(OWN_TESTS)}
     assert missing <= ROWS_ONLY, missing
     assert set(o) <= set(q)
     for sql in o.values():
@@ -32,8 +33,26 @@ def test_views_have_spark_twins():
         assert hasattr(T, twins.get(name, name)), name
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith(OWN_TESTS)))
 def test_query_runs_on_smoke_data(spark, name):
     df = E.queries()[name](spark, SMOKE)
     df.write.format("noop").mode("overwrite").save()
     assert len(df.columns) == len(set(df.columns))
+
+
+BOTH_WAYS = {"gt14_redaction_contract": "valid", "gt16_guardrail_chain": "blocked", "gt17_rail_match": "allowed", "ag3_guardrail_rollup": "blocked",
+             "wn7_rolling_content_window": "flagged"}
+
+
+@pytest.mark.parametrize("name", sorted(BOTH_WAYS))
+def test_stand_ins_reach_both_outcomes(spark, name):
+    rows = E.queries()[name](spark, "/root/testdata/sf0.01").select(BOTH_WAYS[name]).distinct().collect()
+    assert {r[0] for r in rows} >= {True, False}
+
+
+def test_stand_ins_reach_every_review_outcome(spark):
+    sf = "/root/testdata/sf0.01"
+    kinds = lambda n: {r[0] for r in E.queries()[n](spark, sf).select("outcome").distinct().collect()}
+    assert kinds("jn9_escalation_review") == {"accepted", "no_open_escalation", "role_too_low", "stale"}
+    assert kinds("sm8_verdict_idempotency") == {"accepted", "duplicate", "conflict"}
+    assert E.queries()["jn12_output_only_pii"](spark, sf).count() > 0

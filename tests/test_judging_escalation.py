@@ -19,11 +19,13 @@ def test_applicable_rubrics(spark):
 
 
 def test_judge_funnel_routes(spark):
-    s = spark.createDataFrame([(i, (i % 100) / 100) for i in range(2000)], "decision_id long, score double")
-    f = judging.judge_funnel(s, b"k").cache()
-    assert f.filter("score < 0.5 AND route <> 'human'").count() == 0
-    assert f.filter("score >= 0.5 AND score < 0.65 AND route <> 'deep'").count() == 0
-    sampled = f.filter("score >= 0.65").agg(F.avg(F.col("deep_sampled").cast("double"))).first()[0]
+    s = spark.createDataFrame([(i, (i % 100) / 100, "deep" if i % 2 else "fast", i % 50 == 0) for i in range(4000)], "decision_id long, score double, tier string, warned boolean")
+    f = judging.judge_funnel(s, b"k", policy_col="warned").cache()
+    assert f.filter("tier = 'fast' AND (score < 0.65 OR warned OR deep_sampled) AND route <> 'deep'").count() == 0
+    assert f.filter("tier = 'deep' AND score < 0.5 AND route <> 'human'").count() == 0
+    assert f.filter("route = 'human' AND tier = 'fast'").count() == 0      # only a deep score reaches a human
+    assert f.filter("tier = 'deep' AND score >= 0.5 AND route <> 'done'").count() == 0
+    sampled = f.agg(F.avg(F.col("deep_sampled").cast("double"))).first()[0]
     assert 0.02 < sampled < 0.09
 
 
@@ -39,34 +41,49 @@ def _esc(spark):
 
 def _rev(spark):
     return spark.createDataFrame(
-        [("e1", "n1", "approve", 3, "2024-01-01 01:00:00"), ("e1", "n1", "approve", 3, "2024-01-01 01:00:00"),
-         ("e1", "n2", "revise", 1, "2024-01-01 02:00:00"), ("e2", "n3", "reject", 1, "2024-01-09 00:00:00"),
-         ("ex", "n4", "approve", 5, "2024-01-01 00:00:00")],
-        "escalation_id string, nonce string, verdict string, reviewer_rank long, reviewed_at string"
-    ).withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp_ntz"))
+        [("e1", "n1", "approve", 3, "2024-01-01 01:00:00", 0), ("e1", "n1", "approve", 3, "2024-01-01 01:00:00", 0),
+         ("e1", "n2", "revise", 1, "2024-01-01 02:00:00", 0), ("e2", "n3", "reject", 1, "2024-01-01 03:00:00", 8),
+         ("ex", "n4", "approve", 5, "2024-01-01 00:00:00", 0), ("e1", "n5", "reject", 4, "2024-01-01 03:00:00", 0),
+         ("e2", "n6", "reject", 4, "2024-01-01 05:00:00", 0), ("e3", "n7", "reject", 4, "2024-01-01 05:00:00", 0)],
+        "escalation_id string, nonce string, verdict string, reviewer_rank long, reviewed_at string, days long"
+    ).withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp_ntz")).withColumn(
+        "received_at", F.col("reviewed_at") + F.make_dt_interval(days=F.col("days").cast("int")))
 
 
 def test_match_reviews_reasons(spark):
-    out = {(r.nonce, r.outcome) for r in escalation.match_reviews(_rev(spark), _esc(spark)).collect()}
-    assert ("n1", "accepted") in out and ("n2", "role_too_low") in out
-    assert ("n3", "stale") in out and ("n4", "no_open_escalation") in out
+    out = {r.nonce: r.outcome for r in escalation.match_reviews(_rev(spark), _esc(spark)).collect()}
+    assert out == {"n1": "accepted", "n2": "role_too_low", "n3": "stale", "n4": "no_open_escalation",
+                   "n5": "no_open_escalation",      # e1 is answered already
+                   "n6": "no_open_escalation",      # its fallback closed e2
+                   "n7": "accepted"}                # e3 stays open after its deadline
+
+
+def _qualified(spark):
+    return escalation.qualified_reviews(_rev(spark), _esc(spark))
 
 
 def test_verdict_idempotency_and_conflicts(spark):
-    v = {r.nonce: r for r in escalation.verdict_idempotency(_rev(spark)).collect()}
+    v = {r.nonce: r for r in escalation.verdict_idempotency(_qualified(spark)).collect()}
     assert v["n1"].outcome == "accepted" and v["n1"].deliveries == 2
-    assert v["n2"].outcome == "conflict"
-    c = {r.escalation_id: r for r in escalation.conflicting_verdicts(_rev(spark)).collect()}
-    assert c["e1"].alert and c["e1"].first_verdict == "approve"
+    assert v["n5"].outcome == "conflict" and "n2" not in v
+    c = {r.escalation_id: r for r in escalation.conflicting_verdicts(_qualified(spark)).collect()}
+    assert c["e1"].alert and c["e1"].first_verdict == "approve" and c["e1"].n_conflicting == 1
+    assert not c["e3"].alert
 
 
 def test_deadline_fallback(spark):
-    out = {r.escalation_id: r for r in escalation.deadline_fallback(_esc(spark), _rev(spark), "2024-02-01 00:00:00").collect()}
-    assert set(out) == {"e2", "e3"}            # e1 answered before its deadline
+    out = {r.escalation_id: r for r in escalation.deadline_fallback(_esc(spark), _qualified(spark), "2024-02-01 00:00:00").collect()}
+    assert set(out) == {"e2", "e3"}            # e1 was answered before its deadline; a stale verdict answers nothing
     assert out["e2"].verdict == "approve" and out["e3"].status == "open"
     assert out["e2"].reviewer_id == "system.timeout"
 
 
+def test_pending_gauge_ignores_verdicts_that_do_not_count(spark):
+    e = _esc(spark).withColumn("tenant_id", F.lit("t"))
+    out = escalation.pending_gauge(e, _qualified(spark), "2024-01-01 04:30:00").collect()
+    assert [r.open_escalations for r in out] == [2]
+
+
 def test_saved_view_with_score_fields(spark):
     from tracefold.operators import policy
     d = spark.createDataFrame([(1, "decision_summary", "2024-01-02"), (2, "decision_summary", "2024-01-03"),

@@ -78,12 +78,32 @@ def test_conditional_sampler_low_scores_always_kept(spark):
     df = spark.range(2000).select(F.col("id").alias("decision_id"), F.lit("t").alias("tenant_id"),
                                   (F.col("id") % 10 / 10).alias("score"))
     rate = F.when(F.col("score") < 0.2, F.lit(1.0)).otherwise(F.lit(0.05))
-    out = sampling.conditional_sample(df, rate, [1.0, 0.05], KEY)
+    out = sampling.conditional_sample(df, rate, KEY)
     assert out.filter(F.col("score") < 0.2).count() == 400
     hi = out.filter(F.col("score") >= 0.2).count()
     assert 40 <= hi <= 120
 
 
+def test_conditional_sampler_takes_any_rate(spark):
+    df = spark.range(4000).select(F.col("id").alias("decision_id"), F.lit("t").alias("tenant_id"))
+    for rate, low, high in ((0.9, 3500, 3700), (0.371, 1380, 1590), (1e-12, 0, 1)):
+        assert low <= sampling.conditional_sample(df, F.lit(rate), KEY).count() <= high
+    by_row = F.when(F.col("decision_id") % 4 == 0, 1.5).when(F.col("decision_id") % 4 == 1, 0.0).when(F.col("decision_id") % 4 == 2, -1.0)
+    assert sampling.conditional_sample(df, by_row, KEY).filter("decision_id % 4 <> 0").count() == 0
+    # a column's rate and a literal's keep the same rows
+    cls = df.withColumn("event_class", F.lit("c")).withColumn("agent_id", F.col("decision_id").cast("string"))
+    a = sampling.sample_records(cls, KEY, {"c": 0.3}).select("decision_id")
+    b = cls.filter(sampling.conditional_keep(F.lit(0.3), [F.col("tenant_id"), F.col("agent_id"), F.col("event_class")], KEY)).select("decision_id")
+    assert a.count() > 0 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_long_rule_lists_keep_the_columns(spark):
+    df = spark.createDataFrame([("a-1", "t-1", "ok")], "agent_id string, tenant_id string, note string")
+    rules = policy.RuleSet(allow={"tenant_id": [f"t-{i}" for i in range(5000)]}, deny={"agent_id": [f"b-{i}" for i in range(5000)]})
+    out = policy.apply_rules(df, rules)
+    assert out.columns == df.columns and out.count() == 1
+
+
 def test_records_helper(spark):
     assert records_df(spark, [{"a": 1}]).count() == 1
 

@@ -74,12 +74,11 @@ def rekey_by_tenant(df, hash_col: str, keys: dict[str, bytes | str], out_col: st
 
     Equal hashes stay equal within one tenant and differ across tenants. Rows
     whose tenant has no key get a null. The key table has one row per
-    configured tenant, so it is broadcast; the data side is never shuffled.
+    configured tenant; Spark broadcasts it while it is small and shuffles
+    both sides beyond that.
     """
-    if len(keys) > 100_000:
-        raise ValueError("tenant key table too large to broadcast; bucket it instead")
     kt = tenant_keys_frame(df.sparkSession, keys, tenant_col)
-    joined = df.join(F.broadcast(kt), on=tenant_col, how="left")
+    joined = df.join(kt, on=tenant_col, how="left")
     return joined.withColumn(
         out_col,
         F.when(F.col("ipad_hex").isNotNull(),

@@ -23,21 +23,38 @@ def normalize_verdict(v):
     return expr
 
 
+def _judged(reviews: DataFrame, escalations: DataFrame, stale_days: int) -> DataFrame:
+    """Reviews with ``__reason``: why a verdict can't count whatever else was delivered, null if it can."""
+    e = escalations.select("escalation_id", "requested_at", "deadline", "fallback", "required_rank")
+    j = reviews.join(e, "escalation_id", "left")
+    stale = F.col("received_at") > F.col("reviewed_at") + F.make_dt_interval(days=F.lit(stale_days))
+    timed_out = (F.col("fallback") != "defer") & (F.col("reviewed_at") > F.col("deadline"))
+    reason = (F.when(F.col("requested_at").isNull(), F.lit("no_open_escalation"))
+               .when(F.col("reviewer_rank") < F.col("required_rank"), F.lit("role_too_low"))
+               .when(stale, F.lit("stale"))
+               .when(timed_out, F.lit("no_open_escalation")))
+    return j.withColumn("verdict", normalize_verdict(F.col("verdict"))).withColumn("__reason", reason)
+
+
+def qualified_reviews(reviews: DataFrame, escalations: DataFrame, stale_days: int = C.STALE_VERDICT_DAYS) -> DataFrame:
+    """The verdicts that may answer their escalation: it exists, the reviewer's rank suffices, the verdict was not
+    stale when it came in, and no fallback had closed the escalation. SM7, SM8, WN6 and AG14 start from these."""
+    return _judged(reviews, escalations, stale_days).filter(F.col("__reason").isNull()).select(*reviews.columns)
+
+
 def match_reviews(reviews: DataFrame, escalations: DataFrame, stale_days: int = C.STALE_VERDICT_DAYS) -> DataFrame:
     """JN9: attach each verdict to its escalation and decide acceptance.
 
-    Rejected when no escalation matches, when the reviewer's rank is below
-    the escalation's required rank, or when the verdict is stale: given more
-    than ``stale_days`` after the escalation was requested.
+    A verdict is stale if it was more than ``stale_days`` old when received. The first qualified verdict (by time,
+    then nonce) is accepted and closes the escalation; those after it find no open escalation. Replays of the
+    accepted nonce have its outcome.
     """
-    e = escalations.select("escalation_id", "requested_at", "required_rank")
-    j = reviews.join(e, "escalation_id", "left")
-    stale = F.col("reviewed_at") > F.col("requested_at") + F.make_dt_interval(days=F.lit(stale_days))
-    outcome = (F.when(F.col("requested_at").isNull(), F.lit("no_open_escalation"))
-                .when(F.col("reviewer_rank") < F.col("required_rank"), F.lit("role_too_low"))
-                .when(stale, F.lit("stale"))
-                .otherwise(F.lit("accepted")))
-    return j.withColumn("verdict", normalize_verdict(F.col("verdict"))).withColumn("outcome", outcome)
+    j = _judged(reviews, escalations, stale_days)
+    o = F.struct("reviewed_at", "nonce")
+    first = j.filter(F.col("__reason").isNull()).groupBy("escalation_id").agg(F.min(o).alias("__first"))
+    j = j.join(first, "escalation_id", "left")
+    outcome = F.coalesce("__reason", F.when(o == F.col("__first"), F.lit("accepted")).otherwise(F.lit("no_open_escalation")))
+    return j.withColumn("outcome", outcome).drop("__reason", "__first")
 
 
 def first_verdicts(reviews: DataFrame) -> DataFrame:
@@ -50,12 +67,12 @@ def first_verdicts(reviews: DataFrame) -> DataFrame:
 
 def conflicting_verdicts(reviews: DataFrame) -> DataFrame:
     """WN6: first verdict per escalation wins; later different verdicts are
-    conflicts (rejected and alerted)."""
-    f = first_verdicts(reviews)
-    j = reviews.join(f, "escalation_id")
-    per = j.groupBy("escalation_id").agg(
-        F.max("first_verdict").alias("first_verdict"),
-        F.count_if(F.col("verdict") != F.col("first_verdict")).alias("n_conflicting"))
+    conflicts (rejected and alerted). Deliveries are first counted per
+    escalation and verdict, so a flood for one escalation combines map-side."""
+    o = F.struct("reviewed_at", "nonce")
+    per = reviews.groupBy("escalation_id", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min(o).alias("o"))
+    per = per.groupBy("escalation_id").agg(F.min_by("verdict", "o").alias("first_verdict"),
+                                           (F.sum("n") - F.min_by("n", "o")).alias("n_conflicting"))
     return per.withColumn("alert", F.col("n_conflicting") > 0)
 
 
@@ -95,9 +112,9 @@ def deadline_fallback(escalations: DataFrame, reviews: DataFrame, as_of: str) ->
     then get the profile fallback: fail-closed -> reject, fail-open ->
     approve, defer -> stays open. Fallbacks carry the timeout reviewer."""
     t = F.lit(as_of).cast("timestamp_ntz")
-    answered = (reviews.join(escalations.select("escalation_id", "deadline"), "escalation_id")
-                       .filter(F.col("reviewed_at") <= F.col("deadline")).select("escalation_id").distinct())
-    overdue = escalations.filter(F.col("deadline") < t).join(answered, "escalation_id", "left_anti")
+    first = reviews.groupBy("escalation_id").agg(F.min("reviewed_at").alias("__first"))
+    overdue = (escalations.filter(F.col("deadline") < t).join(first, "escalation_id", "left")
+                          .filter(F.col("__first").isNull() | (F.col("__first") > F.col("deadline"))))
     verdict = (F.when(F.col("fallback") == "fail-closed", F.lit("reject"))
                 .when(F.col("fallback") == "fail-open", F.lit("approve")))
     return overdue.select("escalation_id", "fallback", verdict.alias("verdict"),
@@ -125,6 +142,6 @@ def fetch_abuse(fetches: DataFrame, window: str, threshold: int, reviewer_col: s
 def pending_gauge(escalations: DataFrame, reviews: DataFrame, as_of: str, key: str = "tenant_id") -> DataFrame:
     """AG14: escalations open at ``as_of`` (requested, no verdict yet), per tenant."""
     t = F.lit(as_of).cast("timestamp_ntz")
-    done = reviews.filter(F.col("reviewed_at") <= t).select("escalation_id")
+    done = reviews.filter(F.col("reviewed_at") <= t).select("escalation_id").distinct()
     open_ = escalations.filter(F.col("requested_at") <= t).join(done, "escalation_id", "left_anti")
     return open_.groupBy(key).agg(F.count(F.lit(1)).alias("open_escalations"))

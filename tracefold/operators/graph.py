@@ -93,17 +93,15 @@ def walk(e: DataFrame, seeds: DataFrame, max_hops: int, follow: Sequence[str] |
 
 
 def erase_user(content: DataFrame, requests: DataFrame, user_col: str = "user_id",
-               content_cols: Sequence[str] = ("internal_note",), broadcast_limit: int = 100_000) -> DataFrame:
+               content_cols: Sequence[str] = ("internal_note",)) -> DataFrame:
     """JN11: remove content of erased users, keep structure, flag the rows.
 
     ``requests`` holds the users to erase. Structural columns are kept;
-    content columns are nulled and ``content_deleted`` set. When the request
-    list is small (checked) it is broadcast; otherwise both sides shuffle.
+    content columns are nulled and ``content_deleted`` set. Spark broadcasts
+    a small request list and shuffles both sides otherwise.
     """
     req = requests.select(F.col(user_col).alias("__erase")).distinct()
-    n = req.count()
-    side = F.broadcast(req) if n <= broadcast_limit else req
-    j = content.join(side, content[user_col] == F.col("__erase"), "left")
+    j = content.join(req, content[user_col] == F.col("__erase"), "left")
     deleted = F.col("__erase").isNotNull()
     out = j.select(*[F.when(deleted, F.lit(None).cast(content.schema[c].dataType)).otherwise(F.col(c)).alias(c)
                      if c in content_cols else F.col(c) for c in content.columns],
@@ -118,46 +116,37 @@ def deletion_events(erased: DataFrame, id_col: str, at: str) -> DataFrame:
         F.lit(at).cast("timestamp_ntz").alias("ts"))
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                      lambda acc, x: acc + x)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return dot / (na * nb)
+def _norm(v: str) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+def _dot(a: Column | str, b: Column | str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
+                       lambda acc, x: acc + x)
 
 
 def similarity_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                      vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "query_vec",
-                     max_queries: int = 4096, chunk: int = 128, buckets: int = 512) -> DataFrame:
+                     blocks: int = 64, buckets: int = 512) -> DataFrame:
     """JN13: the ``k`` most cosine-similar vectors to each query vector.
 
-    The query set is small by contract (checked against ``max_queries``); it
-    is collected once and inlined, ``chunk`` queries at a time, so each
-    vector row scores a chunk of queries in one array expression (no join).
-    The top ``k`` per query uses the two-level salted top-k, ties broken by
-    id. Similarity is computed in DOUBLE and rounded to 6 places.
+    The query set is stated by the caller and compared with all vectors,
+    in blocks: queries are dealt into ``blocks`` by a hash and gathered into
+    one row per block, each vector row is sent to every block by an
+    equi-join on the block number, and scores a block's queries in one array
+    expression. Norms are computed once per vector and per query. The top
+    ``k`` per query uses the two-level salted top-k, ties broken by id.
+    Similarity is computed in DOUBLE and rounded to 6 places.
     """
-    rows = queries.select(qid_col, qvec_col).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors; batch the queries")
-    qtype = queries.schema[qid_col].dataType
-    v = vectors.select(id_col, vec_col)
-    parts = []
-    for i in range(0, len(rows), chunk):
-        part = rows[i:i + chunk]
-        lit_q = F.array(*[F.struct(F.lit(r[qid_col]).cast(qtype).alias("qid"),
-                                   F.array(*[F.lit(float(x)) for x in r[qvec_col]]).alias("qv"))
-                          for r in part])
-        scored = v.select(id_col, F.explode(F.transform(lit_q, lambda q: F.struct(
-            q["qid"].alias("qid"), F.round(_cosine(q["qv"], F.col(vec_col)), 6).alias("similarity")))).alias("s"))
-        parts.append(scored.select(F.col("s.qid").alias(qid_col), id_col, F.col("s.similarity").alias("similarity")))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], T.StructType([
-            T.StructField(qid_col, qtype), T.StructField(id_col, vectors.schema[id_col].dataType),
-            T.StructField("similarity", T.DoubleType()), T.StructField("rank", T.LongType())]))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    q = queries.select(qid_col, F.col(qvec_col).alias("__qv"), _norm(qvec_col).alias("__qn"))
+    q = (q.withColumn("__b", F.pmod(F.xxhash64(qid_col), F.lit(blocks)).cast("int")).groupBy("__b")
+          .agg(F.collect_list(F.struct(F.col(qid_col).alias("qid"), F.col("__qv").alias("qv"),
+                                       F.col("__qn").alias("qn"))).alias("__qs")))
+    v = vectors.select(id_col, F.col(vec_col).alias("__v"), _norm(vec_col).alias("__n"),
+                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
+    scored = v.join(q, "__b").select(id_col, F.explode(F.transform("__qs", lambda x: F.struct(
+        x["qid"].alias("qid"), F.round(_dot(x["qv"], F.col("__v")) / (x["qn"] * F.col("__n")), 6).alias("sim")))).alias("s"))
+    scored = scored.select(F.col("s.qid").alias(qid_col), id_col, F.col("s.sim").alias("similarity"))
     return top_k(scored, [qid_col], [F.col("similarity").desc(), F.col(id_col).asc()], k, id_col,
                  buckets=buckets)
 

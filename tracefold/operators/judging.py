@@ -51,8 +51,8 @@ def applicable_rubrics(decisions: DataFrame, rubrics: Sequence[Rubric], retrieva
 
 
 def unscored(decisions: DataFrame, scores: DataFrame, key: str = "decision_id") -> DataFrame:
-    """JN8: decisions without any judge score (anti join)."""
-    return decisions.join(scores.select(key), key, "left_anti")
+    """JN8: decisions without any judge score (anti join with one row per scored decision)."""
+    return decisions.join(scores.select(key).distinct(), key, "left_anti")
 
 
 def chunk_merge(chunks: DataFrame, key: Sequence[str], rubric_col: str, score_col: str,
@@ -86,14 +86,22 @@ def daily_trend(scores: DataFrame, key: Sequence[str], ts_col: str, score_col: s
 
 def judge_funnel(scores: DataFrame, key: bytes | str, score_col: str = "score", id_col: str = "decision_id",
                  fast_flag: float = C.JUDGE_FAST_FLAG, deep_flag: float = C.JUDGE_DEEP_FLAG,
-                 deep_sample: float = C.JUDGE_DEEP_SAMPLE_RATE) -> DataFrame:
-    """SM9: fast 100 % -> deep (flagged below ``fast_flag`` or a keyed
-    ``deep_sample`` share) -> human (below ``deep_flag``)."""
+                 deep_sample: float = C.JUDGE_DEEP_SAMPLE_RATE, tier_col: str = "tier",
+                 policy_col: str | None = None) -> DataFrame:
+    """SM9: where a score goes next.
+
+    A fast-tier score goes on to ``deep`` if it is below ``fast_flag``, if its
+    decision is in the keyed ``deep_sample`` share, or if a policy flagged it
+    (``policy_col``); a deep-tier score goes to ``human`` if it is below
+    ``deep_flag``. All others are ``done``.
+    """
     s = F.col(score_col).cast("double")
     bucket = hmac_prefix_u64_hex(F.col(id_col).cast("string"), key)
     sampled = bucket < F.lit(rate_threshold_hex(deep_sample))
-    to_deep = (s < fast_flag) | sampled
-    route = F.when(s < deep_flag, F.lit("human")).when(to_deep, F.lit("deep")).otherwise(F.lit("fast"))
+    flagged = F.coalesce(F.col(policy_col), F.lit(False)) if policy_col else F.lit(False)
+    fast, deep = F.col(tier_col) == "fast", F.col(tier_col) == "deep"
+    route = (F.when(fast & ((s < fast_flag) | sampled | flagged), F.lit("deep"))
+              .when(deep & (s < deep_flag), F.lit("human")).otherwise(F.lit("done")))
     return scores.withColumn("deep_sampled", sampled).withColumn("route", route)
 
 
@@ -106,12 +114,14 @@ def rubric_frame(spark, rubrics: Sequence[Rubric]) -> DataFrame:
 
 
 def flag_escalations(scores: DataFrame, rubrics: Sequence[Rubric], score_col: str = "score",
-                     rubric_col: str = "rubric", warn_col: str | None = None, manual_col: str | None = None) -> DataFrame:
+                     rubric_col: str = "rubric", warn_col: str | None = None, manual_col: str | None = None,
+                     tier_col: str = "tier") -> DataFrame:
     """SM10: decide which scores open an escalation and why.
 
     Reasons in precedence: ``manual``, ``always_escalate`` rubric,
-    ``below_deep_flag``, ``reviewed_category_warn``. The rubric table is a
-    broadcast dimension (stream-static join on a stream).
+    ``below_deep_flag`` (a deep-tier score only), ``reviewed_category_warn``.
+    The rubric table is a broadcast dimension (stream-static join on a
+    stream).
     """
     dim = F.broadcast(rubric_frame(scores.sparkSession, rubrics).withColumnRenamed("rubric", "__r"))
     j = scores.join(dim, F.col(rubric_col) == F.col("__r"), "left")
@@ -121,7 +131,7 @@ def flag_escalations(scores: DataFrame, rubrics: Sequence[Rubric], score_col: st
     if manual_col:
         conds.append((F.coalesce(F.col(manual_col), F.lit(False)), "manual"))
     conds.append((F.coalesce(F.col("always_escalate"), F.lit(False)), "always_escalate"))
-    conds.append((s < F.coalesce(F.col("deep_flag"), F.lit(C.JUDGE_DEEP_FLAG)), "below_deep_flag"))
+    conds.append(((F.col(tier_col) == "deep") & (s < F.coalesce(F.col("deep_flag"), F.lit(C.JUDGE_DEEP_FLAG))), "below_deep_flag"))
     if warn_col:
         conds.append((F.coalesce(F.col(warn_col), F.lit(False)), "reviewed_category_warn"))
     expr = None
@@ -165,7 +175,7 @@ def control_coverage(spark, controls: Mapping[str, Sequence[str]], evidence_coun
     rows = [(ctl, kind) for ctl, kinds in controls.items() for kind in kinds]
     cfg = spark.createDataFrame(rows, T.StructType([T.StructField("control", T.StringType(), False),
                                                     T.StructField("kind", T.StringType(), False)]))
-    j = cfg.join(F.broadcast(evidence_counts), "kind", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    j = cfg.join(evidence_counts, "kind", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
     return j.groupBy("control").agg(
         F.count(F.lit(1)).alias("n_kinds"),
         F.sum("n_rows").cast("bigint").alias("evidence_rows"),

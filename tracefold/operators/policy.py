@@ -16,10 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Lists longer than this are applied as a broadcast semi/anti join instead of
-# an IN-set literal; both are bounded by the rule config, not by the data.
-_INLINE_LIST_MAX = 1000
-
 
 def policy_gate(df: DataFrame, predicate: str | None) -> DataFrame:
     """GT9: keep rows where ``predicate`` is true; no policy means no-op."""
@@ -64,28 +60,19 @@ class RuleSet:
     drop_patterns: Mapping[str, str] = field(default_factory=dict)
 
 
-def _list_frame(spark, col: str, values: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in dict.fromkeys(values)], T.StructType(
-        [T.StructField(col, T.StringType(), False)]))
-
-
 def apply_rules(df: DataFrame, rules: RuleSet) -> DataFrame:
     """GT10: AND of every rule; rules can only narrow what passes.
 
     Allow lists keep rows whose value is listed (null is not listed); deny
     lists drop listed values; drop patterns drop rows whose column matches.
+    Lists are config and become one set literal each, whatever their length,
+    so rows stay where they are and columns keep their order.
     """
     out = df
     for col, values in rules.allow.items():
-        if len(values) <= _INLINE_LIST_MAX:
-            out = out.filter(F.coalesce(F.col(col).isin(list(values)), F.lit(False)))
-        else:
-            out = out.join(F.broadcast(_list_frame(df.sparkSession, col, values)), col, "left_semi")
+        out = out.filter(F.coalesce(F.col(col).isin(list(values)), F.lit(False)))
     for col, values in rules.deny.items():
-        if len(values) <= _INLINE_LIST_MAX:
-            out = out.filter(F.coalesce(~F.col(col).isin(list(values)), F.lit(True)))
-        else:
-            out = out.join(F.broadcast(_list_frame(df.sparkSession, col, values)), col, "left_anti")
+        out = out.filter(F.coalesce(~F.col(col).isin(list(values)), F.lit(True)))
     for col, pattern in rules.drop_patterns.items():
         out = out.filter(F.coalesce(~F.col(col).rlike(pattern), F.lit(True)))
     return out

@@ -74,12 +74,12 @@ def sample_records(df: DataFrame, key: bytes | str, rates: Mapping[str, float],
     return df.filter(keep)
 
 
-def conditional_keep(rate: Column, key_cols: list[Column], key: bytes | str,
-                     rate_values: list[float]) -> Column:
+def conditional_keep(rate: Column, key_cols: list[Column], key: bytes | str) -> Column:
     """GT12 keep flag: per-row rate chosen by content, bucket over the key.
 
-    ``rate`` must evaluate to one of ``rate_values`` (the finite set of rates a
-    rule set can produce), so each threshold is a literal in the plan.
+    Any rate will do: the row's threshold is ``floor(rate * 2**63)``, compared
+    with the upper 63 bits of the bucket, which is the rule of
+    :func:`sampler_keep` for a rate that is a column. A null rate drops the row.
     """
     sep = F.lit(C.SAMPLER_SEPARATOR)
     parts = []
@@ -88,14 +88,15 @@ def conditional_keep(rate: Column, key_cols: list[Column], key: bytes | str,
             parts.append(sep)
         parts.append(F.coalesce(c.cast("string"), F.lit("")))
     bucket = hmac_prefix_u64_hex(F.concat(*parts), key)
-    expr = F.lit(False)
-    for r in sorted(set(rate_values)):
-        expr = F.when(rate == F.lit(r), _rate_keep(r, bucket)).otherwise(expr)
-    return expr
+    # the 16 hex digits as a signed 64-bit number; shifted right without sign, its upper 63 bits
+    signed = F.conv(bucket, 16, -10).cast("bigint")
+    threshold = F.floor(rate.cast("double") * F.lit(float(1 << 63))).cast("bigint")
+    return (F.when(rate >= 1.0, F.lit(True)).when(rate <= 0.0, F.lit(False)).when(rate.isNull() | F.isnan(rate.cast("double")), F.lit(False))
+             .otherwise(F.shiftrightunsigned(signed, 1) < threshold))
 
 
-def conditional_sample(df: DataFrame, rate_expr: Column, rate_values: list[float],
-                       key: bytes | str, key_cols: tuple[str, ...] = ("tenant_id", "decision_id"),
+def conditional_sample(df: DataFrame, rate_expr: Column, key: bytes | str,
+                       key_cols: tuple[str, ...] = ("tenant_id", "decision_id"),
                        rate_col: str = "sample_rate") -> DataFrame:
     """GT12: content-dependent sampling (e.g. low score 100 %, else 5 %).
 
@@ -103,5 +104,5 @@ def conditional_sample(df: DataFrame, rate_expr: Column, rate_values: list[float
     decision is reproducible across stages and runs.
     """
     out = df.withColumn(rate_col, rate_expr)
-    keep = conditional_keep(F.col(rate_col), [F.col(c) for c in key_cols], key, rate_values)
+    keep = conditional_keep(F.col(rate_col), [F.col(c) for c in key_cols], key)
     return out.filter(keep)

@@ -6,6 +6,10 @@ the prefix. The driver tables are pre-registered under their own names.
 
 from __future__ import annotations
 
+from tracefold import constants as C
+
+_PHRASE = C.JAILBREAK_PHRASES[0]
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -45,11 +49,21 @@ SELECT decision_id, event_class, key, vtype, vstr, vint, vdbl FROM (
   UNION ALL SELECT decision_id, event_class, 'user_id', 'int', NULL, user_id, NULL FROM records
 ) WHERE vstr IS NOT NULL OR vint IS NOT NULL OR vdbl IS NOT NULL""")
 
-_view("texts", (), """
-SELECT doc_id, 'decision_summary.text' AS path, text AS value, lang, source FROM documents""")
-
-_view("turns", (), """
-SELECT conv_id AS session_id, turn, role, text FROM conversations""")
+_view("texts", (), f"""
+SELECT doc_id, 'decision_summary.text' AS path,
+       CASE doc_id % 23 WHEN 1 THEN text || ' {_PHRASE.upper()}'
+                        WHEN 2 THEN chr(8195) || '  ' || text || ' ' || chr(9) || chr(10)
+                        WHEN 3 THEN repeat('long text ', 7000)
+                        WHEN 4 THEN text || ' 415-555-0134' ELSE text END AS value, lang, source FROM documents""")
+
+_view("turns", (), f"""
+SELECT conv_id AS session_id, turn, role,
+       CASE WHEN k = 1 THEN text || chr(10) || '{_PHRASE.split(" ", 1)[0]}' || chr(10) || '{_PHRASE.split(" ", 1)[1]}'
+            WHEN k = 2 THEN text || ' {_PHRASE}'
+            WHEN k = 3 AND role = 'assistant' THEN text || ' write to help.desk@example.org'
+            WHEN k = 4 THEN text || ' 415-555-0134'
+            WHEN k = 5 THEN chr(8195) || ' ' || text || chr(10) || ' ' ELSE text END AS text
+FROM (SELECT *, (conv_id * 3 + turn) % 17 AS k FROM conversations)""")
 
 _view("scores", (), """
 SELECT l.doc_id AS decision_id,
@@ -108,25 +122,37 @@ FROM records WHERE event_class = 'escalation'""")
 
 _view("reviews", ("escalations",), """
 SELECT * FROM (
-  WITH b AS (
-    SELECT escalation_id, decision_id,
+  WITH b0 AS (
+    SELECT escalation_id, decision_id, requested_at + to_hours(CAST(decision_id % 13 AS BIGINT)) AS given_at
+    FROM escalations WHERE decision_id % 3 = 0),
+  b AS (
+    SELECT CASE WHEN decision_id % 21 = 0 THEN 'none-' || CAST(decision_id AS VARCHAR) ELSE escalation_id END AS escalation_id, decision_id,
            'n-' || CAST(decision_id AS VARCHAR) AS nonce,
            ['approve', 'reject', 'modify'][(decision_id // 3) % 3 + 1] AS verdict,
            'rev-' || CAST(decision_id % 7 AS VARCHAR) AS reviewer_id,
-           (decision_id // 3) % 4 AS reviewer_rank,
-           requested_at + to_hours(CAST(decision_id % 13 AS BIGINT))
-             + CASE WHEN decision_id % 27 = 0 THEN INTERVAL 8 DAY ELSE INTERVAL 0 DAY END AS reviewed_at
-    FROM escalations WHERE decision_id % 3 = 0)
+           (decision_id // 3) % 4 AS reviewer_rank, given_at AS reviewed_at,
+           given_at + CASE WHEN decision_id % 27 = 0 THEN INTERVAL 8 DAY ELSE INTERVAL 0 DAY END AS received_at
+    FROM b0)
   SELECT * FROM b
   UNION ALL
   SELECT escalation_id, decision_id, 'n-' || CAST(decision_id AS VARCHAR) || '-b',
          ['approve', 'reject', 'modify'][((decision_id // 3) + 1) % 3 + 1],
          'rev-' || CAST((decision_id + 1) % 7 AS VARCHAR), CAST(3 AS BIGINT),
-         reviewed_at + INTERVAL 1 HOUR
-  FROM b WHERE decision_id % 9 = 0
+         given_at + INTERVAL 1 HOUR, given_at + INTERVAL 1 HOUR
+  FROM b0 WHERE decision_id % 9 = 0
+  UNION ALL
+  SELECT escalation_id, decision_id, nonce || '-c', verdict, reviewer_id, reviewer_rank,
+         reviewed_at + INTERVAL 30 MINUTE, reviewed_at + INTERVAL 30 MINUTE
+  FROM b WHERE decision_id % 15 = 0
   UNION ALL
   SELECT * FROM b WHERE decision_id % 18 = 0)""")
 
+# Verdicts that may answer their escalation.
+_view("qualified", ("reviews", "escalations"), f"""
+SELECT r.* FROM reviews r JOIN escalations e ON r.escalation_id = e.escalation_id
+WHERE r.reviewer_rank >= e.required_rank AND date_diff('second', r.reviewed_at, r.received_at) <= {C.STALE_VERDICT_DAYS} * 86400
+  AND (e.fallback = 'defer' OR r.reviewed_at <= e.deadline)""")
+
 _view("vectors", (), """
 SELECT vec_id, embedding, label FROM embeddings""")
 

@@ -161,7 +161,7 @@ def gt12_conditional_sampler(spark, sf_dir):
              .when(F.col("latency_ms") >= 300, F.lit(1.0))
              .when(F.col("event_class") == "decision_summary", F.lit(0.1))
              .otherwise(F.lit(0.05)))
-    out = sampling.conditional_sample(r, rate, [0.05, 0.1, 1.0], SAMPLER_KEY)
+    out = sampling.conditional_sample(r, rate, SAMPLER_KEY)
     return out.select("decision_id", "tenant_id", "event_class", "sample_rate")
 
 

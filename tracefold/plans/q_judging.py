@@ -56,16 +56,24 @@ def jn8_unscored_decisions(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- JN9 / JN10
-@register("jn9_escalation_review", with_views("reviews", "escalations") + f"""
+@register("jn9_escalation_review", with_views("qualified") + f"""
 SELECT r.escalation_id, r.nonce, r.verdict,
   CASE WHEN e.escalation_id IS NULL THEN 'no_open_escalation' WHEN r.reviewer_rank < e.required_rank THEN 'role_too_low'
-       WHEN r.reviewed_at > e.requested_at + INTERVAL {C.STALE_VERDICT_DAYS} DAY THEN 'stale' ELSE 'accepted' END AS outcome
+       WHEN r.received_at - r.reviewed_at > INTERVAL {C.STALE_VERDICT_DAYS} DAY THEN 'stale'
+       WHEN e.fallback IN ('fail-closed', 'fail-open') AND r.reviewed_at > e.deadline THEN 'no_open_escalation'
+       WHEN EXISTS (SELECT 1 FROM qualified q WHERE q.escalation_id = r.escalation_id
+                    AND (q.reviewed_at < r.reviewed_at OR q.reviewed_at = r.reviewed_at AND q.nonce < r.nonce)) THEN 'no_open_escalation'
+       ELSE 'accepted' END AS outcome
 FROM reviews r LEFT JOIN escalations e ON r.escalation_id = e.escalation_id""")
 def jn9_escalation_review(spark, sf_dir):
     m = escalation.match_reviews(T.reviews(spark, sf_dir), T.escalations(spark, sf_dir))
     return m.select("escalation_id", "nonce", "verdict", "outcome")
 
 
+def _qualified(spark, sf_dir):
+    return escalation.qualified_reviews(T.reviews(spark, sf_dir), T.escalations(spark, sf_dir))
+
+
 @register("jn10_escalation_packet", with_views("escalations", "records", "scores") + f"""
 SELECT e.escalation_id, e.decision_id, d.agent_id, d.model, CAST(d.cost_usd AS DOUBLE) AS cost_usd, d.latency_ms,
        coalesce(s.judge_scores, '') AS judge_scores, {placeholders_sql('d.internal_note')} AS review_note
@@ -113,7 +121,7 @@ def jn12_output_only_pii(spark, sf_dir):
 # --------------------------------------------------------------------------- JN14
 CONTROLS = {
     "eu_ai_act.article_12": ("decisions", "escalation-log", "deletions-log"),
-    "eu_ai_act.article_14": ("escalation-log", "sasf-attestations"),
+    "eu_ai_act.article_14": ("escalation-log", "human-attestations"),
     "eu_ai_act.article_15": ("redteam-reports", "decisions"),
 }
 
@@ -121,13 +129,13 @@ CONTROLS = {
 @register("jn14_control_coverage", with_views("records", "escalations", "reviews", "attempts", extra=(("ev", """
 SELECT 'decisions' AS kind, count(*) AS n FROM records WHERE event_class = 'decision_summary'
 UNION ALL SELECT 'escalation-log', count(*) FROM escalations
-UNION ALL SELECT 'sasf-attestations', count(*) FROM reviews
+UNION ALL SELECT 'human-attestations', count(*) FROM reviews
 UNION ALL SELECT 'redteam-reports', count(DISTINCT run_id) FROM attempts
 UNION ALL SELECT 'deletions-log', count(*) FROM records
   WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 300)"""), ("cfg", """
 SELECT * FROM (VALUES ('eu_ai_act.article_12', 'decisions'), ('eu_ai_act.article_12', 'escalation-log'),
   ('eu_ai_act.article_12', 'deletions-log'), ('eu_ai_act.article_14', 'escalation-log'),
-  ('eu_ai_act.article_14', 'sasf-attestations'), ('eu_ai_act.article_15', 'redteam-reports'),
+  ('eu_ai_act.article_14', 'human-attestations'), ('eu_ai_act.article_15', 'redteam-reports'),
   ('eu_ai_act.article_15', 'decisions')) t(control, kind)"""))) + """
 SELECT control, count(*) AS n_kinds, CAST(sum(coalesce(n, 0)) AS BIGINT) AS evidence_rows,
        coalesce(string_agg(CASE WHEN coalesce(n, 0) = 0 THEN kind END, ',' ORDER BY kind), '') AS gaps,
@@ -145,7 +153,7 @@ def jn14_control_coverage(spark, sf_dir):
               .unionByName(T.escalations(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"))
                            .select(F.lit("escalation-log").alias("kind"), "n_rows"))
               .unionByName(T.reviews(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"))
-                           .select(F.lit("sasf-attestations").alias("kind"), "n_rows"))
+                           .select(F.lit("human-attestations").alias("kind"), "n_rows"))
               .unionByName(T.attempts(spark, sf_dir).agg(F.count_distinct("run_id").alias("n_rows"))
                            .select(F.lit("redteam-reports").alias("kind"), "n_rows"))
               .unionByName(deletions.agg(F.count(F.lit(1)).alias("n_rows"))
@@ -252,23 +260,23 @@ def ag12_reviewer_fetch_abuse(spark, sf_dir):
 PENDING_AS_OF = "2024-01-15 00:00:00"
 
 
-@register("ag14_pending_gauge", with_views("escalations", "reviews") + f"""
+@register("ag14_pending_gauge", with_views("qualified") + f"""
 SELECT tenant_id, count(*) AS open_escalations FROM escalations e
 WHERE requested_at <= TIMESTAMP '{PENDING_AS_OF}'
-  AND NOT EXISTS (SELECT 1 FROM reviews r WHERE r.escalation_id = e.escalation_id AND r.reviewed_at <= TIMESTAMP '{PENDING_AS_OF}')
+  AND NOT EXISTS (SELECT 1 FROM qualified r WHERE r.escalation_id = e.escalation_id AND r.reviewed_at <= TIMESTAMP '{PENDING_AS_OF}')
 GROUP BY tenant_id""")
 def ag14_pending_gauge(spark, sf_dir):
-    return escalation.pending_gauge(T.escalations(spark, sf_dir), T.reviews(spark, sf_dir), PENDING_AS_OF)
+    return escalation.pending_gauge(T.escalations(spark, sf_dir), _qualified(spark, sf_dir), PENDING_AS_OF)
 
 
 # --------------------------------------------------------------------------- WN6 / WN8
-@register("wn6_conflicting_verdicts", with_views("reviews") + """
+@register("wn6_conflicting_verdicts", with_views("qualified") + """
 SELECT escalation_id, first_verdict, count(*) FILTER (WHERE verdict <> first_verdict) AS n_conflicting,
        count(*) FILTER (WHERE verdict <> first_verdict) > 0 AS alert FROM (
-  SELECT r.*, first_value(verdict) OVER (PARTITION BY escalation_id ORDER BY reviewed_at, nonce) AS first_verdict FROM reviews r)
+  SELECT r.*, first_value(verdict) OVER (PARTITION BY escalation_id ORDER BY reviewed_at, nonce) AS first_verdict FROM qualified r)
 GROUP BY escalation_id, first_verdict""")
 def wn6_conflicting_verdicts(spark, sf_dir):
-    return escalation.conflicting_verdicts(T.reviews(spark, sf_dir))
+    return escalation.conflicting_verdicts(_qualified(spark, sf_dir))
 
 
 @register("wn8_score_trend", with_views("scores") + """
@@ -334,17 +342,17 @@ def sm6_rate_limit(spark, sf_dir):
 FALLBACK_AS_OF = "2024-02-01 00:00:00"
 
 
-@register("sm7_deadline_fallback", with_views("escalations", "reviews") + f"""
+@register("sm7_deadline_fallback", with_views("qualified") + f"""
 SELECT escalation_id, fallback, CASE fallback WHEN 'fail-closed' THEN 'reject' WHEN 'fail-open' THEN 'approve' END AS verdict,
        '{C.TIMEOUT_REVIEWER}' AS reviewer_id, CASE WHEN fallback = 'defer' THEN 'open' ELSE 'closed' END AS status
 FROM escalations e WHERE deadline < TIMESTAMP '{FALLBACK_AS_OF}'
-  AND NOT EXISTS (SELECT 1 FROM reviews r WHERE r.escalation_id = e.escalation_id AND r.reviewed_at <= e.deadline)""")
+  AND NOT EXISTS (SELECT 1 FROM qualified r WHERE r.escalation_id = e.escalation_id AND r.reviewed_at <= e.deadline)""")
 def sm7_deadline_fallback(spark, sf_dir):
-    return escalation.deadline_fallback(T.escalations(spark, sf_dir), T.reviews(spark, sf_dir), FALLBACK_AS_OF)
+    return escalation.deadline_fallback(T.escalations(spark, sf_dir), _qualified(spark, sf_dir), FALLBACK_AS_OF)
 
 
-@register("sm8_verdict_idempotency", with_views("reviews", extra=(("n", """
-SELECT escalation_id, nonce, verdict, min(reviewed_at) AS reviewed_at, count(*) AS deliveries FROM reviews GROUP BY ALL"""),
+@register("sm8_verdict_idempotency", with_views("qualified", extra=(("n", """
+SELECT escalation_id, nonce, verdict, min(reviewed_at) AS reviewed_at, count(*) AS deliveries FROM qualified GROUP BY ALL"""),
     ("f", """
 SELECT escalation_id, nonce AS first_nonce, verdict AS first_verdict FROM (
   SELECT *, row_number() OVER (PARTITION BY escalation_id ORDER BY reviewed_at, nonce) AS rn FROM n) WHERE rn = 1"""))) + """
@@ -352,7 +360,7 @@ SELECT n.escalation_id, n.nonce, n.verdict, n.deliveries,
        CASE WHEN n.nonce = f.first_nonce THEN 'accepted' WHEN n.verdict = f.first_verdict THEN 'duplicate' ELSE 'conflict' END AS outcome
 FROM n JOIN f USING (escalation_id)""")
 def sm8_verdict_idempotency(spark, sf_dir):
-    return escalation.verdict_idempotency(T.reviews(spark, sf_dir))
+    return escalation.verdict_idempotency(_qualified(spark, sf_dir))
 
 
 JUDGE_KEY = b"tracefold-judge-sample-key"
@@ -360,12 +368,14 @@ JUDGE_KEY = b"tracefold-judge-sample-key"
 
 @register("sm9_judge_funnel", with_views("scores") + f"""
 SELECT decision_id, rubric, deep_sampled,
-       CASE WHEN s < {C.JUDGE_DEEP_FLAG} THEN 'human' WHEN s < {C.JUDGE_FAST_FLAG} OR deep_sampled THEN 'deep' ELSE 'fast' END AS route
-FROM (SELECT decision_id, rubric, CAST(score AS DOUBLE) AS s,
+       CASE WHEN tier = 'fast' AND (s < {C.JUDGE_FAST_FLAG} OR deep_sampled OR warned) THEN 'deep'
+            WHEN tier = 'deep' AND s < {C.JUDGE_DEEP_FLAG} THEN 'human' ELSE 'done' END AS route
+FROM (SELECT decision_id, rubric, CAST(score AS DOUBLE) AS s, tier, output_length > 5000 AS warned,
              substr({hmac_sql('CAST(decision_id AS VARCHAR)', JUDGE_KEY)}, 1, 16) < '{rate_threshold_hex(C.JUDGE_DEEP_SAMPLE_RATE)}' AS deep_sampled
       FROM scores)""")
 def sm9_judge_funnel(spark, sf_dir):
-    f = judging.judge_funnel(T.scores(spark, sf_dir), JUDGE_KEY)
+    s = T.scores(spark, sf_dir).withColumn("warned", F.col("output_length") > 5000)
+    f = judging.judge_funnel(s, JUDGE_KEY, policy_col="warned")
     return f.select("decision_id", "rubric", "deep_sampled", "route")
 
 
@@ -375,7 +385,7 @@ FLAG_RUBRICS = (Rubric("groundedness", deep_flag=0.5), Rubric("harmlessness", al
 @register("sm10_flag_escalation", with_views("scores") + """
 SELECT decision_id, rubric,
   CASE WHEN rubric = 'harmlessness' THEN 'always_escalate'
-       WHEN CAST(score AS DOUBLE) < 0.5 THEN 'below_deep_flag'
+       WHEN tier = 'deep' AND CAST(score AS DOUBLE) < 0.5 THEN 'below_deep_flag'
        WHEN tier = 'deep' AND output_length > 5000 THEN 'reviewed_category_warn' END AS escalation_reason
 FROM scores""")
 def sm10_flag_escalation(spark, sf_dir):

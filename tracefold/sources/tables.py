@@ -74,14 +74,29 @@ def record_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document texts; some get a jailbreak phrase, outer white space, a phone number or more than 64,000
+    characters, which the documents themselves lack."""
     d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.lit("decision_summary.text").alias("path"),
-                    F.col("text").alias("value"), "lang", "source")
+    t, k = F.col("text"), F.col("doc_id") % 23
+    value = (F.when(k == 1, F.concat(t, F.lit(" " + C.JAILBREAK_PHRASES[0].upper())))
+              .when(k == 2, F.concat(F.lit("\u2003  "), t, F.lit(" \t\n")))
+              .when(k == 3, F.repeat(F.lit("long text "), 7000))
+              .when(k == 4, F.concat(t, F.lit(" 415-555-0134"))).otherwise(t))
+    return d.select("doc_id", F.lit("decision_summary.text").alias("path"), value.alias("value"), "lang", "source")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns; some get a jailbreak phrase (also broken by a newline), an e-mail address that only
+    the assistant writes, a phone number or outer white space."""
     c = read_table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
+    t, k = F.col("text"), (F.col("conv_id") * 3 + F.col("turn")) % 17
+    phrase = C.JAILBREAK_PHRASES[0]
+    text = (F.when(k == 1, F.concat(t, F.lit("\n" + phrase.replace(" ", "\n", 1))))
+             .when(k == 2, F.concat(t, F.lit(" " + phrase)))
+             .when((k == 3) & (F.col("role") == "assistant"), F.concat(t, F.lit(" write to help.desk@example.org")))
+             .when(k == 4, F.concat(t, F.lit(" 415-555-0134")))
+             .when(k == 5, F.concat(F.lit("\u2003 "), t, F.lit("\n "))).otherwise(t))
+    return c.select(F.col("conv_id").alias("session_id"), "turn", "role", text.alias("text"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,19 +196,22 @@ def escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict deliveries: every third escalation reviewed, every ninth gets a
-    second, different verdict, every eighteenth is delivered twice."""
+    second, different verdict, every fifteenth the same verdict once more under
+    another nonce, every eighteenth delivery comes twice, every 27th comes in
+    eight days after it was given, and every 21st names no escalation."""
     esc = escalations(spark, sf_dir).filter(F.col("decision_id") % 3 == 0)
     did = F.col("decision_id")
     k = (did / 3).cast("bigint")
-    base_at = (F.col("requested_at") + F.make_dt_interval(F.lit(0), (did % 13).cast("int"))
-               + F.when(did % 27 == 0, F.expr("INTERVAL 8 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS")))
+    base_at = F.col("requested_at") + F.make_dt_interval(F.lit(0), (did % 13).cast("int"))
+    came = F.when(did % 27 == 0, F.expr("INTERVAL 8 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
     base = esc.select(
-        "escalation_id", "decision_id",
+        F.when(did % 21 == 0, F.concat(F.lit("none-"), did.cast("string"))).otherwise(F.col("escalation_id")).alias("escalation_id"),
+        "decision_id",
         F.concat(F.lit("n-"), did.cast("string")).alias("nonce"),
         _pick(C.REVIEW_VERDICTS, k % 3).alias("verdict"),
         F.concat(F.lit("rev-"), (did % 7).cast("string")).alias("reviewer_id"),
         (k % 4).alias("reviewer_rank"),
-        base_at.alias("reviewed_at"),
+        base_at.alias("reviewed_at"), (base_at + came).alias("received_at"),
     )
     second = esc.filter(did % 9 == 0).select(
         "escalation_id", "decision_id",
@@ -202,9 +220,14 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("rev-"), ((did + 1) % 7).cast("string")).alias("reviewer_id"),
         F.lit(3).cast("bigint").alias("reviewer_rank"),
         (base_at + F.expr("INTERVAL 1 HOURS")).alias("reviewed_at"),
+        (base_at + F.expr("INTERVAL 1 HOURS")).alias("received_at"),
     )
+    again = base.filter(did % 15 == 0).select(
+        "escalation_id", "decision_id", F.concat("nonce", F.lit("-c")).alias("nonce"), "verdict", "reviewer_id", "reviewer_rank",
+        (F.col("reviewed_at") + F.expr("INTERVAL 30 MINUTES")).alias("reviewed_at"),
+        (F.col("reviewed_at") + F.expr("INTERVAL 30 MINUTES")).alias("received_at"))
     replay = base.filter(F.col("decision_id") % 18 == 0)
-    return base.unionByName(second).unionByName(replay)
+    return base.unionByName(second).unionByName(again).unionByName(replay)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,47 +106,75 @@ def rate_limit_stream(df: DataFrame, limit: int = C.EGRESS_RATE_LIMIT_PER_S, buc
 ESC_EVENT = ("escalation_id string, kind string, at timestamp_ntz, deadline timestamp_ntz, "
              "fallback string, verdict string, nonce string")
 ESC_OUT = "escalation_id string, outcome string, verdict string, reviewer_id string, at timestamp"
-ESC_STATE = "deadline_us long, fallback string, first_verdict string, resolved boolean"
+ESC_STATE = "deadline_us long, fallback string, status string, first_verdict string"
+#: How long a closed escalation is remembered, to tell repeats and conflicts.
+ESC_RELEASE_MS = C.STALE_VERDICT_DAYS * 86_400_000
+
+
+def _us(t) -> int:
+    return int(pd.Timestamp(t).value // 1000)
 
 
 def _esc_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     esc_id = key[0]
+    deadline_us, fallback, status, first = state.get if state.exists else (None, None, None, None)
+    rows: list[tuple] = []
+
+    def time_out() -> None:
+        nonlocal status, first
+        verdict = {"fail-closed": "reject", "fail-open": "approve"}.get(fallback)
+        rows.append((esc_id, "fallback_open" if verdict is None else "fallback_closed", verdict, C.TIMEOUT_REVIEWER, pd.Timestamp(deadline_us, unit="us")))
+        status, first = ("deferred", None) if verdict is None else ("closed", verdict)
+
     if state.hasTimedOut:
-        deadline_us, fallback, first, resolved = state.get
-        if not resolved:
-            verdict = {"fail-closed": "reject", "fail-open": "approve"}.get(fallback)
-            outcome = "fallback_open" if verdict is None else "fallback_closed"
-            yield pd.DataFrame([{"escalation_id": esc_id, "outcome": outcome, "verdict": verdict,
-                                 "reviewer_id": C.TIMEOUT_REVIEWER,
-                                 "at": pd.Timestamp(deadline_us, unit="us")}])
-        state.remove()
-        return
-    deadline_us, fallback, first, resolved = state.get if state.exists else (None, None, None, False)
-    rows = []
-    for pdf in pdfs:
-        for r in pdf.sort_values(["at", "kind"]).itertuples(index=False):
-            if r.kind == "open":
-                deadline_us = int(pd.Timestamp(r.deadline).value // 1000)
-                fallback = r.fallback
-            elif r.kind == "verdict":
-                if first is None:
-                    first, resolved = r.verdict, True
-                    rows.append((esc_id, "accepted", r.verdict, None, r.at))
-                elif r.verdict != first:
-                    rows.append((esc_id, "conflict", r.verdict, None, r.at))
-    state.update((deadline_us, fallback, first, resolved))
-    if deadline_us is not None and not resolved:
-        state.setTimeoutTimestamp(deadline_us // 1000)
+        if status != "open":                    # closed long ago, or deferred and never answered
+            state.remove()
+            return
+        time_out()
+    else:
+        opened = None
+        earliest: dict[str, tuple] = {}         # verdict -> its first (time, nonce): as many as there are verdicts
+        for pdf in pdfs:
+            for r in pdf.itertuples(index=False):
+                if r.kind == "open" and not pd.isna(r.deadline):
+                    opened = min(opened or (r.at, r.deadline, r.fallback), (r.at, r.deadline, r.fallback))
+                elif r.kind == "verdict" and r.verdict is not None:
+                    at = (r.at, r.nonce or "")
+                    earliest[r.verdict] = min(earliest.get(r.verdict, at), at)
+        if status is None and opened is not None:
+            deadline_us, fallback, status = _us(opened[1]), opened[2], "open"
+        for verdict, (at, _) in sorted(earliest.items(), key=lambda x: x[1]):
+            if status == "open" and fallback != "defer" and _us(at) > deadline_us:
+                time_out()
+            if status is None:
+                rows.append((esc_id, "no_open_escalation", verdict, None, at))
+            elif status in ("open", "deferred"):
+                status, first = "closed", verdict
+                rows.append((esc_id, "accepted", verdict, None, at))
+            elif verdict != first:
+                rows.append((esc_id, "conflict", verdict, None, at))
+    if status is not None:
+        state.update((deadline_us, fallback, status, first))
+        wait = deadline_us // 1000 if status == "open" else max(deadline_us // 1000, state.getCurrentWatermarkMs()) + ESC_RELEASE_MS
+        # a time that the watermark has passed can't be set
+        state.setTimeoutTimestamp(max(wait, state.getCurrentWatermarkMs() + 1))
     if rows:
         yield pd.DataFrame(rows, columns=["escalation_id", "outcome", "verdict", "reviewer_id", "at"])
 
 
 def escalation_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """SM7 + SM8: keyed escalation state with an event-time timer at the
-    deadline. The first verdict is accepted, a repeat of it is ignored, a
-    different one is emitted as a conflict; when the watermark passes the
-    deadline with no verdict, the profile fallback is emitted with the
-    timeout reviewer."""
+    deadline. Events are qualified verdicts (see ``qualified_reviews``).
+
+    The first verdict of a micro-batch in the order of time and nonce is
+    accepted if the escalation is open, a repeat of it is ignored, a
+    different one is a conflict (one row per verdict and micro-batch). When
+    the watermark passes the deadline with no verdict, or a later verdict
+    comes first, the profile fallback is emitted with the timeout reviewer;
+    ``fail-closed`` and ``fail-open`` close the escalation, ``defer`` leaves
+    it to be answered later. A verdict whose escalation was never opened is
+    rejected. Closed and deferred escalations are forgotten after
+    ``ESC_RELEASE_MS``, so state does not grow."""
     return event_time(events, "at").withWatermark("at", delay).groupBy("escalation_id").applyInPandasWithState(
         _esc_fn, ESC_OUT, ESC_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 

@@ -15,24 +15,28 @@ from tracefold.operators.ordering import top_k
 
 
 def late_events(df: DataFrame, ts_col: str, arrival_col: str, delay_seconds: int = 60,
-                batch_seconds: int = 300, max_batches: int = 5_000_000) -> DataFrame:
+                batch_seconds: int = 300, stretch_batches: int = 288) -> DataFrame:
     """SM2: which rows a ``withWatermark(ts, delay)`` stream drops as late.
 
     Rows arrive in micro-batches by arrival time. The watermark used for a
     batch is the maximum event time of all earlier batches minus the delay
-    (Spark advances it at batch end). Per-batch maxima are one row per batch;
-    the running maximum over them is a window over that small table.
+    (Spark advances it at batch end). The running maximum has two levels:
+    inside stretches of ``stretch_batches`` batches (a day at the defaults),
+    and over the stretches' maxima, so no task holds all batches.
     """
     b = df.withColumn("batch", F.floor(F.unix_micros(F.col(arrival_col).cast("timestamp"))
                                        / F.lit(batch_seconds * 1_000_000)).cast("bigint"))
-    per = b.groupBy("batch").agg(F.max(ts_col).alias("__mx"))
-    w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("watermark", F.max("__mx").over(w) - F.make_dt_interval(secs=F.lit(delay_seconds))).drop("__mx")
-    n = per.count()
-    if n > max_batches:
-        raise ValueError("too many micro-batches for one pass; split the range")
-    j = b.join(F.broadcast(per) if n <= 1_000_000 else per, "batch")
-    return j.withColumn("late", F.coalesce(F.col(ts_col) < F.col("watermark"), F.lit(False)))
+    per = (b.groupBy("batch").agg(F.max(ts_col).alias("__mx"))
+            .withColumn("__st", F.floor(F.col("batch") / stretch_batches)))
+    earlier = Window.partitionBy("__st").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    inside = per.withColumn("__in", F.max("__mx").over(earlier))
+    # one row per stretch: a day of batches each, so a window over all of them stays small
+    before = Window.orderBy("__st").rowsBetween(Window.unboundedPreceding, -1)
+    st = per.groupBy("__st").agg(F.max("__mx").alias("__mx")).select("__st", F.max("__mx").over(before).alias("__bf"))
+    mark = F.greatest("__in", "__bf") - F.make_dt_interval(secs=F.lit(delay_seconds))
+    per = inside.join(st, "__st").select("batch", mark.alias("watermark"))
+    return (b.join(per, "batch").withColumn("late", F.coalesce(F.col(ts_col) < F.col("watermark"), F.lit(False)))
+             .select(*df.columns, "batch", "watermark", "late"))
 
 
 def rate_limited(df: DataFrame, key: Sequence[str], ts_col: str, id_col: str, limit: int,
