@@ -4,12 +4,14 @@ Method: index first. Writing a record also yields an index row (file, offset, le
 index is a table. Reading selects rows of the index, sorts their byte ranges by file and offset, joins ranges
 that lie close together into one read, and cuts the records out of it.
 
+Each record is a gzip member of its own, so that any one can be read alone and the file is a usual .warc.gz.
 Records of equal payloads are stored once: the page with the largest id holds the response, the others are
 revisits that refer to it.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -98,9 +100,9 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
                     if out is None or at > FILE_BYTES:
                         if out is not None:
                             out.close()
-                        name, at = f"{uuid.uuid4().hex}.warc", 0
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = system.open_output_stream(f"{base}/{name}")
-                    raw = record(i, u, payload, digest, to)
+                    raw = gzip.compress(record(i, u, payload, digest, to), 1, mtime=0)
                     out.write(raw)
                     index.append((i, u, digest, len(payload), "response" if to is None else "revisit", name, at, len(raw)))
                     at += len(raw)
@@ -151,7 +153,7 @@ def read_warc(selected: DataFrame, path: str) -> DataFrame:
                     raw = f.read_at(stop - start, start)
                 out = []
                 for cut in cuts:
-                    head, payload = parse(raw[cut["offset"] - start: cut["offset"] - start + cut["length"]])
+                    head, payload = parse(gzip.decompress(raw[cut["offset"] - start: cut["offset"] - start + cut["length"]]))
                     page = int(head["WARC-X-Page-ID"]) if head["WARC-X-Page-ID"] else None
                     if head["WARC-Type"] == "response":
                         out.append((page, head["WARC-Target-URI"], len(payload), hashlib.sha1(payload).hexdigest(), "response", None, payload))
