@@ -101,7 +101,7 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                        out = system.open_output_stream(f"{base}/{name}")
+                        out = system.open_output_stream(f"{base}/{name}", compression=None)     # records are members already
                     raw = gzip.compress(record(i, u, payload, digest, to), 1, mtime=0)
                     out.write(raw)
                     index.append((i, u, digest, len(payload), "response" if to is None else "revisit", name, at, len(raw)))
