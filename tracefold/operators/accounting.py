@@ -70,10 +70,12 @@ def latency_percentiles(df: DataFrame, keys: Sequence[str], latency_col: str,
 
 
 def manifest_rows(df: DataFrame, batch_col: str, reason_col: str,
-                  reasons: Sequence[str], hashed_cols: Sequence[str] = ()) -> DataFrame:
-    """AG8 receipt: counts per batch, one column per drop reason and per hashed field."""
+                  reasons: Sequence[str], fields: Sequence[str] = ()) -> DataFrame:
+    """AG8 receipt: counts per batch, one column per drop reason; for each of ``fields`` how many output rows hold its
+    hash (flag ``hashed_<field>``) and how many input rows lost it for its length (flag ``oversized_<field>``)."""
     aggs = [F.count(F.lit(1)).alias("input_count"),
             F.count_if(F.col(reason_col).isNull()).alias("output_count")]
     aggs += [F.count_if(F.col(reason_col) == r).alias(f"dropped_{r}") for r in reasons]
-    aggs += [F.count_if(F.col(reason_col).isNull() & F.col(h)).alias(f"hashed_{h}") for h in hashed_cols]
+    aggs += [F.count_if(F.col(reason_col).isNull() & F.col(f"hashed_{f}")).alias(f"hashed_{f}") for f in fields]
+    aggs += [F.count_if(F.col(f"oversized_{f}")).alias(f"oversized_{f}") for f in fields]
     return df.groupBy(batch_col).agg(*aggs)

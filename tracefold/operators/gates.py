@@ -170,12 +170,13 @@ def guard_spans(df: DataFrame, prefixes: Iterable[str] | None = None,
 
 def guard_typed(df: DataFrame, attr_cols: Iterable[str], extra: Mapping[str, Iterable[str]] | None = None,
                 drop_unknown: bool = True, max_bytes: int = C.DEFAULT_MAX_FIELD_BYTES,
-                class_col: str = "event_class") -> DataFrame:
+                class_col: str = "event_class", drop_empty: bool = True) -> DataFrame:
     """GT1/GT3-GT5 on a typed record frame: one column per attribute.
 
     A column not allowed for the row's class, or a string over ``max_bytes``
     bytes, becomes null (the attribute is absent). Columns not named in
-    ``attr_cols`` (ids, timestamps) are carried unchanged.
+    ``attr_cols`` (ids, timestamps) are carried unchanged. Without
+    ``drop_empty``, records left without an attribute stay.
 
     The gate is simplified when the plan is built: a column every known class
     allows only keeps its size check; the empty-record filter is omitted when
@@ -218,7 +219,7 @@ def guard_typed(df: DataFrame, attr_cols: Iterable[str], extra: Mapping[str, Ite
             kept_flags.append(flag)
     class_always_kept = (class_col in attr_cols and all(class_col in allow[k] for k in classes)
                          and (max_bytes <= 0 or all(len(k.encode()) <= max_bytes for k in classes)))
-    if class_always_kept:
+    if class_always_kept or not drop_empty:
         cond = known if drop_unknown else None
     else:
         left = F.lit(False)

@@ -30,7 +30,8 @@ SELECT event_id AS decision_id, ts, user_id,
        CAST(floor(value) AS BIGINT) AS latency_ms,
        event_id % 1000 AS input_tokens,
        event_id % 700 AS output_tokens,
-       props AS internal_note
+       CASE WHEN event_id % 29 = 1 THEN props || ' mail user' || CAST(user_id AS VARCHAR) || '@example.com '
+            WHEN event_id % 29 = 2 THEN repeat('note ', 2000) ELSE props END AS internal_note
 FROM events""")
 
 # Row form of the packed attribute map: one row per non-null attribute.

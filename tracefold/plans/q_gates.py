@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracefold import constants as C
-from tracefold.operators import accounting, gates, policy, sampling
+from tracefold.operators import accounting, gate_pipeline, gates, policy, sampling
 from tracefold.plans.oracle_views import with_views
+from tracefold.plans.q_text import TENANT_KEY
 from tracefold.plans.registry import register, sql_list
-from tracefold.plans.sqlfrag import allowlist_values, hmac_sql, keep_sql, sampler_keep_sql
+from tracefold.plans.sqlfrag import allowlist_values, hmac_sql, keep_sql, pii_cat_sql, sampler_keep_sql, strip_sql
 from tracefold.schemas import attr_str, explode_attrs, pack_attrs
 from tracefold.sources import tables as T
 
@@ -205,3 +206,36 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1
 FROM g GROUP BY ALL""")
 def gated_usage_hourly(spark, sf_dir):
     return gated_usage(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------- the stages in deployed order (SM1, SC5, AG8, AG9)
+GATE_RULE = "event_class <> 'decision_summary' OR latency_ms < 60"
+GATE_EXTRA = {"decision_summary": ["internal_note"]}
+GATE_SKIP = ("tenant_id", "agent_id", "model")
+
+
+def gate_args() -> dict:
+    """Settings of the gate that the registered pipeline jobs share."""
+    return {"attr_cols": [c for c in T.RECORD_ATTR_SPEC if c not in ("decision_id", "user_id")], "rates": SAMPLER_RATES,
+            "predicate": GATE_RULE, "redact_key": TENANT_KEY, "skip": GATE_SKIP, "extra": GATE_EXTRA}
+
+
+#: Every record as the stages leave it, with the first stage that drops it; the record's own latency stays beside it.
+STAGED_SQL = f"""
+SELECT *, CASE WHEN event_class NOT IN {_KNOWN} THEN 'schema'
+  WHEN coalesce(length({strip_sql('note')}) > {C.REDACT_MAX_VALUE_CHARS}, FALSE) THEN 'redaction'
+  WHEN NOT coalesce(event_class <> 'decision_summary' OR gated_latency_ms < 60, FALSE) THEN 'policy'
+  WHEN NOT {sampler_keep_sql('event_class', 'tenant_id', 'agent_id', SAMPLER_KEY, SAMPLER_RATES, 1.0)} THEN 'sampler' END AS drop_reason
+FROM (SELECT decision_id, ts, event_class, tenant_id, agent_id, latency_ms, note,
+             CASE WHEN event_class = 'decision_summary' THEN latency_ms END AS gated_latency_ms,
+             CASE WHEN event_class = 'cost_usage_aggregate' THEN input_tokens END AS input_tokens,
+             oversized, coalesce({pii_cat_sql(strip_sql('note'))} IS NOT NULL, FALSE) AS hashed
+      FROM (SELECT *, event_class = 'decision_summary' AND strlen(internal_note) > {C.DEFAULT_MAX_FIELD_BYTES} AS oversized,
+                   CASE WHEN event_class = 'decision_summary' AND strlen(internal_note) <= {C.DEFAULT_MAX_FIELD_BYTES} THEN internal_note END AS note
+            FROM records))"""
+
+
+def staged_records(spark, sf_dir):
+    """Every record with the first stage that drops it; ``observed_ms`` is its latency before the stages."""
+    rec = T.records(spark, sf_dir).withColumn("observed_ms", F.col("latency_ms"))
+    return gate_pipeline.staged(rec, sampler_key=SAMPLER_KEY, **gate_args())

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tracefold import constants as C
 from tracefold.functions.hashing import rate_threshold_hex
 from tracefold.functions.pii import EMAIL_PATTERN, EMAIL_PATTERN_RE2
-from tracefold.operators import accounting, decisions, escalation, graph, judging, policy, sampling
+from tracefold.operators import accounting, decisions, escalation, gate_pipeline, graph, judging
 from tracefold.operators.judging import Rubric
 from tracefold.operators.ordering import dedupe_first
 from tracefold.plans.oracle_views import with_views
-from tracefold.plans.q_gates import POLICY_RULE, SAMPLER_KEY, SAMPLER_RATES
+from tracefold.plans.q_gates import STAGED_SQL, staged_records
 from tracefold.plans.registry import register, sql_list
-from tracefold.plans.sqlfrag import hmac_sql, placeholders_sql, sampler_keep_sql
+from tracefold.plans.sqlfrag import hmac_sql, placeholders_sql
 from tracefold.sources import tables as T
 from tracefold.streaming import twins
 
@@ -174,46 +174,29 @@ def jn15_judge_inline_disagreement(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- AG8 / AG9
-def _stage_frame(spark, sf_dir):
-    """Every record with the first stage that would drop it (null if sent)."""
-    rec = T.records(spark, sf_dir)
-    known = F.col("event_class").isin(list(C.CLASS_ALLOWLIST))
-    staged = policy.with_policy_flag(rec, POLICY_RULE, "__policy_ok")
-    keep = sampling.sampler_keep(F.col("event_class"), F.col("tenant_id"), F.col("agent_id"), SAMPLER_KEY,
-                                 SAMPLER_RATES)
-    reason = (F.when(~known, F.lit("schema")).when(~F.col("__policy_ok"), F.lit("policy"))
-               .when(~keep, F.lit("sampler")))
-    return staged.withColumn("drop_reason", reason).drop("__policy_ok")
-
-
-_STAGE_SQL = f"""
-SELECT *, CASE WHEN event_class NOT IN {sql_list(C.CLASS_ALLOWLIST)} THEN 'schema'
-  WHEN NOT coalesce(event_class <> 'escalation' AND latency_ms / NULLIF(input_tokens % 7, 0) > 20, FALSE) THEN 'policy'
-  WHEN NOT {sampler_keep_sql('event_class', 'tenant_id', 'agent_id', SAMPLER_KEY, SAMPLER_RATES, 1.0)} THEN 'sampler'
-  END AS drop_reason FROM records"""
-
-
-@register("ag8_batch_manifest", with_views("records", extra=(("st", _STAGE_SQL),)) + """
+@register("ag8_batch_manifest", with_views("records", extra=(("st", STAGED_SQL),)) + """
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS batch, count(*) AS input_count, count(*) FILTER (WHERE drop_reason IS NULL) AS output_count,
-       count(*) FILTER (WHERE drop_reason = 'schema') AS dropped_schema, count(*) FILTER (WHERE drop_reason = 'policy') AS dropped_policy,
-       count(*) FILTER (WHERE drop_reason = 'sampler') AS dropped_sampler
+       count(*) FILTER (WHERE drop_reason = 'schema') AS dropped_schema, count(*) FILTER (WHERE drop_reason = 'redaction') AS dropped_redaction,
+       count(*) FILTER (WHERE drop_reason = 'policy') AS dropped_policy, count(*) FILTER (WHERE drop_reason = 'sampler') AS dropped_sampler,
+       count(*) FILTER (WHERE drop_reason IS NULL AND hashed) AS hashed_internal_note, count(*) FILTER (WHERE oversized) AS oversized_internal_note
 FROM st GROUP BY 1""")
 def ag8_batch_manifest(spark, sf_dir):
-    """Per daily batch: input/output counts and drops by the stage that dropped them."""
-    s = _stage_frame(spark, sf_dir).withColumn("batch", F.window("ts", "1 day")["start"])
-    return accounting.manifest_rows(s, "batch", "drop_reason", ["schema", "policy", "sampler"])
+    """Per daily batch: input/output counts, drops by the stage that dropped them, hashed and oversized notes."""
+    s = staged_records(spark, sf_dir).withColumn("batch", F.window("ts", "1 day")["start"])
+    return accounting.manifest_rows(s, "batch", "drop_reason", gate_pipeline.STAGES, ["internal_note"])
 
 
-@register("ag9_stage_metrics", with_views("records", extra=(("st", _STAGE_SQL),)) + """
+@register("ag9_stage_metrics", with_views("records", extra=(("st", STAGED_SQL),)) + """
 SELECT event_class, CASE WHEN drop_reason IS NULL THEN 'sent' ELSE 'dropped_' || drop_reason END AS outcome,
        CASE WHEN latency_ms <= 10 THEN 'le_10' WHEN latency_ms <= 50 THEN 'le_50' WHEN latency_ms <= 100 THEN 'le_100'
             WHEN latency_ms <= 250 THEN 'le_250' ELSE 'inf' END AS latency_bucket,
        count(*) AS n_events, min(latency_ms) AS min_latency_ms, max(latency_ms) AS max_latency_ms
 FROM st GROUP BY ALL""")
 def ag9_stage_metrics(spark, sf_dir):
-    s = _stage_frame(spark, sf_dir).withColumn(
+    s = staged_records(spark, sf_dir).withColumn(
         "outcome", F.when(F.col("drop_reason").isNull(), F.lit("sent")).otherwise(F.concat(F.lit("dropped_"), "drop_reason")))
-    return accounting.stage_metrics(s, "event_class", "outcome", "latency_ms")
+    return accounting.stage_metrics(s, "event_class", "outcome", "observed_ms").withColumnsRenamed(
+        {"min_observed_ms": "min_latency_ms", "max_observed_ms": "max_latency_ms"})
 
 
 # --------------------------------------------------------------------------- AG10

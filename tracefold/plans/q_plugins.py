@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tracefold import constants as C
 from tracefold.functions import plugins
-from tracefold.operators import gates, judging, sampling
+from tracefold.operators import gate_pipeline, gates, judging
 from tracefold.operators.ordering import sequence_within
 from tracefold.plans.oracle_views import with_views
-from tracefold.plans.q_gates import SAMPLER_KEY, SAMPLER_RATES
-from tracefold.plans.registry import register, sql_list
-from tracefold.plans.sqlfrag import sampler_keep_sql
+from tracefold.plans.q_gates import SAMPLER_KEY, STAGED_SQL, gate_args
+from tracefold.plans.q_text import TENANT_KEY
+from tracefold.plans.registry import register
+from tracefold.plans.sqlfrag import hmac_sql, strip_sql
 from tracefold.sources import sinks
 from tracefold.sources import tables as T
 
@@ -49,16 +50,11 @@ def ud3_judge_plugin(spark, sf_dir):
         "escalate", plugins.escalate_on(F.col("score")))
 
 
-@register("sc5_dry_run_summary", with_views("records") + f"""
-SELECT CAST(ts AS DATE) AS day, event_class, count(*) AS would_send FROM records
-WHERE event_class IN {sql_list(C.CLASS_ALLOWLIST)}
-  AND {sampler_keep_sql('event_class', 'tenant_id', 'agent_id', SAMPLER_KEY, SAMPLER_RATES, 1.0)}
-GROUP BY ALL""")
+@register("sc5_dry_run_summary", with_views("records", extra=(("st", STAGED_SQL),)) + """
+SELECT CAST(ts AS DATE) AS day, event_class, count(*) AS would_send FROM st WHERE drop_reason IS NULL GROUP BY ALL""")
 def sc5_dry_run_summary(spark, sf_dir):
-    """Daily "would have been sent" counts by class after the gate and sampler."""
-    g = gates.guard_typed(T.records(spark, sf_dir), [c for c in T.RECORD_ATTR_SPEC if c != "decision_id"])
-    s = sampling.sample_records(g, SAMPLER_KEY, SAMPLER_RATES)
-    return sinks.would_send_summary(s)
+    """Daily "would have been sent" counts by class after all stages."""
+    return sinks.would_send_summary(gate_pipeline.gated(T.records(spark, sf_dir), sampler_key=SAMPLER_KEY, **gate_args()))
 
 
 _TOK = judging.TOKEN_SEP
@@ -98,26 +94,18 @@ def wn7_rolling_content_window(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- SM1 / JN2
-_SM1_RULE = "event_class <> 'escalation' OR latency_ms < 300"
-
-
-@register("sm1_streaming_gate", with_views("records") + f"""
-SELECT decision_id, event_class, tenant_id, agent_id,
-       CASE WHEN event_class = 'cost_usage_aggregate' THEN input_tokens END AS input_tokens
-FROM records WHERE event_class IN {sql_list(C.CLASS_ALLOWLIST)}
-  -- the policy sees the gated record: latency_ms is only on the decision_summary allowlist
-  AND coalesce(event_class <> 'escalation'
-               OR (CASE WHEN event_class = 'decision_summary' THEN latency_ms END) < 300, FALSE)
-  AND {sampler_keep_sql('event_class', 'tenant_id', 'agent_id', SAMPLER_KEY, SAMPLER_RATES, 1.0)}""")
+@register("sm1_streaming_gate", with_views("records", extra=(("st", STAGED_SQL),)) + f"""
+SELECT decision_id, event_class, tenant_id, agent_id, input_tokens,
+       CASE WHEN hashed THEN {hmac_sql(strip_sql('note'), TENANT_KEY)} ELSE note END AS internal_note
+FROM st WHERE drop_reason IS NULL""")
 def sm1_streaming_gate(spark, sf_dir):
-    """The stateless stream gate (allowlist -> policy -> sampler) applied to the bounded table.
+    """The stateless stream gate (allowlist -> redaction -> policy -> sampler) applied to the bounded table.
 
     The policy runs on the gated record, so an attribute the allowlist removed
     is absent (null) to the policy, which then fails closed."""
     from tracefold.streaming import live
-    attrs = [c for c in T.RECORD_ATTR_SPEC if c != "decision_id"]
-    g = live.gate_stream(T.records(spark, sf_dir), attrs, SAMPLER_KEY, SAMPLER_RATES, predicate=_SM1_RULE)
-    return g.select("decision_id", "event_class", "tenant_id", "agent_id", "input_tokens")
+    g = live.gate_stream(T.records(spark, sf_dir), key=SAMPLER_KEY, **gate_args())
+    return g.select("decision_id", "event_class", "tenant_id", "agent_id", "input_tokens", "internal_note")
 
 
 @register("jn2_decision_summary_fold", with_views("records", "retrievals", "memories", "guard_events", "scores") + """

@@ -30,7 +30,8 @@ def _pick(values: tuple[str, ...], idx) -> F.Column:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat log records, one per event (columns as in FIXTURES.md section 2)."""
+    """Flat log records, one per event (columns as in FIXTURES.md section 2); some notes get an e-mail address or
+    more than 8,192 bytes, which the events lack."""
     e = read_table(spark, sf_dir, "events")
     cls = (F.when(F.col("event_type").isin("view", "click"), "decision_summary")
             .when(F.col("event_type") == "purchase", "cost_usage_aggregate")
@@ -48,7 +49,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor("value").cast("bigint").alias("latency_ms"),
         (F.col("event_id") % 1000).alias("input_tokens"),
         (F.col("event_id") % 700).alias("output_tokens"),
-        F.col("props").alias("internal_note"),
+        F.when(F.col("event_id") % 29 == 1, F.concat("props", F.lit(" mail user"), F.col("user_id").cast("string"), F.lit("@example.com ")))
+         .when(F.col("event_id") % 29 == 2, F.repeat(F.lit("note "), 2000)).otherwise(F.col("props")).alias("internal_note"),
     )
 
 

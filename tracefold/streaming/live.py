@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracefold import constants as C
-from tracefold.operators import accounting, gates, policy, sampling
+from tracefold.operators import accounting, gate_pipeline
 
 
 def event_time(df: DataFrame, ts_col: str) -> DataFrame:
@@ -29,11 +29,11 @@ def event_time(df: DataFrame, ts_col: str) -> DataFrame:
 
 
 def gate_stream(df: DataFrame, attr_cols: Sequence[str], key: bytes | str, rates: dict,
-                predicate: str | None = None, extra=None) -> DataFrame:
-    """SM1: allowlist -> policy -> sampler on an unbounded stream (stateless)."""
-    g = gates.guard_typed(df, attr_cols, extra=extra)
-    g = policy.policy_gate(g, predicate)
-    return sampling.sample_records(g, key, rates)
+                predicate: str | None = None, extra=None, redact_key: bytes | str | None = None,
+                skip: Sequence[str] = ()) -> DataFrame:
+    """SM1: allowlist -> redaction -> policy -> sampler on an unbounded stream
+    (stateless); redaction takes part if it has a key."""
+    return gate_pipeline.gated(df, attr_cols, key, rates, predicate, redact_key, skip, extra)
 
 
 def late_buffer(df: DataFrame, ts_col: str = "ts", delay: str = C.LATE_EVENT_BUFFER) -> DataFrame:
