@@ -6,8 +6,7 @@ import __spark_entry__ as E  # noqa: E402
 from tracefold.plans.oracle_views import VIEWS
 
 SMOKE = "/root/testdata/sf0.001"
-ROWS_ONLY = {"fn4_blake2b", "fn10_attrs_json", "fn11_escalation_payload", "ud1_pii_analyzer_plugin",
-             "ud2_rails_plugin", "ud3_judge_plugin"}
+ROWS_ONLY = {"fn4_blake2b", "fn10_attrs_json"}
 OWN_TESTS = ("op", "pipeline")      # jobs of the optional subpackage, covered by tests/llm
 
 

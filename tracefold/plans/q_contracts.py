@@ -138,7 +138,11 @@ def fn10_attrs_json(spark, sf_dir):
     return rec.select("decision_id", labels.attrs_to_json(F.col("attrs")).alias("attrs_json"))
 
 
-@register("fn11_escalation_payload")
+@register("fn11_escalation_payload", with_views("escalations") + """
+SELECT escalation_id, '{"kind":"decision.escalation","reason":"reason-' || CAST(required_rank AS VARCHAR) || '","mode":"' || mode || '"'
+       || CASE WHEN decision_id % 2 = 0 THEN ',"rubric_id":"groundedness"' ELSE '' END
+       || CASE WHEN decision_id % 4 = 0 THEN ',"triggering_score":' || CAST((decision_id % 100) / 100.0::DOUBLE AS VARCHAR) ELSE '' END || '}' AS payload
+FROM escalations""")
 def fn11_escalation_payload(spark, sf_dir):
     """Escalation payloads: rubric id and triggering score appear only when set."""
     e = T.escalations(spark, sf_dir)

@@ -12,12 +12,13 @@ from tracefold.plans.oracle_views import with_views
 from tracefold.plans.q_gates import SAMPLER_KEY, STAGED_SQL, gate_args
 from tracefold.plans.q_text import TENANT_KEY
 from tracefold.plans.registry import register
-from tracefold.plans.sqlfrag import hmac_sql, strip_sql
+from tracefold.plans.sqlfrag import hmac_sql, pii_cat_sql, rails_sql, strip_sql
 from tracefold.sources import sinks
 from tracefold.sources import tables as T
 
 
-@register("ud1_pii_analyzer_plugin")
+@register("ud1_pii_analyzer_plugin", with_views("texts") + f"""
+SELECT doc_id, {pii_cat_sql('value')} IS NOT NULL AS has_pii, {pii_cat_sql('value')} AS category FROM texts""")
 def ud1_pii_analyzer_plugin(spark, sf_dir):
     """A user Python analyzer (Arrow batches) deciding PII per text."""
     udf = plugins.analyzer_udf(plugins.regex_analyzer)
@@ -25,7 +26,10 @@ def ud1_pii_analyzer_plugin(spark, sf_dir):
     return t.select("doc_id", udf(F.col("value")).alias("a")).select("doc_id", "a.has_pii", "a.category")
 
 
-@register("ud2_rails_plugin")
+@register("ud2_rails_plugin", with_views("turns") + f"""
+SELECT session_id, turn, NOT ({rails_sql('text')}) AS allowed, CASE WHEN {rails_sql('text')} THEN 'block' ELSE 'allow' END AS action,
+       CASE WHEN {rails_sql('text')} THEN '{C.JAILBREAK_RAIL}' ELSE 'on_topic' END AS rail
+FROM turns WHERE role IN ('user', 'assistant')""")
 def ud2_rails_plugin(spark, sf_dir):
     """A user Python rail engine over every user and assistant turn."""
     udf = plugins.rails_udf(plugins.keyword_rails)
@@ -35,7 +39,16 @@ def ud2_rails_plugin(spark, sf_dir):
         "session_id", "turn", "r.allowed", "r.action", "r.rail")
 
 
-@register("ud3_judge_plugin")
+def _words_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[{C.PY_WHITESPACE_CLASS}]+'), lambda w: w <> '')"
+
+
+@register("ud3_judge_plugin", with_views("turns", extra=(("p", f"""
+SELECT session_id, turn, role, {_words_sql('text')} AS w, lag(role) OVER s AS prev_role, lag({_words_sql('text')}) OVER s AS pw
+FROM turns WINDOW s AS (PARTITION BY session_id ORDER BY turn)"""), ("s", """
+SELECT session_id, turn, CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(w, lambda x: list_contains(pw, x)))::DOUBLE / len(w) END AS score
+FROM p WHERE role = 'assistant' AND prev_role = 'user'"""))) + f"""
+SELECT session_id, turn, score, score < {C.ESCALATION_SCORE_THRESHOLD} AS escalate FROM s""")
 def ud3_judge_plugin(spark, sf_dir):
     """A user Python judge scoring each (user turn, next assistant turn) pair; low scores escalate."""
     t = T.turns(spark, sf_dir)
