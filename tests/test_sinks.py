@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 
 def test_dry_run_sink_writes_by_day_and_summarises(spark, scratch):
     rec = T.records(spark, SF)
-    summary = sinks.dry_run_sink(rec, os.path.join(scratch, "dry"))
+    for _ in range(2):      # a repeated run adds nothing
+        summary = sinks.dry_run_sink(rec, os.path.join(scratch, "dry"))
     assert summary.agg(F.sum("would_send")).first()[0] == rec.count()
     days = [d for d in os.listdir(os.path.join(scratch, "dry")) if d.startswith("day=")]
     assert len(days) == rec.select(F.to_date("ts")).distinct().count()

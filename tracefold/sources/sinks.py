@@ -64,10 +64,13 @@ def parquet_exporter(path: str, partition_by: Sequence[str] = ()) -> Callable[[D
 
 def dry_run_sink(df: DataFrame, path: str, ts_col: str = "ts", class_col: str = "event_class") -> DataFrame:
     """SC5: write what would have been sent, partitioned by day, and return
-    the daily "would have been sent" summary by class."""
+    the folder's daily "would have been sent" summary by class.
+
+    A day that is written again replaces its earlier files, so a repeated run
+    adds nothing; the summary reads the files, so ``df`` is computed once."""
     d = df.withColumn("day", F.to_date(ts_col))
-    d.write.mode("append").partitionBy("day").parquet(path)
-    return would_send_summary(df, ts_col, class_col)
+    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return would_send_summary(df.sparkSession.read.schema(d.schema).parquet(path), ts_col, class_col)
 
 
 def would_send_summary(df: DataFrame, ts_col: str = "ts", class_col: str = "event_class") -> DataFrame:

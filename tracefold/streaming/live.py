@@ -92,8 +92,8 @@ def rate_limit_stream(df: DataFrame, limit: int = C.EGRESS_RATE_LIMIT_PER_S, buc
 
     State is one counter per (agent, bucket), so the cap is exact in any
     arrival order; each counter is released by an event-time timeout once
-    the watermark passes its bucket. Within a micro-batch the earliest rows
-    of a bucket are the ones let through.
+    the watermark passes its bucket. Which rows pass follows the arrival
+    order of Arrow batches; inside one batch the earliest rows do.
     """
     d = event_time(df.select("agent_id", "decision_id", ts_col), ts_col).withWatermark(ts_col, delay)
     d = d.withColumnRenamed(ts_col, "ts").withColumn(
