@@ -18,6 +18,8 @@ from tracefold.llm import decontaminate, near_dup, quality, sentencepiece_codec,
 from tracefold.llm.common import written
 
 MODEL = "piece_bpe_32k.model"
+#: Near copies share so many percent of the union of their five-word shingles; op7's contract has 85, the stage 80.
+PERCENT = 80
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +43,8 @@ def quality_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
-    return _without(docs, near_dup.near_duplicates(docs).filter(~F.col("kept")))
+    """Of each group of near copies (similarity 0.8 or more), the document with the smallest id stays."""
+    return _without(docs, near_dup.near_duplicates(docs, percent=PERCENT).filter(~F.col("kept")))
 
 
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,36 @@ def test_run_over_odd_rows(spark, scratch):
     assert P.run(spark, f"{scratch}/e").count() == 0
 
 
+def test_near_copies_from_080_go(spark):
+    """The stage against all pairs; replacing one word in the middle of n words takes 5 of n - 4 shingles away."""
+    rows, want, seen = [], set(), []
+    shingles = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    for k, n in enumerate((40, 48, 49, 52, 56, 59, 60, 65, 66, 90)):
+        w = [f"t{k}w{i}" for i in range(n)]
+        v = [*w[:20], "other", *w[21:]]
+        a, b = shingles(w), shingles(v)
+        similarity = len(a & b) / len(a | b)
+        seen.append(similarity)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        want |= {2 * k} | (set() if similarity >= 0.8 else {2 * k + 1})
+    assert 0.8 in seen and sum(0.8 <= x < 0.85 for x in seen) >= 4 and min(seen) < 0.8 and max(seen) > 0.85
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in P.duplicates_out(spark, docs, SF).collect()} == want
+
+
+def test_stages_from_near_copies_on(spark):
+    """The near-duplicate stage against near_duplicates at 80 percent, and the stages behind it on what it leaves."""
+    now = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in P.STAGES[:3]:
+        last, now = now, written(stage(spark, now, SF), "test-stage")
+    ids = lambda rows: sorted(r["doc_id"] for r in rows)
+    assert name == "near_dup" and ids(now.collect()) == ids(near_dup.near_duplicates(last, percent=80).filter("kept").collect())
+    hits = {r["doc_id"] for r in decontaminate.find_passages(now, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    out = P.run(spark, SF).collect()
+    assert ids(out) == sorted(r["doc_id"] for r in now.select("doc_id").collect() if r["doc_id"] not in hits)
+    assert [r["ids"] for r in out] == [x.tolist() for x in sentencepiece_codec.encode_texts(public_tokenizers.path(P.MODEL), [r["text"] for r in out])]
+
+
 def test_frequent_rows_keep_within_the_bound(spark):
     df = spark.range(1000).select("id", F.floor(10_000 / (F.col("id") + 1)).alias("n"))
     for most in (0, 1, 10, 100, 999, 5000):

@@ -27,7 +27,8 @@ from tracefold.llm.common import slices, written
 from tracefold.llm.components import components
 
 WORDS = 5
-#: 32 bands of 6 places: a pair with a similarity of 0.85 misses all buckets with a probability of 3e-7.
+#: 32 bands of 6 places: a pair with a similarity of 0.85 misses all buckets with a probability of 3e-7, one of 0.80
+#: with 6e-5.
 BANDS, PLACES = 32, 6
 #: Hash classes in which two sets' shingles are counted to bound what they can share.
 SPREAD = 128
