@@ -100,6 +100,50 @@ def test_scores_against_word_after_word(spark, vocabulary, head):
         assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
 
+def log_paths(v, a, word):
+    """Log of the sum over every segmentation, place by place with numpy, whatever its size."""
+    s = L.SPACE + word
+    ids = {p: i for i, p in enumerate(v.pieces) if v.normal[i]}
+    longest = max(map(len, ids))
+    to = np.full(len(s) + 1, -np.inf)
+    to[0] = 0.0
+    for i in range(len(s)):
+        arcs = a.inner if i else a.first
+        for j in range(i + 1, min(len(s), i + longest) + 1):
+            p = arcs[ids[s[i:j]]] if s[i:j] in ids else -math.inf
+            if j == i + 1 and p == -math.inf:
+                p = a.inner_byte * len(s[i].encode()) if i else a.first_byte
+            to[j] = np.logaddexp(to[j], to[i] + p)
+    return to[-1] + a.stop
+
+
+@pytest.mark.parametrize("head", [0, 10_000])
+def test_words_of_any_length_have_their_own_probability(spark, vocabulary, head):
+    long = ["天地玄黄宇宙洪荒" * 400, "x" * 3000, "Zm9vYmFy" * 300, "letters" * 100, "a▁b", "▁" * 50]
+    train = [(0, "the cat sat on the mat"), (2, "a cat"), (3, long[1])]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:2 * len(long)]
+    assert not {0, 2, 3} & set(held)
+    rows = train + [(i, t) for i, t in zip(held, [*long, *(f"{w} the {w}" for w in long)], strict=True)]
+    c = Counter(w for _, t in train for w in L.words(t.encode()))
+    n, once = sum(c.values()) + len(train), sum(k == 1 for k in c.values())
+    sums = Counter()
+    for w in c:
+        L.expected(vocabulary, L.arcs_of(vocabulary), w.decode(), sums)
+    a = L.arcs_of(vocabulary, sums)
+    got = {r["doc_id"]: r["score"] for r in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), MODEL, head_words=head).collect()}
+    for i, t in rows:
+        want, seen = 0.0, Counter()
+        for k, w in enumerate([*L.words(t.encode()), None]):
+            g = math.log(once * L.END_SHARE) if w is None else math.log(once * (1 - L.END_SHARE)) + log_paths(vocabulary, a, w.decode())
+            count = len(train) if w is None else c[w]
+            g = np.logaddexp(g, math.log(count) if count else -np.inf) - math.log(n + once)
+            prior = g + math.log(L.BETA)
+            want += (np.logaddexp(prior, math.log(seen[w])) if seen[w] else prior) - math.log(k + L.BETA)
+            seen[w] += 1
+        assert got[i] == pytest.approx(want / math.log(10), rel=1e-9)
+    assert got[held[0]] < -4000                 # 3,200 characters, not cut off
+
+
 def test_lm_empty_table(spark):
     assert L.score_documents(spark.createDataFrame([], "doc_id long, text string"), MODEL).count() == 0
 

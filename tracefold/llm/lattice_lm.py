@@ -8,7 +8,8 @@ arc of their own across the whole word, weighted by their count. So the probabil
 
     G(w) = (c(w) + n1 * lattice(w)) / (N + n1),
 
-with n1, the number of words seen once, as the weight of unseen words. A document draws its own word
+with n1, the number of words seen once, as the weight of unseen words. G stays a logarithm throughout, so a word of
+any length has its own probability. A document draws its own word
 distribution around G (a Dirichlet compound multinomial of concentration ``BETA``), so that words which came
 before in a text are likelier to come again; its probability is the product over its words in closed form:
 
@@ -98,8 +99,8 @@ def lattice(v: Vocabulary, a: Arcs, word: str) -> tuple[list[list[tuple[int, int
     """Arcs (start, piece, log-probability) by the character they end at, and the forward recursion: the log of
     the summed probability of all paths to each position.
 
-    The word has a blank in front, which alone may be a first piece. A character that no piece matches alone
-    is spelled in bytes.
+    The word has a blank in front, which alone may be a first piece. A character that no piece of that place
+    (a piece with a blank in front has none inside) matches alone is spelled in bytes.
     """
     s = SPACE + word
     into: list[list[tuple[int, int, float]]] = [[] for _ in s]
@@ -107,7 +108,7 @@ def lattice(v: Vocabulary, a: Arcs, word: str) -> tuple[list[list[tuple[int, int
         into[end].append((end + 1 - size, piece, a.inner[piece] if size <= end else a.first[piece]))
     alpha = [0.0]
     for i, arcs in enumerate(into):
-        if not arcs or arcs[-1][0] != i:        # matches come longest first
+        if not arcs or arcs[-1][0] != i or arcs[-1][2] == -math.inf:        # matches come longest first
             arcs.append((i, -3, a.inner_byte * len(s[i].encode("utf-8", "surrogatepass"))) if i else (0, -2, a.first_byte))
         alpha.append(log_sum([alpha[start] + p for start, _, p in arcs]))
     return into, alpha
@@ -181,28 +182,33 @@ def piece_counts(counts: DataFrame, model_path: str) -> dict[int, float]:
 
 
 def score_words(counts: DataFrame, model_path: str, pieces: dict[int, float], total: int, types: int, once: int) -> DataFrame:
-    """(word, c, n, base, g): log10 of the base probability, and G, of each distinct word, once for each."""
+    """(word, c, n, base, g): log10 of the base probability, and the natural logarithm of G, of each distinct word,
+    once for each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _load(model_path)
         a = arcs_of(v, pieces)
         floor = math.log10(total + types + 1)
+        unseen, every = math.log(once * (1 - END_SHARE)), math.log(total + once)
         for batch in slices(batches, 8192):
             c = batch.column("c").to_pylist()
             base = [math.log10(k + 1) - floor for k in c]
-            g = [(k + once * (1 - END_SHARE) * math.exp(max(-600.0, marginal(v, a, w.decode("utf-8", "replace"))))) / (total + once)
+            g = [log_sum([unseen + marginal(v, a, w.decode("utf-8", "replace")), math.log(k) if k else -math.inf]) - every
                  for k, w in zip(c, batch.column("word").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("n"), pa.array(base, pa.float64()), pa.array(g, pa.float64())], names=["word", "c", "n", "base", "g"])
 
     return counts.mapInArrow(run, "word binary, c bigint, n bigint, base double, g double")
 
 
-def rises(f: int, a: float) -> float:
-    """log10 of a * (a + 1) * ... * (a + f - 1)."""
+def rises(f: int, log_a: float) -> float:
+    """log10 of a * (a + 1) * ... * (a + f - 1), from the natural logarithm of a, which itself may be too small for a
+    number."""
+    first = log_a / math.log(10)
     if f == 1:
-        return math.log10(a)
+        return first
+    a = math.exp(log_a)
     if f < 12:
-        return math.log10(a) + sum(math.log10(a + j) for j in range(1, f))
-    return math.log10(a) + (math.lgamma(a + f) - math.lgamma(a + 1)) / math.log(10)
+        return first + sum(math.log10(a + j) for j in range(1, f))
+    return first + (math.lgamma(a + f) - math.lgamma(a + 1)) / math.log(10)
 
 
 def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", beta: float = BETA,
@@ -221,7 +227,7 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
     t = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).collect()[0]
     total, types, once = int(t[0] or 0) + ends, int(t[1]) + (ends > 0), max(1, int(t[2]))
     table = written(score_words(counts, model_path, piece_counts(counts, model_path), total, types, once), "word-scores")
-    head = spark.sparkContext.broadcast({bytes(r[0]): (r[1] > 0, r[2], beta * r[3]) for r in frequent(table, "n", head_words).select("word", "c", "base", "g").collect()})
+    head = spark.sparkContext.broadcast({bytes(r[0]): (r[1] > 0, r[2], math.log(beta) + r[3]) for r in frequent(table, "n", head_words).select("word", "c", "base", "g").collect()})
     end_base = math.log10(ends + 1) - math.log10(total + types + 1)
     end_score = math.log10(beta * (ends + once * END_SHARE) / (total + once))
 
@@ -234,7 +240,7 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
             for r, i, h, tx in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held", "text")), strict=True):
                 freq = Counter(words(tx))
                 n = sum(freq.values()) + 1
-                seen, base, score = int(ends > 0), end_base, end_score - rises(n, beta)
+                seen, base, score = int(ends > 0), end_base, end_score - rises(n, math.log(beta))
                 for w, f in freq.items():
                     found = known(w)
                     if found is None:
@@ -247,9 +253,9 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), types_, strict=True)] if out else [pa.array([], k) for k in types_], names=names)
 
     parts = written(rows.mapInArrow(split, "row bigint, doc_id bigint, held boolean, n bigint, known bigint, base double, score double, word binary, freq bigint"), "word-frequencies")
-    a = F.col("g") * beta
-    ln10 = math.log(10)
-    up = F.log10(a) + F.when(F.col("freq") > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("freq") - 1, F.lit(1)).cast("int")), F.lit(0.0), lambda s, j: s + F.log(a + j) / ln10)).otherwise(0.0)
+    log_a, ln10 = F.col("g") + math.log(beta), math.log(10)
+    a = F.exp(log_a)
+    up = log_a / ln10 + F.when(F.col("freq") > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("freq") - 1, F.lit(1)).cast("int")), F.lit(0.0), lambda s, j: s + F.log(a + j) / ln10)).otherwise(0.0)
     rare = (parts.filter(F.col("word").isNotNull()).select("row", "word", "freq").join(table.select("word", "c", "base", "g"), "word")
             .select("row", F.when(F.col("c") > 0, F.col("freq")).otherwise(0).alias("known"), (F.col("freq") * F.col("base")).alias("base"), up.alias("score")))
     docs_part = parts.filter(F.col("word").isNull()).select("row", "doc_id", "held", "n", "known", "base", "score")
