@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,35 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``pos`` (from 0 inside ``tree``, a column without nulls, by ``order``) and ``size`` (the tree's rows).
+
+    Rows are range-sorted and numbered inside their partition; the counts of (partition, tree) give where each
+    begins. No task holds a tree and nothing is collected.
+    """
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, at = None, 0
+        for batch in slices(batches, 8192):
+            seq = []
+            for t in batch.column("tree").to_pylist():
+                tree, at = (t, at + 1) if t == tree else (t, 0)
+                seq.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seq, pa.int64())], names=[*batch.schema.names, "seq"])
+
+    by = [F.col("tree"), *order]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seq_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", seq bigint"
+    placed = written(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(number, seq_schema)
+                     .withColumn("part", F.spark_partition_id()), name)
+    counts = placed.groupBy("tree", "part").agg(F.count("*").alias("rows"))
+    # a tree has a row for each range partition here, as many as the session's shuffle partitions at most
+    window = Window.partitionBy("tree")
+    starts = counts.select("tree", "part", (F.sum("rows").over(window.orderBy("part")) - F.col("rows")).alias("start"),
+                           F.sum("rows").over(window).alias("size"))
+    return (placed.join(starts, ["tree", "part"]).withColumn("pos", (F.col("start") + F.col("seq")).cast("bigint"))
+            .withColumn("size", F.col("size").cast("bigint")).drop("part", "seq", "start"))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

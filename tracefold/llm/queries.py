@@ -8,7 +8,8 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import decontaminate, lattice_lm, near_dup, quality, sentencepiece_codec, sharding, token_counts, token_store, toxicity, warc
+from tracefold.llm import (decontaminate, lattice_lm, merkle, near_dup, neighbours, quality, sentencepiece_codec, sharding, token_counts, token_store, toxicity,
+                           warc, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,24 @@ def op9_quality_rules(spark, sf_dir):
 def op10_decontamination(spark, sf_dir):
     """Every (document, benchmark item) pair with the item's passage in the document, exactly or slightly edited."""
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op11_embedding_whitening(spark, sf_dir):
+    """Every embedding on the 16 leading components of the distinct grid vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op12_merkle_manifest(spark, sf_dir):
+    """Proof of every document, and the check of the table with n_chars changed in a seventh of its rows."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle.verify(table(spark, sf_dir, "documents"), fields, "lang", "doc_id", {"n_chars": tampered}).withColumnRenamed("key", "doc_id")
+
+
+@register
+def op13_nearest_neighbours(spark, sf_dir):
+    """The 20 nearest of every embedding whose id is divisible by 20, among all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, F.col("vec_id") % 20 == 0, 20)
