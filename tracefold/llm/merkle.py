@@ -57,9 +57,9 @@ def tree_name(group: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- one block
-def levels_of(size: int, whole: bool) -> int:
-    """Levels above a block of ``size`` nodes: up to one node if the block is the whole (rest of the) tree."""
-    return (size - 1).bit_length() if whole else LEVELS
+def levels_of(nodes: int, size: int, height: int) -> int:
+    """Levels above a block of ``nodes``, of ``size`` in the tree: up to a single one if the block is all of them."""
+    return (nodes - 1).bit_length() if size <= 1 << height else height
 
 
 def forward(digests: list[str], levels: int) -> list[list[str]]:
@@ -119,6 +119,7 @@ class Manifest:
     slabs: list[DataFrame]
     subroots: DataFrame
     root: str | None
+    height: int
 
 
 def _by_block(rows: DataFrame, f: Callable, schema: str, extra: list[Column] | None = None) -> DataFrame:
@@ -139,31 +140,31 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield run
 
 
-def _slab_up(nodes: DataFrame) -> DataFrame:
+def _slab_up(nodes: DataFrame, height: int) -> DataFrame:
     """The top node of each block: ``tree, pos, size, digest`` of the next slab."""
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for run in _runs(batches):
             size = run[0]["size"]
-            top = forward([r["digest"] for r in run], levels_of(len(run), size <= 1 << LEVELS))[-1]
-            out.append({"tree": run[0]["tree"], "pos": run[0]["block"], "size": -(-size >> LEVELS), "digest": top[0]})
+            top = forward([r["digest"] for r in run], levels_of(len(run), size, height))[-1]
+            out.append({"tree": run[0]["tree"], "pos": run[0]["block"], "size": -(-size >> height), "digest": top[0]})
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("tree", pa.string()), ("pos", pa.int64()), ("size", pa.int64()), ("digest", pa.string())]))
 
-    blocks = nodes.select("tree", "pos", "size", "digest", F.shiftright("pos", LEVELS).alias("block"))
+    blocks = nodes.select("tree", "pos", "size", "digest", F.shiftright("pos", height).alias("block"))
     return _by_block(blocks, up, "tree string, pos bigint, size bigint, digest string")
 
 
-def slabs(leaves: DataFrame, most: int, name: str) -> list[DataFrame]:
+def slabs(leaves: DataFrame, most: int, height: int) -> list[DataFrame]:
     """Bottom nodes of each slab, bottom slab first, and at the end one row for each tree; ``most``: its largest size."""
     out = [leaves.select("tree", "pos", "size", "digest")]
     while True:
-        out.append(written(_slab_up(out[-1]), name))
-        most = -(-most >> LEVELS)
+        out.append(written(_slab_up(out[-1], height), "merkle-slab"))
+        most = -(-most >> height)
         if most <= 1:
             return out
 
 
-def _slab_down(nodes: DataFrame, above: DataFrame, carried: str, last: Callable[[dict, list[str]], dict] | None, schema: str,
+def _slab_down(nodes: DataFrame, above: DataFrame, height: int, carried: str, last: Callable[[dict, list[str]], dict] | None, schema: str,
                fields: list[str]) -> DataFrame:
     """Proofs of a slab's bottom nodes from those of the slab above (``tree, pos, proof`` and ``carried``)."""
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +172,7 @@ def _slab_down(nodes: DataFrame, above: DataFrame, carried: str, last: Callable[
         for run in _runs(batches):
             head, rest = run[0], run[1:]
             size = rest[0]["size"]
-            known = forward([r["digest"] for r in rest], levels_of(len(rest), size <= 1 << LEVELS))
+            known = forward([r["digest"] for r in rest], levels_of(len(rest), size, height))
             for row, proof in zip(rest, reverse(known, head["proof"]), strict=True):
                 row = {**row, carried: head[carried], "proof": proof}
                 out.append({k: v for k, v in (last(row) if last else row).items() if k in fields})
@@ -181,12 +182,13 @@ def _slab_down(nodes: DataFrame, above: DataFrame, carried: str, last: Callable[
         yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     arrow = to_arrow_schema(nodes.sparkSession.createDataFrame([], schema).schema)
-    below = nodes.withColumn("block", F.shiftright("pos", LEVELS)).withColumn("kind", F.lit(1))
+    below = nodes.withColumn("block", F.shiftright("pos", height)).withColumn("kind", F.lit(1))
     heads = above.select("tree", F.col("pos").alias("block"), "proof", carried, F.lit(0).alias("kind"))
     return _by_block(below.unionByName(heads, allowMissingColumns=True), down, schema, [F.col("kind")])
 
 
-def build(df: DataFrame, fields: list[str], group: str, key: str, carry: dict[str, Column] | None = None) -> Manifest:
+def build(df: DataFrame, fields: list[str], group: str, key: str, carry: dict[str, Column] | None = None,
+          height: int = LEVELS) -> Manifest:
     """Leaves in order, the groups' subroots with their proofs to the root (``tree, digest, proof``), and the root.
 
     ``carry`` names columns to keep with the leaves (computed from the row).
@@ -197,19 +199,19 @@ def build(df: DataFrame, fields: list[str], group: str, key: str, carry: dict[st
     leaves = written(ranked(rows, order, "merkle-order"), "merkle-leaves")
     most = leaves.agg(F.max("size")).first()[0]
     if most is None:
-        return Manifest(leaves, [], leaves.select("tree", "digest", F.array().cast("array<string>").alias("proof")), None)
-    own = slabs(leaves, most, "merkle-slab")
+        return Manifest(leaves, [], leaves.select("tree", "digest", F.array().cast("array<string>").alias("proof")), None, height)
+    own = slabs(leaves, most, height)
     tops = own[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
     tops = written(ranked(tops, [F.col("name")], "merkle-order"), "merkle-tops")
     n = tops.agg(F.max("size")).first()[0]
-    over = slabs(tops, n, "merkle-slab")
+    over = slabs(tops, n, height)
     root = over[-1].first()["digest"]
     proofs = over[-1].select("tree", "pos", F.array().cast("array<string>").alias("proof"), F.lit("").alias("none"))
     kinds = "tree string, pos bigint, proof array<string>, none string"
     for nodes in over[-2:0:-1]:
-        proofs = _slab_down(nodes, proofs, "none", None, kinds, ["tree", "pos", "proof", "none"])
-    proofs = _slab_down(tops, proofs, "none", None, "name string, digest string, proof array<string>", ["name", "digest", "proof"])
-    return Manifest(leaves, own, written(proofs.select(F.col("name").alias("tree"), "digest", "proof"), "merkle-subroots"), root)
+        proofs = _slab_down(nodes, proofs, height, "none", None, kinds, ["tree", "pos", "proof", "none"])
+    proofs = _slab_down(tops, proofs, height, "none", None, "name string, digest string, proof array<string>", ["name", "digest", "proof"])
+    return Manifest(leaves, own, written(proofs.select(F.col("name").alias("tree"), "digest", "proof"), "merkle-subroots"), root, height)
 
 
 def proofs(manifest: Manifest, last: Callable[[dict], dict] | None = None, schema: str | None = None) -> DataFrame:
@@ -227,18 +229,18 @@ def proofs(manifest: Manifest, last: Callable[[dict], dict] | None = None, schem
         return spark.createDataFrame([], schema)
     above = manifest.subroots.select("tree", F.lit(0).cast("bigint").alias("pos"), "proof", F.col("digest").alias("subroot"))
     for nodes in manifest.slabs[-2:0:-1]:
-        above = _slab_down(nodes, above, "subroot", None, "tree string, pos bigint, proof array<string>, subroot string", ["tree", "pos", "proof", "subroot"])
-    return _slab_down(leaves, above, "subroot", last, schema, names)
+        above = _slab_down(nodes, above, manifest.height, "subroot", None, "tree string, pos bigint, proof array<string>, subroot string", ["tree", "pos", "proof", "subroot"])
+    return _slab_down(leaves, above, manifest.height, "subroot", last, schema, names)
 
 
-def verify(df: DataFrame, fields: list[str], group: str, key: str, changed: dict[str, Column]) -> DataFrame:
+def verify(df: DataFrame, fields: list[str], group: str, key: str, changed: dict[str, Column], height: int = LEVELS) -> DataFrame:
     """Build the manifest of ``df``, then hold every row, with the ``changed`` columns in place, against its proof.
 
     Returns ``key, leaf, subroot, root, proof_sha256, folded_root, verified``: ``folded_root`` is what the changed
     row's leaf and the original siblings lead to, ``verified`` says whether it is the root.
     """
     changed_leaf = leaf_digest([changed.get(c, F.col(c)) for c in fields])
-    manifest = build(df, fields, group, key, {"seen": changed_leaf})
+    manifest = build(df, fields, group, key, {"seen": changed_leaf}, height)
     root = manifest.root
 
     def check(row: dict) -> dict:

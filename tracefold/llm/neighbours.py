@@ -28,7 +28,7 @@ node the best LINKS are walked back to. The tests measure the recall.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -98,10 +98,13 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator
 # --------------------------------------------------------------------------- vectors
 @dataclass(frozen=True)
 class Shape:
-    """What tasks need to know: the entries' type in ``vec``, their number, and that of the nodes."""
+    """What tasks need to know: the entries' type in ``vec``, their number, that of the nodes, and the sizes in use."""
     dtype: str
     dim: int
     size: int
+    chunk: int = CHUNK
+    orders: int = ORDERS
+    block: int = BLOCK
 
     @property
     def id_type(self) -> str:
@@ -130,7 +133,7 @@ def signs(rows: DataFrame, dtype: str, dim: int, seed: int) -> DataFrame:
     return rows.mapInArrow(mark, f"{own}, code bigint")
 
 
-def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> Vectors | None:
+def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", **sizes: int) -> Vectors | None:
     """Rows that take part, their distinct vectors numbered; None if there are none."""
     dtype = "<f4" if df.schema[vec_col].dataType.elementType.simpleString() == "float" else "<f8"
     element = "float" if dtype == "<f4" else "double"
@@ -154,7 +157,7 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
     coded = signs(rows.select("vec").distinct(), dtype, dim, SEED).withColumn("tree", F.lit(""))
     nodes = written(ranked(coded, [F.col("code"), F.xxhash64("vec"), F.col("vec")], "ann-order").select(F.col("pos").alias("key"), "vec"), "ann-nodes")
     members = written(rows.distinct().join(nodes, "vec").select("id", F.col("key").alias("node")), "ann-members")
-    return Vectors(members, nodes, Shape(dtype, dim, nodes.count()))
+    return Vectors(members, nodes, Shape(dtype, dim, nodes.count(), **sizes))
 
 
 def level(v: Vectors) -> Vectors:
@@ -175,16 +178,16 @@ def level(v: Vectors) -> Vectors:
             x = np.c_[x, np.sqrt(np.maximum(1 - (x * x).sum(1), 0))].astype("<f4")
             yield _batch("key bigint, vec binary", [batch.column("key"), [r.tobytes() for r in x]])
 
-    return Vectors(v.members, v.nodes.mapInArrow(widen, "key bigint, vec binary"), Shape("<f4", sh.dim + 1, sh.size))
+    return Vectors(v.members, v.nodes.mapInArrow(widen, "key bigint, vec binary"), replace(sh, dtype="<f4", dim=sh.dim + 1))
 
 
 # --------------------------------------------------------------------------- requests meet blocks
-def _meet(table: DataFrame, requests: DataFrame, build: Callable, serve: Callable, schema: str, finish: Callable | None = None) -> DataFrame:
-    """Bring the rows of ``table`` (key and what a node has) and the requests of its block together in a task.
+def _meet(size: int, table: DataFrame, requests: DataFrame, build: Callable, serve: Callable, schema: str, finish: Callable | None = None) -> DataFrame:
+    """Bring the rows of ``table`` (key and what a node has) and the requests of its block (of ``size``) together in a task.
 
     ``build(first key, batch)`` makes a block's state, ``serve(state, batch)`` answers a batch of requests, ``finish`` ends it.
     """
-    copies = table.withColumn("block", F.floor(F.col("key") / BLOCK).cast("bigint")).withColumn("kind", F.lit(0))
+    copies = table.withColumn("block", F.floor(F.col("key") / size).cast("bigint")).withColumn("kind", F.lit(0))
     copies = copies.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(COPIES)])))
     both = copies.unionByName(requests.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     for f in MEET.split(", "):
@@ -205,7 +208,7 @@ def _meet(table: DataFrame, requests: DataFrame, build: Callable, serve: Callabl
                     rows.append(batch.slice(i, j - i))
                     continue
                 if state is None:
-                    state, rows = build(int(b[i]) * BLOCK, pa.concat_batches(rows)), []
+                    state, rows = build(int(b[i]) * size, pa.concat_batches(rows)), []
                 yield from serve(state, batch.slice(i, j - i))
         if state is not None and finish:
             yield from finish(state)
@@ -214,11 +217,11 @@ def _meet(table: DataFrame, requests: DataFrame, build: Callable, serve: Callabl
     return both.select(*names).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "key").mapInArrow(run, schema)
 
 
-def _to_blocks(key: int, vec: bytes, bar: float, ids: np.ndarray, id_type: str) -> Iterator[tuple]:
+def _to_blocks(sh: Shape, key: int, vec: bytes, bar: float, ids: np.ndarray) -> Iterator[tuple]:
     """Requests of one key: its sorted candidates, dealt to their blocks."""
-    blocks = ids.astype(np.int64) // BLOCK
+    blocks = ids.astype(np.int64) // sh.block
     for i, j in zip(*_cuts(blocks), strict=True):
-        yield int(blocks[i]), key % COPIES, key, vec, ids[i:j].astype(id_type).tobytes(), bar
+        yield int(blocks[i]), key % COPIES, key, vec, ids[i:j].astype(sh.id_type).tobytes(), bar
 
 
 REQUEST = "block bigint, salt int, key bigint, vec binary, ids binary, bar double"
@@ -239,18 +242,18 @@ def _first_lists(v: Vectors, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, x = np.zeros(0, np.int64), np.zeros((0, sh.dim), np.float32)
-        for batch in slices(batches, CHUNK):
+        for batch in slices(batches, sh.chunk):
             key = np.concatenate([key, batch.column("key").to_numpy()])
             x = np.concatenate([x, np.frombuffer(b"".join(batch.column("vec").to_pylist()), sh.dtype).reshape(-1, sh.dim).astype(np.float32)])
-            while len(key) >= 2 * CHUNK:
-                yield near(key[:CHUNK], x[:CHUNK])
-                key, x = key[CHUNK:], x[CHUNK:]
+            while len(key) >= 2 * sh.chunk:
+                yield near(key[:sh.chunk], x[:sh.chunk])
+                key, x = key[sh.chunk:], x[sh.chunk:]
         if len(key):
             yield near(key, x)
 
     coded = signs(v.nodes, sh.dtype, sh.dim, seed)
     by = [F.col("code"), F.xxhash64("key", F.lit(seed))]
-    parts = max(1, min(sh.size // (2 * CHUNK), int(v.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(sh.size // (2 * sh.chunk), int(v.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return coded.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("code").mapInArrow(run, FOUND)
 
 
@@ -296,7 +299,7 @@ def _candidates(v: Vectors, graph: DataFrame) -> DataFrame:
                 ids = np.unique(np.frombuffer(b"".join(lists), kind))
                 ids = np.setdiff1d(ids[ids != key], np.frombuffer(own, kind), assume_unique=True)
                 worst = np.frombuffer(sims, "<f4")
-                out.extend(_to_blocks(key, vec, float(worst[-1]) if len(worst) == LINKS else -np.inf, ids, kind))
+                out.extend(_to_blocks(sh, key, vec, float(worst[-1]) if len(worst) == LINKS else -np.inf, ids))
             yield _batch(REQUEST, list(zip(*out, strict=True)) if out else [[]] * 6)
 
     paths = graph.select("key", "ids", "fresh").mapInArrow(fresh, "key bigint, via bigint")
@@ -374,14 +377,14 @@ def _found(v: Vectors, graph: DataFrame) -> DataFrame:
         yield _batch(FOUND, [w[at] + state.first, [ids[a:b].astype(kind).tobytes() for a, b in spans], [sims[a:b].astype("<f4").tobytes() for a, b in spans]])
 
     table = v.nodes.join(graph.select("key", "sims"), "key").select("key", "vec", "sims").mapInArrow(bars, "key bigint, vec binary, bar double")
-    return _meet(table, _candidates(v, graph), lambda first, batch: _Scores(first, batch, sh.dtype, sh.dim), serve, FOUND, finish)
+    return _meet(sh.block, table, _candidates(v, graph), lambda first, batch: _Scores(first, batch, sh.dtype, sh.dim), serve, FOUND, finish)
 
 
 def descend(v: Vectors, most_rounds: int = MOST_ROUNDS, settled: float = SETTLED) -> DataFrame:
     """The neighbour graph: ``key, ids, sims`` (nearest first) of every node."""
     sh = v.shape
     found = None
-    for r in range(ORDERS):
+    for r in range(v.shape.orders):
         part = _first_lists(v, SEED + 1 + r)
         found = part if found is None else found.union(part)
     graph = written(_merged(None, found, sh.id_type), "ann-graph")
@@ -421,26 +424,23 @@ def _round(v: Vectors, links: DataFrame, state: DataFrame, beam: int, step: int)
     sh, kind = v.shape, v.shape.id_type
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            to = unpack(batch.column("next"), kind)
+            yield _batch("key bigint, via bigint", [np.repeat(batch.column("key").to_numpy(), [len(x) for x in to]), np.concatenate(to).astype(np.int64)])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             out = []
-            for key, vec, sims, nxt in zip(*(batch.column(c).to_pylist() for c in ("key", "vec", "sims", "next")), strict=True):
-                s = np.frombuffer(sims, "<f8")
-                out.extend(_to_blocks(key, vec, float(s[-1]) if len(s) == beam else -np.inf, np.sort(np.frombuffer(nxt, kind)), kind))
+            for key, vec, own, sims, lists in zip(*(batch.column(c).to_pylist() for c in ("key", "vec", "ids", "sims", "lists")), strict=True):
+                to = np.setdiff1d(np.frombuffer(b"".join(lists), kind), np.frombuffer(own, kind))
+                worst = np.frombuffer(sims, "<f8")
+                out.extend(_to_blocks(sh, key, vec, float(worst[-1]) if len(worst) == beam else -np.inf, to))
             yield _batch(REQUEST, list(zip(*out, strict=True)) if out else [[]] * 6)
 
-    def lists(first: int, batch: pa.RecordBatch):
-        return first, unpack(batch.column("ids"), kind)
-
-    def follow(state, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        first, table = state
-        out = []
-        for key, vec, bar, ids in zip(batch.column("key").to_pylist(), batch.column("vec").to_pylist(), batch.column("bar").to_pylist(), unpack(batch.column("ids"), kind), strict=True):
-            to = np.unique(np.concatenate([table[i] for i in ids.astype(np.int64) - first]))
-            out.extend(_to_blocks(key, vec, bar, to, kind))
-        yield _batch(REQUEST, list(zip(*out, strict=True)) if out else [[]] * 6)
-
-    steps = _meet(links, state.select("key", "vec", "sims", "next").mapInArrow(expand, REQUEST), lists, follow, REQUEST)
-    return _merged_beams(v, state, _scored(v, steps, beam), beam, step)
+    paths = state.select("key", "next").mapInArrow(expand, "key bigint, via bigint")
+    lists = paths.join(links.select(F.col("key").alias("via"), "ids"), "via").groupBy("key").agg(F.collect_list("ids").alias("lists"))   # ``step`` lists at most
+    requests = lists.join(state.select("key", "vec", "ids", "sims"), "key").mapInArrow(ask, REQUEST)
+    return _merged_beams(v, state, _scored(v, requests, beam), beam, step)
 
 
 def _scored(v: Vectors, requests: DataFrame, beam: int) -> DataFrame:
@@ -463,7 +463,7 @@ def _scored(v: Vectors, requests: DataFrame, beam: int) -> DataFrame:
         if out:
             yield _batch(FOUND, list(zip(*out, strict=True)))
 
-    return _meet(v.nodes, requests, block, serve, FOUND)
+    return _meet(sh.block, v.nodes, requests, block, serve, FOUND)
 
 
 def _merged_beams(v: Vectors, state: DataFrame, found: DataFrame, beam: int, step: int) -> DataFrame:
@@ -501,7 +501,7 @@ def search(v: Vectors, links: DataFrame, queries: DataFrame, most: int, beam: in
         for batch in slices(batches, 512):
             out = []
             for key, vec, own in zip(*(batch.column(c).to_pylist() for c in ("key", "vec", "own")), strict=True):
-                out.extend(_to_blocks(key, vec, -np.inf, entries if own is None else np.union1d(entries, [own]), kind))
+                out.extend(_to_blocks(sh, key, vec, -np.inf, entries if own is None else np.union1d(entries, [own])))
             yield _batch(REQUEST, list(zip(*out, strict=True)) if out else [[]] * 6)
 
     beam = max(beam, 4 * most)
@@ -510,9 +510,7 @@ def search(v: Vectors, links: DataFrame, queries: DataFrame, most: int, beam: in
     state = _merged_beams(v, state, _scored(v, queries.select("key", "vec", "own").mapInArrow(enter, REQUEST), beam), beam, step)
     finished = None
     while True:
-        for _ in range(3):
-            state = _round(v, links, state, beam, step)
-        state = written(state, "ann-beams")
+        state = written(_round(v, links, state, beam, step) if finished is not None else state, "ann-beams")
         over = state.filter(F.octet_length("next") == 0)
         finished = over if finished is None else finished.union(over)
         state = state.filter(F.octet_length("next") > 0)
@@ -532,10 +530,10 @@ def search(v: Vectors, links: DataFrame, queries: DataFrame, most: int, beam: in
     return finished.select("key", "ids", "sims").mapInArrow(give, "key bigint, node bigint, score double")
 
 
-def nearest(df: DataFrame, is_query: Column, most: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, most: int, id_col: str = "vec_id", vec_col: str = "embedding", **sizes: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row where ``is_query`` holds, its ``most`` nearest other rows."""
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    v = vectors(df, id_col, vec_col)
+    v = vectors(df, id_col, vec_col, **sizes)
     if v is None:
         return df.sparkSession.createDataFrame([], schema)
     asked = df.filter(F.coalesce(is_query, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id")).distinct()
