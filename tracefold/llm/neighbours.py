@@ -9,7 +9,8 @@ node besides the common entry points.
 
 Nodes are numbered in the order of random-projection signs, so that near ones often have near numbers, and numbers
 are cut into blocks of BLOCK. Scores are computed where a block's vectors are: a node sends its vector once to
-each block in which it has candidates, never once for each pair. Requests of a block are dealt to COPIES copies of it.
+each block in which it has candidates, never once for each pair, and PACK nodes' requests to a block travel as a row.
+Requests of a block are dealt to COPIES copies of it.
 Lists, beams and blocks are bounded, so is each task's memory; nothing but counts reaches the driver.
 
 Inner products of vectors of unequal length are no distance. For the graph alone, such vectors get one more
@@ -41,14 +42,18 @@ from tracefold.operators.ordering import top_k
 LINKS, FRESH = 32, 12
 #: Rows of a random order that are compared with each other, and the number of such orders.
 CHUNK, ORDERS, BITS = 2048, 8, 24
-BLOCK, COPIES = 4096, 4
-BEAM, STEP, ENTRIES = 400, 64, 64
+BLOCK, COPIES, PACK = 4096, 2, 64
+BEAM, STEP, ENTRIES = 400, 96, 64
 #: The graph is done when a round changes at most this share of all links, or after so many rounds.
 SETTLED, MOST_ROUNDS = 0.1, 12
 SEED = 20_413
 
-MEET = "block bigint, salt int, kind int, key bigint, vec binary, ids binary, bar double"
+#: A row of a block's table (kind 0: key, vec or ids, bars) or a pack of requests to the block (kind 1): the ids asked for
+#: by each of ``keys`` lie one after another, ``counts`` of them each; ``vec`` and ``bars`` have an entry for each key.
+MEET = "block bigint, salt int, kind int, key bigint, keys binary, vec binary, ids binary, counts binary, bars binary"
+REQUEST = "block bigint, salt int, key bigint, keys binary, vec binary, ids binary, counts binary, bars binary"
 FOUND = "key bigint, ids binary, sims binary"
+LISTS = "key bigint, ids binary"
 
 
 # --------------------------------------------------------------------------- arrays in binary columns
@@ -182,6 +187,37 @@ def level(v: Vectors) -> Vectors:
 
 
 # --------------------------------------------------------------------------- requests meet blocks
+def packed(sh: Shape, rows: list[tuple[int, bytes, float, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Requests (key, vec, bar, sorted ids), dealt to the ids' blocks, PACK keys to a row."""
+    out = []
+    for at in range(0, len(rows), PACK):
+        part = rows[at:at + PACK]
+        who = np.repeat(np.arange(len(part)), [len(r[3]) for r in part])
+        ids = np.concatenate([r[3] for r in part]).astype(np.int64)
+        keys, bars = np.array([r[0] for r in part], "<i8"), np.array([r[2] for r in part], "<f8")
+        vecs = np.frombuffer(b"".join(r[1] for r in part), np.uint8).reshape(len(part), -1) if part[0][1] else np.zeros((len(part), 0), np.uint8)
+        by = np.argsort(ids // sh.block, kind="stable")
+        ids, who = ids[by], who[by]
+        blocks = ids // sh.block
+        for i, j in zip(*_cuts(blocks), strict=True):
+            first, last = _cuts(who[i:j])
+            them = who[i:j][first]
+            out.append((int(blocks[i]), int(keys[0] // PACK % COPIES), int(keys[0]), keys[them].tobytes(), vecs[them].tobytes(), ids[i:j].astype(sh.id_type).tobytes(),
+                        (last - first).astype("<i4").tobytes(), bars[them].tobytes()))
+    if out:
+        yield _batch(REQUEST, list(zip(*out, strict=True)))
+
+
+def unpacked(sh: Shape, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray | None, float, np.ndarray]]:
+    """Key, vector (None if packed without), bar and ids of each request."""
+    for keys, vecs, ids, counts, bars in zip(*(batch.column(c).to_pylist() for c in ("keys", "vec", "ids", "counts", "bars")), strict=True):
+        keys, ids, bars = np.frombuffer(keys, "<i8"), np.frombuffer(ids, sh.id_type), np.frombuffer(bars, "<f8")
+        to = np.cumsum(np.frombuffer(counts, "<i4"))
+        x = np.frombuffer(vecs, sh.dtype).reshape(len(keys), -1) if vecs else None
+        for k, key in enumerate(keys.tolist()):
+            yield key, None if x is None else x[k], float(bars[k]), ids[to[k - 1] if k else 0:to[k]]
+
+
 def _meet(size: int, table: DataFrame, requests: DataFrame, build: Callable, serve: Callable, schema: str, finish: Callable | None = None) -> DataFrame:
     """Bring the rows of ``table`` (key and what a node has) and the requests of its block (of ``size``) together in a task.
 
@@ -209,7 +245,8 @@ def _meet(size: int, table: DataFrame, requests: DataFrame, build: Callable, ser
                     continue
                 if state is None:
                     state, rows = build(int(b[i]) * size, pa.concat_batches(rows)), []
-                yield from serve(state, batch.slice(i, j - i))
+                for part in slices([batch.slice(i, j - i)], 16):
+                    yield from serve(state, part)
         if state is not None and finish:
             yield from finish(state)
 
@@ -217,14 +254,37 @@ def _meet(size: int, table: DataFrame, requests: DataFrame, build: Callable, ser
     return both.select(*names).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "key").mapInArrow(run, schema)
 
 
-def _to_blocks(sh: Shape, key: int, vec: bytes, bar: float, ids: np.ndarray) -> Iterator[tuple]:
-    """Requests of one key: its sorted candidates, dealt to their blocks."""
-    blocks = ids.astype(np.int64) // sh.block
-    for i, j in zip(*_cuts(blocks), strict=True):
-        yield int(blocks[i]), key % COPIES, key, vec, ids[i:j].astype(sh.id_type).tobytes(), bar
+def _lists_of(sh: Shape, table: DataFrame, requests: DataFrame) -> DataFrame:
+    """``key, ids``: for each key and block, the nodes that the asked nodes there are linked to."""
+    def build(first: int, batch: pa.RecordBatch):
+        return first, unpack(batch.column("ids"), sh.id_type)
+
+    def serve(state, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        first, lists = state
+        out = [(key, np.unique(np.concatenate([lists[i] for i in ids.astype(np.int64) - first])).tobytes()) for key, _, _, ids in unpacked(sh, batch)]
+        yield _batch(LISTS, list(zip(*out, strict=True)))
+
+    return _meet(sh.block, table.select("key", "ids"), requests, build, serve, LISTS)
+
+
+def _asked(sh: Shape, owners: DataFrame, lists: DataFrame, sims_type: str, full: int) -> DataFrame:
+    """Requests for what ``lists`` found for each owner (``key, vec, ids, sims``) and it doesn't have, above its last score."""
+    rows = owners.select("key", "vec", "ids", "sims", F.lit(0).alias("late")).unionByName(lists.withColumn("late", F.lit(1)), allowMissingColumns=True)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_keys(batches, 1024):
+            key, late = batch.column("key").to_numpy(), batch.column("late").to_numpy()
+            ids, vec, sims = unpack(batch.column("ids"), sh.id_type), batch.column("vec").to_pylist(), unpack(batch.column("sims"), sims_type)
+            out = []
+            for i, j in zip(*_cuts(key), strict=True):
+                if j - i > 1 and not late[i]:
+                    new = np.setdiff1d(np.concatenate(ids[i + 1:j]), ids[i])
+                    new = new[new != key[i]] if full == LINKS else new
+                    if len(new):
+                        out.append((int(key[i]), vec[i], float(sims[i][-1]) if len(sims[i]) == full else -np.inf, new))
+            yield from packed(sh, out)
 
-REQUEST = "block bigint, salt int, key bigint, vec binary, ids binary, bar double"
+    return rows.repartition("key").sortWithinPartitions("key", "late").mapInArrow(run, REQUEST)
 
 
 # --------------------------------------------------------------------------- the graph
@@ -257,13 +317,12 @@ def _first_lists(v: Vectors, seed: int) -> DataFrame:
     return coded.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("code").mapInArrow(run, FOUND)
 
 
-GRAPH = "key bigint, ids binary, sims binary, fresh binary, changed bigint"
+GRAPH = "key bigint, vec binary, ids binary, sims binary, fresh binary, changed bigint"
 
 
-def _merged(graph: DataFrame | None, found: DataFrame, id_type: str) -> DataFrame:
+def _merged(graph: DataFrame, found: DataFrame, id_type: str) -> DataFrame:
     """The better LINKS of each node's list and what was found for it; new links are fresh, ``changed`` counts them."""
-    found = found.select("key", "ids", "sims", F.lit(None).cast("binary").alias("fresh"), F.lit(1).alias("late"))
-    rows = found if graph is None else found.union(graph.select("key", "ids", "sims", "fresh", F.lit(0)))
+    rows = graph.select("key", "vec", "ids", "sims", "fresh", F.lit(0).alias("late")).unionByName(found.withColumn("late", F.lit(1)), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_keys(batches):
@@ -275,44 +334,30 @@ def _merged(graph: DataFrame | None, found: DataFrame, id_type: str) -> DataFram
             f = np.concatenate([np.ones(k, bool) if x == 1 else y for k, x, y in zip(sizes, late, fresh, strict=True)])
             keep = best(g, i, s, LINKS)         # of an id in the old list and among the found ones, the old entry stays
             g, i, s, f, n = g[keep], i[keep].astype(id_type), s[keep], f[keep], n[keep]
-            at, to = _cuts(g)
-            spans = list(zip(at, to, strict=True))
-            yield _batch(GRAPH, [g[at], [i[a:b].tobytes() for a, b in spans], [s[a:b].tobytes() for a, b in spans], [f[a:b].tobytes() for a, b in spans],
-                                 [int(n[a:b].sum()) for a, b in spans]])
+            own = np.flatnonzero(late == 0)
+            spans = list(zip(np.searchsorted(g, key[own]).tolist(), np.searchsorted(g, key[own], side="right").tolist(), strict=True))
+            yield _batch(GRAPH, [key[own], batch.column("vec").take(pa.array(own)), [i[a:b].tobytes() for a, b in spans], [s[a:b].tobytes() for a, b in spans],
+                                 [f[a:b].tobytes() for a, b in spans], [int(n[a:b].sum()) for a, b in spans]])
 
     return rows.repartition("key").sortWithinPartitions("key", "late").mapInArrow(run, GRAPH)
 
 
-def _candidates(v: Vectors, graph: DataFrame) -> DataFrame:
-    """Requests: each node's vector to the blocks of the neighbours of its best fresh neighbours."""
-    sh, kind = v.shape, v.shape.id_type
-
-    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            u = [i[f][:FRESH].astype(np.int64) for i, f in zip(unpack(batch.column("ids"), kind), unpack(batch.column("fresh"), "?"), strict=True)]
-            yield _batch("key bigint, via bigint", [np.repeat(batch.column("key").to_numpy(), [len(x) for x in u]), np.concatenate(u)])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _paths(sh: Shape, graph: DataFrame) -> DataFrame:
+    """Requests for the lists of each node's best fresh neighbours."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            out = []
-            for key, vec, own, sims, lists in zip(*(batch.column(c).to_pylist() for c in ("key", "vec", "ids", "sims", "lists")), strict=True):
-                ids = np.unique(np.frombuffer(b"".join(lists), kind))
-                ids = np.setdiff1d(ids[ids != key], np.frombuffer(own, kind), assume_unique=True)
-                worst = np.frombuffer(sims, "<f4")
-                out.extend(_to_blocks(sh, key, vec, float(worst[-1]) if len(worst) == LINKS else -np.inf, ids))
-            yield _batch(REQUEST, list(zip(*out, strict=True)) if out else [[]] * 6)
+            rows = zip(batch.column("key").to_pylist(), unpack(batch.column("ids"), sh.id_type), unpack(batch.column("fresh"), "?"), strict=True)
+            yield from packed(sh, [(key, b"", 0.0, np.sort(ids[f][:FRESH])) for key, ids, f in rows if f.any()])
 
-    paths = graph.select("key", "ids", "fresh").mapInArrow(fresh, "key bigint, via bigint")
-    lists = paths.join(graph.select(F.col("key").alias("via"), "ids"), "via").groupBy("key").agg(F.collect_list("ids").alias("lists"))   # FRESH lists at most
-    return lists.join(graph.select("key", "ids", "sims"), "key").join(v.nodes, "key").mapInArrow(ask, REQUEST)
+    return graph.select("key", "ids", "fresh").mapInArrow(run, REQUEST)
 
 
-def _marked(graph: DataFrame, id_type: str) -> DataFrame:
+def _marked(graph: DataFrame) -> DataFrame:
     """The graph after its best FRESH fresh links were used."""
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            fresh = [f & (np.cumsum(f) > FRESH) for f in unpack(batch.column("fresh"), "?")]
-            yield _batch(GRAPH, [batch.column("key"), batch.column("ids"), batch.column("sims"), [f.tobytes() for f in fresh], np.zeros(batch.num_rows, np.int64)])
+            fresh = [(f & (np.cumsum(f) > FRESH)).tobytes() for f in unpack(batch.column("fresh"), "?")]
+            yield _batch(GRAPH, [*(batch.column(c) for c in ("key", "vec", "ids", "sims")), fresh, np.zeros(batch.num_rows, np.int64)])
 
     return graph.mapInArrow(mark, GRAPH)
 
@@ -321,7 +366,7 @@ class _Scores:
     """A block's vectors in one task, and the best links found for its own nodes."""
     def __init__(self, first: int, batch: pa.RecordBatch, dtype: str, dim: int):
         self.first, self.x = first, np.frombuffer(b"".join(batch.column("vec").to_pylist()), dtype).reshape(-1, dim).astype(np.float32)
-        self.bar = batch.column("bar").to_numpy(zero_copy_only=False).copy()
+        self.bar = np.frombuffer(b"".join(batch.column("bars").to_pylist()), "<f8").copy()
         self.held: list[tuple[np.ndarray, ...]] = []
         self.count = 0
 
@@ -344,23 +389,19 @@ class _Scores:
         return w, ids, sims
 
 
-def _found(v: Vectors, graph: DataFrame) -> DataFrame:
+def _found(sh: Shape, graph: DataFrame) -> DataFrame:
     """``key, ids, sims``: better links that a round found, for both ends of a pair."""
-    sh, kind = v.shape, v.shape.id_type
-
     def bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            s = [float(x[-1]) if len(x) == LINKS else -np.inf for x in unpack(batch.column("sims"), "<f4")]
-            yield _batch("key bigint, vec binary, bar double", [batch.column("key"), batch.column("vec"), s])
+            s = [np.array([x[-1] if len(x) == LINKS else -np.inf], "<f8").tobytes() for x in unpack(batch.column("sims"), "<f4")]
+            yield _batch("key bigint, vec binary, bars binary", [batch.column("key"), batch.column("vec"), s])
 
     def serve(state: _Scores, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out = []
-        q = np.frombuffer(b"".join(batch.column("vec").to_pylist()), sh.dtype).reshape(-1, sh.dim).astype(np.float32)
-        bar = batch.column("bar").to_numpy()
-        for k, (key, ids) in enumerate(zip(batch.column("key").to_pylist(), unpack(batch.column("ids"), kind), strict=True)):
+        for key, q, bar, ids in unpacked(sh, batch):
             w = ids.astype(np.int64) - state.first
-            s = state.x[w] @ q[k]
-            good = np.flatnonzero(s > bar[k])
+            s = state.x[w] @ q.astype(np.float32)
+            good = np.flatnonzero(s > bar)
             if len(good):
                 good = good[np.argsort(-s[good], kind="stable")[:LINKS]]
                 out.append((key, ids[good].tobytes(), s[good].tobytes()))
@@ -374,22 +415,23 @@ def _found(v: Vectors, graph: DataFrame) -> DataFrame:
         w, ids, sims = state.settle()
         at, to = _cuts(w)
         spans = list(zip(at, to, strict=True))
-        yield _batch(FOUND, [w[at] + state.first, [ids[a:b].astype(kind).tobytes() for a, b in spans], [sims[a:b].astype("<f4").tobytes() for a, b in spans]])
+        yield _batch(FOUND, [w[at] + state.first, [ids[a:b].astype(sh.id_type).tobytes() for a, b in spans], [sims[a:b].astype("<f4").tobytes() for a, b in spans]])
 
-    table = v.nodes.join(graph.select("key", "sims"), "key").select("key", "vec", "sims").mapInArrow(bars, "key bigint, vec binary, bar double")
-    return _meet(sh.block, table, _candidates(v, graph), lambda first, batch: _Scores(first, batch, sh.dtype, sh.dim), serve, FOUND, finish)
+    asked = _asked(sh, graph, _lists_of(sh, graph, _paths(sh, graph)), "<f4", LINKS)
+    table = graph.select("key", "vec", "sims").mapInArrow(bars, "key bigint, vec binary, bars binary")
+    return _meet(sh.block, table, asked, lambda first, batch: _Scores(first, batch, sh.dtype, sh.dim), serve, FOUND, finish)
 
 
 def descend(v: Vectors, most_rounds: int = MOST_ROUNDS, settled: float = SETTLED) -> DataFrame:
     """The neighbour graph: ``key, ids, sims`` (nearest first) of every node."""
-    sh = v.shape
+    sh, none = v.shape, F.lit(b"")
     found = None
-    for r in range(v.shape.orders):
+    for r in range(sh.orders):
         part = _first_lists(v, SEED + 1 + r)
         found = part if found is None else found.union(part)
-    graph = written(_merged(None, found, sh.id_type), "ann-graph")
+    graph = written(_merged(v.nodes.select("key", "vec", none.alias("ids"), none.alias("sims"), none.alias("fresh")), found, sh.id_type), "ann-graph")
     for _ in range(most_rounds):
-        graph = written(_merged(_marked(graph, sh.id_type), _found(v, graph), sh.id_type), "ann-graph")
+        graph = written(_merged(_marked(graph), _found(sh, graph), sh.id_type), "ann-graph")
         changed = graph.agg(F.sum("changed")).first()[0] or 0
         if changed <= settled * sh.size * LINKS:
             break
@@ -421,26 +463,15 @@ STATE = "key bigint, vec binary, own bigint, ids binary, sims binary, done binar
 
 def _round(v: Vectors, links: DataFrame, state: DataFrame, beam: int, step: int) -> DataFrame:
     """One step of all queries: expand ``next`` in the graph, score what that finds, merge it into the beams."""
-    sh, kind = v.shape, v.shape.id_type
+    sh = v.shape
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            to = unpack(batch.column("next"), kind)
-            yield _batch("key bigint, via bigint", [np.repeat(batch.column("key").to_numpy(), [len(x) for x in to]), np.concatenate(to).astype(np.int64)])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            out = []
-            for key, vec, own, sims, lists in zip(*(batch.column(c).to_pylist() for c in ("key", "vec", "ids", "sims", "lists")), strict=True):
-                to = np.setdiff1d(np.frombuffer(b"".join(lists), kind), np.frombuffer(own, kind))
-                worst = np.frombuffer(sims, "<f8")
-                out.extend(_to_blocks(sh, key, vec, float(worst[-1]) if len(worst) == beam else -np.inf, to))
-            yield _batch(REQUEST, list(zip(*out, strict=True)) if out else [[]] * 6)
+        for batch in slices(batches, 1024):
+            rows = zip(batch.column("key").to_pylist(), unpack(batch.column("next"), sh.id_type), strict=True)
+            yield from packed(sh, [(key, b"", 0.0, np.sort(ids)) for key, ids in rows])
 
-    paths = state.select("key", "next").mapInArrow(expand, "key bigint, via bigint")
-    lists = paths.join(links.select(F.col("key").alias("via"), "ids"), "via").groupBy("key").agg(F.collect_list("ids").alias("lists"))   # ``step`` lists at most
-    requests = lists.join(state.select("key", "vec", "ids", "sims"), "key").mapInArrow(ask, REQUEST)
-    return _merged_beams(v, state, _scored(v, requests, beam), beam, step)
+    lists = _lists_of(sh, links, state.select("key", "next").mapInArrow(expand, REQUEST))
+    return _merged_beams(v, state, _scored(v, _asked(sh, state, lists, "<f8", beam), beam), beam, step)
 
 
 def _scored(v: Vectors, requests: DataFrame, beam: int) -> DataFrame:
@@ -452,11 +483,10 @@ def _scored(v: Vectors, requests: DataFrame, beam: int) -> DataFrame:
 
     def serve(state, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first, x = state
-        q = np.frombuffer(b"".join(batch.column("vec").to_pylist()), sh.dtype).reshape(-1, sh.dim).astype(float)
-        bar, out = batch.column("bar").to_numpy(), []
-        for k, (key, ids) in enumerate(zip(batch.column("key").to_pylist(), unpack(batch.column("ids"), kind), strict=True)):
-            s = np.einsum("ij,j->i", x[ids.astype(np.int64) - first], q[k])
-            good = np.flatnonzero(s >= bar[k])
+        out = []
+        for key, q, bar, ids in unpacked(sh, batch):
+            s = np.einsum("ij,j->i", x[ids.astype(np.int64) - first], q.astype(float))
+            good = np.flatnonzero(s >= bar)
             if len(good):
                 good = good[np.lexsort((ids[good], -s[good]))[:beam]]
                 out.append((key, ids[good].tobytes(), s[good].tobytes()))
@@ -499,10 +529,8 @@ def search(v: Vectors, links: DataFrame, queries: DataFrame, most: int, beam: in
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            out = []
-            for key, vec, own in zip(*(batch.column(c).to_pylist() for c in ("key", "vec", "own")), strict=True):
-                out.extend(_to_blocks(sh, key, vec, -np.inf, entries if own is None else np.union1d(entries, [own])))
-            yield _batch(REQUEST, list(zip(*out, strict=True)) if out else [[]] * 6)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "vec", "own")), strict=True)
+            yield from packed(sh, [(key, vec, -np.inf, entries if own is None else np.union1d(entries, [own])) for key, vec, own in rows])
 
     beam = max(beam, 4 * most)
     empty = F.lit(b"")
