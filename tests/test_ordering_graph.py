@@ -48,7 +48,7 @@ def test_similarity_top_k_matches_brute_force(spark):
     qs = [(q, [rnd.uniform(-1, 1) for _ in range(8)]) for q in range(3)]
     v = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
     q = spark.createDataFrame(qs, "query_id long, query_vec array<double>")
-    got = graph.similarity_top_k(v, q, 4, chunk=2, buckets=4).select("query_id", "vec_id", "rank").collect()
+    got = graph.similarity_top_k(v, q, 4, blocks=2, buckets=4).select("query_id", "vec_id", "rank").collect()
 
     import math
     vrows = [(r.vec_id, list(r.embedding)) for r in v.collect()]
@@ -61,6 +61,55 @@ def test_similarity_top_k_matches_brute_force(spark):
     assert {(r.query_id, r.vec_id, r.rank) for r in got} == exp
 
 
+def test_similarity_blocks_follow_the_queries(spark):
+    rnd = random.Random(12)
+    v = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(50)] + [(99, [0.0] * 4), (98, None)], "vec_id long, embedding array<float>")
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    key = lambda df: sorted((r.query_id, r.rank, r.vec_id, r.similarity) for r in df.collect())
+    one, many = key(graph.similarity_top_k(v, q, 3)), key(graph.similarity_top_k(v, q, 3, blocks=7))
+    assert one == many and len(one) == 150 and all(r[3] == 1.0 for r in one if r[1] == 1)
+
+
+def test_lsh_recall_against_the_exact_path(spark):
+    """All vectors of sf0.1, every tenth a query: random directions, the hardest case for hashing."""
+    from tracefold.plans import q_graph
+    sf = "/root/testdata/sf0.1"
+    v, q = q_graph.every_tenth(spark, sf)
+    exact = graph.similarity_top_k(v, q, q_graph.SIM_K, buckets=8).cache()
+    found = q_graph.jn13_similarity_lsh(spark, sf)
+    got = graph.search_recall(found, exact).first()
+    assert got.queries == 200 and got.results == 1000 and got.recall >= 0.9, got
+    # what both have is the same to the last digit
+    both = found.join(exact.select("query_id", "vec_id", F.col("similarity").alias("s")), ["query_id", "vec_id"])
+    assert both.count() > 900 and both.filter("similarity <> s").isEmpty()
+
+
+def test_lsh_looks_at_a_part_of_a_large_set(spark):
+    """6,000 vectors around 60 centres: recall holds while few pairs are compared."""
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(60, 16))
+    x = (np.repeat(centres, 100, axis=0) + 0.15 * rnd.normal(size=(6000, 16))).astype("float32")
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    q = v.filter("vec_id % 40 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    index = graph.HyperplaneIndex(dim=16, tables=8, bits=8, probes=2)
+    exact = graph.similarity_top_k(v, q, 10, buckets=8)
+    assert graph.search_recall(graph.similarity_lsh(v, q, 10, index), exact).first().recall >= 0.9
+    have, ask = graph.lsh_buckets(v, index, "vec_id", "embedding"), graph.lsh_buckets(q, index, "query_id", "query_vec", probe=True)
+    assert have.count() == 6000 * 8 and ask.count() == 150 * 8 * 4
+    pairs = have.join(ask.withColumnRenamed("id", "q"), ["table", "bucket"]).select("q", "id").distinct().count()
+    assert pairs < 0.35 * 150 * 6000
+
+
+def test_lsh_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(7, [2.0, 0.0]), (8, None), (9, [0.0, 0.0])], "query_id long, query_vec array<double>")
+    out = graph.similarity_lsh(v, q, 5, graph.HyperplaneIndex(dim=2, tables=4, bits=3)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.similarity) for r in out) == [(7, 1, 1, 1.0), (7, 2, 5, 1.0)]
+    empty = graph.similarity_lsh(v.limit(0), q, 5, graph.HyperplaneIndex(dim=2))
+    assert empty.collect() == []
+
+
 def test_erasure(spark):
     c = spark.createDataFrame([(1, 7, "secret"), (2, 8, "keep")], "decision_id long, user_id long, internal_note string")
     req = spark.createDataFrame([(7,)], "user_id long")

@@ -61,10 +61,52 @@ def test_policy_keeps_one_of_three(spark):
 
 def test_policy_fails_closed(spark):
     df = spark.createDataFrame([(0, "a")], "zero int, s string")
-    assert policy.policy_gate(df, "1 / zero > 0").count() == 0   # division by zero -> null -> drop
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.ansi.enabled")
+    assert policy.policy_gate(df, "1 / zero > 0").count() == 0   # division by zero -> drop
     assert policy.policy_gate(df, "s").count() == 0               # non-boolean -> drop all
     assert policy.policy_gate(df, None).count() == 1              # no policy -> no-op
-    assert spark.conf.get("spark.sql.ansi.enabled") == "true"     # session setting restored
+    assert (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.ansi.enabled")) == before
+
+
+POLICY_ROWS = """SELECT * FROM VALUES
+  (1, 9223372036854775807L, 'a', array(1, 2), map('k', 'v'), 0, CAST(NULL AS INT), named_struct('x', 5), 1.5D),
+  (2, 5L, '7', array(1, 2, 3), map('j', 'v'), 2, 3, named_struct('x', -5), 0D) AS t(id, n, s, arr, m, z, q, st, d)"""
+#: predicate -> ids kept; row 1 makes each of the first group fail.
+POLICIES = {
+    "n + 1 > 0": [2], "n + 1 < 0": [], "n * 2 <> 0": [2], "-n - 2 < 0": [2],
+    "CAST(s AS INT) > 0": [2], "s > 3": [2], "s::INT = 7": [2], "CAST('2024-13-01' AS DATE) IS NULL": [],
+    "arr[2] = 3": [2], "arr[2] IS NULL": [], "element_at(arr, 3) = 3": [2], "element_at(arr, 0) IS NULL": [],
+    "10 / z > 1": [2], "n % z = 1": [2], "n DIV z = 2": [2], "d / 0 > 1": [],
+    "raise_error('x')": [], "IF(id = 2, true, raise_error('x'))": [2], "assert_true(id = 2) IS NULL": [2],
+    # an error is no null: nothing may turn it into an answer
+    "coalesce(10 / z, 100) > 1": [2], "10 / z IS NULL": [], "NOT (10 / z > 1)": [], "(10 / z) <=> NULL": [], "z IN (0, 10 / z)": [],
+    # but a branch that isn't evaluated doesn't fail
+    "z = 0 OR 10 / z > 1": [1, 2], "z <> 0 AND 10 / z > 1": [2], "CASE WHEN id = 2 THEN true ELSE CAST(s AS INT) > 0 END": [2],
+    "coalesce(n, 10 / z) > 0": [1, 2], "id = 1 AND try_cast(s AS INT) IS NULL": [1],
+    # total expressions keep their meaning, nulls included
+    "m['k'] = 'v'": [1], "m['k'] IS NULL": [2], "q IS NULL": [1], "q IN (3, 4)": [2], "nvl(q, 1) = 1": [1], "n BETWEEN 1 AND 10": [2],
+    "st.x > 0": [1], "upper(s) = 'A'": [1], "s LIKE 'a%'": [1], "s RLIKE '^a'": [1], "array_contains(arr, 3)": [2], "abs(st.x) = 5": [1, 2],
+    # refused: may fail and have no total form
+    "s RLIKE '^[a'": [], "rand() < 2": [], "round(d) > -1": [],
+}
+
+
+@pytest.mark.parametrize("predicate", sorted(POLICIES))
+def test_policy_errors_drop_their_row_only(spark, predicate):
+    df = spark.sql(POLICY_ROWS)
+    assert sorted(r.id for r in policy.policy_gate(df, predicate).collect()) == POLICIES[predicate]
+    flags = {r.id: r.policy_ok for r in policy.with_policy_flag(df, predicate).collect()}
+    assert flags == {i: i in POLICIES[predicate] for i in (1, 2)}
+
+
+def test_policy_of_a_user_function_is_refused(spark):
+    from tracefold.operators.predicates import refusal
+    spark.udf.register("user_rule", lambda x: 1 // 0 == x, "boolean")
+    df = spark.range(3)
+    assert "PythonUDF" in refusal(df, "user_rule(id)") and refusal(df, "id > 1") is None
+    assert policy.policy_gate(df, "user_rule(id)").count() == 0
+    with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
+        policy.policy_gate(df, "no_such_column > 1")
 
 
 def test_rule_set_narrows(spark):

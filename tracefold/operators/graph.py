@@ -10,8 +10,12 @@ sorted by ``from_id`` so a walk reads only the edge types it follows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,25 +129,33 @@ def _dot(a: Column | str, b: Column | str) -> Column:
                        lambda acc, x: acc + x)
 
 
+#: Queries that one block's row holds.
+QUERIES_PER_BLOCK = 256
+
+
 def similarity_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                      vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "query_vec",
-                     blocks: int = 64, buckets: int = 512) -> DataFrame:
+                     blocks: int | None = None, buckets: int = 512) -> DataFrame:
     """JN13: the ``k`` most cosine-similar vectors to each query vector.
 
-    The query set is stated by the caller and compared with all vectors,
-    in blocks: queries are dealt into ``blocks`` by a hash and gathered into
-    one row per block, each vector row is sent to every block by an
-    equi-join on the block number, and scores a block's queries in one array
-    expression. Norms are computed once per vector and per query. The top
+    The query set is stated by the caller and compared with all vectors, in
+    blocks: a count of the queries gives as many blocks as hold about
+    QUERIES_PER_BLOCK each (``blocks`` sets it), queries are dealt by a hash and
+    gathered into one row per block, each vector row is sent to every block by
+    an equi-join on the block number, and scores a block's queries in one
+    array expression. Norms are computed once per vector and per query. The top
     ``k`` per query uses the two-level salted top-k, ties broken by id.
-    Similarity is computed in DOUBLE and rounded to 6 places.
+    Similarity is computed in DOUBLE and rounded to 6 places; a vector of
+    length zero has none and is no result.
     """
-    q = queries.select(qid_col, F.col(qvec_col).alias("__qv"), _norm(qvec_col).alias("__qn"))
+    if blocks is None:
+        blocks = max(1, -(-queries.count() // QUERIES_PER_BLOCK))
+    q = queries.select(qid_col, F.col(qvec_col).alias("__qv"), _norm(qvec_col).alias("__qn")).filter("__qn > 0")
     q = (q.withColumn("__b", F.pmod(F.xxhash64(qid_col), F.lit(blocks)).cast("int")).groupBy("__b")
           .agg(F.collect_list(F.struct(F.col(qid_col).alias("qid"), F.col("__qv").alias("qv"),
                                        F.col("__qn").alias("qn"))).alias("__qs")))
-    v = vectors.select(id_col, F.col(vec_col).alias("__v"), _norm(vec_col).alias("__n"),
-                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__b"))
+    number = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0)
+    v = vectors.select(id_col, F.col(vec_col).alias("__v"), _norm(vec_col).alias("__n"), number.alias("__b")).filter("__n > 0")
     scored = v.join(q, "__b").select(id_col, F.explode(F.transform("__qs", lambda x: F.struct(
         x["qid"].alias("qid"), F.round(_dot(x["qv"], F.col("__v")) / (x["qn"] * F.col("__n")), 6).alias("sim")))).alias("s"))
     scored = scored.select(F.col("s.qid").alias(qid_col), id_col, F.col("s.sim").alias("similarity"))
@@ -151,6 +163,85 @@ def similarity_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
                  buckets=buckets)
 
 
+@dataclass(frozen=True)
+class HyperplaneIndex:
+    """Cosine LSH: ``tables`` hashes of ``bits`` random hyperplanes each, drawn from ``seed``.
+
+    A vector's bucket in a table is the side of each hyperplane it lies on. A query also looks into the buckets that
+    differ in its ``probes`` least certain sides, one at a time and in pairs. Two vectors at an angle a share a side with
+    probability 1 - a / pi, so more bits make buckets smaller and more tables or probes find more.
+    """
+    dim: int
+    tables: int = 24
+    bits: int = 8
+    probes: int = 4
+    seed: int = 71
+
+    def sized(self, rows: int, bucket: int = 256) -> HyperplaneIndex:
+        """The same index with as many bits as make ``rows`` vectors about ``bucket`` a bucket."""
+        return replace(self, bits=max(1, round(math.log2(max(rows, 2) / bucket))))
+
+
+def lsh_buckets(df: DataFrame, index: HyperplaneIndex, id_col: str, vec_col: str, probe: bool = False) -> DataFrame:
+    """``id, table, bucket`` of each vector: its own bucket in each table, or with ``probe`` all it should look into.
+
+    Arrow batches, one matrix product each. Null vectors and vectors of another length have no bucket.
+    """
+    dim, tables, bits = index.dim, index.tables, index.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = np.random.default_rng(index.seed).normal(size=(dim, tables * bits))
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            x = np.array(batch.column("v").to_pylist(), float).reshape(-1, dim)
+            side = (x @ planes).reshape(len(x), tables, bits)
+            code = (side > 0) @ powers
+            codes = code[:, :, None]
+            if probe:
+                weak = np.argsort(np.abs(side), axis=2)[:, :, :min(index.probes, bits)]
+                flips = powers[weak]
+                one = np.concatenate([np.zeros((*code.shape, 1), np.int64), flips], axis=2)
+                pairs = [flips[:, :, i] ^ flips[:, :, j] for i in range(flips.shape[2]) for j in range(i)]
+                codes = code[:, :, None] ^ np.concatenate([one, *[p[:, :, None] for p in pairs]], axis=2)
+            each = codes.shape[2]
+            at = np.repeat(np.arange(len(x)), tables * each)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), len(x))),
+                                              pa.array(codes.reshape(-1))], names=["id", "table", "bucket"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.size("v") == dim)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, `table` int, bucket bigint")
+
+
+def similarity_lsh(vectors: DataFrame, queries: DataFrame, k: int, index: HyperplaneIndex, id_col: str = "vec_id",
+                   vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "query_vec",
+                   buckets: int = 64) -> DataFrame:
+    """JN13 for sets too large to compare: candidates from the index, then the exact similarity and top ``k``.
+
+    Vectors meet queries by an equi-join on (table, bucket), as ids only; distinct pairs then take their vectors from
+    two joins on the ids. Every vector is indexed. The buckets of a dense region can be large: AQE splits such a join
+    partition, and rows of one bucket only meet the queries that look into it. Columns, rounding and
+    ties are those of :func:`similarity_top_k`, to which the recall is measured.
+    """
+    have = lsh_buckets(vectors, index, id_col, vec_col).withColumnRenamed("id", "__id")
+    ask = lsh_buckets(queries, index, qid_col, qvec_col, probe=True).withColumnRenamed("id", "__qid")
+    pairs = have.join(ask, ["table", "bucket"]).select("__qid", "__id").distinct()
+    v = vectors.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__v"), _norm(vec_col).alias("__n")).filter("__n > 0")
+    q = queries.select(F.col(qid_col).alias("__qid"), F.col(qvec_col).alias("__qv"), _norm(qvec_col).alias("__qn")).filter("__qn > 0")
+    scored = pairs.join(q, "__qid").join(v, "__id").select(
+        F.col("__qid").alias(qid_col), F.col("__id").alias(id_col),
+        F.round(_dot("__qv", "__v") / (F.col("__qn") * F.col("__n")), 6).alias("similarity"))
+    return top_k(scored, [qid_col], [F.col("similarity").desc(), F.col(id_col).asc()], k, id_col, buckets=buckets)
+
+
+def search_recall(found: DataFrame, exact: DataFrame, qid_col: str = "query_id") -> DataFrame:
+    """One row: queries, exact results, how many were found (as good a similarity counts), and their share."""
+    worst = exact.groupBy(qid_col).agg(F.min("similarity").alias("__least"), F.count(F.lit(1)).alias("__n"))
+    hits = found.join(worst.select(qid_col, "__least"), qid_col).filter("similarity >= __least").groupBy(qid_col).agg(F.count(F.lit(1)).alias("__hit"))
+    return worst.join(hits, qid_col, "left").agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("__n").alias("results"), F.coalesce(F.sum("__hit"), F.lit(0)).alias("found"),
+        (F.coalesce(F.sum("__hit"), F.lit(0)) / F.sum("__n")).alias("recall"))
+
+
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding", dim: int | None = None) -> DataFrame:
     """Mean vector per group (element-wise), computed as a grouped sum of
     positions: ``(group, pos) -> avg``; then reassembled in position order."""

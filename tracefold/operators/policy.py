@@ -1,10 +1,11 @@
 """Policy predicates and narrowing rule sets (GT9, GT10, GT21, GT26).
 
 A policy is a Spark SQL boolean expression over the record's columns. It is
-parsed once per plan and evaluated in codegen. It fails closed: a null result,
-an arithmetic error, or a non-boolean expression keeps nothing. Arithmetic is
-parsed with ANSI mode off for that expression only, so ``x / 0`` yields null
-(and drops the row) instead of aborting the job.
+parsed and resolved once per plan and evaluated in codegen. It fails closed: a
+null result, an error while it is evaluated (division by zero, overflow, a bad
+cast, an index out of bounds, ``raise_error``), a non-boolean expression and
+one that can't be made total keep nothing (see ``predicates``). The session's
+settings are not touched.
 """
 
 from __future__ import annotations
@@ -14,41 +15,22 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tracefold.operators.predicates import fail_closed
 
 
 def policy_gate(df: DataFrame, predicate: str | None) -> DataFrame:
-    """GT9: keep rows where ``predicate`` is true; no policy means no-op."""
-    if not predicate:
-        return df
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        out = df.withColumn("__policy", F.expr(predicate))
-        if not isinstance(out.schema["__policy"].dataType, T.BooleanType):
-            return df.filter(F.lit(False))
-        return out.filter(F.coalesce(F.col("__policy"), F.lit(False))).drop("__policy")
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", prev)
+    """GT9: keep rows where ``predicate`` is true without an error; no policy means no-op."""
+    return df.filter(fail_closed(df, predicate)) if predicate else df
 
 
 def with_policy_flag(df: DataFrame, predicate: str, out: str = "policy_ok") -> DataFrame:
     """GT9 as a column: ``out`` is true where the policy keeps the row.
 
-    Same fail-closed parse as :func:`policy_gate`; used when a pipeline
-    records which stage dropped a row instead of dropping it.
+    Same rule as :func:`policy_gate`; used when a pipeline records which
+    stage dropped a row instead of dropping it.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        res = df.withColumn(out, F.expr(predicate))
-        if not isinstance(res.schema[out].dataType, T.BooleanType):
-            return df.withColumn(out, F.lit(False))
-        return res.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", prev)
+    return df.withColumn(out, fail_closed(df, predicate))
 
 
 @dataclass(frozen=True)

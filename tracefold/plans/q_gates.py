@@ -106,11 +106,32 @@ POLICY_RULE = "event_class <> 'escalation' AND latency_ms / (input_tokens % 7) >
 SELECT decision_id, event_class, tenant_id FROM records
 WHERE event_class <> 'escalation' AND latency_ms / NULLIF(input_tokens % 7, 0) > 20""")
 def gt9_policy_gate(spark, sf_dir):
-    """SQL predicate gate; division by zero yields null and the record is dropped (fail closed)."""
+    """SQL predicate gate; a division by zero drops the record (fail closed)."""
     r = T.records(spark, sf_dir)
     return policy.policy_gate(r, POLICY_RULE).select("decision_id", "event_class", "tenant_id")
 
 
+# An overflow for every 50th record, a bad cast for every record but the numeric models, an index out of bounds for short
+# notes, an error that the rule itself raises; and errors behind branches that are not taken.
+USER_RULE = """CASE WHEN event_class = 'escalation' THEN raise_error('no escalations here')
+     WHEN decision_id % 50 = 7 THEN 9223372036854775807 - latency_ms + decision_id > 0
+     WHEN decision_id % 3 = 0 THEN coalesce(CAST(substring(model, 3, 1 + CAST(decision_id % 2 AS INT)) AS INT) < 2, true)
+     WHEN decision_id % 3 = 1 THEN split(internal_note, ' ')[3] IS NULL OR latency_ms > 30
+     ELSE input_tokens % 7 = 0 OR latency_ms / (input_tokens % 7) > 20 END"""
+
+
+@register("ud4_policy_rule", with_views("records") + """
+SELECT decision_id, event_class FROM records
+WHERE CASE WHEN event_class = 'escalation' THEN FALSE
+     WHEN decision_id % 50 = 7 THEN decision_id <= latency_ms
+     WHEN decision_id % 3 = 0 THEN coalesce(CAST(substring(model, 3, 1 + CAST(decision_id % 2 AS INTEGER)) AS INTEGER) < 2, TRUE)
+     WHEN decision_id % 3 = 1 THEN len(string_split(internal_note, ' ')) >= 4 AND latency_ms > 30
+     ELSE input_tokens % 7 = 0 OR latency_ms / NULLIF(input_tokens % 7, 0) > 20 END""")
+def ud4_policy_rule(spark, sf_dir):
+    """A user's rule whose errors drop the record in which they happen, and no other."""
+    return policy.policy_gate(T.records(spark, sf_dir), USER_RULE).select("decision_id", "event_class")
+
+
 DENY_AGENTS = ["a-3", "a-7"]
 ALLOW_TENANTS = ["t-0", "t-1", "t-2", "t-3"]
 DROP_PATTERN = '"k": 1[0-9]}'

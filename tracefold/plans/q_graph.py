@@ -188,6 +188,19 @@ def jn13_similarity_search(spark, sf_dir):
     return graph.similarity_top_k(v, q, SIM_K)
 
 
+def every_tenth(spark, sf_dir):
+    v = T.vectors(spark, sf_dir)
+    return v, v.filter(F.col("vec_id") % 10 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+@register("jn13_similarity_lsh")
+def jn13_similarity_lsh(spark, sf_dir):
+    """Top-5 vectors nearest (cosine) to every tenth vector, by the hyperplane index."""
+    v, q = every_tenth(spark, sf_dir)
+    index = graph.HyperplaneIndex(dim=v.select(F.max(F.size("embedding"))).first()[0] or 1)
+    return graph.similarity_lsh(v, q, SIM_K, index.sized(v.count()))
+
+
 # --------------------------------------------------------------------------- AG13
 @register("ag13_same_content_groups", with_views("texts") + """
 SELECT sha256(value) AS content_hash, count(*) AS n_decisions, min(doc_id) AS first_id, max(doc_id) AS last_id

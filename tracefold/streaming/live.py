@@ -9,11 +9,15 @@ of Arrow batches, so one hot key never has to fit in memory at once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracefold import constants as C
@@ -37,20 +41,150 @@ def gate_stream(df: DataFrame, attr_cols: Sequence[str], key: bytes | str, rates
 
 
 def late_buffer(df: DataFrame, ts_col: str = "ts", delay: str = C.LATE_EVENT_BUFFER) -> DataFrame:
-    """SM2: out-of-order events are buffered for ``delay`` then discarded
-    (the watermark); stateful operators downstream drop later rows."""
+    """The watermark alone, for stateful operators that drop late rows by themselves."""
     return event_time(df, ts_col).withWatermark(ts_col, delay)
 
 
+#: Slots that rows are dealt to while their lateness is decided; each holds two counters.
+LATE_SLOTS = 64
+
+
+def _late_fn(ts_col: str, columns: list[str]):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, dropped = state.get if state.exists else (0, 0)
+        mark = pd.Timestamp(max(state.getCurrentWatermarkMs(), 0), unit="ms")
+        for pdf in pdfs:
+            late = pdf[ts_col] < mark
+            seen, dropped = seen + len(pdf), dropped + int(late.sum())
+            yield pdf[columns].assign(late=late, watermark=mark, late_so_far=dropped)
+        state.update((seen, dropped))
+    return fn
+
+
+def mark_late(df: DataFrame, ts_col: str = "ts", delay: str = C.LATE_EVENT_BUFFER, slots: int = LATE_SLOTS,
+              salt: Sequence[str] | None = None) -> DataFrame:
+    """SM2: every row with ``late`` (its event time lies before the watermark of its micro-batch, i.e. more than
+    ``delay`` before the latest event time of all earlier micro-batches), that ``watermark``, and ``late_so_far``.
+
+    A window in append mode would open a new window for a row that comes too late and emit it at once; here lateness is
+    decided in state before any window, so the rows to discard can be counted and kept (:func:`split_late`).
+    Rows are dealt to ``slots`` by a hash of ``salt`` (all columns), so no key is hot and state stays at two
+    counters a slot. ``late_so_far`` counts the late rows of the row's slot.
+    """
+    d = event_time(df, ts_col).withWatermark(ts_col, delay)
+    out = T.StructType([*d.schema.fields, T.StructField("late", T.BooleanType()), T.StructField("watermark", T.TimestampType()),
+                        T.StructField("late_so_far", T.LongType())])
+    slot = F.pmod(F.xxhash64(*(salt or d.columns)), F.lit(slots)).cast("int")
+    return d.withColumn("__slot", slot).groupBy("__slot").applyInPandasWithState(
+        _late_fn(ts_col, d.columns), out, "seen long, dropped long", "append", GroupStateTimeout.NoTimeout)
+
+
+def split_late(marked: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """SM2: write the rows of :func:`mark_late` that are in time to ``path/on_time`` and the others to ``path/late``.
+
+    Each micro-batch replaces its own folders, so one that is repeated after a failure counts once. A windowed
+    stream over ``path/on_time`` sees exactly the rows to keep.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        for name, part in (("on_time", rows.filter("NOT late")), ("late", rows.filter("late"))):
+            part.drop("late", "watermark", "late_so_far").write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        rows.unpersist()
+
+    return marked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def dedupe_stream(df: DataFrame, keys: Sequence[str] = ("decision_id", "event_id"), ts_col: str = "ts",
                   delay: str = C.LATE_EVENT_BUFFER) -> DataFrame:
     """SM3: each ``(decision_id, event_id)`` once while within the watermark."""
     return event_time(df, ts_col).withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def nonce_replay_stream(df: DataFrame, ts_col: str = "reviewed_at", window: str = C.NONCE_WINDOW) -> DataFrame:
-    """SM4: reject (drop) a delivery whose nonce was seen in the last 24 h."""
-    return event_time(df, ts_col).withWatermark(ts_col, window).dropDuplicatesWithinWatermark(["nonce"])
+REPLAY_OUT = "nonce string, at timestamp, replayed boolean, deliveries long, rejected long"
+REPLAY_STATE = "last_us long, deliveries long, rejected long"
+
+
+def _replay_fn(window_us: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, deliveries, rejected = state.get if state.exists else (None, 0, 0)
+        # a batch of one nonce may come in several frames: its times are 8 bytes each and put in order together
+        times = np.sort(np.concatenate([pdf["at"].to_numpy().astype("datetime64[us]").astype(np.int64) for pdf in pdfs]))
+        before = np.concatenate([[times[0] - window_us - 1 if last is None else last], times[:-1]])
+        replayed = times - before <= window_us
+        count = np.cumsum(replayed) + rejected
+        yield pd.DataFrame({"nonce": key[0], "at": times.astype("datetime64[us]"), "replayed": replayed,
+                            "deliveries": np.arange(deliveries + 1, deliveries + 1 + len(times)), "rejected": count})
+        last = int(max(times[-1], times[-1] if last is None else last))
+        state.update((last, deliveries + len(times), int(count[-1])))
+        # forgotten once no delivery that is still in time can lie within the window of the last one
+        state.setTimeoutTimestamp(max((last + window_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    return fn
+
+
+def nonce_replay_stream(df: DataFrame, ts_col: str = "reviewed_at", window: str = C.NONCE_WINDOW, delay: str = "1 hour") -> DataFrame:
+    """SM4: every delivery with ``replayed``: its nonce was delivered in the ``window`` before, accepted or not.
+
+    State is the time of a nonce's last delivery, so each sighting starts the window anew, as in the batch twin
+    (``escalation.nonce_replays``). It is released when the watermark (``delay`` behind) is a window past it. Deliveries
+    that come in more than ``delay`` late are dropped by the watermark. ``deliveries`` and ``rejected`` count so far.
+    """
+    micros = int(pd.Timedelta(window).value // 1000)
+    d = event_time(df, ts_col).withWatermark(ts_col, delay).select("nonce", F.col(ts_col).alias("at")).filter("nonce IS NOT NULL")
+    return d.groupBy("nonce").applyInPandasWithState(_replay_fn(micros), REPLAY_OUT, REPLAY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# --------------------------------------------------------------------------- SM11
+def _fold_fn(fields: list[str], idle_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, first, last, kept, held = (json.loads(state.get[0]) if state.exists else (0, None, None, {}, []))
+        for pdf in pdfs:
+            for r in pdf.itertuples(index=False):
+                held.append([_us(r.ts), int(r.event_id), {f: _plain(getattr(r, f)) for f in fields}])
+        held.sort(key=lambda e: e[:2])
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = [e for e in held if e[0] < mark]
+        held = held[len(ready):]
+        rows = []
+        for us, event, values in ready:
+            n, first, last = n + 1, event if first is None else first, event
+            kept = {f: kept.get(f) if values[f] is None else values[f] for f in fields}
+            rows.append((key[0], n, pd.Timestamp(us, unit="us"), event, first, last, *[kept[f] for f in fields]))
+        if rows:
+            yield pd.DataFrame(rows, columns=["decision_id", "n_events", "ts", "event_id", "first_event", "last_event", *[f"last_{f}" for f in fields]])
+        newest = max([e[0] for e in ready[-1:]] + ([state.get[1]] if state.exists else [0]))
+        if not held and mark > newest + idle_ms * 1000:
+            state.remove()                  # nothing is buffered and the decision has been quiet
+            return
+        state.update((json.dumps([n, first, last, kept, held]), newest))
+        wake = held[0][0] // 1000 + 1 if held else newest // 1000 + idle_ms + 1
+        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+    return fn
+
+
+def _plain(v):
+    return None if v is None or (not isinstance(v, str) and pd.isna(v)) else v.item() if hasattr(v, "item") else v
+
+
+def ordered_fold_stream(df: DataFrame, fields: Sequence[str], delay: str = C.LATE_EVENT_BUFFER, idle: str = "1 hour",
+                        ts_col: str = "ts") -> DataFrame:
+    """SM11: a decision's events applied in the order of ``(ts, event_id)``, whatever order they arrive in.
+
+    Events (``decision_id, event_id, ts`` and ``fields``) wait in a buffer per decision until the watermark, ``delay``
+    behind the latest event time, has passed them; then they are released in order, one row each, with the fold so far:
+    the number of events, the first and the last one, and the last known value of each field. The last row
+    of a decision is what the batch twin (``twins.ordered_fold``) gives for it, if no value is null. An event that comes in
+    behind the watermark is dropped, as its place in the order is gone (see :func:`mark_late`). A decision with nothing
+    buffered is forgotten once it has been quiet for ``idle``. The buffer holds a decision's events of the last ``delay`` only.
+    """
+    fields = list(fields)
+    d = event_time(df, ts_col).withColumnRenamed(ts_col, "ts").withWatermark("ts", delay).select("decision_id", "event_id", "ts", *fields)
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    out = "decision_id bigint, n_events bigint, ts timestamp, event_id bigint, first_event bigint, last_event bigint" + "".join(f", last_{f} {kinds[f]}" for f in fields)
+    return d.groupBy("decision_id").applyInPandasWithState(
+        _fold_fn(fields, int(pd.Timedelta(idle).value // 1_000_000)), out, "held string, newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def usage_stream(df: DataFrame, window: str = "5 minutes", keys: Sequence[str] = ("tenant_id",),
