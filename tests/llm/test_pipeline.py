@@ -48,7 +48,7 @@ def test_stages_against_their_operators(spark):
         elif name == "quality":
             want = quality.quality_rules(now, quality.fit(now, labels)).filter("kept")
         elif name == "near_dup":
-            rows = near_dup.near_duplicates(now).collect()
+            rows = near_dup.near_duplicates(now, percent=P.PERCENT).collect()
             assert len({r["component_id"] for r in rows if r["n_shingles"]}) == sum(r["kept"] for r in rows if r["n_shingles"])
             want = spark.createDataFrame([(r["doc_id"],) for r in rows if r["kept"]], "doc_id long")
         else:

@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sig = written(signatures(docs, doc_id, text), "signatures")
     classes = sig.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     rows = sig.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    rows = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    rows = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     member = written(rows, "classes")
     nodes = sig.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
     keyed = nodes.select(F.col("doc_id").alias("node"), "n", F.explode("keys").alias("key"))
