@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -186,3 +187,22 @@ def test_cuts_do_not_change_the_best_path(vocabulary):
         whole = P.best_path(v, P.SPACE + t.replace(" ", P.SPACE))
         cut = [i for part in P.cut(v, t) for i in (P.best_path(v, part) if part else [])]
         assert whole == cut
+
+
+def test_decoding_whole_lists_is_decoding_piece_by_piece():
+    from tracefold.llm.pieces import join_pieces, load_vocabulary
+    v = load_vocabulary(MODEL)
+    texts = ["", " lead", "a\nb\n", "é ☃ \U0001F600 x", "▁x", "plain words here", "\x00\x7f"]
+    ids = [x.tolist() for x in sentencepiece_codec.encode_texts(MODEL, texts)]
+    ids += [None, [], [v.byte_ids[0xE2], v.byte_ids[0x98]], [v.byte_ids[0xE2], v.byte_ids[0x98], ids[5][0]], [v.byte_ids[0xFF]] * 3, [v.byte_ids[0x20], ids[5][0]]]
+    lists = pa.array(ids, pa.list_(pa.int32()))
+    want = [join_pieces(v, x or []) for x in ids]
+    assert sentencepiece_codec.decode_lists(v, lists) == want and sentencepiece_codec.decode_lists(v, lists.slice(3, 5)) == want[3:8]
+    assert sentencepiece_codec.decode_lists(v, lists.slice(0, 0)) == []
+
+
+def test_decode_of_an_empty_table_and_a_clashing_column(spark):
+    rows = spark.createDataFrame([(1, "some words", 5), (2, None, 6)], "doc_id long, text string, decoded int")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(rows, MODEL), MODEL)
+    assert back.columns == ["doc_id", "text", "ids", "decoded"] and sorted(r["decoded"] for r in back.collect()) == ["", "some words"]
+    assert sentencepiece_codec.decode(sentencepiece_codec.encode(rows.limit(0), MODEL), MODEL).collect() == []

@@ -23,6 +23,8 @@ class Vocabulary:
     unk_id: int
     unk_score: float
     automaton: object = field(repr=False, default=None)
+    byte_of: dict[int, int] = field(repr=False, default_factory=dict)       # byte of each byte piece
+    piece_bytes: object = field(repr=False, default=None)                   # of every id, as an Arrow array
     #: No piece holds a blank after another character, so texts may be cut before blanks.
     cuts_at_blanks: bool = True
     #: No piece holds a newline, so texts may be cut around newlines.
@@ -59,6 +61,7 @@ def load_vocabulary(path: str, zipf: bool | None = None) -> Vocabulary:
             a.add_word(pieces[i], (len(pieces[i]), scores[i], i))
     a.make_automaton()
     v.automaton = a
+    v.byte_of = {i: b for b, i in enumerate(byte_ids) if i >= 0}
     v.cuts_at_blanks = not any(SPACE in p.lstrip(SPACE) for p, k in zip(pieces, normal, strict=True) if k)
     v.cuts_at_newlines = not any("\n" in p for p, k in zip(pieces, normal, strict=True) if k)
     return v
@@ -127,10 +130,9 @@ def best_path(v: Vocabulary, part: str) -> list[int]:
 def join_pieces(v: Vocabulary, ids: list[int]) -> str:
     """The text of ids: pieces joined, byte pieces read as UTF-8, blanks restored, the blank in front removed."""
     out, raw = [], bytearray()
-    of_byte = {i: b for b, i in enumerate(v.byte_ids) if i >= 0}
     for i in ids:
-        if i in of_byte:
-            raw.append(of_byte[i])
+        if (b := v.byte_of.get(i)) is not None:
+            raw.append(b)
             continue
         if raw:
             out.append(raw.decode("utf-8", "replace"))

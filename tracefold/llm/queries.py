@@ -36,10 +36,13 @@ def op1_token_counts(spark, sf_dir):
 def op2_sentencepiece(spark, sf_dir):
     """Ids of every whole text by piece_bpe_32k.model, decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, vocabulary(PIECES)), vocabulary(PIECES))
-    ids = F.array_join("ids", " ")
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.crc32(ids.cast("binary")).alias("ids_crc32"),
-                        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    # the text itself stays behind: its bytes are compared by number and crc32 once it is decoded
+    coded = sentencepiece_codec.encode(docs, vocabulary(PIECES)).select("doc_id", "ids", F.crc32(raw).alias("crc"), F.octet_length(raw).alias("size"))
+    coded = sentencepiece_codec.decode(coded, vocabulary(PIECES))
+    back = F.col("decoded").cast("binary")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+                        F.crc32(back).alias("decoded_crc32"), ((F.crc32(back) == F.col("crc")) & (F.octet_length(back) == F.col("size"))).alias("round_trip"))
 
 
 @register
