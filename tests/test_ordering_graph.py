@@ -116,3 +116,68 @@ def test_erasure(spark):
     out = {r.decision_id: r for r in graph.erase_user(c, req).collect()}
     assert out[1].internal_note is None and out[1].content_deleted
     assert out[2].internal_note == "keep" and not out[2].content_deleted
+
+
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_each_source_is_scanned_once(spark, scratch):
+    spark.createDataFrame([(1, "u", "a", None), (2, None, "b", "x"), (None, "v", "a", "y")], "d long, u string, a string, x string").write.parquet(f"{scratch}/t")
+    rows = spark.read.parquet(f"{scratch}/t")
+    c = F.col
+    source = graph.Source(rows, [graph.Edge("produced_by", c("d"), c("a")), graph.Edge("for_user", c("d"), c("u")), graph.Edge("has_input", c("d"), c("x"), when=c("a") == "b")],
+                          [graph.Node("Decision", c("d"), {"a": c("a"), "x": c("x")}), graph.Node("Agent", c("a"), {}), graph.Node("User", c("u"), {"first": c("a")}, c("d") == 1)])
+    e = graph.build_edges([source])
+    assert _scans(e) == 1
+    assert sorted((r.edge_type, r.from_type, r.from_id, r.to_type, r.to_id) for r in e.collect()) == [
+        ("for_user", "Session", "1", "User", "u"), ("has_input", "Decision", "2", "Input", "x"),
+        ("produced_by", "Decision", "1", "Agent", "a"), ("produced_by", "Decision", "2", "Agent", "b")]
+    assert [r.edge_type for r in graph.build_edges([source], ["for_user"]).collect()] == ["for_user"]
+    n = graph.build_nodes([source])
+    assert _scans(n) == 1
+    assert {(r.node_type, r.node_id): r.props for r in n.collect()} == {
+        ("Decision", "1"): '{"a":"a"}', ("Decision", "2"): '{"a":"b","x":"x"}', ("Agent", "a"): "{}", ("Agent", "b"): "{}", ("User", "u"): '{"first":"a"}'}
+    assert {(r.node_type, r.node_id): (r.out_degree, r.in_degree) for r in graph.nodes_from_edges(e).collect()}[("Decision", "2")] == (2, 0)
+
+
+def test_all_fifteen_edge_types_have_a_producer(spark):
+    from tracefold import constants as C
+    from tracefold.plans import q_graph
+    sf = "/root/testdata/sf0.01"
+    assert {r.edge_type for r in q_graph.edge_table(spark, sf).select("edge_type").distinct().collect()} == {t for t, _, _ in C.EDGE_TYPES}
+    ends = {(r.from_type, r.to_type, r.edge_type) for r in q_graph.edge_table(spark, sf).select("from_type", "to_type", "edge_type").distinct().collect()}
+    assert ends == {(f, t, e) for e, f, t in C.EDGE_TYPES}
+
+
+def test_scoped_read_opens_one_folder(spark, scratch):
+    import json
+
+    from tracefold.plans import q_graph
+    docs = q_graph.nested_documents(spark, "/root/testdata/sf0.001").cache()
+    path = f"{scratch}/docs"
+    graph.write_documents(docs, path, folders=16)
+    want = docs.filter(F.size("retrievals") + F.size("reviews") > 1).orderBy("decision_id").first()
+    schema = spark.read.parquet(path).schema
+    one = graph.read_decision(spark, path, want.tenant_id, want.decision_id, schema, folders=16)
+    got = one.collect()
+    assert [{k: r[k] for k in docs.columns} for r in got] == [want.asDict()]
+    # one folder of all: by the plan, and by the files that the read opens
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "folder#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(decision_id" in plan.split("PushedFilters: [")[1]
+    read = {r.f for r in one.select(F.input_file_name().alias("f")).collect()}
+    every = {r.f for r in spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(read) == 1 and len(every) > 30
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numFiles").value() <= 1
+    # another tenant sees nothing, an unknown id neither; the order of a part is fixed
+    assert graph.read_decision(spark, path, "t-none", want.decision_id, schema, folders=16).count() == 0
+    assert graph.read_decision(spark, path, want.tenant_id, -5, schema, folders=16).count() == 0
+    assert [g["event_id"] for g in json.loads(one.select(F.to_json("guardrails")).first()[0])] == sorted(g.event_id for g in want.guardrails)
+
+
+def test_documents_keep_decisions_without_parts(spark):
+    d = spark.createDataFrame([(1, "t"), (2, "t")], "decision_id long, tenant_id string")
+    rows = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 2, "c"), (None, 1, "x"), (9, 1, "y")], "decision_id long, at long, v string")
+    out = graph.decision_documents(d, {"events": graph.Part(rows, ["v"], ["at", "v"])})
+    assert {r.decision_id: [e.v for e in r.events] for r in out.collect()} == {1: ["c", "a", "b"], 2: []}

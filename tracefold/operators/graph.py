@@ -11,12 +11,13 @@ sorted by ``from_id`` so a walk reads only the edge types it follows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,12 +49,92 @@ def edge_union(parts: Sequence[DataFrame]) -> DataFrame:
     return out.select(*EDGE_COLS)
 
 
+@dataclass(frozen=True)
+class Edge:
+    """An edge that each row of a source gives where both ids are there and ``when`` holds."""
+    edge_type: str
+    from_id: Column
+    to_id: Column
+    ts: Column | None = None
+    when: Column | None = None
+
+
+@dataclass(frozen=True)
+class Node:
+    """A node that each row of a source tells about: its id and what is known of it (name -> column)."""
+    node_type: str
+    node_id: Column
+    props: Mapping[str, Column]
+    when: Column | None = None
+
+
+@dataclass(frozen=True)
+class Source:
+    """A table that edges and nodes come from; it is scanned once for all of its edges, and once for all of its nodes."""
+    rows: DataFrame
+    edges: Sequence[Edge] = ()
+    nodes: Sequence[Node] = ()
+
+
+def _present(ids: Sequence[Column], when: Column | None) -> Column:
+    there = reduce(lambda a, b: a & b, [i.isNotNull() for i in ids])
+    return there if when is None else there & F.coalesce(when, F.lit(False))
+
+
+def source_edges(source: Source) -> DataFrame:
+    """All edges of one source: an array of edge structs per row, those that hold exploded."""
+    structs = []
+    for e in source.edges:
+        if e.edge_type not in _EDGE_ENDS:
+            raise ValueError(f"unknown edge type {e.edge_type!r}")
+        f, t = _EDGE_ENDS[e.edge_type]
+        ts = (e.ts if e.ts is not None else F.lit(None)).cast("timestamp_ntz")
+        structs.append(F.when(_present([e.from_id, e.to_id], e.when), F.struct(
+            F.lit(e.edge_type).alias("edge_type"), F.lit(f).alias("from_type"), e.from_id.cast("string").alias("from_id"),
+            F.lit(t).alias("to_type"), e.to_id.cast("string").alias("to_id"), ts.alias("ts"))))
+    return source.rows.select(F.explode(F.array_compact(F.array(*structs))).alias("e")).select("e.*")
+
+
+def build_edges(sources: Sequence[Source], types: Sequence[str] | None = None) -> DataFrame:
+    """ST3/JN3: the edge table. Each source is scanned once, whatever the number of its edge types; no shuffle.
+
+    With ``types`` only these are built, and sources of none of them are not read.
+    """
+    if types is not None:
+        sources = [replace(s, edges=[e for e in s.edges if e.edge_type in types]) for s in sources]
+    return edge_union([source_edges(s) for s in sources if s.edges])
+
+
+def build_nodes(sources: Sequence[Source]) -> DataFrame:
+    """JN3: ``node_type, node_id, props``: one row per node with what its sources tell, as JSON with sorted names.
+
+    Of a property told differently the largest text counts, so the result doesn't depend on the order of rows. Facts are
+    exploded in one pass per source and combined map-side, so a hot node costs no more than others.
+    """
+    parts = None
+    for s in sources:
+        structs = []
+        for n in s.nodes:
+            if n.node_type not in C.NODE_TYPES:
+                raise ValueError(f"unknown node type {n.node_type!r}")
+            facts = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("string").alias("value")) for k, v in sorted(n.props.items())]) if n.props else \
+                F.array().cast("array<struct<name:string,value:string>>")
+            structs.append(F.when(_present([n.node_id], n.when), F.struct(
+                F.lit(n.node_type).alias("node_type"), n.node_id.cast("string").alias("node_id"), facts.alias("facts"))))
+        if structs:
+            rows = s.rows.select(F.explode(F.array_compact(F.array(*structs))).alias("n")).select("n.*")
+            parts = rows if parts is None else parts.unionByName(rows)
+    facts = parts.select("node_type", "node_id", F.explode_outer("facts").alias("f")).select("node_type", "node_id", "f.name", "f.value")
+    per = facts.groupBy("node_type", "node_id", "name").agg(F.max("value").alias("value"))
+    known = F.filter(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("name", "value")))), lambda x: x.isNotNull())
+    return per.groupBy("node_type", "node_id").agg(F.to_json(F.map_from_entries(known)).alias("props"))
+
+
 def nodes_from_edges(e: DataFrame) -> DataFrame:
-    """JN3: the node set (type, id) touched by the edge table, with degree."""
-    ends = e.select(F.col("from_type").alias("node_type"), F.col("from_id").alias("node_id"),
-                    F.lit(1).alias("out_deg"), F.lit(0).alias("in_deg")).unionByName(
-        e.select(F.col("to_type").alias("node_type"), F.col("to_id").alias("node_id"),
-                 F.lit(0).alias("out_deg"), F.lit(1).alias("in_deg")))
+    """JN3: the node set (type, id) touched by the edge table, with degree; both ends of an edge come from one scan."""
+    ends = e.select(F.explode(F.array(
+        F.struct(F.col("from_type").alias("node_type"), F.col("from_id").alias("node_id"), F.lit(1).alias("out_deg"), F.lit(0).alias("in_deg")),
+        F.struct(F.col("to_type").alias("node_type"), F.col("to_id").alias("node_id"), F.lit(0).alias("out_deg"), F.lit(1).alias("in_deg")))).alias("n")).select("n.*")
     return ends.groupBy("node_type", "node_id").agg(F.sum("out_deg").cast("bigint").alias("out_degree"),
                                                     F.sum("in_deg").cast("bigint").alias("in_degree"))
 
@@ -64,6 +145,60 @@ def write_edges(e: DataFrame, path: str, mode: str = "overwrite") -> None:
       .write.mode(mode).partitionBy("edge_type").parquet(path))
 
 
+@dataclass(frozen=True)
+class Part:
+    """Child rows of a decision: ``fields`` of each, in the order of ``order`` (the first of them decides)."""
+    rows: DataFrame
+    fields: Sequence[str]
+    order: Sequence[str]
+    key: str = "decision_id"
+
+
+def decision_documents(decisions: DataFrame, parts: Mapping[str, Part], key: str = "decision_id") -> DataFrame:
+    """JN4: one nested row per decision: its columns, and for each part an ordered array of structs (empty if none).
+
+    Each part is folded on its own, so a decision's rows meet once and no join multiplies them.
+    """
+    out = decisions
+    for name, p in parts.items():
+        folded = p.rows.filter(F.col(p.key).isNotNull()).groupBy(F.col(p.key).alias(key)).agg(
+            F.array_sort(F.collect_list(F.struct(F.struct(*p.order).alias("o"), F.struct(*p.fields).alias("v")))).alias(name))
+        out = out.join(folded.select(key, F.transform(name, lambda x: x["v"]).alias(name)), key, "left")
+    return out.select(*decisions.columns, *[F.coalesce(n, F.array().cast(out.schema[n].dataType)).alias(n) for n in parts])
+
+
+#: Folders that the stored documents are dealt to by a hash of the decision.
+DOCUMENT_FOLDERS = 64
+
+
+def _folder(key: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(folders)).cast("int")
+
+
+def write_documents(documents: DataFrame, path: str, key: str = "decision_id", folders: int = DOCUMENT_FOLDERS,
+                    tenant_col: str = "tenant_id", mode: str = "overwrite") -> None:
+    """Store documents clustered by decision: a folder per tenant and hash of the id, sorted by id inside a file.
+
+    A scoped read then opens one folder, and inside its files only the row groups whose range holds the id.
+    """
+    rows = documents.withColumn("folder", _folder(F.col(key), folders))
+    (rows.repartition(tenant_col, "folder").sortWithinPartitions(tenant_col, "folder", key)
+         .write.mode(mode).partitionBy(tenant_col, "folder").parquet(path))
+
+
+def read_decision(spark: SparkSession, path: str, tenant: str, decision, schema: T.StructType | None = None,
+                  key: str = "decision_id", folders: int = DOCUMENT_FOLDERS, tenant_col: str = "tenant_id") -> DataFrame:
+    """JN4 scoped: the nested document of one decision of one tenant (no row if it isn't that tenant's).
+
+    With ``schema`` given no file is opened to infer one. The filter names the folder as a literal, so other folders
+    are pruned when files are listed, and the id is pushed down to the row groups.
+    """
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    docs = reader.parquet(path)
+    wanted = F.lit(decision).cast(docs.schema[key].dataType)
+    return docs.filter((F.col(tenant_col) == F.lit(tenant)) & (F.col("folder") == _folder(wanted, folders)) & (F.col(key) == wanted)).drop("folder")
+
+
 def walk(e: DataFrame, seeds: DataFrame, max_hops: int, follow: Sequence[str] | None = None,
          checkpoint_every: int = 1) -> DataFrame:
     """JN6: nodes reachable from each seed in at most ``max_hops`` forward hops.

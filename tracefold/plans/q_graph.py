@@ -22,53 +22,108 @@ def _did(session: F.Column, turn: F.Column) -> F.Column:
     return F.concat(F.lit("s"), session.cast("string"), F.lit(":t"), turn.cast("string"))
 
 
-def edge_table(spark, sf_dir):
-    rec = T.records(spark, sf_dir).filter(F.col("event_class") == "decision_summary")
-    ret = T.retrievals(spark, sf_dir)
-    sc = T.scores(spark, sf_dir)
-    esc = T.escalations(spark, sf_dir)
-    rev = T.reviews(spark, sf_dir)
-    sd = session_decisions(spark, sf_dir)
-    parts = [
-        graph.edges(rec, "produced_by", F.col("decision_id"), F.col("agent_id"), F.col("ts")),
-        graph.edges(ret, "retrieved", F.col("decision_id"), F.col("event_id"), F.col("ts")),
-        graph.edges(sc, "judged_by", F.col("decision_id"), F.concat_ws(":", F.col("decision_id").cast("string"),
-                                                                      F.col("rubric")), F.col("ts")),
-        graph.edges(esc, "escalated", F.col("decision_id"), F.col("escalation_id"), F.col("requested_at")),
-        graph.edges(rev, "reviewed_by", F.col("decision_id"), F.col("nonce"), F.col("reviewed_at")),
-        graph.edges(rev, "resolved_by", F.col("escalation_id"), F.col("nonce"), F.col("reviewed_at")),
-        graph.edges(sd, "in_session", _did(F.col("session_id"), F.col("turn")),
-                    F.concat(F.lit("s"), F.col("session_id").cast("string"))),
-        graph.edges(sd.filter(F.col("prev_turn").isNotNull()), "preceded_by",
-                    _did(F.col("session_id"), F.col("turn")), _did(F.col("session_id"), F.col("prev_turn"))),
+def session_turns(spark, sf_dir):
+    """Turns with their neighbours in the session, the session's user, and for assistant turns the decision's predecessor."""
+    t = T.turns(spark, sf_dir)
+    seq = ordering.sequence_within(t.select("session_id", "turn"), ["session_id"], "turn", rank_col="seq", prev_col="before", next_col="after")
+    return t.join(seq.select("session_id", "turn", "before", "after"), ["session_id", "turn"])
+
+
+def sources(spark, sf_dir):
+    """Every producer of the graph: what each row of a table tells about edges and nodes."""
+    c = F.col
+    did, text = c("decision_id").cast("string"), lambda *x: F.concat(*[v if isinstance(v, F.Column) else F.lit(v) for v in x])
+    hashed = lambda col: F.sha2(col.cast("string"), 256)
+    user = hashed(c("user_id"))
+    here, sid = _did(c("session_id"), c("turn")), text("s", c("session_id").cast("string"))
+    assistant = c("role") == "assistant"
+    step = text("step:", c("session_id").cast("string"), ":", c("turn").cast("string"))
+    after = text("step:", c("session_id").cast("string"), ":", c("after").cast("string"))
+    judge = F.concat_ws(":", did, c("rubric"))
+    decided = c("event_class") == "decision_summary"
+    return [
+        graph.Source(T.records(spark, sf_dir), [
+            graph.Edge("produced_by", did, c("agent_id"), c("ts"), decided),
+        ], [
+            graph.Node("Decision", did, {"model": c("model"), "latency_ms": c("latency_ms"), "cost_usd": c("cost_usd"), "tenant_id": c("tenant_id")}, decided),
+            graph.Node("Agent", c("agent_id"), {"name": c("agent_id")}),
+            graph.Node("Tenant", c("tenant_id"), {"name": c("tenant_id")}),
+            graph.Node("User", user, {}),
+        ]),
+        graph.Source(T.retrievals(spark, sf_dir), [
+            graph.Edge("retrieved", did, c("event_id"), c("ts")),
+            graph.Edge("referenced_entity", c("event_id"), text("e:", c("query_hash")), c("ts"), c("source") == "kg"),
+        ], [
+            graph.Node("Retrieval", c("event_id"), {"source": c("source"), "query_hash": c("query_hash"), "result_count": c("result_count")}),
+            graph.Node("Entity", text("e:", c("query_hash")), {}, c("source") == "kg"),
+        ]),
+        graph.Source(T.scores(spark, sf_dir), [graph.Edge("judged_by", did, judge, c("ts"))],
+                     [graph.Node("Judge", judge, {"rubric": c("rubric"), "score": c("score"), "tier": c("tier")})]),
+        graph.Source(T.escalations(spark, sf_dir), [graph.Edge("escalated", did, c("escalation_id"), c("requested_at"))],
+                     [graph.Node("Escalation", c("escalation_id"), {"mode": c("mode"), "fallback": c("fallback")})]),
+        graph.Source(T.reviews(spark, sf_dir), [
+            graph.Edge("reviewed_by", did, c("nonce"), c("reviewed_at")),
+            graph.Edge("resolved_by", c("escalation_id"), c("nonce"), c("reviewed_at")),
+        ], [graph.Node("Review", c("nonce"), {"reviewer_id": c("reviewer_id"), "verdict": c("verdict")})]),
+        graph.Source(T.guard_events(spark, sf_dir), [graph.Edge("triggered", did, text("g:", c("event_id").cast("string")), c("ts"), c("blocked"))],
+                     [graph.Node("Guardrail", text("g:", c("event_id").cast("string")), {"policy_id": c("policy"), "action": F.lit("block")}, c("blocked"))]),
+        graph.Source(session_turns(spark, sf_dir), [
+            graph.Edge("in_session", here, sid, when=assistant),
+            graph.Edge("for_user", sid, hashed(c("session_id")), when=c("before").isNull()),
+            graph.Edge("has_input", here, text("in:", hashed(text(sid, ":", c("before").cast("string")))), when=assistant & c("before").isNotNull()),
+            graph.Edge("has_output", here, text("out:", hashed(here)), when=assistant),
+            graph.Edge("stepped", here, step, when=assistant),
+            graph.Edge("next_step", step, after, when=c("after").isNotNull()),
+        ], [
+            graph.Node("Session", sid, {"user_id_hash": hashed(c("session_id"))}),
+            graph.Node("User", hashed(c("session_id")), {}),
+            graph.Node("Decision", here, {"session": sid}, assistant),
+            graph.Node("Input", text("in:", hashed(text(sid, ":", c("turn").cast("string")))), {"content_hash": hashed(c("text")), "length": F.length("text")}, c("after").isNotNull()),
+            graph.Node("Output", text("out:", hashed(here)), {"content_hash": hashed(c("text")), "length": F.length("text")}, assistant),
+            graph.Node("Step", step, {"role": c("role")}),
+        ]),
+        graph.Source(session_decisions(spark, sf_dir), [graph.Edge("preceded_by", here, _did(c("session_id"), c("prev_turn")), when=c("prev_turn").isNotNull())]),
     ]
-    return graph.edge_union(parts)
 
 
+def edge_table(spark, sf_dir, types=None):
+    return graph.build_edges(sources(spark, sf_dir), types)
+
+
+_SEQ = ("seq", """
+SELECT session_id, turn, role, text, 's' || CAST(session_id AS VARCHAR) AS sid, 's' || CAST(session_id AS VARCHAR) || ':t' || CAST(turn AS VARCHAR) AS did,
+       'step:' || CAST(session_id AS VARCHAR) || ':' AS step, lag(turn) OVER w AS before, lead(turn) OVER w AS after
+FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY turn)""")
 _EDGES_SQL = """
 SELECT 'produced_by' AS edge_type, 'Decision' AS from_type, CAST(decision_id AS VARCHAR) AS from_id, 'Agent' AS to_type,
        agent_id AS to_id, ts FROM records WHERE event_class = 'decision_summary'
 UNION ALL SELECT 'retrieved', 'Decision', CAST(decision_id AS VARCHAR), 'Retrieval', CAST(event_id AS VARCHAR), ts FROM retrievals
+UNION ALL SELECT 'referenced_entity', 'Retrieval', CAST(event_id AS VARCHAR), 'Entity', 'e:' || query_hash, ts FROM retrievals WHERE source = 'kg'
 UNION ALL SELECT 'judged_by', 'Decision', CAST(decision_id AS VARCHAR), 'Judge', CAST(decision_id AS VARCHAR) || ':' || rubric, ts FROM scores
 UNION ALL SELECT 'escalated', 'Decision', CAST(decision_id AS VARCHAR), 'Escalation', escalation_id, requested_at FROM escalations
 UNION ALL SELECT 'reviewed_by', 'Decision', CAST(decision_id AS VARCHAR), 'Review', nonce, reviewed_at FROM reviews
 UNION ALL SELECT 'resolved_by', 'Escalation', escalation_id, 'Review', nonce, reviewed_at FROM reviews
-UNION ALL SELECT 'in_session', 'Decision', 's' || CAST(session_id AS VARCHAR) || ':t' || CAST(turn AS VARCHAR), 'Session',
-       's' || CAST(session_id AS VARCHAR), NULL::TIMESTAMP FROM turns WHERE role = 'assistant'
-UNION ALL SELECT 'preceded_by', 'Decision', 's' || CAST(session_id AS VARCHAR) || ':t' || CAST(turn AS VARCHAR), 'Decision',
-       's' || CAST(session_id AS VARCHAR) || ':t' || CAST(prev AS VARCHAR), NULL::TIMESTAMP
-  FROM (SELECT session_id, turn, lag(turn) OVER (PARTITION BY session_id ORDER BY turn) AS prev
-        FROM turns WHERE role = 'assistant') WHERE prev IS NOT NULL"""
+UNION ALL SELECT 'triggered', 'Decision', CAST(decision_id AS VARCHAR), 'Guardrail', 'g:' || CAST(event_id AS VARCHAR), ts FROM guard_events WHERE blocked
+UNION ALL SELECT 'in_session', 'Decision', did, 'Session', sid, NULL::TIMESTAMP FROM seq WHERE role = 'assistant'
+UNION ALL SELECT 'for_user', 'Session', sid, 'User', sha256(CAST(session_id AS VARCHAR)), NULL::TIMESTAMP FROM seq WHERE before IS NULL
+UNION ALL SELECT 'has_input', 'Decision', did, 'Input', 'in:' || sha256(sid || ':' || CAST(before AS VARCHAR)), NULL::TIMESTAMP
+  FROM seq WHERE role = 'assistant' AND before IS NOT NULL
+UNION ALL SELECT 'has_output', 'Decision', did, 'Output', 'out:' || sha256(did), NULL::TIMESTAMP FROM seq WHERE role = 'assistant'
+UNION ALL SELECT 'stepped', 'Decision', did, 'Step', step || CAST(turn AS VARCHAR), NULL::TIMESTAMP FROM seq WHERE role = 'assistant'
+UNION ALL SELECT 'next_step', 'Step', step || CAST(turn AS VARCHAR), 'Step', step || CAST(after AS VARCHAR), NULL::TIMESTAMP FROM seq WHERE after IS NOT NULL
+UNION ALL SELECT 'preceded_by', 'Decision', did, 'Decision', sid || ':t' || CAST(prev AS VARCHAR), NULL::TIMESTAMP
+  FROM (SELECT *, lag(turn) OVER (PARTITION BY session_id ORDER BY turn) AS prev FROM seq WHERE role = 'assistant') WHERE prev IS NOT NULL"""
 
-_GRAPH_VIEWS = ("records", "retrievals", "scores", "escalations", "reviews", "turns")
+_GRAPH_VIEWS = ("records", "retrievals", "scores", "escalations", "reviews", "turns", "guard_events")
 
 
-@register("st3_edge_union", with_views(*_GRAPH_VIEWS) + _EDGES_SQL)
+@register("st3_edge_union", with_views(*_GRAPH_VIEWS, extra=(_SEQ,)) + _EDGES_SQL)
 def st3_edge_union(spark, sf_dir):
+    """All fifteen edge types in one table."""
     return edge_table(spark, sf_dir)
 
 
-@register("jn3_graph_build", with_views(*_GRAPH_VIEWS, extra=(("e", _EDGES_SQL),)) + """
+@register("jn3_graph_build", with_views(*_GRAPH_VIEWS, extra=(_SEQ, ("e", _EDGES_SQL))) + """
 SELECT node_type, node_id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (
   SELECT from_type AS node_type, from_id AS node_id, 1 AS o, 0 AS i FROM e
   UNION ALL SELECT to_type, to_id, 0, 1 FROM e) GROUP BY ALL""")
@@ -76,6 +131,37 @@ def jn3_graph_build(spark, sf_dir):
     return graph.nodes_from_edges(edge_table(spark, sf_dir))
 
 
+def _facts(node_type: str, node_id: str, where: str, **props: str) -> str:
+    pairs = ", ".join(f"{{'name': '{k}', 'value': CAST({v} AS VARCHAR)}}" for k, v in props.items())
+    facts = f"[{pairs}]" if props else "[{'name': NULL::VARCHAR, 'value': NULL::VARCHAR}]"
+    return f"SELECT '{node_type}' AS node_type, CAST({node_id} AS VARCHAR) AS node_id, unnest({facts}) AS f FROM {where}"
+
+
+@register("jn3_node_tables", with_views(*_GRAPH_VIEWS, extra=(_SEQ, ("facts", " UNION ALL ".join([
+    _facts("Decision", "decision_id", "records WHERE event_class = 'decision_summary'", model="model", latency_ms="latency_ms", cost_usd="cost_usd", tenant_id="tenant_id"),
+    _facts("Agent", "agent_id", "records", name="agent_id"), _facts("Tenant", "tenant_id", "records", name="tenant_id"),
+    _facts("User", "sha256(CAST(user_id AS VARCHAR))", "records"),
+    _facts("Retrieval", "event_id", "retrievals", source="source", query_hash="query_hash", result_count="result_count"),
+    _facts("Entity", "'e:' || query_hash", "retrievals WHERE source = 'kg'"),
+    _facts("Judge", "CAST(decision_id AS VARCHAR) || ':' || rubric", "scores", rubric="rubric", score="score", tier="tier"),
+    _facts("Escalation", "escalation_id", "escalations", mode="mode", fallback="fallback"),
+    _facts("Review", "nonce", "reviews", reviewer_id="reviewer_id", verdict="verdict"),
+    _facts("Guardrail", "'g:' || CAST(event_id AS VARCHAR)", "guard_events WHERE blocked", policy_id="policy", action="'block'"),
+    _facts("Session", "sid", "seq", user_id_hash="sha256(CAST(session_id AS VARCHAR))"), _facts("User", "sha256(CAST(session_id AS VARCHAR))", "seq"),
+    _facts("Decision", "did", "seq WHERE role = 'assistant'", session="sid"),
+    _facts("Input", "'in:' || sha256(sid || ':' || CAST(turn AS VARCHAR))", "seq WHERE after IS NOT NULL", content_hash="sha256(text)", length="length(text)"),
+    _facts("Output", "'out:' || sha256(did)", "seq WHERE role = 'assistant'", content_hash="sha256(text)", length="length(text)"),
+    _facts("Step", "step || CAST(turn AS VARCHAR)", "seq", role="role"),
+])), ("per", """
+SELECT node_type, node_id, f.name AS name, max(f.value) AS value FROM facts GROUP BY ALL"""))) + """
+SELECT node_type, node_id,
+       '{' || coalesce(string_agg('"' || name || '":"' || value || '"', ',' ORDER BY name) FILTER (WHERE value IS NOT NULL), '') || '}' AS props
+FROM per GROUP BY node_type, node_id""")
+def jn3_node_tables(spark, sf_dir):
+    """One row per node with its properties as JSON."""
+    return graph.build_nodes(sources(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------- JN4
 @register("jn4_decision_subgraph", with_views("records", "retrievals", "scores", "escalations") + """
 SELECT d.decision_id, d.agent_id, d.model, CAST(d.cost_usd AS DOUBLE) AS cost_usd, d.latency_ms,
@@ -106,6 +192,60 @@ def jn4_decision_subgraph(spark, sf_dir):
                     F.coalesce("escalation_count", F.lit(0)).alias("escalation_count"))
 
 
+def _list_sql(fields, order: str) -> str:
+    body = " || ',' || ".join(f"'\"{n}\":' || {x}" for n, x in fields)
+    return f"'[' || string_agg('{{' || {body} || '}}', ',' ORDER BY {order}) || ']'"
+
+
+def _text(x: str) -> str:
+    return f"'\"' || {x} || '\"'"
+
+
+def _at(x: str) -> str:
+    return _text(f"strftime({x}, '%Y-%m-%d %H:%M:%S')")
+
+
+_NUM = "CAST({} AS VARCHAR)".format
+
+
+@register("jn4_decision_document", with_views("records", "retrievals", "guard_events", "scores", "reviews", "escalations") + f"""
+SELECT d.decision_id, d.tenant_id,
+       '{{"decision_id":' || CAST(d.decision_id AS VARCHAR) || ',"agent":{{"id":"' || d.agent_id || '"}},"user":{{"id_hash":"' || sha256(CAST(d.user_id AS VARCHAR))
+       || '"}},"metadata":{{"model":"' || d.model || '","latency_ms":' || CAST(d.latency_ms AS VARCHAR) || '}},"retrievals":' || coalesce(r.j, '[]')
+       || ',"guardrails":' || coalesce(g.j, '[]') || ',"judges":' || coalesce(s.j, '[]') || ',"reviews":' || coalesce(v.j, '[]')
+       || ',"escalations":' || coalesce(e.j, '[]') || '}}' AS document
+FROM records d
+LEFT JOIN (SELECT decision_id, {_list_sql([("event_id", _NUM("event_id")), ("source", _text("source")), ("result_count", _NUM("result_count"))], "ts, event_id")} AS j
+           FROM retrievals GROUP BY decision_id) r ON d.decision_id = r.decision_id
+LEFT JOIN (SELECT decision_id, {_list_sql([("event_id", _NUM("event_id")), ("policy", _text("policy")), ("blocked", _NUM("blocked"))], "ts, event_id")} AS j
+           FROM guard_events GROUP BY decision_id) g ON d.decision_id = g.decision_id
+LEFT JOIN (SELECT decision_id, {_list_sql([("rubric", _text("rubric")), ("score", _text(_NUM("score"))), ("tier", _text("tier"))], "ts, rubric")} AS j
+           FROM scores GROUP BY decision_id) s ON d.decision_id = s.decision_id
+LEFT JOIN (SELECT decision_id, {_list_sql([("reviewer_id", _text("reviewer_id")), ("verdict", _text("verdict")), ("reviewed_at", _at("reviewed_at"))], "reviewed_at, nonce")} AS j
+           FROM reviews GROUP BY decision_id) v ON d.decision_id = v.decision_id
+LEFT JOIN (SELECT decision_id, {_list_sql([("escalation_id", _text("escalation_id")), ("mode", _text("mode"))], "requested_at, escalation_id")} AS j
+           FROM escalations GROUP BY decision_id) e ON d.decision_id = e.decision_id""")
+def jn4_decision_document(spark, sf_dir):
+    """The whole subgraph of each decision as one nested document, as canonical JSON."""
+    d = nested_documents(spark, sf_dir)
+    return d.select("decision_id", "tenant_id", F.to_json(F.struct(*[c for c in d.columns if c != "tenant_id"])).alias("document"))
+
+
+def nested_documents(spark, sf_dir):
+    d = T.records(spark, sf_dir).select(
+        "decision_id", "tenant_id", F.struct(F.col("agent_id").alias("id")).alias("agent"),
+        F.struct(F.sha2(F.col("user_id").cast("string"), 256).alias("id_hash")).alias("user"), F.struct("model", "latency_ms").alias("metadata"))
+    scores = T.scores(spark, sf_dir).withColumn("score", F.col("score").cast("string"))
+    reviews = T.reviews(spark, sf_dir).withColumn("at", F.col("reviewed_at")).withColumn("reviewed_at", F.date_format("reviewed_at", "yyyy-MM-dd HH:mm:ss"))
+    return graph.decision_documents(d, {
+        "retrievals": graph.Part(T.retrievals(spark, sf_dir), ["event_id", "source", "result_count"], ["ts", "event_id"]),
+        "guardrails": graph.Part(T.guard_events(spark, sf_dir), ["event_id", "policy", "blocked"], ["ts", "event_id"]),
+        "judges": graph.Part(scores, ["rubric", "score", "tier"], ["ts", "rubric"]),
+        "reviews": graph.Part(reviews, ["reviewer_id", "verdict", "reviewed_at"], ["at", "nonce"]),
+        "escalations": graph.Part(T.escalations(spark, sf_dir), ["escalation_id", "mode"], ["requested_at", "escalation_id"]),
+    })
+
+
 # --------------------------------------------------------------------------- JN5
 JN5_AS_OF = "2024-01-08 00:00:00"
 
@@ -144,7 +284,7 @@ r(seed_id, node_type, node_id, hops) AS (
 SELECT 'Decision' AS seed_type, seed_id, node_type, node_id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY ALL""")
 def jn6_khop_provenance(spark, sf_dir):
     """Everything each session decision reaches in up to 3 hops over preceded_by / in_session edges."""
-    e = edge_table(spark, sf_dir)
+    e = edge_table(spark, sf_dir, WALK_EDGES)
     seeds = e.filter(F.col("edge_type").isin(*WALK_EDGES) & (F.col("from_type") == "Decision")).select(
         F.col("from_type").alias("seed_type"), F.col("from_id").alias("seed_id")).distinct()
     return graph.walk(e, seeds, 3, follow=WALK_EDGES)
