@@ -111,3 +111,25 @@ def test_constants_shape():
     assert "event_class" in C.CLASS_ALLOWLIST["escalation"]
     assert SPAN_EVENT["attrs"].dataType == ATTR_MAP
     assert isinstance(SPANS, T.StructType)
+
+
+def test_plans_stay_small(spark):
+    """A computed attribute map stands in the plan once, not once for each use of a class's branch."""
+    from tracefold.plans import QUERIES
+    for name in ("gt1_class_allowlist", "gt3_unknown_class", "gt8_strip_counters"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 100_000, (name, len(plan))
+
+
+def test_counters_reach_every_kind(spark):
+    from tracefold.plans import QUERIES
+    rows = {r.event_class: r for r in QUERIES["gt8_strip_counters"](spark, "/root/testdata/sf0.01").collect()}
+    assert rows["decision_summary"].n_oversized > 0 and rows["decision_summary"].n_stripped > 0 and rows["unlisted_class"].n_dropped > 0
+
+
+def test_guard_keeps_column_order_and_counts(spark):
+    df = records_df(spark, [{"event_class": "escalation", "agent_id": "x" * 50, "foo": 1}, {"event_class": "nope", "a": "b"}, {}]).withColumn("after", F.lit(1))
+    out = gates.guard_records(df, drop_unknown=False, max_bytes=20, with_counters=True)
+    assert out.columns == ["rid", "attrs", "after", "known_class", "stripped", "oversized"]
+    got = {r.rid: (r.known_class, r.stripped, r.oversized, sorted(r.attrs)) for r in out.collect()}
+    assert got == {0: (True, 1, 1, ["event_class"]), 1: (False, 0, 0, ["a", "event_class"]), 2: (False, 0, 0, [])}

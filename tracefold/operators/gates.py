@@ -41,12 +41,31 @@ def class_of(attrs: Column, class_attr: str = C.DEFAULT_CLASS_ATTRIBUTE) -> Colu
     return F.coalesce(F.when(v["t"] == "str", v["s"]), F.lit(""))
 
 
-def _allowed_keys_expr(cls: Column, allow: Mapping[str, list[str]]) -> Column:
+def _allowed_keys(cls: Column, allow: Mapping[str, list[str]]) -> Column:
+    """The class's field list as an array, null for an unknown class."""
     expr = None
     for name, fields in allow.items():
         arr = F.array(*[F.lit(f) for f in fields])
         expr = F.when(cls == name, arr) if expr is None else expr.when(cls == name, arr)
-    return expr  # null for unknown classes
+    return expr if expr is not None else F.lit(None).cast("array<string>")
+
+
+def _apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, however often they are used.
+
+    A projection would be merged into those above it and a filter pushed below it, which copies a long expression (a packed
+    attribute map) into every place that names it. The only element of an exploded array is out of reach of both.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    out = df.select("*", F.explode(F.array(row)).alias("__apart"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__apart")[n].alias(n) for n in columns])
+
+
+def _classified(df: DataFrame, attrs: str, class_attr: str, allow: Mapping[str, list[str]]) -> DataFrame:
+    """``df`` with ``__m`` (the attributes), ``__cls`` and ``__allow`` (the class's fields, null if it is unknown)."""
+    out = _apart(df, __m=F.col(attrs))
+    out = _apart(out, __cls=class_of(F.col("__m"), class_attr))
+    return _apart(out, __allow=_allowed_keys(F.col("__cls"), allow))
 
 
 def _oversized(v: Column, max_bytes: int) -> Column:
@@ -55,19 +74,6 @@ def _oversized(v: Column, max_bytes: int) -> Column:
     return (v["t"] == "str") & (F.octet_length(v["s"]) > max_bytes)
 
 
-def _per_class(cls: Column, allow: Mapping[str, list[str]], build, otherwise: Column) -> Column:
-    """``CASE cls WHEN c THEN build(fields of c) ... ELSE otherwise END``.
-
-    Each branch's lambda holds only literals and the entry itself, so the class
-    is evaluated once per record, not once per attribute.
-    """
-    expr = None
-    for name, fields in allow.items():
-        branch = build(list(fields))
-        expr = F.when(cls == name, branch) if expr is None else expr.when(cls == name, branch)
-    return expr.otherwise(otherwise) if expr is not None else otherwise
-
-
 def guard_records(df: DataFrame, extra: Mapping[str, Iterable[str]] | None = None,
                   drop_unknown: bool = True, max_bytes: int = C.DEFAULT_MAX_FIELD_BYTES,
                   attrs: str = "attrs", class_attr: str = C.DEFAULT_CLASS_ATTRIBUTE,
@@ -84,26 +90,30 @@ def guard_records(df: DataFrame, extra: Mapping[str, Iterable[str]] | None = Non
     """
     if max_bytes < 0:
         raise ValueError("max_bytes must be >= 0")
-    allow = effective_allowlist(extra)
-    m = F.col(attrs)
-    out = df.withColumn("__cls", class_of(m, class_attr))
-    cls = F.col("__cls")
-    known = cls.isin(list(allow))
-    kept = _per_class(cls, allow, lambda fs: F.map_filter(
-        m, lambda k, v: k.isin(fs) & ~_oversized(v, max_bytes)), m)
+    columns = df.columns
+    out = _classified(df, attrs, class_attr, effective_allowlist(extra))
+    m, allowed, known = F.col("__m"), F.col("__allow"), F.col("__allow").isNotNull()
     if with_counters:
-        stripped = _per_class(cls, allow, lambda fs: F.size(F.map_filter(m, lambda k, v: ~k.isin(fs))), F.lit(0))
-        over = _per_class(cls, allow, lambda fs: F.size(F.map_filter(
-            m, lambda k, v: k.isin(fs) & _oversized(v, max_bytes))), F.lit(0))
-        out = (out.withColumn("known_class", known)
-                  .withColumn("stripped", stripped)
-                  .withColumn("oversized", over))
+        out = _apart(out, __kinds=_kinds(m, allowed, max_bytes))
+        out = out.withColumn("known_class", known).withColumn("stripped", _count_kind(1)).withColumn("oversized", _count_kind(2))
     if drop_unknown:
         out = out.filter(known)
-    out = out.withColumn(attrs, kept)
+    kept = F.when(known, F.map_filter(m, lambda k, v: F.array_contains(allowed, k) & ~F.coalesce(_oversized(v, max_bytes), F.lit(False)))).otherwise(m)
+    out = _apart(out, __kept=kept)
     # GT5: a known-class record left with no attributes is dropped.
-    out = out.filter(~known | (F.size(F.col(attrs)) > 0))
-    return out.drop("__cls")
+    out = out.filter(~known | (F.size("__kept") > 0))
+    more = ["known_class", "stripped", "oversized"] if with_counters else []
+    return out.select(*[F.col("__kept").alias(c) if c == attrs else F.col(f"`{c}`") for c in columns], *more)
+
+
+def _kinds(m: Column, allowed: Column, max_bytes: int) -> Column:
+    """Per attribute: 0 kept, 1 stripped, 2 oversized; empty for an unknown class."""
+    entries = F.filter(F.map_entries(m), lambda e: allowed.isNotNull())
+    return F.transform(entries, lambda e: F.when(~F.array_contains(allowed, e["key"]), 1).when(_oversized(e["value"], max_bytes), 2).otherwise(0))
+
+
+def _count_kind(kind: int) -> Column:
+    return F.size(F.filter("__kinds", lambda k: k == kind))
 
 
 def strip_counters(df: DataFrame, extra=None, max_bytes: int = C.DEFAULT_MAX_FIELD_BYTES,
@@ -114,18 +124,10 @@ def strip_counters(df: DataFrame, extra=None, max_bytes: int = C.DEFAULT_MAX_FIE
     Counters are computed before any record is dropped so every input record
     is accounted for; the per-class totals are a map-side partial aggregate.
     """
-    allow = effective_allowlist(extra)
-    m = F.col(attrs)
-    per = df.withColumn("__cls", class_of(m, class_attr))
-    cls = F.col("__cls")
-    kept_n = _per_class(cls, allow, lambda fs: F.size(F.map_filter(
-        m, lambda k, v: k.isin(fs) & ~_oversized(v, max_bytes))), F.lit(-1))
-    stripped = _per_class(cls, allow, lambda fs: F.size(F.map_filter(m, lambda k, v: ~k.isin(fs))), F.lit(0))
-    over = _per_class(cls, allow, lambda fs: F.size(F.map_filter(
-        m, lambda k, v: k.isin(fs) & _oversized(v, max_bytes))), F.lit(0))
-    per = per.select(
-        cls.alias("event_class"), stripped.alias("stripped"), over.alias("oversized"),
-        F.when(kept_n < 0, F.lit(drop_unknown)).otherwise(kept_n == 0).alias("dropped"))
+    per = _classified(df, attrs, class_attr, effective_allowlist(extra))
+    per = _apart(per, __kinds=_kinds(F.col("__m"), F.col("__allow"), max_bytes))
+    dropped = F.when(F.col("__allow").isNull(), F.lit(drop_unknown)).otherwise(_count_kind(0) == 0)
+    per = per.select(F.col("__cls").alias("event_class"), _count_kind(1).alias("stripped"), _count_kind(2).alias("oversized"), dropped.alias("dropped"))
     return per.groupBy("event_class").agg(
         F.count(F.lit(1)).alias("n_records"),
         F.sum("stripped").cast("bigint").alias("n_stripped"),
