@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracefold.operators import decisions, graph, ordering
+from tracefold.operators import decisions, erasure, graph, ordering
 from tracefold.plans.oracle_views import with_views
 from tracefold.plans.registry import register
 from tracefold.sources import tables as T
@@ -304,6 +304,24 @@ def jn11_erasure_cascade(spark, sf_dir):
     return graph.erase_user(rec, req)
 
 
+ERASED_USERS = (1, 4)
+_USER_TURNS = ("ut", """
+SELECT session_id, turn, role, text AS content, CASE WHEN role = 'user' THEN session_id % 9 END AS user_id FROM turns""")
+
+
+@register("jn11_session_cascade", with_views("turns", extra=(_USER_TURNS, ("hit", f"""
+SELECT DISTINCT session_id FROM ut WHERE user_id IN {ERASED_USERS}"""))) + f"""
+SELECT u.session_id, u.turn, CASE WHEN h.session_id IS NULL THEN u.content END AS content, h.session_id IS NOT NULL AS content_deleted,
+       CASE WHEN u.user_id IN {ERASED_USERS} THEN 'user' WHEN h.session_id IS NOT NULL THEN 'session' END AS deleted_by
+FROM ut u LEFT JOIN hit h ON u.session_id = h.session_id""")
+def jn11_session_cascade(spark, sf_dir):
+    """Erased users lose what they wrote, and their sessions what was answered."""
+    user = F.when(F.col("role") == "user", F.col("session_id") % 9)
+    t = T.turns(spark, sf_dir).select("session_id", "turn", F.col("text").alias("content"), user.alias("user_id"))
+    asked = spark.createDataFrame([(u,) for u in ERASED_USERS], "user_id long")
+    return erasure.erase_cascade(t, asked).drop("user_id")
+
+
 # --------------------------------------------------------------------------- JN13
 SIM_K = 5
 
