@@ -77,3 +77,21 @@ def test_no_address_leaves_the_gate(spark, manifest):
     out = E.queries()["sm1_streaming_gate"](spark, SF)
     assert out.filter(F.col("internal_note").contains("@")).count() == 0
     assert out.filter(F.col("internal_note").rlike("^[0-9a-f]{64}$")).count() == manifest["hashed_internal_note"]
+
+
+def test_merged_sketches_are_within_their_error(spark):
+    """One class holds most rows; sketches of 40 days merged against the exact ranks."""
+    import random
+
+    from tracefold.operators import accounting
+    rnd = random.Random(3)
+    rows = [("hot" if i % 10 else "cold", i % 40, int(rnd.lognormvariate(4, 1))) for i in range(40_000)] + [("none", 0, None)]
+    df = spark.createDataFrame(rows, "cls string, day int, ms long")
+    sketches = accounting.latency_sketches(df, ["cls", "day"], "ms")
+    assert sketches.select(F.max(F.octet_length("sketch"))).first()[0] < 20_000
+    for r in accounting.merged_percentiles(sketches, ["cls"]).collect():
+        values = sorted(ms for cls, _, ms in rows if cls == r.cls)
+        assert r.n == len(values)
+        for q, got in ((0.5, r.p50), (0.95, r.p95), (0.99, r.p99)):
+            low, high = sum(v < got for v in values) / len(values), sum(v <= got for v in values) / len(values)
+            assert low - 0.01 <= q <= high + 0.01, (r.cls, q, got)

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 
+import pytest
 from helpers import plain, records_df
 from pyspark.sql import functions as F
 
@@ -94,3 +95,22 @@ def test_plugin_analyzer_agrees_with_native(spark):
     rows = df.select(udf(F.col("t")).alias("u"), DEFAULT_ANALYZER.category(F.col("t")).alias("n")).collect()
     for r in rows:
         assert (r.u.category if r.u.has_pii else None) == r.n
+
+
+@pytest.mark.parametrize("text, score, category", [
+    ("write to a@b.example", 1.0, "EMAIL_ADDRESS"), ("ref 415-555-0134", None, None), ("Phone 415-555-0134", 0.75, "PHONE_NUMBER"),
+    ("pay 4111 1111 1111 1111", 1.0, "CREDIT_CARD"), ("card 4111 1111 1111 1112", None, None), ("SSN 078-05-1120", 0.75, "US_SSN"),
+    ("id 078-05-1120", None, None), ("phone 415-555-0134 ssn 078-05-1120", 0.75, "US_SSN"), ("a@b.example 4111-1111-1111-1111", 1.0, "EMAIL_ADDRESS"),
+    ("4111 1111 1111 1112 and 5500 0000 0000 0004", 1.0, "CREDIT_CARD"), ("", None, None), (None, None, None), ("nothing here", None, None)])
+def test_scored_rules(spark, text, score, category):
+    from tracefold.functions.pii import ScoredAnalyzer
+    row = spark.createDataFrame([(text,)], "t string").select(ScoredAnalyzer().top(F.col("t")).alias("top")).select("top.score", "top.category").first()
+    assert tuple(row) == (score, category)
+
+
+def test_scored_threshold_and_order_are_parameters(spark):
+    from tracefold.functions.pii import SCORED_RULES, ScoredAnalyzer
+    df = spark.createDataFrame([("ref 415-555-0134 id 078-05-1120",)], "t string")
+    first = lambda a: df.select(a.category(F.col("t"))).first()[0]
+    assert first(ScoredAnalyzer(threshold=0.4)) == "US_SSN" and first(ScoredAnalyzer(SCORED_RULES[::-1], 0.4)) == "PHONE_NUMBER"
+    assert first(ScoredAnalyzer(threshold=0.41)) is None

@@ -199,6 +199,13 @@ def ag9_stage_metrics(spark, sf_dir):
         {"min_observed_ms": "min_latency_ms", "max_observed_ms": "max_latency_ms"})
 
 
+@register("ag9_latency_percentiles")
+def ag9_latency_percentiles(spark, sf_dir):
+    """Latency percentiles per class, merged from the sketches of its days and stages."""
+    s = staged_records(spark, sf_dir).select("event_class", F.to_date("ts").alias("day"), F.coalesce("drop_reason", F.lit("sent")).alias("outcome"), "observed_ms")
+    return accounting.merged_percentiles(accounting.latency_sketches(s, ["event_class", "day", "outcome"], "observed_ms"), ["event_class"])
+
+
 # --------------------------------------------------------------------------- AG10
 @register("ag10_chunk_score_merge", with_views("texts", extra=(("ch", """
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'groundedness' ELSE 'harmlessness' END AS rubric,
