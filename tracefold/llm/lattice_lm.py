@@ -115,8 +115,29 @@ def lattice(v: Vocabulary, a: Arcs, word: str) -> tuple[list[list[tuple[int, int
 
 
 def marginal(v: Vocabulary, a: Arcs, word: str) -> float:
-    """Log-probability of the word, summed over all segmentations."""
-    return lattice(v, a, word)[1][-1] + a.stop
+    """Log-probability of the word, summed over all segmentations: the recursion of :func:`lattice` without its arcs."""
+    s = SPACE + word
+    inner, first, inf = a.inner, a.first, -math.inf
+    alpha, terms, single, at = [0.0], [], False, 0
+
+    def spelled(i: int) -> float:
+        return alpha[i] + (a.inner_byte * len(s[i].encode("utf-8", "surrogatepass")) if i else a.first_byte)
+
+    for end, (size, _, piece) in v.automaton.iter(s):
+        while at < end:                 # positions that are over
+            if not single:
+                terms.append(spelled(at))
+            alpha.append(terms[0] if len(terms) == 1 else log_sum(terms))
+            at, terms, single = at + 1, [], False
+        p = inner[piece] if size <= end else first[piece]
+        terms.append(alpha[end + 1 - size] + p)
+        single = size == 1 and p != inf
+    while at < len(s):
+        if not single:
+            terms.append(spelled(at))
+        alpha.append(terms[0] if len(terms) == 1 else log_sum(terms))
+        at, terms, single = at + 1, [], False
+    return alpha[-1] + a.stop
 
 
 def expected(v: Vocabulary, a: Arcs, word: str, counts: dict[int, float]) -> None:
@@ -227,7 +248,7 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
     t = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).collect()[0]
     total, types, once = int(t[0] or 0) + ends, int(t[1]) + (ends > 0), max(1, int(t[2]))
     table = written(score_words(counts, model_path, piece_counts(counts, model_path), total, types, once), "word-scores")
-    head = spark.sparkContext.broadcast({bytes(r[0]): (r[1] > 0, r[2], math.log(beta) + r[3]) for r in frequent(table, "n", head_words).select("word", "c", "base", "g").collect()})
+    head = spark.sparkContext.broadcast({bytes(r[0]): (r[1] > 0, r[2], math.log(beta) + r[3], rises(1, math.log(beta) + r[3])) for r in frequent(table, "n", head_words).select("word", "c", "base", "g").collect()})
     end_base = math.log10(ends + 1) - math.log10(total + types + 1)
     end_score = math.log10(beta * (ends + once * END_SHARE) / (total + once))
 
@@ -246,9 +267,10 @@ def score_documents(docs: DataFrame, model_path: str, doc_id: str = "doc_id", te
                     if found is None:
                         out.append((r, None, None, None, None, None, None, w, f))
                     else:
-                        seen += f * found[0]
-                        base += f * found[1]
-                        score += rises(f, found[2])
+                        in_training, one_base, log_a, once_score = found
+                        seen += f * in_training
+                        base += f * one_base
+                        score += once_score if f == 1 else rises(f, log_a)
                 out.append((r, i, h, n, seen, base, score, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), types_, strict=True)] if out else [pa.array([], k) for k in types_], names=names)
 
