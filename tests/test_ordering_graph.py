@@ -42,6 +42,47 @@ def test_walk_matches_brute_force(spark):
     assert got == {("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("x", "y", 1)}
 
 
+EDGES = "edge_type string, from_type string, from_id string, to_type string, to_id string, ts timestamp_ntz"
+
+
+def test_walk_through_a_planted_hub(spark):
+    """A third of all edges leave one node that all seeds reach; cells stay near the limit, no pair is lost."""
+    rnd = random.Random(5)
+    pairs = [(f"s{i}", "hub") for i in range(300)] + [("hub", f"h{i}") for i in range(900)] + [("hub", "h1")] * 50
+    pairs += [(f"h{rnd.randrange(900)}", f"z{rnd.randrange(400)}") for _ in range(1200)]
+    e = spark.createDataFrame([("next_step", "Step", f, "Step", t, None) for f, t in pairs] + [("next_step", "Step", None, "Step", "x", None)], EDGES)
+    seeds = spark.createDataFrame([("Step", f"s{i}") for i in range(300)] * 2, "seed_type string, seed_id string")
+    got = graph.walk(e, seeds, 3, hub_rows=64).collect()
+    onward = {}
+    for f, t in set(pairs):
+        onward.setdefault(f, set()).add(t)
+    second = onward["hub"]
+    third = set().union(*[onward.get(h, set()) for h in second]) - second
+    exp = {(f"s{i}", n, d) for i in range(300) for d, ns in ((1, {"hub"}), (2, second), (3, third)) for n in ns}
+    assert len(got) == len(exp) and {(r.seed_id, r.node_id, r.hops) for r in got} == exp
+    # the cells of the second hop: about 64 rows a side, each pair of parts there
+    frontier = seeds.distinct().withColumns({"node_type": F.lit("Step"), "node_id": F.lit("hub")})
+    once = e.select("from_type", "from_id", "to_type", "to_id").dropna().distinct()
+    hubs = graph.hub_parts(once, "from_type", "from_id", 64, "edge_parts").join(
+        graph.hub_parts(frontier, "node_type", "node_id", 64, "seed_parts"), ["node_type", "node_id"], "full")
+    f, g = graph.split_hubs(frontier, once, hubs)
+    cells_f = [r["count"] for r in f.groupBy("node_id", "seed_part", "edge_part").count().collect()]
+    cells_g = [r["count"] for r in g.filter("from_id = 'hub'").groupBy("seed_part", "edge_part").count().collect()]
+    assert len(cells_f) == len(cells_g) == 5 * 15 and max(cells_f) <= 2 * 64 and max(cells_g) <= 2 * 64
+    rest = g.filter("from_id <> 'hub'")
+    assert rest.count() == once.filter("from_id <> 'hub'").count() and rest.filter("seed_part + edge_part > 0").isEmpty()
+
+
+def test_walk_with_many_hubs_and_with_nothing(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_BROADCAST_ROWS", 0)     # hubs joined like any table
+    pairs = [(f"n{i}", f"n{(i * 7 + j) % 40}") for i in range(40) for j in range(6)]
+    e = spark.createDataFrame([("next_step", "Step", f, "Step", t, None) for f, t in pairs], EDGES)
+    seeds = spark.createDataFrame([("Step", f"n{i}") for i in range(40)], "seed_type string, seed_id string")
+    key = lambda df: sorted((r.seed_id, r.node_id, r.hops) for r in df.collect())
+    assert key(graph.walk(e, seeds, 2, hub_rows=2)) == key(graph.walk(e, seeds, 2))
+    assert graph.walk(e.limit(0), seeds, 2).isEmpty() and graph.walk(e, seeds.limit(0), 2).isEmpty()
+
+
 def test_similarity_top_k_matches_brute_force(spark):
     rnd = random.Random(11)
     vecs = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(300)]

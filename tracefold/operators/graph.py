@@ -199,31 +199,84 @@ def read_decision(spark: SparkSession, path: str, tenant: str, decision, schema:
     return docs.filter((F.col(tenant_col) == F.lit(tenant)) & (F.col("folder") == _folder(wanted, folders)) & (F.col(key) == wanted)).drop("folder")
 
 
+#: Edges, or frontier rows, of one node that a cell of a walk's join holds on average.
+HUB_ROWS = 20_000
+#: Hubs that may be broadcast (about 100 bytes a row); more of them are joined like any table.
+HUB_BROADCAST_ROWS = 100_000
+_NODE = ["node_type", "node_id"]
+
+
+def hub_parts(rows: DataFrame, kind: str, ident: str, limit: int, out: str) -> DataFrame:
+    """Nodes with more than ``limit`` rows, and in ``out`` the number of parts of about ``limit`` rows each. Counts are
+    combined map-side, so a hub costs the count no more than other nodes."""
+    n = rows.groupBy(F.col(kind).alias("node_type"), F.col(ident).alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    return n.filter(F.col("n") > limit).select(*_NODE, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias(out))
+
+
+def _part(cols: Sequence[str], parts: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.col(parts)).cast("int")
+
+
+def split_hubs(frontier: DataFrame, e: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a hop with the cell ``(seed_part, edge_part)`` that each row goes to.
+
+    A hub's frontier rows are dealt to ``seed_parts`` by their seed and its edges to ``edge_parts`` by their end; every
+    pair of parts is one cell, so each (seed, edge) pair still meets once. Nodes that ``hubs`` lacks have one cell.
+    """
+    def sized(df: DataFrame, kind: str, ident: str) -> DataFrame:
+        h = hubs.withColumnsRenamed({"node_type": "__t", "node_id": "__i"})
+        return df.join(h, (F.col(kind) == F.col("__t")) & (F.col(ident) == F.col("__i")), "left").drop("__t", "__i").withColumns(
+            {c: F.coalesce(c, F.lit(1)) for c in ("seed_parts", "edge_parts")})
+
+    f = sized(frontier, "node_type", "node_id").withColumn("seed_part", _part(("seed_type", "seed_id"), "seed_parts")).withColumn(
+        "edge_part", F.explode(F.sequence(F.lit(0), F.col("edge_parts") - 1)))
+    g = sized(e, "from_type", "from_id").withColumn("edge_part", _part(("to_type", "to_id"), "edge_parts")).withColumn(
+        "seed_part", F.explode(F.sequence(F.lit(0), F.col("seed_parts") - 1)))
+    return f.drop("seed_parts", "edge_parts"), g.drop("seed_parts", "edge_parts")
+
+
+def _hop(frontier: DataFrame, e: DataFrame, edge_hubs: DataFrame, limit: int) -> DataFrame:
+    """Frontier rows joined with the edges of their nodes, hubs split by their counts on both sides."""
+    hubs = cut_lineage(edge_hubs.join(hub_parts(frontier, "node_type", "node_id", limit, "seed_parts"), _NODE, "full"))
+    n = hubs.count()
+    on = (F.col("node_type") == F.col("from_type")) & (F.col("node_id") == F.col("from_id"))
+    if n == 0:
+        return frontier.join(e, on)
+    f, g = split_hubs(frontier, e, F.broadcast(hubs) if n <= HUB_BROADCAST_ROWS else hubs)
+    g = g.withColumnsRenamed({"seed_part": "__sp", "edge_part": "__ep"})
+    return f.join(g, on & (F.col("seed_part") == F.col("__sp")) & (F.col("edge_part") == F.col("__ep")))
+
+
 def walk(e: DataFrame, seeds: DataFrame, max_hops: int, follow: Sequence[str] | None = None,
-         checkpoint_every: int = 1) -> DataFrame:
+         checkpoint_every: int = 1, hub_rows: int = HUB_ROWS) -> DataFrame:
     """JN6: nodes reachable from each seed in at most ``max_hops`` forward hops.
 
     ``seeds`` has ``(seed_type, seed_id)``. Each hop is an equi-join of the
     frontier with the edges on the source node, then an anti join against
     what was already reached, so every (seed, node) pair is expanded once,
-    at its minimum hop count. Lineage is cut with a reliable checkpoint
-    after each hop so a lost executor does not replay the whole walk.
+    at its minimum hop count. Parallel edges count as one and are stored once
+    for all hops. A node with more than ``hub_rows`` edges, or that more than
+    ``hub_rows`` seeds have reached, is split into cells by its counts, so a
+    task's share of it is bounded whatever its degree. Lineage is cut with a
+    reliable checkpoint after each hop so a lost executor does not replay the
+    whole walk. Rows with a null end lead nowhere; no seeds or no edges give
+    no rows.
     """
     if follow:
         e = e.filter(F.col("edge_type").isin(list(follow)))
-    e = e.select("from_type", "from_id", "to_type", "to_id")
+    e = cut_lineage(e.select("from_type", "from_id", "to_type", "to_id").dropna().distinct())
+    edge_hubs = hub_parts(e, "from_type", "from_id", hub_rows, "edge_parts")
     start = seeds.select("seed_type", "seed_id", F.col("seed_type").alias("node_type"),
-                         F.col("seed_id").alias("node_id"), F.lit(0).alias("hops"))
+                         F.col("seed_id").alias("node_id"), F.lit(0).alias("hops")).distinct()
     reached = start
     frontier = start
     for hop in range(1, max_hops + 1):
-        nxt = (frontier.join(e, (frontier.node_type == e.from_type) & (frontier.node_id == e.from_id))
-                       .select("seed_type", "seed_id", F.col("to_type").alias("node_type"),
-                               F.col("to_id").alias("node_id"))
-                       .distinct()
-                       .join(reached.select("seed_type", "seed_id", "node_type", "node_id"),
-                             ["seed_type", "seed_id", "node_type", "node_id"], "left_anti")
-                       .withColumn("hops", F.lit(hop)))
+        nxt = (_hop(frontier, e, edge_hubs, hub_rows)
+               .select("seed_type", "seed_id", F.col("to_type").alias("node_type"), F.col("to_id").alias("node_id"))
+               .distinct()
+               .join(reached.select("seed_type", "seed_id", "node_type", "node_id"),
+                     ["seed_type", "seed_id", "node_type", "node_id"], "left_anti")
+               .withColumn("hops", F.lit(hop)))
         if checkpoint_every and hop % checkpoint_every == 0:
             nxt = cut_lineage(nxt)
         reached = reached.unionByName(nxt)
