@@ -1,6 +1,8 @@
 import hashlib
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracefold.sources import sinks
@@ -48,6 +50,52 @@ def test_evidence_export_manifest(spark, scratch):
     assert n == exp
 
 
+def _tree(data, chunk, fanout):
+    """Root of the digest tree by plain Python."""
+    level = [hashlib.sha256(data[i:i + chunk]).hexdigest() for i in range(0, len(data), chunk)]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i:i + fanout]).encode()).hexdigest() for i in range(0, len(level), fanout)]
+    return level[0]
+
+
+def test_digest_tree_of_split_files(spark, scratch):
+    rnd = random.Random(3)
+    sizes = {"b": 1, "c": 999, "d": 1000, "e": 1001, "f": 4000, "g": 16_001, "h": 64_000}
+    data = {n: rnd.randbytes(k) for n, k in sizes.items()}
+    for n, d in data.items():
+        with open(os.path.join(scratch, n + ".json"), "wb") as f:
+            f.write(d)
+    leaves = sinks.file_leaves(spark, [scratch], chunk_bytes=1000)
+    assert leaves.count() == sum(-(-k // 1000) for k in sizes.values())
+    got = {os.path.basename(r.path)[0]: r for r in sinks.file_manifest(leaves, 1000, fanout=4).collect()}
+    assert {n: (r.n_bytes, r.sha256) for n, r in got.items()} == {n: (len(d), _tree(d, 1000, 4)) for n, d in data.items()}
+    assert [got[n].n_chunks for n in "bcdefgh"] == [1, 1, 1, 2, 4, 17, 64]
+    with pytest.raises(Exception, match="too many chunks"):
+        sinks.file_manifest(leaves, 1000, fanout=2, levels=3).collect()
+
+
+def test_manifest_is_of_this_export_and_finds_changes(spark, scratch):
+    esc = T.escalations(spark, SF).repartition(2)
+    args = (scratch, "t-1", "2024-01-01", "2024-03-01", {"old": "requested_at", "new": "requested_at"})
+    sinks.export_evidence({"old": esc}, *args)
+    man = sinks.export_evidence({"new": esc}, *args, chunk_bytes=500)
+    rows = man.collect()
+    assert {r.dataset for r in rows} == {"new"} and max(r.n_chunks for r in rows) > 1
+    kept = spark.createDataFrame(rows, man.schema)
+    folder = os.path.join(scratch, "new")
+    assert sinks.verify_manifest(kept, [folder], chunk_bytes=500).isEmpty()
+    files = sorted(f for f in os.listdir(folder) if f.endswith(".json"))
+    with open(os.path.join(folder, files[0]), "r+b") as f:
+        f.seek(700)
+        f.write(b"#")
+    for crc in (f for f in os.listdir(folder) if f.endswith(".crc")):
+        os.unlink(os.path.join(folder, crc))
+    with open(os.path.join(folder, "more.json"), "w") as f:
+        f.write("{}")
+    found = {os.path.basename(r.path): r.problem for r in sinks.verify_manifest(kept, [folder], chunk_bytes=500).collect()}
+    assert found == {files[0]: "changed", "more.json": "unlisted"}
+
+
 def test_tenant_scope_prunes_partitions_and_columns(spark, scratch):
     from tracefold.operators import policy
     path = os.path.join(scratch, "recs")

@@ -103,6 +103,12 @@ def read_otlp(spark: SparkSession, path: str, schema: T.StructType, multi_line:
             .option("multiLine", multi_line).json(path))
 
 
+def parse_otlp(df: DataFrame, col: str, schema: T.StructType) -> DataFrame:
+    """Requests that travel as JSON text in a column (a bus, a table): the same columns as ``read_otlp``. A text that
+    isn't JSON has only ``_corrupt_record`` set."""
+    return df.select(F.from_json(col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+
+
 def flatten_spans(raw: DataFrame) -> DataFrame:
     """SC1: nested trace batches -> one row per span (``schemas.SPANS``)."""
     r = raw.select(F.inline_outer("resourceSpans"))

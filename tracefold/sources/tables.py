@@ -310,6 +310,121 @@ def turn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SPANS.fields])
 
 
+def _any(kind: str, value) -> F.Column:
+    """An OTLP value of one kind; integers travel as text."""
+    return F.struct((value.cast("string") if kind == "intValue" else value).alias(kind))
+
+
+def _kv(key: str, kind: str, value, when=None) -> F.Column:
+    """``[{key, value}]`` as JSON text, or an empty list where there is nothing to tell."""
+    entry = F.to_json(F.struct(F.lit(key).alias("key"), _any(kind, value).alias("value")))
+    there = value.isNotNull() if when is None else value.isNotNull() & when
+    return F.when(there, F.array(entry)).otherwise(F.array().cast("array<string>"))
+
+
+def _list(*parts) -> F.Column:
+    return F.concat(F.lit("["), F.array_join(F.concat(*parts), ","), F.lit("]"))
+
+
+def _span_text(trace, span, parent, name, start, end, attrs, events=None, status=None) -> F.Column:
+    """One span as OTLP/JSON text; ``attrs`` and ``events`` are JSON lists."""
+    head = F.to_json(F.struct(trace.alias("traceId"), span.alias("spanId"), parent.alias("parentSpanId"), F.lit(name).alias("name"),
+                              F.lit(1).alias("kind"), start.cast("string").alias("startTimeUnixNano"), end.cast("string").alias("endTimeUnixNano")))
+    tail = [F.lit(',"attributes":'), attrs]
+    if events is not None:
+        tail += [F.lit(',"events":'), events]
+    if status is not None:
+        tail += [F.lit(',"status":'), status]
+    return F.concat(F.left(head, F.length(head) - 1), *tail, F.lit("}"))
+
+
+TRACE_START_NS = 1_704_067_200_000_000_000
+
+
+def turn_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One OTLP/JSON trace request per assistant turn: ``session_id, turn, body``.
+
+    The decision span carries identity, lengths, events (retrievals, a memory write, a guardrail check, an escalation)
+    and a status; an LLM call names its usage in one attribute namespace or the other, a tool call follows every second
+    turn, and every 11th tool call has lost its parent.
+    """
+    c = read_table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    cid, turn = F.col("conv_id"), F.col("turn").cast("bigint")
+    k = cid + turn
+    trace = F.lpad(F.hex(cid), 32, "0")
+
+    def sid(n: int):
+        return F.lpad(F.lower(F.hex((cid * 1000 + turn) * 10 + n)), 16, "0")
+
+    start = F.lit(TRACE_START_NS).cast("bigint") + turn * 60_000_000_000 + cid * 1_000_000
+    end = start + (k % 900 + 1) * 1_000_000
+
+    def event(name: str, after: int, attrs, when) -> F.Column:
+        text = F.concat(F.lit('{"name":"' + name + '","timeUnixNano":"'), (start + after).cast("string"), F.lit('","attributes":'), attrs, F.lit("}"))
+        return F.when(when, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    yes = F.lit(True)
+    events = _list(
+        event("decision.retrieval", 1000, _list(_kv("decision.retrieval.source", "stringValue", _pick(C.RETRIEVAL_SOURCES, k % 7)),
+                                                _kv("decision.retrieval.result_count", "intValue", k % 6)), k % 4 != 0),
+        event("decision.retrieval", 2000, _list(_kv("decision.retrieval.source", "stringValue", _pick(C.RETRIEVAL_SOURCES, k % 3))), k % 2 == 0),
+        event("decision.memory", 3000, _list(_kv("decision.memory.kind", "stringValue", _pick(C.MEMORY_KINDS, cid % 3))), k % 5 == 0),
+        event("decision.guardrail", 4000, _list(
+            _kv("decision.guardrail.phase", "stringValue", F.when(k % 2 == 0, "input").otherwise("output_final")),
+            _kv("decision.guardrail.blocked", "boolValue", k % 6 == 0),
+            _kv("decision.guardrail.pii_count", "intValue", k % 3, k % 3 != 0),
+            _kv("decision.guardrail.policy", "stringValue", F.concat(F.lit("rail:r"), (k % 4).cast("string")))), k % 3 != 2),
+        event("decision.guardrail", 5000, _list(
+            _kv("decision.guardrail.phase", "stringValue", F.lit("output_final")),
+            _kv("decision.guardrail.blocked", "boolValue", F.lit(False)),
+            _kv("decision.guardrail.pii_count", "intValue", F.lit(1).cast("bigint"), yes)), k % 7 == 0),
+        event("decision.escalation", 6000, F.lit("[]"), k % 10 == 0))
+    chars = F.length("text").cast("bigint")
+    attrs = _list(
+        _kv("decision.tenant_id", "stringValue", F.concat(F.lit("t-"), (cid % 5).cast("string"))),
+        _kv("decision.agent_id", "stringValue", F.concat(F.lit("a-"), (cid % 20).cast("string"))),
+        _kv("decision.session_id", "stringValue", F.concat(F.lit("s"), cid.cast("string"))),
+        _kv("decision.request_id", "stringValue", F.concat(F.lit("s"), cid.cast("string"), F.lit(":t"), turn.cast("string"))),
+        _kv("decision.input_length", "intValue", chars % 500, k % 8 != 0),
+        _kv("decision.output_length", "intValue", chars))
+    llm = _list(
+        _kv("gen_ai.request.model", "stringValue", F.concat(F.lit("m-"), (k % 4).cast("string")), k % 3 != 0),
+        _kv("decision.llm.request.model", "stringValue", F.concat(F.lit("m-"), (k % 4 + 1).cast("string")), k % 3 != 1),
+        _kv("gen_ai.usage.input_tokens", "intValue", chars % 300, k % 2 == 0),
+        _kv("decision.llm.usage.input_tokens", "intValue", chars % 300 + 1),
+        _kv("gen_ai.usage.output_tokens", "intValue", chars % 200 + 2),
+        _kv("decision.llm.usage.output_tokens", "intValue", chars % 200))
+    tool = _list(_kv("decision.tool.name", "stringValue", F.lit("search"), k % 4 == 1),
+                 _kv("gen_ai.tool.name", "stringValue", F.lit("lookup"), k % 4 == 3),
+                 _kv("decision.tool.result_count", "intValue", k % 9))
+    status = F.when(k % 13 == 0, F.lit('{"code":2,"message":"TimeoutError"}')).otherwise(F.lit('{"code":1}'))
+    none = F.lit("")
+    spans = _list(
+        F.array(_span_text(trace, sid(0), none, "decision.decision", start, end, attrs, events, status),
+                _span_text(trace, sid(1), sid(0), "decision.llm_call", start + 10_000, end - 10_000, llm)),
+        F.when(k % 2 == 1, F.array(_span_text(trace, sid(2), F.when(k % 11 == 0, sid(9)).otherwise(sid(0)), "decision.tool_call",
+                                              start + 20_000, end - 20_000, tool))).otherwise(F.array().cast("array<string>")))
+    body = F.concat(F.lit('{"resourceSpans":[{"resource":{"attributes":'),
+                    _list(_kv("service.name", "stringValue", F.concat(F.lit("agent-"), (cid % 3).cast("string")))),
+                    F.lit('},"scopeSpans":[{"scope":{"name":"decision.sdk"},"spans":'), spans, F.lit("}]}]}"))
+    return c.select(cid.alias("session_id"), "turn", body.alias("body"))
+
+
+def record_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One OTLP/JSON log request per record: ``decision_id, body``; every 97th text is cut short."""
+    r = records(spark, sf_dir)
+    did = F.col("decision_id")
+    attrs = _list(
+        _kv("event_class", "stringValue", F.col("event_class")), _kv("tenant_id", "stringValue", F.col("tenant_id"), did % 17 != 0),
+        _kv("agent_id", "stringValue", F.col("agent_id")), _kv("latency_ms", "intValue", F.col("latency_ms")),
+        _kv("cost_usd", "doubleValue", F.col("cost_usd").cast("double")), _kv("cached", "boolValue", did % 2 == 0))
+    body = F.concat(
+        F.lit('{"resourceLogs":[{"resource":{"attributes":'), _list(_kv("host.name", "stringValue", F.concat(F.lit("h"), (did % 5).cast("string")))),
+        F.lit('},"scopeLogs":[{"scope":{"name":"decision.sdk"},"logRecords":[{"timeUnixNano":"'), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).cast("string"),
+        F.lit('","severityText":"INFO","body":{"stringValue":"'), did.cast("string"), F.lit('"},"attributes":'), attrs, F.lit("}]}]}]}"))
+    return r.select("decision_id", F.when(did % 97 == 0, F.left(body, F.length(body) - 2)).otherwise(body).alias("body"))
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guard events as delivered by an at-least-once bus: every fifth event is
     delivered a second time 30 seconds later (a replay)."""
