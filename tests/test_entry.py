@@ -28,7 +28,7 @@ def test_every_query_has_an_oracle_or_is_rows_only():
 def test_views_have_spark_twins():
     from tracefold.operators import escalation
     from tracefold.sources import tables as T
-    twins = {"turn_span_attrs": "turn_spans"}   # row form of the span stand-in
+    twins = {"turn_span_attrs": "turn_spans", "turn_calls": "turn_traces"}   # row forms of the span and trace stand-ins
     steps = {"qualified": escalation.qualified_reviews}     # SQL for a step of the jobs, not a stand-in
     for name in set(VIEWS) - set(steps):
         assert hasattr(T, twins.get(name, name)), name

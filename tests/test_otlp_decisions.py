@@ -46,6 +46,37 @@ TRACE = {"resourceSpans": [{
              {"key": "tool.name", "value": {"stringValue": "search"}}]}]}]}]}
 
 
+def test_record_times_are_exact_to_the_microsecond(spark):
+    """Nanoseconds since 1970 don't fit a double."""
+    times = [1704078023688080000, 1704078023688080999, 1, -1]
+    body = [(json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [{"timeUnixNano": str(t), "attributes": []}]}]}]}),) for t in times]
+    raw = otlp.parse_otlp(spark.createDataFrame(body + [("{cut",), (None,)], "body string"), "body", otlp.OTLP_LOGS)
+    got = {r.time_ns: r.us for r in otlp.flatten_records(raw).select("time_ns", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()}
+    assert got == {t: t // 1000 for t in times}
+    assert raw.filter("_corrupt_record = '{cut'").count() == 1
+
+
+def test_summary_lengths_and_guardrail_actions(spark):
+    def kv(k, **v):
+        return {"key": "decision." + k, "value": v}
+
+    def guard(at, *attrs):
+        return {"name": "decision.guardrail", "timeUnixNano": str(at), "attributes": list(attrs)}
+
+    span = {"traceId": "aa", "spanId": "01", "name": "decision.decision", "startTimeUnixNano": "0", "endTimeUnixNano": "5000000",
+            "attributes": [kv("input_length", intValue="12")],
+            "events": [guard(9, kv("guardrail.phase", stringValue="output_final"), kv("guardrail.blocked", boolValue=True), kv("guardrail.pii_count", intValue="2")),
+                       guard(3, kv("guardrail.phase", stringValue="input"), kv("guardrail.pii_count", intValue="1"), kv("guardrail.policy", stringValue="pii:EMAIL")),
+                       guard(5)]}
+    bare = {"traceId": "aa", "spanId": "02", "name": "decision.decision", "startTimeUnixNano": "0", "endTimeUnixNano": "0"}
+    body = json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [span, bare]}]}]})
+    raw = otlp.parse_otlp(spark.createDataFrame([(body,)], "body string"), "body", otlp.OTLP_TRACES)
+    one, two = decisions.decision_summary(otlp.flatten_spans(raw)).orderBy("span_id").collect()
+    assert one.guardrail_actions == ["input:redact:pii:EMAIL", "pass", "output_final:block"] and one.pii_detected_count == 3
+    assert (one.input_length, one.output_length, one.latency_ms, one.blocked) == (12, None, 5, True)
+    assert (two.guardrail_actions, two.pii_detected_count, two.blocked, two.llm_calls, two.models) == ([], 0, False, 0, "")
+
+
 def _write(scratch, name, obj):
     p = os.path.join(scratch, name)
     os.makedirs(p, exist_ok=True)

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.operators.contracts import coalesce_namespaces
 from tracefold.schemas import attr_str
 
 
@@ -93,7 +94,10 @@ def summarize_decision_spans(spans: DataFrame, ns: str = "decision") -> DataFram
     """JN2 (span part): one row per decision span with rolled-up events.
 
     Retrieval/memory/guardrail/escalation events are folded from the span's
-    own event array; identity comes from the span attributes.
+    own event array; identity and text lengths come from the span attributes
+    (null where unset). ``pii_detected_count`` sums the guardrail events' counts;
+    ``guardrail_actions`` has one ``phase:action:policy`` per guardrail event in time
+    order (action ``block``, ``redact`` where PII was found, else ``pass``).
     """
     d = spans.filter(F.col("name") == _ns(ns, "decision"))
     ev = F.col("events")
@@ -102,6 +106,18 @@ def summarize_decision_spans(spans: DataFrame, ns: str = "decision") -> DataFram
     guard = _events_named(ev, _ns(ns, "guardrail"))
     esc = _events_named(ev, _ns(ns, "escalation"))
     a = F.col("attrs")
+
+    def blocked(e: Column) -> Column:
+        return F.coalesce(e["attrs"][_ns(ns, "guardrail.blocked")]["b"], F.lit(False))
+
+    def pii(e: Column) -> Column:
+        return F.coalesce(e["attrs"][_ns(ns, "guardrail.pii_count")]["i"], F.lit(0).cast("bigint"))
+
+    def action(e: Column) -> Column:
+        kind = F.when(blocked(e), "block").when(pii(e) > 0, "redact").otherwise("pass")
+        return F.concat_ws(":", e["attrs"][_ns(ns, "guardrail.phase")]["s"], kind, e["attrs"][_ns(ns, "guardrail.policy")]["s"])
+
+    actions = F.array_sort(F.transform(guard, lambda e: F.struct(e["time_ns"].alias("t"), action(e).alias("a"))))
     return d.select(
         "trace_id", "span_id",
         attr_str(a, _ns(ns, "tenant_id")).alias("tenant_id"),
@@ -116,32 +132,56 @@ def summarize_decision_spans(spans: DataFrame, ns: str = "decision") -> DataFram
         F.size(mem).alias("memory_write_count"),
         F.array_sort(F.array_distinct(F.transform(mem, lambda e: e["attrs"][_ns(ns, "memory.kind")]["s"])))
         .alias("memory_kinds"),
-        F.exists(guard, lambda e: F.coalesce(e["attrs"][_ns(ns, "guardrail.blocked")]["b"], F.lit(False)))
-        .alias("blocked"),
+        F.exists(guard, blocked).alias("blocked"),
+        a[_ns(ns, "input_length")]["i"].alias("input_length"),
+        a[_ns(ns, "output_length")]["i"].alias("output_length"),
+        F.aggregate(guard, F.lit(0).cast("bigint"), lambda acc, e: acc + pii(e)).alias("pii_detected_count"),
+        F.transform(actions, lambda x: x["a"]).alias("guardrail_actions"),
         F.size(esc).alias("escalation_events"),
         F.col("status_code"), F.col("status_message"),
     )
 
 
-def child_call_rollup(spans: DataFrame, ns: str = "decision") -> DataFrame:
-    """JN1: LLM and tool child spans pre-aggregated per parent span.
+#: Fields of a call: name, kind, key of the common conventions, key below the governance prefix.
+CALL_FIELDS = (
+    ("system", "str", "gen_ai.system", "llm.system"),
+    ("model", "str", "gen_ai.request.model", "llm.request.model"),
+    ("response_model", "str", "gen_ai.response.model", "llm.response.model"),
+    ("temperature", "double", "gen_ai.request.temperature", "llm.request.temperature"),
+    ("top_p", "double", "gen_ai.request.top_p", "llm.request.top_p"),
+    ("max_tokens", "int", "gen_ai.request.max_tokens", "llm.request.max_tokens"),
+    ("finish_reasons", "json", "gen_ai.response.finish_reasons", "llm.response.finish_reasons"),
+    ("input_tokens", "int", "gen_ai.usage.input_tokens", "llm.usage.input_tokens"),
+    ("output_tokens", "int", "gen_ai.usage.output_tokens", "llm.usage.output_tokens"),
+    ("tool_name", "str", "gen_ai.tool.name", "tool.name"),
+    ("tool_call_id", "str", "gen_ai.tool.call.id", "tool.call.id"),
+)
+
 
-    Token counts come from either attribute namespace (GT20).
+def call_rows(spans: DataFrame, ns: str = "decision") -> DataFrame:
+    """GT20: one typed row per LLM or tool call span, each field from either namespace (the common one first).
+
+    A field that neither namespace sets is null; ``result_count`` is only told below the governance prefix.
     """
-    llm = _ns(ns, "llm_call")
-    tool = _ns(ns, "tool_call")
-    kids = spans.filter(F.col("name").isin(llm, tool) & F.col("parent_span_id").isNotNull())
+    llm, tool = _ns(ns, "llm_call"), _ns(ns, "tool_call")
     a = F.col("attrs")
-    inp = F.coalesce(a["gen_ai.usage.input_tokens"]["i"], a[_ns(ns, "llm.usage.input_tokens")]["i"])
-    out = F.coalesce(a["gen_ai.usage.output_tokens"]["i"], a[_ns(ns, "llm.usage.output_tokens")]["i"])
-    model = F.coalesce(a["gen_ai.request.model"]["s"], a[_ns(ns, "llm.request.model")]["s"])
-    is_llm = F.col("name") == llm
+    fields = coalesce_namespaces(a, [(out, kind, common, _ns(ns, own)) for out, kind, common, own in CALL_FIELDS])
+    return spans.filter(F.col("name").isin(llm, tool)).select(
+        "trace_id", "span_id", "parent_span_id", F.when(F.col("name") == llm, "llm").otherwise("tool").alias("call"),
+        ((F.col("end_ns") - F.col("start_ns")) / F.lit(1_000_000)).cast("bigint").alias("latency_ms"),
+        *fields, a[_ns(ns, "tool.result_count")]["i"].alias("result_count"))
+
+
+def child_call_rollup(spans: DataFrame, ns: str = "decision") -> DataFrame:
+    """JN1: LLM and tool child spans pre-aggregated per parent span (call rows from either namespace, GT20)."""
+    kids = call_rows(spans, ns).filter(F.col("parent_span_id").isNotNull())
+    is_llm = F.col("call") == "llm"
     return kids.groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(
         F.count_if(is_llm).alias("llm_calls"),
         F.count_if(~is_llm).alias("tool_calls"),
-        F.sum(F.when(is_llm, inp)).cast("bigint").alias("input_tokens"),
-        F.sum(F.when(is_llm, out)).cast("bigint").alias("output_tokens"),
-        F.array_join(F.array_sort(F.collect_set(F.when(is_llm, model))), ",").alias("models"))
+        F.sum(F.when(is_llm, F.col("input_tokens"))).cast("bigint").alias("input_tokens"),
+        F.sum(F.when(is_llm, F.col("output_tokens"))).cast("bigint").alias("output_tokens"),
+        F.array_join(F.array_sort(F.collect_set(F.when(is_llm, F.col("model")))), ",").alias("models"))
 
 
 def decision_summary(spans: DataFrame, ns: str = "decision") -> DataFrame:

@@ -201,6 +201,20 @@ SELECT * FROM (
          'k8s.pod', 'str', 'p-1', NULL FROM conversations
 ) WHERE vstr IS NOT NULL OR vint IS NOT NULL""")
 
+# What the stand-in trace requests say, one row per assistant turn (nulls: attribute not set).
+_view("turn_calls", (), """
+SELECT conv_id, turn, k, chars, lpad(lower(hex(conv_id)), 32, '0') AS trace_id,
+       lpad(lower(hex((conv_id * 1000 + turn) * 10)), 16, '0') AS span_id,
+       lpad(lower(hex((conv_id * 1000 + turn) * 10 + 1)), 16, '0') AS llm_id,
+       lpad(lower(hex((conv_id * 1000 + turn) * 10 + 2)), 16, '0') AS tool_id,
+       lpad(lower(hex((conv_id * 1000 + turn) * 10 + 9)), 16, '0') AS lost_id,
+       't-' || CAST(conv_id % 5 AS VARCHAR) AS tenant_id, 'a-' || CAST(conv_id % 20 AS VARCHAR) AS agent_id,
+       k % 900 + 1 AS latency_ms,
+       CASE WHEN k % 3 <> 0 THEN 'm-' || CAST(k % 4 AS VARCHAR) ELSE 'm-' || CAST(k % 4 + 1 AS VARCHAR) END AS model,
+       CASE WHEN k % 2 = 0 THEN chars % 300 ELSE chars % 300 + 1 END AS input_tokens,
+       chars % 200 + 2 AS output_tokens
+FROM (SELECT *, conv_id + turn AS k, length(text) AS chars FROM conversations WHERE role = 'assistant')""")
+
 _view("deliveries", ("guard_events",), """
 SELECT decision_id, event_id, ts AS arrived_at, blocked FROM guard_events
 UNION ALL SELECT decision_id, event_id, ts + INTERVAL 30 SECOND, blocked FROM guard_events WHERE event_id % 5 = 0""")

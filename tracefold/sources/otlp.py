@@ -158,4 +158,4 @@ def flatten_records(raw: DataFrame, class_attr: str = "event_class", ns: str | N
         F.when(a[class_attr]["t"] == "str", a[class_attr]["s"]).alias("event_class"),
         F.when(a[tenant_key]["t"] == "str", a[tenant_key]["s"]).alias("tenant_id"),
         F.when(a[agent_key]["t"] == "str", a[agent_key]["s"]).alias("agent_id"),
-        F.timestamp_micros(F.floor(F.col("time_ns") / 1000)).cast("timestamp_ntz").alias("ts"))
+        F.timestamp_micros(F.expr("(time_ns - pmod(time_ns, 1000)) div 1000")).cast("timestamp_ntz").alias("ts"))
