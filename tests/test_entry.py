@@ -42,7 +42,8 @@ def test_query_runs_on_smoke_data(spark, name):
 
 
 BOTH_WAYS = {"gt14_redaction_contract": "valid", "gt16_guardrail_chain": "blocked", "gt17_rail_match": "allowed", "ag3_guardrail_rollup": "blocked",
-             "wn7_rolling_content_window": "flagged"}
+             "wn7_rolling_content_window": "flagged", "gt19_identity_normalize": "valid", "ag11_escalation_rate_alert": "alert",
+             "jn14_control_coverage": "covered"}
 
 
 @pytest.mark.parametrize("name", sorted(BOTH_WAYS))

@@ -95,3 +95,43 @@ def test_saved_view_with_score_fields(spark):
     v = policy.saved_view(wide, {"event_class": "decision_summary", "score.groundedness": "0.5"},
                           policy.column_resolver(wide.columns))
     assert [r.decision_id for r in v.collect()] == [1]
+
+
+def test_join_split_equals_the_join(spark, monkeypatch):
+    """One key and the null key hold two thirds of the rows; parts stay near the limit on both paths."""
+    from tracefold.operators import ordering
+    rows = [("hot", i) for i in range(700)] + [(None, i) for i in range(300)] + [(f"k{i % 90}", i) for i in range(500)] + [("gone", 1)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    one = spark.createDataFrame([("hot", 1), ("hot", 2), (None, 3)] + [(f"k{i}", i) for i in range(90)], "k string, w long")
+    key = lambda d: sorted(tuple(map(str, r)) for r in d.select("k", "v", "w").collect())
+    for how in ("left", "inner"):
+        exp = key(df.join(one, "k", how))
+        assert key(ordering.join_split(df, one, ["k"], how, hot_rows=50)) == exp
+        assert key(ordering.join_split(df, one, ["k"], how)) == exp
+        with monkeypatch.context() as m:
+            m.setattr(ordering, "HOT_KEYS_BROADCAST", 0)
+            assert key(ordering.join_split(df, one, ["k"], how, hot_rows=50)) == exp
+    hot = spark.createDataFrame([("hot", 14), (None, 6)], "__k string, __parts int")
+    parts = {(r["k"], r["__part"]): r["count"] for r in ordering.split_keys(df, ["k"], hot).groupBy("k", "__part").count().collect()}
+    assert sum(k == "hot" for k, _ in parts) == 14 and sum(k is None for k, _ in parts) == 6
+    assert max(parts.values()) <= 2 * 50 and all(p == 0 for k, p in parts if k not in ("hot", None))
+    assert ordering.join_split(df.limit(0), one, ["k"]).isEmpty()
+
+
+def test_review_flood_has_the_same_outcomes(spark, monkeypatch):
+    """Verdict jobs give the same rows when every escalation with more than two deliveries is split."""
+    from tracefold.operators import escalation, ordering
+    from tracefold.sources import tables as T
+    sf = "/root/testdata/sf0.001"
+    esc, rev = T.escalations(spark, sf), T.reviews(spark, sf)
+    hot = esc.select("escalation_id").first()[0]
+    rev = rev.unionByName(rev.withColumns({"escalation_id": F.lit(hot), "nonce": F.concat("nonce", F.lit("-hot"))}))
+
+    def rows():
+        m = escalation.match_reviews(rev, esc).select("escalation_id", "nonce", "outcome")
+        i = escalation.verdict_idempotency(escalation.qualified_reviews(rev, esc))
+        return sorted(map(tuple, m.collect())), sorted(map(tuple, i.collect()))
+
+    plain = rows()
+    monkeypatch.setattr(ordering, "HOT_ROWS", 2)
+    assert rows() == plain and len(plain[0]) == rev.count()

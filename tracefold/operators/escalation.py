@@ -5,7 +5,8 @@ SM4, SM7, SM8 batch twins).
 Verdict handling is keyed by escalation; every per-escalation step is an
 aggregate (``min_by`` for "first verdict wins") followed by a join of one
 row per escalation, so a flood of deliveries for one escalation combines
-map-side instead of sorting in one task.
+map-side instead of sorting in one task. Joins from deliveries to their
+escalation go through ``join_split``, which splits such a flood into parts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold import constants as C
+from tracefold.operators.ordering import join_split
 
 
 def normalize_verdict(v):
@@ -26,7 +28,7 @@ def normalize_verdict(v):
 def _judged(reviews: DataFrame, escalations: DataFrame, stale_days: int) -> DataFrame:
     """Reviews with ``__reason``: why a verdict can't count whatever else was delivered, null if it can."""
     e = escalations.select("escalation_id", "requested_at", "deadline", "fallback", "required_rank")
-    j = reviews.join(e, "escalation_id", "left")
+    j = join_split(reviews, e, ["escalation_id"])
     stale = F.col("received_at") > F.col("reviewed_at") + F.make_dt_interval(days=F.lit(stale_days))
     timed_out = (F.col("fallback") != "defer") & (F.col("reviewed_at") > F.col("deadline"))
     reason = (F.when(F.col("requested_at").isNull(), F.lit("no_open_escalation"))
@@ -52,7 +54,7 @@ def match_reviews(reviews: DataFrame, escalations: DataFrame, stale_days: int =
     j = _judged(reviews, escalations, stale_days)
     o = F.struct("reviewed_at", "nonce")
     first = j.filter(F.col("__reason").isNull()).groupBy("escalation_id").agg(F.min(o).alias("__first"))
-    j = j.join(first, "escalation_id", "left")
+    j = join_split(j, first, ["escalation_id"])
     outcome = F.coalesce("__reason", F.when(o == F.col("__first"), F.lit("accepted")).otherwise(F.lit("no_open_escalation")))
     return j.withColumn("outcome", outcome).drop("__reason", "__first")
 
@@ -83,7 +85,7 @@ def verdict_idempotency(reviews: DataFrame) -> DataFrame:
     per_nonce = reviews.groupBy("escalation_id", "nonce", "verdict").agg(
         F.min("reviewed_at").alias("reviewed_at"), F.count(F.lit(1)).alias("deliveries"))
     f = first_verdicts(per_nonce)
-    j = per_nonce.join(f.select("escalation_id", "first_verdict", "first_nonce"), "escalation_id")
+    j = join_split(per_nonce, f.select("escalation_id", "first_verdict", "first_nonce"), ["escalation_id"], "inner")
     outcome = (F.when(F.col("nonce") == F.col("first_nonce"), F.lit("accepted"))
                 .when(F.col("verdict") == F.col("first_verdict"), F.lit("duplicate"))
                 .otherwise(F.lit("conflict")))

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.session import cut_lineage
+
 
 def _bucket(order_col: str, width: int) -> Column:
     return F.floor(F.col(order_col) / F.lit(width)).cast("bigint")
@@ -84,3 +86,41 @@ def dedupe_first(df: DataFrame, key: Sequence[str], order: Sequence[str], count_
         aggs.append(F.count(F.lit(1)).alias(count_col))
     out = df.groupBy(*key).agg(*aggs)
     return out.select(*key, *[F.col("__row")[c].alias(c) for c in rest], *([count_col] if count_col else []))
+
+
+#: Rows of one key that a join task takes before the key is split, and hot keys that may be broadcast.
+HOT_ROWS = 500_000
+HOT_KEYS_BROADCAST = 100_000
+
+
+def split_keys(rows: DataFrame, keys: Sequence[str], hot: DataFrame, part: str = "__part") -> DataFrame:
+    """``rows`` with the part that each goes to: by a hash of the whole row, 0 for keys that ``hot`` lacks."""
+    on = None
+    for k in keys:
+        same = rows[k].eqNullSafe(hot[f"__{k}"])
+        on = same if on is None else on & same
+    cols = [rows[c] for c in rows.columns]
+    return rows.join(hot, on, "left").select(*cols, F.coalesce(F.pmod(F.xxhash64(*cols), F.col("__parts")), F.lit(0)).cast("int").alias(part))
+
+
+def join_split(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", hot_rows: int | None = None) -> DataFrame:
+    """``rows.join(lookup, keys, how)`` (left or inner) for many rows and few lookup rows per key.
+
+    Rows per key are counted first (combined map-side). A key with more than ``hot_rows`` rows is split into parts of
+    about that size and its lookup rows are copied to each part, so a key that holds a third of all rows, the null key
+    too, fills several tasks. Without such keys the join is Spark's own. Rows equal in every column share a part.
+    """
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
+    hot = cut_lineage(n.select(*[F.col(k).alias(f"__{k}") for k in keys], F.ceil(F.col("__n") / F.lit(limit)).cast("int").alias("__parts")))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return rows.join(lookup, list(keys), how)
+    small = F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST else hot
+    on = None
+    for k in keys:
+        same = lookup[k] == hot[f"__{k}"]
+        on = same if on is None else on & same
+    copies = lookup.join(small, on, "left").select(
+        *[lookup[c] for c in lookup.columns], F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts"), F.lit(1)) - 1)).alias("__part"))
+    return split_keys(rows, keys, small).join(copies, [*keys, "__part"], how).drop("__part")

@@ -50,6 +50,12 @@ SELECT decision_id, event_class, key, vtype, vstr, vint, vdbl FROM (
   UNION ALL SELECT decision_id, event_class, 'user_id', 'int', NULL, user_id, NULL FROM records
 ) WHERE vstr IS NOT NULL OR vint IS NOT NULL OR vdbl IS NOT NULL""")
 
+_view("identities", ("records",), """
+SELECT decision_id, CASE decision_id % 19 WHEN 1 THEN chr(8195) || ' ' || tenant_id || chr(9) WHEN 2 THEN ' ' || chr(10) || chr(160)
+                                          WHEN 3 THEN '' ELSE tenant_id END AS tenant_id,
+       CASE decision_id % 19 WHEN 4 THEN agent_id || '  ' WHEN 5 THEN NULL ELSE agent_id END AS agent_id
+FROM records""")
+
 _view("texts", (), f"""
 SELECT doc_id, 'decision_summary.text' AS path,
        CASE doc_id % 23 WHEN 1 THEN text || ' {_PHRASE.upper()}'

@@ -9,6 +9,7 @@ from tracefold.functions import labels
 from tracefold.operators import contracts, policy
 from tracefold.plans.oracle_views import with_views
 from tracefold.plans.registry import register, sql_list
+from tracefold.plans.sqlfrag import strip_sql
 from tracefold.schemas import pack_attrs
 from tracefold.sources import tables as T
 
@@ -30,12 +31,12 @@ def gt18_record_contract(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- GT19
-@register("gt19_identity_normalize", with_views("records") + f"""
+@register("gt19_identity_normalize", with_views("identities", extra=(("n", f"""
+SELECT decision_id, {strip_sql('tenant_id')} AS tenant_id, {strip_sql('agent_id')} AS agent_id FROM identities"""),)) + f"""
 SELECT decision_id, tenant_id, agent_id, '{C.DEFAULT_PROFILE}' AS profile,
-       tenant_id <> '' AND agent_id <> '' AS valid FROM records""")
+       coalesce(tenant_id, '') <> '' AND coalesce(agent_id, '') <> '' AS valid FROM n""")
 def gt19_identity_normalize(spark, sf_dir):
-    r = T.records(spark, sf_dir).select("decision_id", "tenant_id", "agent_id")
-    n = contracts.normalize_identity(r)
+    n = contracts.normalize_identity(T.identities(spark, sf_dir))
     return n.select("decision_id", "tenant_id", "agent_id", "profile", "valid")
 
 

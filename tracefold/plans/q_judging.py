@@ -121,6 +121,7 @@ def jn12_output_only_pii(spark, sf_dir):
 # --------------------------------------------------------------------------- JN14
 CONTROLS = {
     "eu_ai_act.article_12": ("decisions", "escalation-log", "deletions-log"),
+    "eu_ai_act.article_13": ("decisions", "model-changes", "transparency-notices"),     # no rows; no dataset
     "eu_ai_act.article_14": ("escalation-log", "human-attestations"),
     "eu_ai_act.article_15": ("redteam-reports", "decisions"),
 }
@@ -128,13 +129,15 @@ CONTROLS = {
 
 @register("jn14_control_coverage", with_views("records", "escalations", "reviews", "attempts", extra=(("ev", """
 SELECT 'decisions' AS kind, count(*) AS n FROM records WHERE event_class = 'decision_summary'
+UNION ALL SELECT 'model-changes', count(*) FROM records WHERE event_class = 'model_change'
 UNION ALL SELECT 'escalation-log', count(*) FROM escalations
 UNION ALL SELECT 'human-attestations', count(*) FROM reviews
 UNION ALL SELECT 'redteam-reports', count(DISTINCT run_id) FROM attempts
 UNION ALL SELECT 'deletions-log', count(*) FROM records
   WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 300)"""), ("cfg", """
 SELECT * FROM (VALUES ('eu_ai_act.article_12', 'decisions'), ('eu_ai_act.article_12', 'escalation-log'),
-  ('eu_ai_act.article_12', 'deletions-log'), ('eu_ai_act.article_14', 'escalation-log'),
+  ('eu_ai_act.article_12', 'deletions-log'), ('eu_ai_act.article_13', 'decisions'), ('eu_ai_act.article_13', 'model-changes'),
+  ('eu_ai_act.article_13', 'transparency-notices'), ('eu_ai_act.article_14', 'escalation-log'),
   ('eu_ai_act.article_14', 'human-attestations'), ('eu_ai_act.article_15', 'redteam-reports'),
   ('eu_ai_act.article_15', 'decisions')) t(control, kind)"""))) + """
 SELECT control, count(*) AS n_kinds, CAST(sum(coalesce(n, 0)) AS BIGINT) AS evidence_rows,
@@ -150,6 +153,8 @@ def jn14_control_coverage(spark, sf_dir):
     deletions = graph.deletion_events(erased, "decision_id", "2024-02-01 00:00:00")
     counts = (rec.filter(F.col("event_class") == "decision_summary").agg(F.count(F.lit(1)).alias("n_rows"))
                  .select(F.lit("decisions").alias("kind"), "n_rows")
+              .unionByName(rec.filter(F.col("event_class") == "model_change").agg(F.count(F.lit(1)).alias("n_rows"))
+                           .select(F.lit("model-changes").alias("kind"), "n_rows"))
               .unionByName(T.escalations(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"))
                            .select(F.lit("escalation-log").alias("kind"), "n_rows"))
               .unionByName(T.reviews(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -227,13 +232,15 @@ def ag10_chunk_score_merge(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- AG11 / AG12 / AG14
-@register("ag11_escalation_rate_alert", with_views("records") + f"""
-SELECT agent_id, count(*) AS n_decisions, count(*) FILTER (WHERE event_class = 'escalation') AS n_escalated,
-       count(*) FILTER (WHERE event_class = 'escalation') / count(*) AS share,
-       count(*) FILTER (WHERE event_class = 'escalation') / count(*) > {C.ESCALATION_ALERT_SHARE} AS alert
-FROM records GROUP BY agent_id""")
+@register("ag11_escalation_rate_alert", with_views("records", extra=(("r", """
+SELECT agent_id, event_class = 'escalation' AND (user_id % 4 <> 0 OR decision_id % 8 = 0) AS escalated FROM records"""),)) + f"""
+SELECT agent_id, count(*) AS n_decisions, count(*) FILTER (WHERE escalated) AS n_escalated,
+       count(*) FILTER (WHERE escalated) / count(*) AS share, count(*) FILTER (WHERE escalated) / count(*) > {C.ESCALATION_ALERT_SHARE} AS alert
+FROM r GROUP BY agent_id""")
 def ag11_escalation_rate_alert(spark, sf_dir):
-    r = T.records(spark, sf_dir).withColumn("escalated", F.col("event_class") == "escalation")
+    """Agents above the alert share; every fourth agent escalates only an eighth of its errors and stays below."""
+    careful = (F.col("user_id") % 4 != 0) | (F.col("decision_id") % 8 == 0)
+    r = T.records(spark, sf_dir).withColumn("escalated", (F.col("event_class") == "escalation") & careful)
     return escalation.escalation_rate(r)
 
 

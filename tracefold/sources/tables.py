@@ -75,6 +75,17 @@ def record_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_attrs(r, RECORD_ATTR_SPEC).select("decision_id", "ts", "attrs")
 
 
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids as callers hand them in: some with white space around them, some empty, blank or not there."""
+    k = F.col("decision_id") % 19
+    tenant, agent = F.col("tenant_id"), F.col("agent_id")
+    return records(spark, sf_dir).select(
+        "decision_id",
+        F.when(k == 1, F.concat(F.lit("\u2003 "), tenant, F.lit("\t"))).when(k == 2, F.lit(" \n\u00a0")).when(k == 3, F.lit(""))
+         .otherwise(tenant).alias("tenant_id"),
+        F.when(k == 4, F.concat(agent, F.lit("  "))).when(k == 5, F.lit(None).cast("string")).otherwise(agent).alias("agent_id"))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document texts; some get a jailbreak phrase, outer white space, a phone number or more than 64,000
     characters, which the documents themselves lack."""
