@@ -114,3 +114,20 @@ def test_scored_threshold_and_order_are_parameters(spark):
     first = lambda a: df.select(a.category(F.col("t"))).first()[0]
     assert first(ScoredAnalyzer(threshold=0.4)) == "US_SSN" and first(ScoredAnalyzer(SCORED_RULES[::-1], 0.4)) == "PHONE_NUMBER"
     assert first(ScoredAnalyzer(threshold=0.41)) is None
+
+
+def test_chain_keeps_the_request_contract(spark):
+    """Too long a text, or no usable path: nothing is analyzed and nothing passes."""
+    from tracefold import constants as C
+    n = C.REDACT_MAX_VALUE_CHARS
+    rows = [(0, "p", "x" * n), (1, "p", "x" * (n + 1)), (2, "p", "  " + "x" * n + "\n"), (3, "", "a@corp.example"), (4, None, "hi"),
+            (5, "p" * (C.REDACT_PATH_MAX + 1), C.JAILBREAK_PHRASES[0]), (6, "p", None), (7, "p", ""), (8, "p", "a@corp.example")]
+    df = spark.createDataFrame(rows, "id long, path string, t string")
+    out = {r.id: r.guard for r in rails.guard_text(df, "t", "path", KEY_A).collect()}
+    assert [out[i].valid for i in range(9)] == [True, False, True, False, False, False, True, True, True]
+    for i in (1, 3, 4, 5):
+        g = out[i]
+        assert (g.blocked, g.action, g.rail, g.content, g.block_response, g.entities, g.policies) == (True, "error", "none", None, None, [], [])
+    assert out[2].content == "x" * n and out[6].content is None and out[7].content == "" and not out[6].blocked
+    assert len(out[8].content) == 64 and out[8].entities == ["EMAIL_ADDRESS:1"]
+    assert all(rails.guard_text(df, "t", "path", KEY_A, analyzer=None).select("guard.valid").toPandas()["valid"])

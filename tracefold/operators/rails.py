@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tracefold import constants as C
 from tracefold.functions.hashing import hmac_sha256_hex
 from tracefold.functions.pii import DEFAULT_ANALYZER, PatternAnalyzer, strip_whitespace
+from tracefold.operators.redaction import request_valid
 
 
 @dataclass(frozen=True)
@@ -77,36 +78,41 @@ def guard_text(df: DataFrame, text_col: str, path_col: Column | str, key: bytes
 
     Adds a struct column ``out`` with ``blocked, block_response, content,
     entities (category:count), policies (pii:<CAT>, rail:<name>), action,
-    rail``. The redacted (stripped or hashed) value always replaces the text.
+    rail, valid``. The redacted (stripped or hashed) value always replaces the text.
+
+    A text that breaks the redaction request contract (too long after stripping, path missing, empty or too long) is
+    neither analyzed nor passed on: ``valid`` is false, ``blocked`` true, ``action`` is ``error`` and ``content`` null.
+    A null text asks for nothing and is valid; without an analyzer there is no such request.
     """
     path = F.col(path_col) if isinstance(path_col, str) else path_col
     text = F.col(text_col)
     if analyzer is not None:
         stripped = strip_whitespace(text)
-        cat = analyzer.category(stripped)
-        df = df.withColumn("__cat", cat).withColumn(
-            "__content", F.when(F.col("__cat").isNotNull(), hmac_sha256_hex(stripped, key)).otherwise(stripped))
+        df = df.withColumn("__valid", text.isNull() | F.coalesce(request_valid(stripped, path), F.lit(False)))
+        ok = F.col("__valid")
+        df = df.withColumn("__cat", F.when(ok, analyzer.category(stripped))).withColumn("__content", F.when(
+            ok, F.when(F.col("__cat").isNotNull(), hmac_sha256_hex(stripped, key)).otherwise(stripped)))
     else:
-        df = df.withColumn("__cat", F.lit(None).cast("string")).withColumn("__content", text)
-    del path  # the pattern analyzer does not use the path; plug-ins may
+        df = df.withColumn("__valid", F.lit(True)).withColumn("__cat", F.lit(None).cast("string")).withColumn("__content", text)
     if use_rails:
         df = df.withColumn("__rail", check_rails(F.col("__content"), rules))
     else:
         df = df.withColumn("__rail", F.struct(
             F.lit(True).alias("allowed"), F.lit("allow").alias("action"), F.lit("none").alias("rail"),
             F.lit(None).cast("string").alias("block_response"), F.col("__content").alias("modified_value")))
-    cat_c, rail_c = F.col("__cat"), F.col("__rail")
+    cat_c, rail_c, valid = F.col("__cat"), F.col("__rail"), F.col("__valid")
     entities = F.filter(F.array(F.when(cat_c.isNotNull(), F.concat(cat_c, F.lit(":1")))), lambda x: x.isNotNull())
     policies = F.filter(F.array(
         F.when(cat_c.isNotNull(), F.concat(F.lit("pii:"), cat_c)),
-        F.when(rail_c["action"] != "allow", F.concat(F.lit("rail:"), rail_c["rail"]))), lambda x: x.isNotNull())
+        F.when(valid & (rail_c["action"] != "allow"), F.concat(F.lit("rail:"), rail_c["rail"]))), lambda x: x.isNotNull())
     blocked = rail_c["action"] == "block"
     return df.withColumn(out, F.struct(
-        blocked.alias("blocked"),
-        F.when(blocked, rail_c["block_response"]).alias("block_response"),
-        rail_c["modified_value"].alias("content"),
+        (blocked | ~valid).alias("blocked"),
+        F.when(valid & blocked, rail_c["block_response"]).alias("block_response"),
+        F.when(valid, rail_c["modified_value"]).alias("content"),
         entities.alias("entities"),
         policies.alias("policies"),
-        rail_c["action"].alias("action"),
-        rail_c["rail"].alias("rail"),
-    )).drop("__cat", "__content", "__rail")
+        F.when(valid, rail_c["action"]).otherwise("error").alias("action"),
+        F.when(valid, rail_c["rail"]).otherwise("none").alias("rail"),
+        valid.alias("valid"),
+    )).drop("__valid", "__cat", "__content", "__rail")

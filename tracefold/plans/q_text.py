@@ -71,20 +71,22 @@ SELECT session_id, turn, phase,
         FROM turns WHERE role IN ('user', 'assistant'))))"""
 
 
-@register("gt16_guardrail_chain", with_views("turns", extra=(("g", _chain_sql()),)) + f"""
-SELECT session_id, turn, phase, hit AS blocked,
-       CASE WHEN hit THEN 'block' ELSE 'allow' END AS action,
-       CASE WHEN hit THEN '{C.JAILBREAK_RAIL}' ELSE 'passthrough' END AS rail,
-       CASE WHEN hit THEN '' ELSE content END AS content,
-       coalesce(cat || ':1', '') AS entities,
-       concat_ws(',', 'pii:' || cat, CASE WHEN hit THEN 'rail:{C.JAILBREAK_RAIL}' END) AS policies
-FROM g""")
+@register("gt16_guardrail_chain", with_views("turns", extra=(("g", _chain_sql()), ("v", """
+SELECT *, (session_id + turn) % 19 <> 3 AS valid FROM g"""))) + f"""
+SELECT session_id, turn, phase, valid, hit OR NOT valid AS blocked,
+       CASE WHEN NOT valid THEN 'error' WHEN hit THEN 'block' ELSE 'allow' END AS action,
+       CASE WHEN NOT valid THEN 'none' WHEN hit THEN '{C.JAILBREAK_RAIL}' ELSE 'passthrough' END AS rail,
+       CASE WHEN NOT valid THEN NULL WHEN hit THEN '' ELSE content END AS content,
+       CASE WHEN valid THEN coalesce(cat || ':1', '') ELSE '' END AS entities,
+       CASE WHEN valid THEN concat_ws(',', 'pii:' || cat, CASE WHEN hit THEN 'rail:{C.JAILBREAK_RAIL}' END) ELSE '' END AS policies
+FROM v""")
 def gt16_guardrail_chain(spark, sf_dir):
-    """Each user turn (input) and assistant turn (output) through redact -> rails."""
+    """Each user turn (input) and assistant turn (output) through redact -> rails; some come without a path."""
     t = T.turns(spark, sf_dir).filter(F.col("role").isin("user", "assistant"))
     t = t.withColumn("phase", F.when(F.col("role") == "user", "input").otherwise("output_final"))
-    g = rails.guard_text(t, "text", F.concat(F.lit("turn."), F.col("phase")), TENANT_KEY)
-    return g.select("session_id", "turn", "phase", F.col("guard.blocked").alias("blocked"),
+    path = F.when((F.col("session_id") + F.col("turn")) % 19 == 3, "").otherwise(F.concat(F.lit("turn."), F.col("phase")))
+    g = rails.guard_text(t, "text", path, TENANT_KEY)
+    return g.select("session_id", "turn", "phase", F.col("guard.valid").alias("valid"), F.col("guard.blocked").alias("blocked"),
                     F.col("guard.action").alias("action"), F.col("guard.rail").alias("rail"),
                     F.col("guard.content").alias("content"),
                     F.array_join("guard.entities", ",").alias("entities"),
