@@ -135,3 +135,22 @@ def test_review_flood_has_the_same_outcomes(spark, monkeypatch):
     plain = rows()
     monkeypatch.setattr(ordering, "HOT_ROWS", 2)
     assert rows() == plain and len(plain[0]) == rev.count()
+
+
+def test_review_packet_of_odd_decisions(spark):
+    from tracefold.operators.graph import Part
+    at, due = "timestamp_ntz'2024-01-01 00:00:00'", "timestamp_ntz'2024-01-01 04:30:00'"
+    esc = spark.sql(f"SELECT * FROM VALUES ('e1', 1L, 't', 'a', {at}, {due}), ('e2', 2L, 't', 'a', {at}, {due}), ('e3', 9L, 't', 'a', {at}, {due}) "
+                    "AS x(escalation_id, decision_id, tenant_id, agent_id, requested_at, deadline)")
+    dec = spark.sql(f"SELECT * FROM VALUES (1L, {at}, 'mail a@corp.example now', CAST(NULL AS STRING), 7L, 's7', 3L), "
+                    f"(2L, {at}, NULL, '', NULL, NULL, 1L), (5L, {at}, 'other', 'other', 1L, 's1', 1L) "
+                    "AS x(decision_id, ts, input, output, user_id, session_id, session_turn_number)")
+    sc = spark.createDataFrame([(1, "b", 0.2), (1, "a", 0.2), (1, "a", 0.9), (5, "a", 0.1)], "decision_id long, rubric string, score double")
+    steps = spark.createDataFrame([(1, 2, "two"), (1, 1, "one"), (5, 1, "x"), (None, 1, "y")], "decision_id long, n long, what string")
+    out = {r.escalation_id: r for r in escalation.review_packets(esc, dec, sc, {"steps": Part(steps, ("what",), ("n",))}, b"k", {"a": ("q1", "q2")}).collect()}
+    one, two, gone = out["e1"], out["e2"], out["e3"]
+    assert one.input_redacted == "mail <REDACTED:EMAIL_ADDRESS> now" and one.output_redacted is None and [x.what for x in one.steps] == ["one", "two"]
+    assert (one.triggering_rubric_id, one.triggering_score, one.review_questions) == ("a", 0.2, ["q1", "q2"])
+    assert [tuple(x) for x in one.all_judge_scores] == [("a", 0.2), ("b", 0.2)] and len(one.user_id_hash) == 64 and one.expected_response_time == "4h"
+    assert (two.steps, two.triggering_rubric_id, two.review_questions, two.user_id_hash, two.output_redacted) == ([], None, [], None, "")
+    assert (gone.decision_timestamp, gone.steps, gone.input_redacted) == (None, None, None)

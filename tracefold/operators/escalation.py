@@ -11,10 +11,16 @@ escalation go through ``join_split``, which splits such a flood into parts.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold import constants as C
+from tracefold.functions.hashing import hmac_sha256_hex
+from tracefold.functions.pii import DEFAULT_ANALYZER, PatternAnalyzer
+from tracefold.operators.graph import Part, decision_documents
 from tracefold.operators.ordering import join_split
 
 
@@ -92,6 +98,46 @@ def verdict_idempotency(reviews: DataFrame) -> DataFrame:
     return j.select("escalation_id", "nonce", "verdict", "deliveries", outcome.alias("outcome"))
 
 
+PACKET_SCHEMA_VERSION = "1.0"
+
+
+def review_packets(escalations: DataFrame, decisions: DataFrame, scores: DataFrame, parts: Mapping[str, Part], key: bytes | str,
+                   questions: Mapping[str, Sequence[str]], profile: str = C.DEFAULT_PROFILE,
+                   analyzer: PatternAnalyzer = DEFAULT_ANALYZER) -> DataFrame:
+    """JN10: the whole review packet of each escalation, one row.
+
+    ``decisions`` has ``decision_id, ts, input, output, user_id, session_id, session_turn_number``. Both texts carry
+    placeholders for PII, user and session travel as keyed hashes (null stays null). The triggering rubric is that of
+    the lowest score (ties: the first by name) and brings its ``questions``; without a score it is null and there are
+    none. ``all_judge_scores`` has the lowest score per rubric. ``parts`` (retrievals, steps, guardrail events, ...) become
+    ordered arrays. Only rows of escalated decisions are folded, each part on its own; an escalation whose decision is
+    gone keeps its row with nulls.
+    """
+    ids = escalations.select("decision_id").filter(F.col("decision_id").isNotNull()).distinct()
+
+    def wanted(df: DataFrame, name: str = "decision_id") -> DataFrame:
+        return df.join(ids.withColumnRenamed("decision_id", name), name, "left_semi")
+
+    per = wanted(scores).groupBy("decision_id", "rubric").agg(F.min("score").alias("score"))
+    judged = per.groupBy("decision_id").agg(F.min(F.struct("score", "rubric")).alias("__low"),
+                                            F.array_sort(F.collect_list(F.struct("rubric", "score"))).alias("all_judge_scores"))
+    docs = decision_documents(wanted(decisions), {n: replace(p, rows=wanted(p.rows, p.key)) for n, p in parts.items()})
+    asked = F.array().cast("array<string>")
+    for rubric, qs in questions.items():
+        asked = F.when(F.col("__low.rubric") == rubric, F.array(*[F.lit(q) for q in qs]).cast("array<string>")).otherwise(asked)
+    hours = F.floor((F.unix_seconds(F.col("deadline").cast("timestamp")) - F.unix_seconds(F.col("requested_at").cast("timestamp"))) / 3600)
+    j = escalations.select("escalation_id", "decision_id", "tenant_id", "agent_id", "requested_at", "deadline").join(
+        docs, "decision_id", "left").join(judged, "decision_id", "left")
+    return j.select(
+        "escalation_id", "tenant_id", "agent_id", F.lit(profile).alias("regulatory_profile"), "decision_id", F.col("ts").alias("decision_timestamp"),
+        analyzer.placeholders(F.col("input")).alias("input_redacted"), analyzer.placeholders(F.col("output")).alias("output_redacted"),
+        *parts, F.col("__low.rubric").alias("triggering_rubric_id"), F.col("__low.score").alias("triggering_score"), "all_judge_scores",
+        hmac_sha256_hex(F.col("user_id").cast("string"), key).alias("user_id_hash"),
+        hmac_sha256_hex(F.col("session_id").cast("string"), key).alias("session_id_hash"), "session_turn_number",
+        asked.alias("review_questions"), F.concat(hours.cast("string"), F.lit("h")).alias("expected_response_time"),
+        F.lit(PACKET_SCHEMA_VERSION).alias("schema_version"))
+
+
 def nonce_replays(deliveries: DataFrame, window_hours: int = 24, ts_col: str = "reviewed_at",
                   bucket_hours: int = 1) -> DataFrame:
     """SM4 batch twin: reject a delivery whose nonce was seen in the previous

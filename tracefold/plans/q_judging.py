@@ -13,6 +13,7 @@ from tracefold.operators.judging import Rubric
 from tracefold.operators.ordering import dedupe_first
 from tracefold.plans.oracle_views import with_views
 from tracefold.plans.q_gates import STAGED_SQL, staged_records
+from tracefold.plans.q_text import TENANT_KEY
 from tracefold.plans.registry import register, sql_list
 from tracefold.plans.sqlfrag import hmac_sql, placeholders_sql
 from tracefold.sources import tables as T
@@ -94,6 +95,55 @@ def jn10_escalation_packet(spark, sf_dir):
                     placeholder_redact(F.col("internal_note")).alias("review_note"))
 
 
+REVIEW_QUESTIONS = {"harmlessness": ("Is the answer harmful?", "Would you block it?"), "groundedness": ("Do the sources support the answer?",)}
+
+
+def review_packets(spark, sf_dir):
+    """Packets with the record's note as input, the document of the same number as output, and the user's decisions as session."""
+    from tracefold.operators.ordering import sequence_within
+    r = T.records(spark, sf_dir)
+    seq = sequence_within(r.select("user_id", "decision_id"), ["user_id"], "decision_id").select(
+        "decision_id", F.col("seq").alias("session_turn_number"))
+    out = T.texts(spark, sf_dir).select(F.col("doc_id").alias("decision_id"), F.col("value").alias("output"))
+    d = r.filter(F.col("event_class") == "escalation").select(
+        "decision_id", "ts", F.col("internal_note").alias("input"), "user_id", F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"))
+    d = d.join(seq, "decision_id", "left").join(out, "decision_id", "left")
+    parts = {"retrievals": graph.Part(T.retrievals(spark, sf_dir), ("source", "result_count"), ("ts", "event_id")),
+             "guardrail_events": graph.Part(T.guard_events(spark, sf_dir), ("event_id", "policy", "blocked"), ("ts", "event_id"))}
+    return escalation.review_packets(T.escalations(spark, sf_dir), d, T.scores(spark, sf_dir), parts, TENANT_KEY, REVIEW_QUESTIONS)
+
+
+_ASKED_SQL = "CASE rubric " + " ".join(f"WHEN '{r}' THEN '{'|'.join(q)}'" for r, q in REVIEW_QUESTIONS.items()) + " ELSE '' END"
+
+
+@register("jn10_review_packet", with_views("escalations", "records", "scores", "retrievals", "guard_events", "texts", extra=(("per", """
+SELECT decision_id, rubric, min(score) AS s FROM scores GROUP BY ALL"""), ("judged", """
+SELECT decision_id, arg_min(rubric, (s, rubric)) AS rubric, min(s) AS low,
+       string_agg(rubric || '=' || CAST(s AS VARCHAR), ',' ORDER BY rubric) AS all_scores FROM per GROUP BY decision_id"""), ("seq", """
+SELECT decision_id, row_number() OVER (PARTITION BY user_id ORDER BY decision_id) AS n FROM records"""))) + f"""
+SELECT e.escalation_id, e.decision_id, e.tenant_id, d.ts AS decision_timestamp, {placeholders_sql('d.internal_note')} AS input_redacted,
+       {placeholders_sql('t.value')} AS output_redacted, coalesce(rt.l, '') AS retrievals, coalesce(g.l, '') AS guardrail_events,
+       j.rubric AS triggering_rubric_id, CAST(j.low AS DOUBLE) AS triggering_score, coalesce(j.all_scores, '') AS all_judge_scores,
+       {hmac_sql('CAST(d.user_id AS VARCHAR)', TENANT_KEY)} AS user_id_hash, {hmac_sql("('s' || CAST(d.user_id AS VARCHAR))", TENANT_KEY)} AS session_id_hash,
+       seq.n AS session_turn_number, {_ASKED_SQL} AS review_questions, '4h' AS expected_response_time
+FROM escalations e JOIN records d ON e.decision_id = d.decision_id JOIN seq ON seq.decision_id = d.decision_id
+LEFT JOIN texts t ON t.doc_id = e.decision_id LEFT JOIN judged j ON j.decision_id = e.decision_id
+LEFT JOIN (SELECT decision_id, string_agg(source || ':' || CAST(result_count AS VARCHAR), ',' ORDER BY ts, event_id) AS l FROM retrievals GROUP BY 1) rt
+       ON rt.decision_id = e.decision_id
+LEFT JOIN (SELECT decision_id, string_agg(CAST(event_id AS VARCHAR) || ':' || policy || ':' || CAST(blocked AS VARCHAR), ',' ORDER BY ts, event_id) AS l
+           FROM guard_events GROUP BY 1) g ON g.decision_id = e.decision_id""")
+def jn10_review_packet(spark, sf_dir):
+    """The whole packet of each escalation; arrays rendered as text."""
+    def text(name, *fields, sep=":"):
+        return F.coalesce(F.array_join(F.transform(name, lambda x: F.concat_ws(sep, *[x[f].cast("string") for f in fields])), ","), F.lit("")).alias(name)
+
+    return review_packets(spark, sf_dir).select(
+        "escalation_id", "decision_id", "tenant_id", "decision_timestamp", "input_redacted", "output_redacted", text("retrievals", "source", "result_count"),
+        text("guardrail_events", "event_id", "policy", "blocked"), "triggering_rubric_id", F.col("triggering_score").cast("double").alias("triggering_score"),
+        text("all_judge_scores", "rubric", "score", sep="="), "user_id_hash", "session_id_hash", "session_turn_number",
+        F.array_join("review_questions", "|").alias("review_questions"), "expected_response_time")
+
+
 # --------------------------------------------------------------------------- JN12
 @register("jn12_output_only_pii", with_views("turns", extra=(("io", """
 SELECT session_id, turn, role, text, lag(text) OVER (PARTITION BY session_id ORDER BY turn) AS prev_text,
