@@ -43,7 +43,7 @@ def test_query_runs_on_smoke_data(spark, name):
 
 BOTH_WAYS = {"gt14_redaction_contract": "valid", "gt16_guardrail_chain": "blocked", "gt17_rail_match": "allowed", "ag3_guardrail_rollup": "blocked",
              "wn7_rolling_content_window": "flagged", "gt19_identity_normalize": "valid", "ag11_escalation_rate_alert": "alert",
-             "jn14_control_coverage": "covered"}
+             "jn14_control_coverage": "covered", "gt18_memory_contract": "valid", "gt18_escalation_contract": "valid"}
 
 
 @pytest.mark.parametrize("name", sorted(BOTH_WAYS))

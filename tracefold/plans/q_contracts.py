@@ -30,6 +30,46 @@ def gt18_record_contract(spark, sf_dir):
     return v.select("decision_id", "event_id", "valid", F.array_join("reasons", ",").alias("reasons"))
 
 
+@register("gt18_memory_contract", with_views("memories", extra=(("m", """
+SELECT CASE WHEN event_id % 17 <> 0 THEN decision_id END AS decision_id, event_id, CASE event_id % 13 WHEN 1 THEN 'core' WHEN 2 THEN NULL ELSE kind END AS kind,
+       CASE WHEN event_id % 11 = 0 THEN upper(content_hash) ELSE content_hash END AS content_hash,
+       CASE WHEN event_id % 7 = 0 THEN -1 ELSE ttl_seconds END AS ttl_seconds FROM memories"""),)) + f"""
+SELECT decision_id, event_id, reasons = '' AS valid, reasons FROM (
+  SELECT decision_id, event_id, concat_ws(',',
+    CASE WHEN decision_id IS NULL THEN 'missing_decision_id' END,
+    CASE WHEN NOT coalesce(kind IN {sql_list(C.MEMORY_KINDS)}, FALSE) THEN 'bad_kind' END,
+    CASE WHEN NOT coalesce(regexp_matches(content_hash, '{C.SHA256_HEX_PATTERN}'), FALSE) THEN 'bad_content_hash' END,
+    CASE WHEN ttl_seconds < 0 THEN 'negative_ttl' END) AS reasons FROM m)""")
+def gt18_memory_contract(spark, sf_dir):
+    """Memory writes against their contract; some lack a decision or carry an unknown kind, a bad hash or a negative time to live."""
+    k = F.col("event_id")
+    m = T.memories(spark, sf_dir).withColumns({
+        "decision_id": F.when(k % 17 != 0, F.col("decision_id")),
+        "kind": F.when(k % 13 == 1, "core").when(k % 13 != 2, F.col("kind")),
+        "content_hash": F.when(k % 11 == 0, F.upper("content_hash")).otherwise(F.col("content_hash")),
+        "ttl_seconds": F.when(k % 7 == 0, -1).otherwise(F.col("ttl_seconds"))})
+    v = contracts.with_reasons(m, contracts.memory_rules())
+    return v.select("decision_id", "event_id", "valid", F.array_join("reasons", ",").alias("reasons"))
+
+
+@register("gt18_escalation_contract", with_views("escalations", extra=(("e", f"""
+SELECT escalation_id, CASE decision_id % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN repeat('r', {C.REASON_MAX_CHARS}) WHEN 3 THEN repeat('r', {C.REASON_MAX_CHARS + 1})
+       ELSE 'low score' END AS reason, CASE WHEN decision_id % 5 = 0 THEN 'later' ELSE mode END AS mode FROM escalations"""),)) + f"""
+SELECT escalation_id, reasons = '' AS valid, reasons FROM (
+  SELECT escalation_id, concat_ws(',',
+    CASE WHEN coalesce(length(reason) < {C.REASON_MIN_CHARS} OR length(reason) > {C.REASON_MAX_CHARS}, TRUE) THEN 'bad_reason_length' END,
+    CASE WHEN NOT coalesce(mode IN {sql_list(C.ESCALATION_MODES)}, FALSE) THEN 'bad_mode' END) AS reasons FROM e)""")
+def gt18_escalation_contract(spark, sf_dir):
+    """Escalation requests against their contract; reasons may be empty, missing or a character too long, modes unknown."""
+    k = F.col("decision_id")
+    e = T.escalations(spark, sf_dir).withColumns({
+        "reason": F.when(k % 8 == 0, "").when(k % 8 == 1, F.lit(None)).when(k % 8 == 2, F.repeat(F.lit("r"), C.REASON_MAX_CHARS))
+        .when(k % 8 == 3, F.repeat(F.lit("r"), C.REASON_MAX_CHARS + 1)).otherwise("low score"),
+        "mode": F.when(k % 5 == 0, "later").otherwise(F.col("mode"))})
+    v = contracts.with_reasons(e, contracts.escalation_rules())
+    return v.select("escalation_id", "valid", F.array_join("reasons", ",").alias("reasons"))
+
+
 # --------------------------------------------------------------------------- GT19
 @register("gt19_identity_normalize", with_views("identities", extra=(("n", f"""
 SELECT decision_id, {strip_sql('tenant_id')} AS tenant_id, {strip_sql('agent_id')} AS agent_id FROM identities"""),)) + f"""
