@@ -174,6 +174,7 @@ def test_label_model_finds_accuracies_and_correlations():
     prior, q, corr, weight = X.label_model(dict(patterns), 5)
     assert abs(prior - 0.2) < 0.05
     assert abs(q[1, 1] - 0.6) < 0.08 and abs(q[0, 1] - 0.02) < 0.03 and abs(q[1, 3] - 0.8) < 0.1
+    assert q[1, 5] > 0.97 and q[0, 5] < 0.03                        # the annotator, who is right here
     assert corr[0, 4] > 0.5 and abs(corr[1, 2]) < 0.2
     assert weight[0] < 0.7 < weight[1]                              # twins share their evidence
 
@@ -184,6 +185,42 @@ def test_stems_and_words():
     assert X.words(None) == set()
 
 
+def test_label_model_doubts_a_poor_annotator():
+    rng = np.random.default_rng(5)
+    n = 20_000
+    y = rng.random(n) < 0.3
+    votes = np.stack([np.where(y, rng.random(n) < 0.8, rng.random(n) < 0.05) for _ in range(4)], 1)
+    told = np.where(rng.random(n) < 0.8, y, ~y)                     # wrong in a fifth of the rows
+    code = (votes << np.arange(4)).sum(1)
+    _, q, _, _ = X.label_model(Counter(zip(code.tolist(), told.astype(int).tolist(), strict=True)), 4)
+    assert abs(q[1, 4] - 0.8) < 0.06 and abs(q[0, 4] - 0.2) < 0.06
+
+
+def test_votes():
+    some = [frozenset({b"idiot", "r\u00e9eux".encode()}), frozenset({b"abcd"}), frozenset(), frozenset()]
+    voters = X.Voters(some)
+    fired = lambda t: {X.VOTERS[v] for v in range(len(X.VOTERS)) if voters.of(t) >> v & 1}
+    assert fired("such an IDIOT") == {"mind", "stems0"}
+    assert fired("you are an idiot, r\u00e9euxa") == {"mind", "you", "stems0", "stems0_twice"}
+    assert fired("abcde abcdf") == {"stems1", "stems1_twice"} and fired("abcde abcde") == {"stems1"}
+    assert fired("STOP!! f**k") == {"shout", "masked"} and fired("") == fired(None) == set()
+
+
+def test_scores_match_a_plain_scorer(spark):
+    """Each score anew from the model's weights: the stems of the text's words, and its patterns."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    model = X.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert len(model.weights) == len(model.number) + len(X.PATTERNS)
+    insults = {w.encode() for listed in X.LEXICONS.values() for w in listed.split()}
+    for r in X.score(docs, model).collect():
+        raw = "".join(c if c.isascii() and c.isalpha() or ord(c) > 127 else " " for c in (r["text"] or "").lower()).split(" ")
+        heads = {(w[:k]).encode() for w in raw for k in X.STEM_LENGTHS if len(w) >= k} | {w.encode() + b"$" for w in raw if w}
+        z = model.intercept + sum(model.weights[model.number[s]] for s in heads if s in model.number)
+        hits = [bool(insults & {w.encode() for w in raw}) and X._YOU.search(r["text"] or ""), X._MASKED.search(r["text"] or ""), X._SHOUT.search(r["text"] or "")]
+        z += sum(model.weights[len(model.number) + k] for k, hit in enumerate(hits) if hit)
+        assert r["toxicity"] == pytest.approx(1 / (1 + math.exp(-max(-50, min(50, z)))), rel=1e-9)
+
+
 def test_held_out_rows_are_told_apart(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
