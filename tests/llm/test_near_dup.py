@@ -84,6 +84,14 @@ def test_large_group_of_near_copies_and_shared_passage(spark):
     check(spark, rows)
 
 
+def test_large_classes_are_split(spark):
+    rows = [(i, "the same six words in all") for i in range(40, 90)] + [(i, None) for i in range(20)] + [(i, f"own words of number {i} only") for i in range(20, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = N.near_duplicates(docs, class_rows=8).collect()
+    want = brute(rows)
+    assert len(got) == len(rows) and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got)
+
+
 def test_odd_rows(spark):
     check(spark, [(1, None), (2, ""), (3, " \n\t"), (4, "a b"), (5, "A  B"), (6, "a b c"), (7, "x " * 20_000), (8, "x " * 9), (9, "a b"), (9, "a b"), (None, "a b"), (None, None), (0, "é É"), (10, "é É")])
     empty = spark.createDataFrame([], "doc_id long, text string")

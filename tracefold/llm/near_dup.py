@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.common import slices, written
 from tracefold.llm.components import components
+from tracefold.operators.ordering import join_split
 
 WORDS = 5
 #: 32 bands of 6 places: a pair with a similarity of 0.85 misses all buckets with a probability of 3e-7, one of 0.80
@@ -32,6 +33,8 @@ WORDS = 5
 BANDS, PLACES = 32, 6
 #: Hash classes in which two sets' shingles are counted to bound what they can share.
 SPREAD = 128
+#: Rows of equal sets that a task takes; larger classes are split.
+CLASS_ROWS = 100_000
 #: Link if PERCENT of the union is shared.
 PERCENT = 85
 SEED = 0x5EED
@@ -182,18 +185,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.filter(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                    class_rows: int = CLASS_ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their sets of five-word shingles. A
     component's id is the smallest document id in it; the row with that id is kept. Null and empty texts and
     texts without words have an empty set and are linked with nothing. Rows that share an id are one document.
     Rows without an id are linked with nothing, have no component and are kept. An empty table gives an empty
-    result. Other columns are not read.
+    result. Other columns are not read. A class of more than ``class_rows`` equal sets is dealt to several tasks.
     """
     sig = written(signatures(docs, doc_id, text), "signatures")
     classes = sig.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    rows = sig.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
+    rows = join_split(sig.select("doc_id", "n", "f1", "f2"), classes, ["f1", "f2"], hot_rows=class_rows)
     rows = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     member = written(rows, "classes")
     nodes = sig.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
