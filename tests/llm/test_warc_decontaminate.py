@@ -47,6 +47,22 @@ def test_archive_gives_back_every_row(spark):
     assert W.archive(odd_pages(spark).limit(0)).count() == 0
 
 
+def test_large_groups_of_equal_payloads_are_split(spark, scratch):
+    rows = [(i, "u", "x" * 2000 if i % 3 else f"{i}" * 400) for i in range(1, 200)] + [(None, "u", "x" * 2000)] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = W.write_warc(pages, f"{scratch}/w", group_rows=10)
+    got = W.read_warc(index, f"{scratch}/w", part_bytes=2000)
+    assert Counter(map(tuple, got.select(*COLUMNS).collect())) == Counter(expected(pages.collect()))
+
+
+def test_reading_tasks_grow_with_the_archive(spark, scratch):
+    index = W.write_warc(spark.read.parquet(f"{SMALL}/pages.parquet"), f"{scratch}/w")
+    total = index.agg(F.sum("length")).first()[0]
+    few = W.read_warc(index, f"{scratch}/w").rdd.getNumPartitions()
+    many = W.read_warc(index, f"{scratch}/w", part_bytes=total // 40, read_bytes=total // 200).rdd.getNumPartitions()
+    assert few <= int(spark.conf.get("spark.sql.shuffle.partitions")) and many >= 20
+
+
 def test_payloads_and_files(spark, scratch):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").limit(40).repartition(3)
     index = W.write_warc(pages, f"{scratch}/w").cache()

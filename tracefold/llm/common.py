@@ -22,6 +22,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+def file_system(path: str):
+    """The ``pyarrow.fs`` file system of a path and the path inside it, for tasks that read or write files themselves."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):        # Hadoop writes file:/x, Arrow wants file:///x
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later steps start from the files, so a
     lost executor repeats none of the work above."""

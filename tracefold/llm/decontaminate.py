@@ -10,28 +10,36 @@ distance, over words.
 Only stretches that can hold a match are walked: an item of n words with k edits keeps a run of n // (k + 1) of
 its words in order, so windows far from any run that some item has are left out without loss.
 
-Items are taken in blocks of bounded size, each sent to every task, so any number of items will do.
+Items lie in blocks of bounded size in the shared folder. A task reads a stretch of documents once and searches it
+for one block after the other, each read and built inside the task, so any number of items will do and none goes
+through the driver.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracefold.llm.common import slices
+from tracefold.llm.common import file_system, shared_path, slices, written
 from tracefold.llm.near_dup import mix
 
 #: Edits allowed, as a share of an item's words.
 EDITS = 0.15
 #: Walks, samples of each, and steps in a sample.
 WALKS, SAMPLES, STEPS = 6, 4, 3
-#: Words of the items in a block, in all.
+#: Words of the items in a block, about, and blocks that a Python worker keeps.
 BLOCK_WORDS = 500_000
+BLOCKS_KEPT = 2
+#: Bytes of texts that are searched for one block before the next is loaded (one text may be longer).
+STRETCH_BYTES = 64 << 20
 SEED = 0xC6_4B
 
 _KEPT = b"abcdefghijklmnopqrstuvwxyz0123456789"
@@ -201,49 +209,83 @@ def search(block: Block, numbers: np.ndarray) -> list[tuple[int, int, int, int]]
     return out
 
 
-def blocks_of(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[int, bytes]]]:
-    """Items in the order of their ids, in blocks of ``block_words`` words at most (one item may be longer)."""
-    rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).cast("binary").alias("t")).filter("i is not null and t is not null").orderBy("i", "t")
-    block: list[tuple[int, bytes]] = []
+def write_blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> tuple[str, list[int]]:
+    """Write the items with words into one folder per block; returns the path and the blocks' numbers.
+
+    A block is a hash class of the items, of ``block_words`` words on average.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n = [len(words(t)) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["i", "t", "n"])
+
+    rows = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).cast("binary").alias("t")).filter("i is not null and t is not null")
+    counted = written(rows.mapInArrow(count, "i bigint, t binary, n bigint").filter("n > 0"), "items")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    path = shared_path(items.sparkSession, "item-blocks")
+    placed = counted.select("i", "t", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).alias("block"))
+    placed.repartition(min(blocks, 1000), "block").write.partitionBy("block").parquet(path)
+    return path, sorted(r[0] for r in placed.select("block").distinct().collect())      # one number a block
+
+
+_kept: OrderedDict[tuple[str, int, float], Block] = OrderedDict()
+
+
+def load_block(path: str, block: int, share: float) -> Block:
+    """The search structures of a block, kept by the worker while it works on them."""
+    key = (path, block, share)
+    if key not in _kept:
+        while len(_kept) >= BLOCKS_KEPT:
+            _kept.popitem(last=False)
+        system, base = file_system(path)
+        rows = ds.dataset(f"{base}/block={block}", filesystem=system, format="parquet").to_table(columns=["i", "t"])
+        _kept[key] = build(sorted(zip(rows["i"].to_pylist(), rows["t"].to_pylist(), strict=True)), share)
+    _kept.move_to_end(key)
+    return _kept[key]
+
+
+def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int | None, bytes | None]]]:
+    """Ids and texts in lists of at most ``most`` bytes of texts (one text may be longer)."""
+    held: list[tuple[int | None, bytes | None]] = []
     size = 0
-    for r in rows.toLocalIterator():                # one partition at a time
-        n = len(words(r["t"]))
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r["i"], bytes(r["t"])))
-        size += n
-    if block:
-        yield block
+    for batch in slices(batches, 512):
+        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if held and size + len(t or b"") > most:
+                yield held
+                held, size = [], 0
+            held.append((i, t))
+            size += len(t or b"")
+    if held:
+        yield held
 
 
 def find_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", share: float = EDITS, block_words: int = BLOCK_WORDS) -> DataFrame:
+                  item_text: str = "text", share: float = EDITS, block_words: int = BLOCK_WORDS, stretch_bytes: int = STRETCH_BYTES) -> DataFrame:
     """``doc_id, item_id, distance, n_words, start_word, end_word``: a row for each document that holds an item.
 
     A document holds an item if a stretch of its words is within ``share`` edits of the item's words. The best
     match of each item counts (of equal ones the first). Documents that hold none have no row. Null and empty
     texts hold nothing; null and empty items are in nothing; repeated items with ids of their own each match,
-    and repeated rows give repeated rows; a null document id is returned as null. Other columns are not read.
+    and repeated rows give repeated rows; a null document id is returned as null. Very long texts are searched
+    whole. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    found = rows.limit(0).selectExpr(*[f"cast(null as {x.split()[1]}) as {x.split()[0]}" for x in HITS.split(", ")])
-    for block_rows in blocks_of(items, item_id, item_text, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(build(block_rows, share))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            number = block.number.get
-            for batch in slices(batches, 512):
+    path, blocks = write_blocks(items, item_id, item_text, block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        for texts in stretches(batches, stretch_bytes):
+            for b in blocks:
+                block = load_block(path, b, share)
+                number = block.number.get
                 out = []
-                for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for i, t in texts:
                     w = words(t)
                     numbers = np.fromiter([number(x, 0) for x in w], np.int32, len(w))
                     for k, d, s, e in search(block, numbers):
                         out.append((i, block.items[k][0], d, len(block.items[k][1]), s, e))
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
 
-        found = found.unionByName(rows.mapInArrow(run, HITS))
-    return found
+    return rows.mapInArrow(run, T.StructType.fromDDL(HITS))

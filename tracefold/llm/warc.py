@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import shared_path, slices
+from tracefold.llm.common import file_system, shared_path, slices, written
+from tracefold.operators.ordering import HOT_KEYS_BROADCAST, split_keys
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -28,6 +29,10 @@ REVISIT_BYTES = 1000
 FILE_BYTES = 512 << 20
 #: Ranges less than this apart are read at once, and reads grow no longer than the second (one record may).
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Archive bytes that a reading task takes.
+PART_BYTES = 64 << 20
+#: Equal payloads that a writing task takes; larger groups are split.
+GROUP_ROWS = 4096
 DATE = "2024-01-01T00:00:00Z"           # fixed, so that the same pages give the same bytes
 
 INDEX = "page_id bigint, url string, payload_digest string, payload_bytes bigint, record_type string, file string, offset bigint, length bigint"
@@ -60,36 +65,24 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers["Content-Length"])]
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def _uri(path: str) -> str:
-    """Hadoop writes file:/x, others want file:///x."""
-    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-
-
-def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Write a record per row into files under ``path`` and the index into ``path``/index; return the index.
 
     Every attempt of a task writes files of its own, and the index names those of the attempt that counted, so
     lost executors leave no wrong rows. A null payload is empty; a null id makes a response and never the one
-    that revisits refer to. Rows that share the largest id of their payload are all responses.
+    that revisits refer to. Rows that share the largest id of their payload are all responses. Groups of more than
+    ``group_rows`` equal payloads are dealt to several tasks; rows without an id or with a short payload don't move.
     """
-    root = _uri(path)
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"),
                         F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    size = F.octet_length("payload")
-    holders = (rows.filter((size >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest")
-               .agg(F.max("page_id").alias("holder"), F.count("*").alias("k")).filter("k > 1").select("digest", "holder"))
-    rows = rows.join(holders, "digest", "left")
+    may_repeat = (F.octet_length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull()
+    groups = written(rows.filter(may_repeat).groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("k")).filter("k > 1"), "warc-groups")
+    rows = with_holders(rows.filter(may_repeat), groups, group_rows).unionByName(rows.filter(~may_repeat).withColumn("holder", F.lit(None).cast("bigint")))
     rows = rows.withColumn("refers_to", F.when(F.col("page_id") < F.col("holder"), F.col("holder")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _filesystem(root)
+        system, base = file_system(path)
         system.create_dir(base, recursive=True)
         out = name = None
         at = 0
@@ -118,6 +111,18 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     return read_index(pages.sparkSession, path)
 
 
+def with_holders(rows: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+    """``rows`` with the ``holder`` of their digest (``groups``: ``digest, holder, k``); a digest of more than ``most``
+    rows is split into parts by a hash of the row, and its holder is copied to each."""
+    hot = groups.filter(F.col("k") > most).select(F.col("digest").alias("__digest"), F.ceil(F.col("k") / most).cast("int").alias("__parts"))
+    n_hot = hot.count()
+    if n_hot == 0:
+        return rows.join(groups.select("digest", "holder"), "digest", "left")
+    parts = F.when(F.col("k") > most, F.ceil(F.col("k") / most)).otherwise(1).cast("int")
+    copies = groups.select("digest", "holder", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
+    return split_keys(rows, ["digest"], F.broadcast(hot) if n_hot <= HOT_KEYS_BROADCAST else hot).join(copies, ["digest", "__part"], "left").drop("__part")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEX).parquet(f"{path}/index")
 
@@ -137,14 +142,14 @@ def ranges(selected: DataFrame, gap: int = GAP_BYTES, most: int = READ_BYTES) ->
             .select("file", "start", "stop", "cuts"))
 
 
-def read_warc(selected: DataFrame, path: str) -> DataFrame:
+def read_warc(selected: DataFrame, path: str, part_bytes: int = PART_BYTES, read_bytes: int = READ_BYTES) -> DataFrame:
     """The selected records, read from the archives: ``page_id, url, payload_bytes, payload_digest, record_type,
     refers_to, payload``. The digest and length of a response are taken anew from its payload; a revisit has
-    those of its headers and no payload."""
-    root = _uri(path)
+    those of its headers and no payload. The index rows are added up first: the ranges are dealt to a task for each
+    ``part_bytes`` of archive, at least the session's shuffle partitions, neighbours together."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _filesystem(root)
+        system, base = file_system(path)
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         for batch in batches:
@@ -162,7 +167,10 @@ def read_warc(selected: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=names)
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    return ranges(selected).orderBy("file", "start").mapInArrow(read, schema)
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    parts = max(int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
+    # a number given outright is kept, where a sort's partitions would be joined by the size of the index rows
+    return ranges(selected, most=read_bytes).repartitionByRange(parts, "file", "start").sortWithinPartitions("file", "start").mapInArrow(read, schema)
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
