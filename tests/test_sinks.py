@@ -33,6 +33,16 @@ def test_write_gated_fans_out_each_batch_once(spark, scratch):
         assert spark.read.parquet(o).count() == rec.count()
 
 
+def test_a_batch_is_flushed_after_so_many_rows(spark, scratch):
+    rec = T.records(spark, SF)
+    src, out = os.path.join(scratch, "src"), os.path.join(scratch, "out")
+    rec.coalesce(1).write.parquet(src)
+    q = sinks.write_gated(sinks.stream_records(spark, src, rec.schema), [sinks.parquet_exporter(out, flush_rows=64)], os.path.join(scratch, "ck"), once=True)
+    q.awaitTermination()
+    per_file = [r[0] for r in spark.read.parquet(out).groupBy(F.input_file_name()).count().select("count").collect()]
+    assert sum(per_file) == rec.count() and max(per_file) == 64
+
+
 def test_evidence_export_manifest(spark, scratch):
     esc = T.escalations(spark, SF)
     root = os.path.join(scratch, "bundle")

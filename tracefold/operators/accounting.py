@@ -92,12 +92,14 @@ def merged_percentiles(sketches: DataFrame, keys: Sequence[str], quantiles: Sequ
 
 
 def manifest_rows(df: DataFrame, batch_col: str, reason_col: str,
-                  reasons: Sequence[str], fields: Sequence[str] = ()) -> DataFrame:
+                  reasons: Sequence[str], fields: Sequence[str] = (), categories: Sequence[str] = ()) -> DataFrame:
     """AG8 receipt: counts per batch, one column per drop reason; for each of ``fields`` how many output rows hold its
-    hash (flag ``hashed_<field>``) and how many input rows lost it for its length (flag ``oversized_<field>``)."""
+    hash (flag ``hashed_<field>``) and how many input rows lost it for its length (flag ``oversized_<field>``), and for each of the analyzer's ``categories``
+    how many were hashed for it (``category_<field>``), as ``hashed_<field>_<CATEGORY>``."""
     aggs = [F.count(F.lit(1)).alias("input_count"),
             F.count_if(F.col(reason_col).isNull()).alias("output_count")]
     aggs += [F.count_if(F.col(reason_col) == r).alias(f"dropped_{r}") for r in reasons]
     aggs += [F.count_if(F.col(reason_col).isNull() & F.col(f"hashed_{f}")).alias(f"hashed_{f}") for f in fields]
+    aggs += [F.count_if(F.col(reason_col).isNull() & (F.col(f"category_{f}") == c)).alias(f"hashed_{f}_{c}") for f in fields for c in categories]
     aggs += [F.count_if(F.col(f"oversized_{f}")).alias(f"oversized_{f}") for f in fields]
     return df.groupBy(batch_col).agg(*aggs)

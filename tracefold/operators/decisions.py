@@ -44,29 +44,30 @@ def memory_rollup(df: DataFrame, key: Sequence[str] = ("decision_id",), kind_col
         F.array_join(F.array_sort(F.collect_set(kind_col)), ",").alias("memory_kinds"))
 
 
-def guardrail_rollup(df: DataFrame, key: Sequence[str], blocked_col: str = "blocked",
-                     entities_col: str = "entities", policies_col: str = "policies") -> DataFrame:
-    """AG3: blocked-any, entity totals ``category:count`` and distinct policies.
+def guardrail_rollup(df: DataFrame, key: Sequence[str], blocked_col: str = "blocked", entities_col: str = "entities",
+                     policies_col: str = "policies", latency_col: str | None = None) -> DataFrame:
+    """AG3: blocked-any, entity totals ``category:count``, distinct policies and, with ``latency_col``, the summed latency.
 
-    Entities arrive as ``category:count`` strings; they are summed per
-    (decision, category) first, then folded per decision. Policy and category
-    vocabularies are bounded by the rule set.
+    One pass over the events: each gives a row per entity, of which the first also stands for the event (one without
+    entities gives a row without a category). Rows are summed per (key, category), then folded per key, so ``df`` is
+    computed once. Category and policy vocabularies are bounded by the rule set.
     """
-    base = df.select(*key, F.col(blocked_col).alias("blocked"), entities_col, policies_col)
-    flags = base.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("guardrail_events"),
-        F.bool_or("blocked").alias("blocked"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(policies_col)))), ",").alias("policies"))
-    ent = (base.select(*key, F.explode(entities_col).alias("e"))
-               .select(*key, F.split(F.col("e"), ":").alias("p"))
-               .select(*key, F.element_at("p", 1).alias("category"),
-                       F.element_at("p", 2).cast("bigint").alias("n"))
-               .groupBy(*key, "category").agg(F.sum("n").alias("n"))
-               .groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(
-                   F.concat(F.col("category"), F.lit(":"), F.col("n").cast("string")))), ",").alias("entities")))
-    return (flags.join(ent, list(key), "left")
-                 .select(*key, "guardrail_events", "blocked", F.coalesce("entities", F.lit("")).alias("entities"),
-                         "policies"))
+    key = list(key)
+    first = F.coalesce(F.col("__pos") == 0, F.lit(True))
+    latency = F.col(latency_col) if latency_col else F.lit(None)
+    each = df.select(*key, F.col(blocked_col).alias("__blocked"), F.col(policies_col).alias("__policies"), latency.cast("bigint").alias("__latency"),
+                     F.posexplode_outer(entities_col).alias("__pos", "__entity"))
+    parts = F.split("__entity", ":")
+    by_category = each.groupBy(*key, F.get(parts, F.lit(0)).alias("__category")).agg(
+        F.count_if(first).alias("__events"), F.bool_or("__blocked").alias("__blocked"),
+        F.collect_set(F.when(first, F.col("__policies"))).alias("__policies"), F.sum(F.when(first, F.col("__latency"))).alias("__latency"),
+        F.sum(F.get(parts, F.lit(1)).cast("bigint")).alias("__n"))
+    total = F.when(F.col("__category").isNotNull(), F.concat("__category", F.lit(":"), F.col("__n").cast("string")))
+    return by_category.groupBy(*key).agg(
+        F.sum("__events").alias("guardrail_events"), F.bool_or("__blocked").alias("blocked"),
+        F.array_join(F.array_sort(F.collect_list(total)), ",").alias("entities"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("__policies"))))), ",").alias("policies"),
+        *([F.sum("__latency").alias("latency_ms")] if latency_col else []))
 
 
 def first_wins(df: DataFrame, key: Sequence[str], flag: Column | None, order: Sequence[str],

@@ -37,8 +37,8 @@ def staged(df: DataFrame, attr_cols: Iterable[str], sampler_key: bytes | str, ra
     - policy: ``predicate`` is not true of the guarded, redacted record;
     - sampler: the record's group is outside its class's rate.
 
-    For each redacted attribute two flags are added: ``oversized_<attr>`` (removed for its length) and
-    ``hashed_<attr>``. Attributes of an unknown class pass as they are; such rows are dropped at the first stage.
+    For each redacted attribute are added: ``oversized_<attr>`` (removed for its length), ``hashed_<attr>`` and
+    ``category_<attr>``, the category it was hashed for. Attributes of an unknown class pass as they are; such rows are dropped at the first stage.
     """
     attr_cols = list(attr_cols)
     types, allow = dict(df.dtypes), gates.effective_allowlist(extra)
@@ -59,10 +59,11 @@ def staged(df: DataFrame, attr_cols: Iterable[str], sampler_key: bytes | str, ra
         stripped = strip_whitespace(F.col(c))
         asked = F.coalesce(F.col("__known") & (F.col(c) != ""), F.lit(False))
         path = F.when(F.col("__cls") == "", F.lit(c)).otherwise(F.concat("__cls", F.lit(f".{c}")))
-        hashed = asked & analyzer.category(stripped).isNotNull()
+        category = F.when(asked, analyzer.category(stripped))
+        hashed = category.isNotNull()
         valid = valid & (~asked | request_valid(stripped, path))
         values[c] = F.when(hashed, hmac_sha256_hex(stripped, redact_key)).otherwise(F.col(c))
-        flags.append(hashed.alias(f"hashed_{c}"))
+        flags += [hashed.alias(f"hashed_{c}"), category.alias(f"category_{c}")]
     rows = rows.select(*[values[c].alias(c) if c in values else F.col(c) for c in rows.columns], *flags,
                        valid.alias("__valid"), (F.col("__known") & some).alias("__schema"))
     rows = policy.with_policy_flag(rows, predicate, "__policy") if predicate else rows.withColumn("__policy", F.lit(True))

@@ -39,13 +39,14 @@ def _norm_action(action: str) -> str:
     return action if action in C.RAIL_ACTIONS else "block"
 
 
-def check_rails(text: Column, rules: Sequence[RailRule] = (), default_rail: str = "passthrough") -> Column:
+def check_rails(text: Column, rules: Sequence[RailRule] | None = None, default_rail: str = "passthrough") -> Column:
     """GT17: struct ``(allowed, action, rail, block_response, modified_value)``.
 
+    Without ``rules`` the starter set is used; an empty list lets every text pass.
     Unknown actions fail closed to ``block``. A block empties the content; a
     warn or redact rewrites it with the rule's prefix.
     """
-    rules = tuple(rules) or starter_rules()
+    rules = starter_rules() if rules is None else tuple(rules)
     low = F.lower(text)
 
     def result(action: str, rail: str, response: str | None, modified: Column) -> Column:
@@ -72,7 +73,7 @@ def check_rails(text: Column, rules: Sequence[RailRule] = (), default_rail: str
 
 
 def guard_text(df: DataFrame, text_col: str, path_col: Column | str, key: bytes | str,
-               rules: Sequence[RailRule] = (), analyzer: PatternAnalyzer | None = DEFAULT_ANALYZER,
+               rules: Sequence[RailRule] | None = None, analyzer: PatternAnalyzer | None = DEFAULT_ANALYZER,
                use_rails: bool = True, out: str = "guard") -> DataFrame:
     """GT16: redact, then run the rails on the redacted text.
 

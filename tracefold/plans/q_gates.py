@@ -254,7 +254,7 @@ SELECT *, CASE WHEN event_class NOT IN {_KNOWN} THEN 'schema'
 FROM (SELECT decision_id, ts, event_class, tenant_id, agent_id, latency_ms, note,
              CASE WHEN event_class = 'decision_summary' THEN latency_ms END AS gated_latency_ms,
              CASE WHEN event_class = 'cost_usage_aggregate' THEN input_tokens END AS input_tokens,
-             oversized, coalesce({pii_cat_sql(strip_sql('note'))} IS NOT NULL, FALSE) AS hashed
+             oversized, {pii_cat_sql(strip_sql('note'))} AS category, category IS NOT NULL AS hashed
       FROM (SELECT *, event_class = 'decision_summary' AND strlen(internal_note) > {C.DEFAULT_MAX_FIELD_BYTES} AS oversized,
                    CASE WHEN event_class = 'decision_summary' AND strlen(internal_note) <= {C.DEFAULT_MAX_FIELD_BYTES} THEN internal_note END AS note
             FROM records))"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold import constants as C
 from tracefold.functions.hashing import rate_threshold_hex
-from tracefold.functions.pii import EMAIL_PATTERN, EMAIL_PATTERN_RE2
+from tracefold.functions.pii import DEFAULT_ANALYZER, EMAIL_PATTERN, EMAIL_PATTERN_RE2
 from tracefold.operators import accounting, decisions, escalation, gate_pipeline, graph, judging
 from tracefold.operators.judging import Rubric
 from tracefold.operators.ordering import dedupe_first
@@ -233,12 +233,14 @@ def jn15_judge_inline_disagreement(spark, sf_dir):
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS batch, count(*) AS input_count, count(*) FILTER (WHERE drop_reason IS NULL) AS output_count,
        count(*) FILTER (WHERE drop_reason = 'schema') AS dropped_schema, count(*) FILTER (WHERE drop_reason = 'redaction') AS dropped_redaction,
        count(*) FILTER (WHERE drop_reason = 'policy') AS dropped_policy, count(*) FILTER (WHERE drop_reason = 'sampler') AS dropped_sampler,
-       count(*) FILTER (WHERE drop_reason IS NULL AND hashed) AS hashed_internal_note, count(*) FILTER (WHERE oversized) AS oversized_internal_note
+       count(*) FILTER (WHERE drop_reason IS NULL AND hashed) AS hashed_internal_note,
+       count(*) FILTER (WHERE drop_reason IS NULL AND category = 'EMAIL_ADDRESS') AS "hashed_internal_note_EMAIL_ADDRESS",
+       count(*) FILTER (WHERE drop_reason IS NULL AND category = 'PHONE_NUMBER') AS "hashed_internal_note_PHONE_NUMBER", count(*) FILTER (WHERE oversized) AS oversized_internal_note
 FROM st GROUP BY 1""")
 def ag8_batch_manifest(spark, sf_dir):
-    """Per daily batch: input/output counts, drops by the stage that dropped them, hashed and oversized notes."""
+    """Per daily batch: input/output counts, drops by the stage that dropped them, hashed notes by category, oversized notes."""
     s = staged_records(spark, sf_dir).withColumn("batch", F.window("ts", "1 day")["start"])
-    return accounting.manifest_rows(s, "batch", "drop_reason", gate_pipeline.STAGES, ["internal_note"])
+    return accounting.manifest_rows(s, "batch", "drop_reason", gate_pipeline.STAGES, ["internal_note"], [c for c, _ in DEFAULT_ANALYZER.rules])
 
 
 @register("ag9_stage_metrics", with_views("records", extra=(("st", STAGED_SQL),)) + """

@@ -52,12 +52,15 @@ def write_gated(df: DataFrame, exporters: Sequence[Callable[[DataFrame, int], No
     return w.start()
 
 
-def parquet_exporter(path: str, partition_by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+def parquet_exporter(path: str, partition_by: Sequence[str] = (), flush_rows: int | None = None) -> Callable[[DataFrame, int], None]:
     """Idempotent Parquet exporter: each micro-batch epoch owns the directory
     ``batch_epoch=<id>`` and overwrites it, so a batch replayed after a failure
-    (same epoch id) replaces its earlier partial output instead of adding to it."""
+    (same epoch id) replaces its earlier partial output instead of adding to it.
+    With ``flush_rows`` a file is closed after so many rows, beside the flush by time that the trigger gives."""
     def ex(batch: DataFrame, epoch: int) -> None:
         w = batch.write.mode("overwrite")
+        if flush_rows:
+            w = w.option("maxRecordsPerFile", flush_rows)
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(f"{path.rstrip('/')}/batch_epoch={epoch}")
