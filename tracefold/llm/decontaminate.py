@@ -38,8 +38,9 @@ WALKS, SAMPLES, STEPS = 6, 4, 3
 #: Words of the items in a block, about, and blocks that a Python worker keeps.
 BLOCK_WORDS = 500_000
 BLOCKS_KEPT = 2
-#: Bytes of texts that are searched for one block before the next is loaded (one text may be longer).
-STRETCH_BYTES = 64 << 20
+#: Bytes of texts that are searched for one block before the next (one text may be longer): of the second number if
+#: the worker can't keep all blocks and loads them anew for each stretch.
+STRETCH_BYTES, RELOAD_BYTES = 1 << 20, 64 << 20
 SEED = 0xC6_4B
 
 _KEPT = b"abcdefghijklmnopqrstuvwxyz0123456789"
@@ -99,7 +100,7 @@ class Block:
     runs: np.ndarray                            # sorted hashes of all runs
     longest: int
     steps: int
-    tables: list[tuple[int, np.ndarray, dict[int, list[int]]]]   # (seed, sampled steps, key -> items)
+    tables: list[tuple[int, np.ndarray, dict[int, list[int]], np.ndarray]]   # (seed, sampled steps, key -> items, sorted keys)
     share: float
 
 
@@ -157,9 +158,9 @@ def build(rows: list[tuple[int, bytes]], share: float = EDITS, walks: int = WALK
                 buckets: dict[int, list[int]] = {}
                 for k, key in zip(those, key_of(embedded, sample).tolist(), strict=True):
                     buckets.setdefault(key, []).append(k)
-                tables.append((seed, sample, buckets))
+                tables.append((seed, sample, buckets, np.sort(np.fromiter(buckets, np.uint64, len(buckets)))))
     return Block(number, items, q, np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64), longest,
-                 max((int(s[-1]) + 1 for _, s, _ in tables), default=0), tables, share)
+                 max((int(s[-1]) + 1 for _, s, _, _ in tables), default=0), tables, share)
 
 
 def search(block: Block, numbers: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -180,12 +181,12 @@ def search(block: Block, numbers: np.ndarray) -> list[tuple[int, int, int, int]]
     padded = np.concatenate([numbers, np.zeros(block.steps + 1, np.int32)])
     near: dict[int, list[int]] = {}
     seed, embedded = None, None
-    for walk_seed, sample, buckets in block.tables:
+    for walk_seed, sample, buckets, wanted in block.tables:
         if walk_seed != seed:
             seed, embedded = walk_seed, walk(padded, starts, block.steps, walk_seed)
         keys = key_of(embedded, sample)
-        wanted = np.fromiter(buckets, np.uint64, len(buckets))
-        for w in np.flatnonzero(np.isin(keys, wanted)).tolist():
+        place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+        for w in np.flatnonzero(wanted[place] == keys).tolist():
             for k in buckets[int(keys[w])]:
                 near.setdefault(k, []).append(int(starts[w]))
     out = []
@@ -261,7 +262,7 @@ def stretches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tup
 
 
 def find_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", share: float = EDITS, block_words: int = BLOCK_WORDS, stretch_bytes: int = STRETCH_BYTES) -> DataFrame:
+                  item_text: str = "text", share: float = EDITS, block_words: int = BLOCK_WORDS, stretch_bytes: int | None = None) -> DataFrame:
     """``doc_id, item_id, distance, n_words, start_word, end_word``: a row for each document that holds an item.
 
     A document holds an item if a stretch of its words is within ``share`` edits of the item's words. The best
@@ -272,10 +273,11 @@ def find_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     path, blocks = write_blocks(items, item_id, item_text, block_words)
+    most = stretch_bytes or (STRETCH_BYTES if len(blocks) <= BLOCKS_KEPT else RELOAD_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        for texts in stretches(batches, stretch_bytes):
+        for texts in stretches(batches, most):
             for b in blocks:
                 block = load_block(path, b, share)
                 number = block.number.get
