@@ -151,6 +151,43 @@ def test_lsh_odd_vectors(spark):
     assert empty.collect() == []
 
 
+def test_lsh_writes_no_pairs_and_splits_large_buckets(spark, monkeypatch):
+    """Each query's best of its candidates by the index, with copies, ties and buckets cut into cells; pairs stay in their task."""
+    import numpy as np
+    rnd = np.random.default_rng(9)
+    x = np.concatenate([rnd.normal(size=(250, 6)), np.repeat(rnd.normal(size=(1, 6)), 120, axis=0), np.tile([[1.0, 0, 0, 0, 0, 0]], (30, 1)) * np.arange(1, 31)[:, None]])
+    rows = [(i, r.tolist()) for i, r in enumerate(x)] + [(7, x[7].tolist()), (7, x[8].tolist()), (255, x[255].tolist()), (None, x[3].tolist()), (900, [float("nan")] * 6)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([r for r in rows if r[0] is not None and (r[0] % 5 == 0 or r[0] == 7)], "query_id long, query_vec array<double>")
+    index = graph.HyperplaneIndex(dim=6, tables=3, bits=4, probes=2)
+    have, ask = graph.lsh_buckets(v, index, "vec_id", "embedding"), graph.lsh_buckets(q, index, "query_id", "query_vec", probe=True)
+    pairs = have.withColumnRenamed("id", "vec_id").join(ask.withColumnRenamed("id", "query_id"), ["table", "bucket"]).select("query_id", "vec_id").distinct()
+    sim = F.round(graph._dot("query_vec", "embedding") / (graph._norm("query_vec") * graph._norm("embedding")), 6).alias("similarity")
+    ranks = graph.top_k(pairs.filter("vec_id <> 7 AND query_id <> 7").join(q, "query_id").join(v, "vec_id").select("query_id", "vec_id", sim), ["query_id"], [F.col("similarity").desc(), F.col("vec_id").asc()], 9, "vec_id")
+    key = lambda df: [str(r) for r in df.filter("query_id <> 7").select("query_id", "rank", "vec_id", "similarity").orderBy("query_id", "rank").collect()]
+    alone = v.filter("vec_id <> 7"), q.filter("query_id <> 7")
+    found = graph.similarity_lsh(*alone, 9, index)
+    want = key(ranks)
+    assert key(found) == want and len(want) > 600
+    monkeypatch.setattr(graph, "CELL_ROWS", 11)
+    monkeypatch.setattr(graph, "CELL_QUERIES", 4)
+    split = graph.similarity_lsh(*alone, 9, index)
+    assert key(split) == want
+    # an id with several vectors is as many rows, each as often as it is there
+    twice = graph.similarity_lsh(v.filter("vec_id < 250"), q.filter("query_id = 7"), 9, index).filter("similarity = 1").collect()
+    assert sorted((r.query_id, r.vec_id) for r in twice) == [(7, 7)] * 5 + [(7, 8)]
+    # what leaves a cell is bounded by its queries, not by its pairs
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") >= 3 and "__id" not in plan
+
+
+def test_rounding_of_similarities_is_sparks(spark):
+    import numpy as np
+    x = np.concatenate([np.random.default_rng(2).uniform(-1, 1, 2000), np.arange(-40, 40) / 1e6 + 5e-7, [0.1234565, -0.1234565, 1.0, -1.0, 0.0, 2.5e-6]])
+    want = [r.y for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.round("x", 6).alias("y")).collect()]
+    assert graph._rounded(x).tolist() == want
+
+
 def test_erasure(spark):
     c = spark.createDataFrame([(1, 7, "secret"), (2, 8, "keep")], "decision_id long, user_id long, internal_note string")
     req = spark.createDataFrame([(7,)], "user_id long")

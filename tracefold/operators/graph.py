@@ -11,13 +11,14 @@ sorted by ``from_id`` so a walk reads only the edge types it follows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -370,34 +371,134 @@ class HyperplaneIndex:
         return replace(self, bits=max(1, round(math.log2(max(rows, 2) / bucket))))
 
 
-def lsh_buckets(df: DataFrame, index: HyperplaneIndex, id_col: str, vec_col: str, probe: bool = False) -> DataFrame:
-    """``id, table, bucket`` of each vector: its own bucket in each table, or with ``probe`` all it should look into.
+#: Rows of a bucket, and queries that look into one, that a cell of the search holds on average.
+CELL_ROWS, CELL_QUERIES = 20_000, 2_000
 
-    Arrow batches, one matrix product each. Null vectors and vectors of another length have no bucket.
-    """
+
+def _celled(rows: DataFrame, index: HyperplaneIndex, vec_col: str, probe: bool = False) -> DataFrame:
+    """``rows``, whose vectors all have the index's length, with ``cells``: table * 2 ** bits + bucket of each table, or with
+    ``probe`` of all buckets to look into. Arrow batches, one matrix product each."""
     dim, tables, bits = index.dim, index.tables, index.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(index.seed).normal(size=(dim, tables * bits))
         powers = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), float).reshape(-1, dim)
+            x = batch.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
             side = (x @ planes).reshape(len(x), tables, bits)
-            code = (side > 0) @ powers
-            codes = code[:, :, None]
+            codes = ((side > 0) @ powers)[:, :, None]
             if probe:
                 weak = np.argsort(np.abs(side), axis=2)[:, :, :min(index.probes, bits)]
                 flips = powers[weak]
-                one = np.concatenate([np.zeros((*code.shape, 1), np.int64), flips], axis=2)
+                one = np.concatenate([np.zeros((*codes.shape[:2], 1), np.int64), flips], axis=2)
                 pairs = [flips[:, :, i] ^ flips[:, :, j] for i in range(flips.shape[2]) for j in range(i)]
-                codes = code[:, :, None] ^ np.concatenate([one, *[p[:, :, None] for p in pairs]], axis=2)
-            each = codes.shape[2]
-            at = np.repeat(np.arange(len(x)), tables * each)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), len(x))),
-                                              pa.array(codes.reshape(-1))], names=["id", "table", "bucket"])
+                codes = codes ^ np.concatenate([one, *[p[:, :, None] for p in pairs]], axis=2)
+            cells = codes + (np.arange(tables, dtype=np.int64) << bits)[:, None]
+            each = tables * codes.shape[2]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * each + 1, each, dtype=np.int32)), pa.array(cells.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "cells"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))]))
+
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.size("v") == dim)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, `table` int, bucket bigint")
+def lsh_buckets(df: DataFrame, index: HyperplaneIndex, id_col: str, vec_col: str, probe: bool = False) -> DataFrame:
+    """``id, table, bucket`` of each vector: its own bucket in each table, or with ``probe`` all it should look into.
+
+    Null vectors and vectors of another length have no bucket.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.size("v") == index.dim)
+    cells = _celled(rows, index, "v", probe).select("id", F.explode("cells").alias("cell"))
+    return cells.select("id", F.shiftright("cell", index.bits).cast("int").alias("table"), F.col("cell").bitwiseAND((1 << index.bits) - 1).alias("bucket"))
+
+
+def _rounded(sims: np.ndarray) -> np.ndarray:
+    """Similarities rounded to 6 places, halves away from zero by their shortest decimal form, as Spark's ``round`` does;
+    2 for NaN, which Spark sorts above all numbers."""
+    far = np.abs(sims) * 1e6
+    out = np.copysign(np.floor(far + 0.5) / 1e6, sims) + 0.0
+    for i in np.flatnonzero(np.abs(far - np.floor(far) - 0.5) < 1e-4).tolist():
+        out[i] = float(Decimal(repr(float(sims[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return np.where(np.isnan(sims), 2.0, out)
+
+
+class _CellSearch:
+    """Queries of one cell and their best ``k`` rows so far; rows come in the order of their ids, so of equal ones the first stays."""
+    def __init__(self, batch: pa.RecordBatch, k: int, dim: int):
+        self.batch, self.k, self.dim = batch, k, dim
+        self.x, self.norms = self._matrix(batch), batch.column("norm").to_numpy()
+        self.q, self.key, self.sim = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        self.rows = {c: np.zeros(0, object) for c in ("id", "n", "hash")}
+        self.bar = np.full(batch.num_rows, -np.inf)
+
+    def _matrix(self, batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, self.dim)
+
+    def see(self, batch: pa.RecordBatch) -> None:
+        x, norms = self._matrix(batch), batch.column("norm").to_numpy()
+        with np.errstate(all="ignore"):
+            near = (self.x @ x.T) / (self.norms[:, None] * norms)
+            near[np.isnan(near)] = 2.0
+            low = self.bar
+            if len(x) > self.k:
+                low = np.maximum(low, np.partition(near, len(x) - self.k, axis=1)[:, len(x) - self.k])
+            qi, vi = np.nonzero(near >= low[:, None] - 2e-6)        # what may be among the best once rounded
+            sims = np.zeros(len(qi))
+            for a, b in zip(self.x.T, x.T, strict=True):            # summed in the order of the entries, as the exact path does
+                sims += a[qi] * b[vi]
+            sims /= self.norms[qi] * norms[vi]
+        q, key, sim = np.concatenate([self.q, qi]), np.concatenate([self.key, _rounded(sims)]), np.concatenate([self.sim, sims])
+        by = np.lexsort((np.arange(len(q)), -key, q))
+        first = np.searchsorted(q[by], q[by])
+        by = by[np.arange(len(by)) - first < self.k]
+        old, new = by[by < len(self.q)], by[by >= len(self.q)] - len(self.q)
+        place = np.argsort(np.argsort(by >= len(self.q), kind="stable"), kind="stable")
+        for c, held in self.rows.items():
+            come = np.array([*batch.column(c).take(pa.array(vi[new])).to_pylist(), None], object)[:-1]
+            self.rows[c] = np.concatenate([held[old], come])[place]
+        self.q, self.key, self.sim = q[by], key[by], sim[by]
+        full = np.flatnonzero(np.bincount(self.q, minlength=len(self.bar)) == self.k)
+        self.bar[full] = self.key[np.searchsorted(self.q, full, side="right") - 1]
+
+    def give(self, schema: pa.Schema) -> pa.RecordBatch:
+        at = pa.array(self.q)
+        cols = [self.batch.column("qid").take(at), self.batch.column("hash").take(at), *(self.rows[c].tolist() for c in ("id", "hash", "n")), self.sim]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+
+def _cell_search(have: DataFrame, ask: DataFrame, k: int, dim: int) -> DataFrame:
+    """``qid, qhash, id, hash, n, sim``: each query's best ``k`` of each cell. A cell's queries are held in its task, its rows
+    stream by."""
+    names = ["cell", "part", "kind", "qid", "id", "hash", "n", "norm", "vec"]
+    both = ask.withColumn("kind", F.lit(0)).unionByName(have.withColumn("kind", F.lit(1)), allowMissingColumns=True).select(*names)
+    schema = T.StructType([both.schema["qid"], T.StructField("qhash", T.LongType()), both.schema["id"], T.StructField("hash", T.LongType()),
+                           T.StructField("n", T.LongType()), T.StructField("sim", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, state, out = None, [], None, None
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                out = out or pa.schema([("qid", batch.schema.field("qid").type), ("qhash", pa.int64()), ("id", batch.schema.field("id").type),
+                                        ("hash", pa.int64()), ("n", pa.int64()), ("sim", pa.float64())])
+                cell, part, kind = (batch.column(c).to_numpy() for c in ("cell", "part", "kind"))
+                at = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])])
+                for i, j in zip(at.tolist(), [*at[1:].tolist(), len(cell)], strict=True):
+                    if (cell[i], part[i]) != now:
+                        if state is not None:
+                            yield state.give(out)
+                        now, waiting, state = (cell[i], part[i]), [], None
+                    if kind[i] == 0:
+                        waiting.append(batch.slice(i, j - i))
+                        continue
+                    if state is None and waiting:
+                        state = _CellSearch(pa.concat_batches(waiting), k, dim)
+                    if state is not None:
+                        state.see(batch.slice(i, j - i))
+        if state is not None:
+            yield state.give(out)
+
+    by = ["cell", "part"]
+    return both.repartition(*by).sortWithinPartitions(*by, "kind", "id").mapInArrow(run, schema)
 
 
 def similarity_lsh(vectors: DataFrame, queries: DataFrame, k: int, index: HyperplaneIndex, id_col: str = "vec_id",
@@ -405,19 +506,45 @@ def similarity_lsh(vectors: DataFrame, queries: DataFrame, k: int, index: Hyperp
                    buckets: int = 64) -> DataFrame:
     """JN13 for sets too large to compare: candidates from the index, then the exact similarity and top ``k``.
 
-    Vectors meet queries by an equi-join on (table, bucket), as ids only; distinct pairs then take their vectors from
-    two joins on the ids. Every vector is indexed. The buckets of a dense region can be large: AQE splits such a join
-    partition, and rows of one bucket only meet the queries that look into it. Columns, rounding and
-    ties are those of :func:`similarity_top_k`, to which the recall is measured.
+    Vectors go once to their bucket of each table, queries to the buckets they look into; a bucket's task scores all its
+    pairs in matrix products and gives the best ``k`` of each query. No pair is written, so what is shuffled grows with
+    the vectors. Every vector is indexed. Buckets of a dense region are split by counts into cells of about CELL_ROWS rows and
+    CELL_QUERIES queries that meet pairwise; of equal vectors the rows with the ``k`` smallest ids go, and equal queries are
+    asked once. Columns, rounding and ties are those of :func:`similarity_top_k`, to which the recall is measured.
     """
-    have = lsh_buckets(vectors, index, id_col, vec_col).withColumnRenamed("id", "__id")
-    ask = lsh_buckets(queries, index, qid_col, qvec_col, probe=True).withColumnRenamed("id", "__qid")
-    pairs = have.join(ask, ["table", "bucket"]).select("__qid", "__id").distinct()
-    v = vectors.select(F.col(id_col).alias("__id"), F.col(vec_col).alias("__v"), _norm(vec_col).alias("__n")).filter("__n > 0")
-    q = queries.select(F.col(qid_col).alias("__qid"), F.col(qvec_col).alias("__qv"), _norm(qvec_col).alias("__qn")).filter("__qn > 0")
-    scored = pairs.join(q, "__qid").join(v, "__id").select(
-        F.col("__qid").alias(qid_col), F.col("__id").alias(id_col),
-        F.round(_dot("__qv", "__v") / (F.col("__qn") * F.col("__n")), 6).alias("similarity"))
+    single = all(df.schema[c].dataType.elementType.simpleString() == "float" for df, c in ((vectors, vec_col), (queries, qvec_col)))
+    kind = f"array<{'float' if single else 'double'}>"
+
+    def rows(df: DataFrame, ident: str, vec: str, name: str) -> DataFrame:
+        """Different ``name, vec`` rows whose vector has a direction, and how often each is there."""
+        r = df.select(F.col(ident).alias(name), F.col(vec).cast(kind).alias("vec")).filter(F.col(name).isNotNull() & (F.size("vec") == index.dim))
+        r = r.groupBy(name, "vec").agg(F.count(F.lit(1)).alias("n")).withColumns({"norm": _norm("vec"), "hash": F.xxhash64("vec")})
+        return r.filter("norm > 0")
+
+    v = top_k(rows(vectors, id_col, vec_col, "id"), ["vec"], [F.col("id").asc()], k, "id", buckets=buckets).select("id", "vec", "n", "norm", "hash")
+    members = rows(queries, qid_col, qvec_col, "qid")
+    asked = members.groupBy("vec", "norm", "hash").agg(F.min("qid").alias("qid"))
+    have = _celled(v, index, "vec").select(F.explode("cells").alias("cell"), "id", "vec", "n", "norm", "hash")
+    ask = _celled(asked, index, "vec", probe=True).select(F.explode("cells").alias("cell"), "qid", "vec", "norm", "hash")
+
+    # cells of the few buckets that hold more than a task should
+    count = lambda df, name: df.groupBy("cell").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(have, "v").join(count(ask, "q"), "cell").filter((F.col("v") > CELL_ROWS) | (F.col("q") > CELL_QUERIES))
+    large = F.broadcast(cut_lineage(sizes.select(F.col("cell").alias("__cell"), F.ceil(F.col("v") / CELL_ROWS).cast("int").alias("__vs"),
+                                                 F.ceil(F.col("q") / CELL_QUERIES).cast("int").alias("__qs"))))
+
+    def parted(df: DataFrame, own: str, other: str, part: Callable[[Column, Column], Column], key: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key, "hash"), F.coalesce(own, F.lit(1)))
+        split = df.join(large, F.col("cell") == F.col("__cell"), "left").withColumn("__other", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return split.withColumn("part", part(mine, F.col("__other")).cast("bigint")).drop("__cell", "__vs", "__qs", "__other")
+
+    qs = F.coalesce("__qs", F.lit(1))
+    found = _cell_search(parted(have, "__vs", "__qs", lambda a, b: a * qs + b, "id"), parted(ask, "__qs", "__vs", lambda a, b: b * qs + a, "qid"), k, index.dim)
+    reps = F.min("qid").over(Window.partitionBy("vec")).alias("rep")
+    who = members.select("qid", "n", F.col("hash").alias("qhash"), reps).withColumnsRenamed({"qid": "__qid", "n": "__n"})
+    named = found.distinct().withColumnRenamed("qid", "rep").join(who, ["rep", "qhash"])
+    copies = F.explode(F.array_repeat(F.lit(0), F.least(F.col("n") * F.col("__n"), F.lit(k)).cast("int"))).alias("__copy")
+    scored = named.select(F.col("__qid").alias(qid_col), F.col("id").alias(id_col), F.round("sim", 6).alias("similarity"), copies).drop("__copy")
     return top_k(scored, [qid_col], [F.col("similarity").desc(), F.col(id_col).asc()], k, id_col, buckets=buckets)
 
 
