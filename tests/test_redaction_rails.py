@@ -138,3 +138,29 @@ def test_chain_keeps_the_request_contract(spark):
     assert out[2].content == "x" * n and out[6].content is None and out[7].content == "" and not out[6].blocked
     assert len(out[8].content) == 64 and out[8].entities == ["EMAIL_ADDRESS:1"]
     assert all(rails.guard_text(df, "t", "path", KEY_A, analyzer=None).select("guard.valid").toPandas()["valid"])
+
+
+def test_quick_patterns_find_the_same_texts(spark):
+    """The faster forms and signs of the PII rules against the plain ones, also beside astral characters and other white space."""
+    import random
+
+    from tracefold.functions import pii
+    rnd = random.Random(5)
+    bits = ["@", ".", "-", "--", " ", " ", "\n", "a", "é", "\U000252f3", "\U0001d7d8", "_", "1", "12", "123", "1234", "078-05-1120", "415-555-0134", "a@b.c", "@b.c", "٣٤٥", "4111 1111 1111 1111", "4111-1111-1111-111"]
+    texts = [*bits, "", *("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 7))) for _ in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    same = [(t.rlike(plain) == t.rlike(quick)).alias(f"q{i}") for i, (plain, quick) in enumerate(pii.FOUND_BY.items())]
+    signs = [(~t.rlike(r.pattern) | t.rlike(r.sign)).alias(f"s{i}") for i, r in enumerate(pii.SCORED_RULES) if r.sign]
+    some = [t.rlike(r.pattern).cast("int").alias(f"n{i}") for i, r in enumerate(pii.SCORED_RULES)]
+    got = df.select("t", *same, *signs, *some).cache()
+    assert [r.t for r in got.collect() if not all(r[f] for f in got.columns if f[0] in "qs")] == []
+    assert all(n > 50 for n in got.select(*[F.sum(c) for c in got.columns if c[0] == "n"]).first())
+
+
+def test_scored_rules_are_looked_for_once(spark):
+    from tracefold.functions.pii import FOUND_BY, SCORED_RULES
+    from tracefold.plans import q_text
+    plan = q_text.fn9_scored_pii(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == sum(r.check is None for r in SCORED_RULES) + sum(r.sign is not None for r in SCORED_RULES)
+    assert all(plan.count(p) == 1 for p in FOUND_BY.values())
