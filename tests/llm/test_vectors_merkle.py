@@ -271,3 +271,19 @@ def test_best_keeps_the_first_of_equal_ids():
     g, i, s = np.array([1, 0, 1, 1, 0]), np.array([5, 2, 5, 4, 3]), np.array([0.5, 0.1, 0.5, 0.5, 0.9])
     assert neighbours.best(g, i, s, 1).tolist() == [4, 3]
     assert neighbours.best(g, i, s, 9).tolist() == [4, 1, 3, 0]
+
+
+def test_tasks_follow_the_nodes_not_the_shuffle_partitions(spark):
+    """Many shuffle partitions don't start as many Python tasks for a few nodes; many nodes use them all."""
+    from tracefold.llm import neighbours
+    rows = spark.range(500).withColumnRenamed("id", "key")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        few, many = neighbours.dealt(rows, 500, "key"), neighbours.dealt(rows, 2_000_000, "key")
+        assert few.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism < 61 == many.rdd.getNumPartitions()
+        assert sorted(r.key for r in few.collect()) == list(range(500))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -46,6 +46,8 @@ BLOCK, COPIES, PACK = 4096, 2, 64
 BEAM, STEP, ENTRIES = 400, 96, 64
 #: The graph is done when a round changes at most this share of all links, or after so many rounds.
 SETTLED, MOST_ROUNDS = 0.1, 12
+#: Nodes for which a task is worth its start; with few nodes there are not many more tasks than cores.
+TASK_NODES = 2000
 SEED = 20_413
 
 #: A row of a block's table (kind 0: key, vec or ids, bars) or a pack of requests to the block (kind 1): the ids asked for
@@ -186,6 +188,12 @@ def level(v: Vectors) -> Vectors:
     return Vectors(v.members, v.nodes.mapInArrow(widen, "key bigint, vec binary"), replace(sh, dtype="<f4", dim=sh.dim + 1))
 
 
+def dealt(rows: DataFrame, nodes: int, *by: str) -> DataFrame:
+    """``rows`` dealt out by a key to at most as many tasks as ``nodes`` give work to, however many shuffle partitions there are."""
+    most = max(3 * rows.sparkSession.sparkContext.defaultParallelism, -(-nodes // TASK_NODES))
+    return rows.repartition(*by).coalesce(most)
+
+
 # --------------------------------------------------------------------------- requests meet blocks
 def packed(sh: Shape, rows: list[tuple[int, bytes, float, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Requests (key, vec, bar, sorted ids), dealt to the ids' blocks, PACK keys to a row."""
@@ -218,11 +226,12 @@ def unpacked(sh: Shape, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray
             yield key, None if x is None else x[k], float(bars[k]), ids[to[k - 1] if k else 0:to[k]]
 
 
-def _meet(size: int, table: DataFrame, requests: DataFrame, build: Callable, serve: Callable, schema: str, finish: Callable | None = None) -> DataFrame:
-    """Bring the rows of ``table`` (key and what a node has) and the requests of its block (of ``size``) together in a task.
+def _meet(sh: Shape, table: DataFrame, requests: DataFrame, build: Callable, serve: Callable, schema: str, finish: Callable | None = None) -> DataFrame:
+    """Bring the rows of ``table`` (key and what a node has) and the requests of its block together in a task.
 
     ``build(first key, batch)`` makes a block's state, ``serve(state, batch)`` answers a batch of requests, ``finish`` ends it.
     """
+    size = sh.block
     copies = table.withColumn("block", F.floor(F.col("key") / size).cast("bigint")).withColumn("kind", F.lit(0))
     copies = copies.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(COPIES)])))
     both = copies.unionByName(requests.withColumn("kind", F.lit(1)), allowMissingColumns=True)
@@ -251,7 +260,7 @@ def _meet(size: int, table: DataFrame, requests: DataFrame, build: Callable, ser
             yield from finish(state)
 
     names = [f.split()[0] for f in MEET.split(", ")]
-    return both.select(*names).repartition("block", "salt").sortWithinPartitions("block", "salt", "kind", "key").mapInArrow(run, schema)
+    return dealt(both.select(*names), sh.size, "block", "salt").sortWithinPartitions("block", "salt", "kind", "key").mapInArrow(run, schema)
 
 
 def _lists_of(sh: Shape, table: DataFrame, requests: DataFrame) -> DataFrame:
@@ -264,7 +273,7 @@ def _lists_of(sh: Shape, table: DataFrame, requests: DataFrame) -> DataFrame:
         out = [(key, np.unique(np.concatenate([lists[i] for i in ids.astype(np.int64) - first])).tobytes()) for key, _, _, ids in unpacked(sh, batch)]
         yield _batch(LISTS, list(zip(*out, strict=True)))
 
-    return _meet(sh.block, table.select("key", "ids"), requests, build, serve, LISTS)
+    return _meet(sh, table.select("key", "ids"), requests, build, serve, LISTS)
 
 
 def _asked(sh: Shape, owners: DataFrame, lists: DataFrame, sims_type: str, full: int) -> DataFrame:
@@ -284,7 +293,7 @@ def _asked(sh: Shape, owners: DataFrame, lists: DataFrame, sims_type: str, full:
                         out.append((int(key[i]), vec[i], float(sims[i][-1]) if len(sims[i]) == full else -np.inf, new))
             yield from packed(sh, out)
 
-    return rows.repartition("key").sortWithinPartitions("key", "late").mapInArrow(run, REQUEST)
+    return dealt(rows, sh.size, "key").sortWithinPartitions("key", "late").mapInArrow(run, REQUEST)
 
 
 # --------------------------------------------------------------------------- the graph
@@ -314,14 +323,15 @@ def _first_lists(v: Vectors, seed: int) -> DataFrame:
     coded = signs(v.nodes, sh.dtype, sh.dim, seed)
     by = [F.col("code"), F.xxhash64("key", F.lit(seed))]
     parts = max(1, min(sh.size // (2 * sh.chunk), int(v.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return coded.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("code").mapInArrow(run, FOUND)
+    return coded.repartitionByRange(parts, *by).coalesce(parts).sortWithinPartitions(*by).drop("code").mapInArrow(run, FOUND)
 
 
 GRAPH = "key bigint, vec binary, ids binary, sims binary, fresh binary, changed bigint"
 
 
-def _merged(graph: DataFrame, found: DataFrame, id_type: str) -> DataFrame:
+def _merged(sh: Shape, graph: DataFrame, found: DataFrame) -> DataFrame:
     """The better LINKS of each node's list and what was found for it; new links are fresh, ``changed`` counts them."""
+    id_type = sh.id_type
     rows = graph.select("key", "vec", "ids", "sims", "fresh", F.lit(0).alias("late")).unionByName(found.withColumn("late", F.lit(1)), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +349,7 @@ def _merged(graph: DataFrame, found: DataFrame, id_type: str) -> DataFrame:
             yield _batch(GRAPH, [key[own], batch.column("vec").take(pa.array(own)), [i[a:b].tobytes() for a, b in spans], [s[a:b].tobytes() for a, b in spans],
                                  [f[a:b].tobytes() for a, b in spans], [int(n[a:b].sum()) for a, b in spans]])
 
-    return rows.repartition("key").sortWithinPartitions("key", "late").mapInArrow(run, GRAPH)
+    return dealt(rows, sh.size, "key").sortWithinPartitions("key", "late").mapInArrow(run, GRAPH)
 
 
 def _paths(sh: Shape, graph: DataFrame) -> DataFrame:
@@ -419,7 +429,7 @@ def _found(sh: Shape, graph: DataFrame) -> DataFrame:
 
     asked = _asked(sh, graph, _lists_of(sh, graph, _paths(sh, graph)), "<f4", LINKS)
     table = graph.select("key", "vec", "sims").mapInArrow(bars, "key bigint, vec binary, bars binary")
-    return _meet(sh.block, table, asked, lambda first, batch: _Scores(first, batch, sh.dtype, sh.dim), serve, FOUND, finish)
+    return _meet(sh, table, asked, lambda first, batch: _Scores(first, batch, sh.dtype, sh.dim), serve, FOUND, finish)
 
 
 def descend(v: Vectors, most_rounds: int = MOST_ROUNDS, settled: float = SETTLED) -> DataFrame:
@@ -429,9 +439,9 @@ def descend(v: Vectors, most_rounds: int = MOST_ROUNDS, settled: float = SETTLED
     for r in range(sh.orders):
         part = _first_lists(v, SEED + 1 + r)
         found = part if found is None else found.union(part)
-    graph = written(_merged(v.nodes.select("key", "vec", none.alias("ids"), none.alias("sims"), none.alias("fresh")), found, sh.id_type), "ann-graph")
+    graph = written(_merged(sh, v.nodes.select("key", "vec", none.alias("ids"), none.alias("sims"), none.alias("fresh")), found), "ann-graph")
     for _ in range(most_rounds):
-        graph = written(_merged(_marked(graph), _found(sh, graph), sh.id_type), "ann-graph")
+        graph = written(_merged(sh, _marked(graph), _found(sh, graph)), "ann-graph")
         changed = graph.agg(F.sum("changed")).first()[0] or 0
         if changed <= settled * sh.size * LINKS:
             break
@@ -493,7 +503,7 @@ def _scored(v: Vectors, requests: DataFrame, beam: int) -> DataFrame:
         if out:
             yield _batch(FOUND, list(zip(*out, strict=True)))
 
-    return _meet(sh.block, v.nodes, requests, block, serve, FOUND)
+    return _meet(sh, v.nodes, requests, block, serve, FOUND)
 
 
 def _merged_beams(v: Vectors, state: DataFrame, found: DataFrame, beam: int, step: int) -> DataFrame:
@@ -519,7 +529,7 @@ def _merged_beams(v: Vectors, state: DataFrame, found: DataFrame, beam: int, ste
                 out.append((int(key[h]), batch.column("vec")[h].as_py(), batch.column("own")[h].as_py(), i[a:b].tobytes(), s[a:b].tobytes(), d[a:b].tobytes(), i[nxt].tobytes()))
             yield _batch(STATE, list(zip(*out, strict=True)) if out else [[]] * 7)
 
-    return rows.repartition("key").sortWithinPartitions("key", "late").mapInArrow(run, STATE)
+    return dealt(rows, sh.size, "key").sortWithinPartitions("key", "late").mapInArrow(run, STATE)
 
 
 def search(v: Vectors, links: DataFrame, queries: DataFrame, most: int, beam: int = BEAM, step: int = STEP) -> DataFrame:
