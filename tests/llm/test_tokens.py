@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from tracefold.llm import pieces as P
 from tracefold.llm import sentencepiece_codec, token_counts, token_store
-from tracefold.llm.bpe_units import units
+from tracefold.llm.bpe_units import WordTokenizer, fine_units, is_word, load_tokenizer, units
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -112,6 +112,71 @@ def test_store_files_hold_bloom_filter_and_order(spark, scratch):
         token_store._encoders.clear()
 
 
+CUTS = [*ODD, "one\ntwo. three,four\n\nfive!\n six", "Ära: été;ñu?\nª.µ,º! ×.÷", "a.b,c  d.e\x85.f", "\0x.y\nz", "it's. we'll, 'tis", "a <|endoftext|>. b<|endoftext|>,c.", "\n.a\n,b", " .a ,b ..c"]
+
+
+def library_ids(library, texts):
+    return [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_fine_units_join_to_the_text(kind):
+    array = pa.array(["before", *CUTS], kind).slice(1)
+    values, first, n = fine_units(array)
+    got = [values.slice(a, k).to_pylist() for a, k in zip(first, n, strict=True)]
+    assert ["".join(us) for us in got] == [t or "" for t in CUTS]
+    assert [u for u in got[CUTS.index("one\ntwo. three,four\n\nfive!\n six")] if u] == ["one", "\n", "two", ".", " three", ",four", "\n\nfive", "!", "\n six"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abé '1!.,  \u0085\x1c\xa0\u3000\t\n\n\r\0▁<|>endoftx")), max_size=40), min_size=1, max_size=4))
+def test_stored_ids_are_the_librarys(library, texts):
+    assert token_store.encode_texts(BPE, texts) == library_ids(library, texts)
+
+
+def test_stored_ids_of_odd_texts(library):
+    assert token_store.encode_texts(BPE, CUTS) == library_ids(library, CUTS)
+    for t in CUTS:
+        assert token_store.encode_texts(BPE, [t]) == library_ids(library, [t])
+    assert token_store.encode_texts(BPE, []) == []
+
+
+def test_words_go_to_the_model_without_the_pre_tokenizer(library):
+    """New words skip the pre-tokenizer, which took more time than their merges; other units still go through it."""
+    rng = random.Random(5)
+    letters = [c for c in map(chr, range(0x250)) if is_word(f" {c}")]
+    words = list({" " + "".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3000)})
+    ids, at = WordTokenizer(load_tokenizer(BPE)).encode(words)
+    assert [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)] == library_ids(library, words)
+    encoder = token_store.Encoder(BPE)
+    asked = []
+    encoder.tokenizer = type("Counting", (), {"encode": lambda _, some, **k: asked.extend(some) or library.encode(some, **k)})()
+    text = "".join(w + "." for w in words)
+    ids, at = encoder.encode(pa.array([text]))
+    assert ids.tobytes() == library_ids(library, [text])[0] and set(asked) == {"."}
+
+
+def test_special_strings_that_a_cut_would_part(scratch):
+    odd = Tokenizer.from_file(BPE)
+    odd.add_special_tokens(["stop.now"])
+    with pytest.raises(ValueError, match="special string"):
+        WordTokenizer(odd)
+    odd = Tokenizer.from_file(BPE)
+    odd.add_special_tokens(["stop"])
+    odd.save(f"{scratch}/odd.json")
+    assert not WordTokenizer(odd).usable
+    texts = ["it will stop. nonstop stops"]
+    assert token_store.encode_texts(f"{scratch}/odd.json", texts) == library_ids(odd, texts)
+
+
+def test_slices_hold_few_bytes(monkeypatch):
+    monkeypatch.setattr(token_store, "SLICE_BYTES", 10)
+    texts = ["12345", "12345", None, "1", "x" * 30, "", "123456789", "é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = [b.column("text").to_pylist() for b in token_store.byte_slices([batch.slice(1), batch.slice(0, 0)], "text")]
+    assert got == [["12345", None, "1"], ["x" * 30], ["", "123456789"], ["é"]]
+
+
 # SentencePiece
 
 @pytest.fixture(scope="module")

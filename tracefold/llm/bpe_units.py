@@ -12,6 +12,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Between a character that no definition calls white space and an ASCII one that every definition does.
 _CUT = re.compile(r"(?<=\S)(?=[\t-\r ])")
@@ -30,17 +32,45 @@ def units(text: str) -> list[str]:
     return _CUT.split(text)
 
 
-_CLOSING = frozenset(".,;:!?")
+#: A Latin letter, and what closes a word: between them a pre-token always ends.
+_LATIN, _CLOSING = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "[.,;:!?]"
 
+#: ``_CUT``, after a lone newline, and before closing punctuation.
+_FINE_CUT = re.compile(rf"{_CUT.pattern}|(?<=\S\n)(?=\S)|(?<=[{_LATIN}])(?={_CLOSING})")
 
-def parts(unit: str) -> tuple[str, ...]:
-    """Cut a unit once more where the pre-tokenizer always does: after one leading newline, and between a Latin
-    letter and one closing punctuation mark. So fewer different strings have to be encoded."""
-    n = len(unit)
-    lead = unit[0] == "\n" and n > 1 and not unit[1].isspace()
-    if unit[-1] in _CLOSING and n > 2 and "A" <= unit[-2] < "\u0250" and unit[-2].isalpha():
-        return ("\n", unit[1:-1], unit[-1]) if lead else (unit[:-1], unit[-1])
-    return ("\n", unit[1:]) if lead else (unit,)
+# the same for RE2, which knows neither these assertions nor the other kinds of white space
+_BLANK = "".join(rf"\x{{{ord(x):x}}}" for x in ("\n", " ", *_UNEVEN) if len(x) == 1 and x != "\0")
+_RE2_UNEVEN = rf"^[ \n]|[ \n][ \n]|[{_BLANK.replace(r'\x{a}', '').replace(r'\x{20}', '')}]"
+_RE2_CUT, _RE2_NEWLINE, _RE2_CLOSING = rf"([^{_BLANK}])([\t-\r ])", rf"(\x00\n)([^{_BLANK}\x00])", rf"([{_LATIN}])({_CLOSING})"
+
+#: Longer texts are cut one by one, as the marks could take an Arrow array over its 2 GB.
+_LONG = 64 << 20
+
+
+def fine_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Many texts (null: empty), cut as ``units`` does and once more where the pre-tokenizer always does, so fewer
+    different strings have to be encoded: after a newline alone, and between a Latin letter and closing punctuation.
+
+    Returns all units in one array, where each text's begin there, and their number. Some may be empty strings."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    apart = pc.or_(pc.match_substring(texts, "\0"), pc.greater(pc.binary_length(texts), _LONG))
+    uneven = pc.and_not(pc.match_substring_regex(texts, _RE2_UNEVEN), apart)
+    # single blanks and newlines between words and no other white space: plain replacements do
+    marked = pc.replace_substring(pc.if_else(pc.or_(apart, uneven), "", texts), " ", "\0 ")
+    marked = pc.replace_substring(marked, "\n", "\0\n\0")
+    if pc.any(uneven).as_py():
+        cut = pc.replace_substring_regex(pc.if_else(uneven, texts, ""), _RE2_CUT, "\\1\0\\2")
+        marked = pc.if_else(uneven, pc.replace_substring_regex(cut, _RE2_NEWLINE, "\\1\0\\2"), marked)
+    lists = pc.split_pattern(pc.replace_substring_regex(marked, _RE2_CLOSING, "\\1\0\\2"), "\0")
+    at = lists.offsets.to_numpy().astype(np.int64)
+    values, first, sizes = lists.flatten(), at[:-1] - at[0], np.diff(at)
+    if pc.any(apart).as_py():
+        cut = [_FINE_CUT.split(t) for t in texts.filter(apart).to_pylist()]
+        n = np.array([len(us) for us in cut], np.int64)
+        rows = apart.to_numpy(zero_copy_only=False)
+        first[rows], sizes[rows] = len(values) + np.cumsum(n) - n, n
+        values = pa.concat_arrays([values, pa.array([u for us in cut for u in us], values.type)])
+    return values, first, sizes
 
 
 def load_tokenizer(path: str):
@@ -71,3 +101,40 @@ def encode_units(tokenizer, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     e = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
     sizes = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
     return np.array(e.ids, "<u4"), np.concatenate([[0], np.cumsum(sizes)])
+
+
+#: Whether a unit is a blank and Latin letters, one pre-token by every version of Unicode.
+is_word = re.compile(f" [{_LATIN}]+").fullmatch
+
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters by which byte-level vocabularies write bytes; line ends stay, as they part the words of one call.
+_BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_WORD_CHARS = _BYTE_CHARS | {10: "\n"}
+WORDS_A_CALL = 100
+
+
+class WordTokenizer:
+    """The library's tokenizer for units that are one pre-token each (``is_word``): the same model without the
+    pre-tokenizer's regular expression, offsets and search for special strings, which cost more than the merges."""
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        special, vocab = [a.content for a in tokenizer.get_added_tokens_decoder().values()], tokenizer.get_vocab(with_added_tokens=False)
+        if any(len(_FINE_CUT.split(x)) > 1 for x in special):
+            raise ValueError("a special string can't be kept whole in a unit")
+        #: whether words can go this way: no special string lies in one, and a token tells whether it begins one
+        self.usable = not any(is_word(" " + x) for x in special) and all(c in vocab for c in _BYTE_CHARS.values())
+        self.bare = Tokenizer(tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.begins[[i for token, i in vocab.items() if token.startswith(_BYTE_CHARS[32])]] = True
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_units``."""
+        calls = ["\n".join(words[i:i + WORDS_A_CALL]).encode().decode("latin-1").translate(_WORD_CHARS) for i in range(0, len(words), WORDS_A_CALL)]
+        ids = np.array([x for e in self.bare.encode_batch_fast(calls, add_special_tokens=False) for x in e.ids], "<u4")
+        at = np.append(np.flatnonzero(self.begins[ids]), len(ids))
+        if len(at) != len(words) + 1:
+            raise ValueError("the vocabulary joins or drops the beginnings of words")
+        return ids, at

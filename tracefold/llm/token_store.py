@@ -11,14 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.bpe_units import encode_units, load_tokenizer, parts, units
-from tracefold.llm.common import shared_path, slices
+from tracefold.llm.bpe_units import WordTokenizer, encode_units, fine_units, is_word, load_tokenizer
+from tracefold.llm.common import shared_path
 
 #: Units a worker remembers with their ids, in two generations of this size; about 100 MB each.
 CACHE_UNITS = 450_000
+#: Bytes of text a task encodes at a time; a longer text is encoded whole.
+SLICE_BYTES = 1 << 20
 ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "10000",
                "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
@@ -26,45 +29,76 @@ ORC_OPTIONS = {"compression": "zstd", "orc.stripe.size": str(64 << 20), "orc.row
 class Encoder:
     """Encodes whole texts; remembers the ids of units it met, those of the last generation or used since."""
     def __init__(self, path: str):
-        self.tokenizer, self.known, self.old = load_tokenizer(path), {}, {}
+        self.tokenizer, self.known, self.old = load_tokenizer(path), {"": b""}, {}
+        self.words = WordTokenizer(self.tokenizer)
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         known, old = self.known, self.old
-        ask: set[str] = set()
-        composed = []
+        words: list[str] = []
+        others: list[str] = []
         for u in new:
             if (found := old.get(u)) is not None:
                 known[u] = found
-            elif len(ps := parts(u)) == 1:
-                ask.add(u)
+            elif self.words.usable and is_word(u):
+                words.append(u)
             else:
-                composed.append((u, ps))
-                ask.update(p for p in ps if p not in known)
-        asked = list(ask)
-        ids, at = encode_units(self.tokenizer, asked)
-        raw, at = ids.tobytes(), (4 * at).tolist()
-        known.update(zip(asked, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
-        known.update((u, b"".join([known[p] for p in ps])) for u, ps in composed)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [units(t or "") for t in texts]
-        met = set().union(*cut)
+                others.append(u)
+        for some, (ids, at) in ((words, self.words.encode(words)), (others, encode_units(self.tokenizer, others))):
+            raw, at = ids.tobytes(), (4 * at).tolist()
+            known.update(zip(some, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the place of each text's first one (and the end)."""
+        values, first, n = fine_units(texts)
+        coded = values.dictionary_encode()
+        met = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(met) > CACHE_UNITS:
-            self.known, self.old = {}, self.known
-        self.learn(met.difference(self.known))
-        return [b"".join(map(self.known.__getitem__, us)) for us in cut]
+            self.known, self.old = {"": b""}, self.known
+        got = list(map(self.known.get, met))
+        if new := [i for i, x in enumerate(got) if x is None]:
+            self.learn([met[i] for i in new])
+            for i in new:
+                got[i] = self.known[met[i]]
+        which = coded.indices.to_numpy()[_ranges(first, n)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        ids = np.frombuffer(b"".join(got), "<u4")[_ranges((np.cumsum(sizes) - sizes)[which], sizes[which])]
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])[np.cumsum(n)]
+        return ids, np.concatenate([[0], ends])
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i]`` to ``first[i] + n[i] - 1`` of every i, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 _encoders: dict[str, Encoder] = {}      # of this worker process
 
 
-def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids of whole texts as little-endian unsigned 32-bit integers; the library encodes each unit it meets."""
+def encode_array(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of whole texts (null: empty), and the place of each text's first one (and the end); the library encodes
+    each unit it meets."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path].encode(texts)
 
 
+def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
+    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    ids, at = encode_array(path, pa.array(texts, pa.string()))
+    return [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+
+
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that the strings of ``column`` hold ``SLICE_BYTES`` at most, or are one."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, SLICE_BYTES + (ends[at - 1] if at else 0), "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id",
                       text: str = "text", files: int | None = None) -> None:
     """Encode every whole text, append ``end_id``, and write ``part, seq, doc_id, ids`` as ORC.
@@ -76,17 +110,15 @@ def write_token_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))]
     n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
-        for batch in slices(batches, 512):
-            ids = [x + end for x in encode_texts(tokenizer_path, batch.column("text").to_pylist())]
-            lens = np.array([len(x) // 4 for x in ids], np.int64)
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(seq, seq + len(ids))), batch.column("doc_id"), lists], names=["seq", "doc_id", "ids"])
-            seq += len(ids)
+        for batch in byte_slices(batches, "text"):
+            ids, at = encode_array(tokenizer_path, batch.column("text"))
+            flat = np.insert(ids, at[1:], end_id).view(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array((at + np.arange(len(at))).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(seq, seq + batch.num_rows)), batch.column("doc_id"), lists], names=["seq", "doc_id", "ids"])
+            seq += batch.num_rows
 
     (rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
      .mapInArrow(encode, "seq bigint, doc_id bigint, ids array<int>")
